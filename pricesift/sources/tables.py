@@ -102,7 +102,7 @@ def price_points(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("l_shipdate").alias("observed_at"),
                     (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),
                     F.col("l_suppkey").alias("seq2"),
-                    F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).alias("price"),
+                    (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
                     F.col("s_name").alias("source")))
 
 
@@ -185,7 +185,7 @@ FROM offers o JOIN queries q ON o.query_key = q.query
 PRICE_POINTS_SQL = """
 SELECT l.l_partkey AS product_id, p.p_brand || ' ' || p.p_name AS product_name,
  l.l_shipdate AS observed_at, l.l_orderkey * 8 + l.l_linenumber AS seq, l.l_suppkey AS seq2,
- round(l.l_extendedprice / l.l_quantity, 2) AS price, s.s_name AS source
+ l.l_extendedprice / l.l_quantity AS price, s.s_name AS source
 FROM lineitem l JOIN part p ON l.l_partkey=p.p_partkey JOIN supplier s ON l.l_suppkey=s.s_suppkey
 """
 
@@ -220,4 +220,7 @@ def with_views(sql: str, *names: str) -> str:
     for n in names:
         add(n)
     ctes = ",\n".join(f"{n} AS ({VIEW_SQL[n]})" for n in ordered)
-    return f"WITH {ctes}\n{sql}"
+    body = sql.strip()
+    if body[:5].upper() == "WITH ":
+        return f"WITH {ctes},\n{body[5:]}"
+    return f"WITH {ctes}\n{body}"

@@ -62,7 +62,7 @@ def top_n_per_query(df: DataFrame, score: str = "score", price: str = "norm_pric
     return ranked.filter((F.col(limit_col) <= 0) | (F.col("rank") <= F.col(limit_col)))
 
 
-def offer_output(df: DataFrame) -> DataFrame:
+def offer_output(df: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """camelCase output, price as the truncated integer string."""
     return df.select(
         "query_id", "l_orderkey", "l_linenumber", "product_id", "seller_id",
@@ -70,4 +70,4 @@ def offer_output(df: DataFrame) -> DataFrame:
         F.col("norm_currency").alias("currency"), F.col("product_name").alias("productName"),
         "availability", "rating", F.col("reviews_count").alias("reviewsCount"), "seller",
         F.col("shipping_cost").alias("shippingCost"), "source",
-        F.round("similarity", 6).alias("similarityScore"), "rank")
+        F.round("similarity", 6).alias("similarityScore"), "rank", *(extra or []))

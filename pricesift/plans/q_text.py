@@ -1 +1,205 @@
-"""Queries."""
+"""Text cleaning, token keys, feature extraction, hints and fuzzy-ratio queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import features as FT
+from ..functions.text import (clean_text, name_similarity_udf, partial_ratio_udf, ratio_udf,
+                              token_set_parts, token_set_ratio_udf, token_sort_key, token_sort_ratio_udf)
+from ..operators.match import feature_similarity, rank_products
+from ..sources import tables as T
+from . import sql_exprs as S
+from .catalog import query
+
+
+def _pairs(spark, sf):
+    """Distinct (offer name, query) pairs: every string function runs once per pair."""
+    return T.offers_for_queries(spark, sf).select("query_id", "product_name", "query").distinct()
+
+
+_PAIRS_SQL = "SELECT DISTINCT query_id, product_name, query FROM offers_q"
+
+
+def _sql_tokens(x: str) -> str:
+    s = f"trim(lower(regexp_replace(regexp_replace({x}, '[^\\x00-\\x7F]', '', 'g'), '\\W', ' ', 'g')))"
+    return f"list_filter(string_split_regex({s}, '\\s+'), lambda t: t <> '')"
+
+
+@query("clean_text", f"SELECT DISTINCT product_name, {S.clean_text('product_name')} AS clean FROM offers",
+       ("offers",))
+def clean_text_q(spark, sf):
+    return T.offers(spark, sf).select("product_name").distinct().withColumn("clean", clean_text("product_name"))
+
+
+@query("token_sort_key", f"""
+SELECT DISTINCT product_name, array_to_string(list_sort({_sql_tokens('product_name')}), ' ') AS sort_key
+FROM offers""", ("offers",))
+def token_sort_key_q(spark, sf):
+    return T.offers(spark, sf).select("product_name").distinct().withColumn("sort_key", token_sort_key("product_name"))
+
+
+@query("token_sets", f"""
+SELECT query_id, product_name, sect, trim(sect || ' ' || r1) AS combined_1, trim(sect || ' ' || r2) AS combined_2
+FROM (SELECT query_id, product_name,
+  array_to_string(list_sort(list_distinct(list_intersect(ta, tb))), ' ') AS sect,
+  array_to_string(list_sort(list_distinct(list_filter(ta, lambda t: NOT list_contains(tb, t)))), ' ') AS r1,
+  array_to_string(list_sort(list_distinct(list_filter(tb, lambda t: NOT list_contains(ta, t)))), ' ') AS r2
+ FROM (SELECT query_id, product_name, {_sql_tokens('product_name')} AS ta, {_sql_tokens('query')} AS tb
+       FROM ({_PAIRS_SQL})))""", ("offers_q",))
+def token_sets(spark, sf):
+    sect, c1, c2 = token_set_parts("product_name", "query")
+    return _pairs(spark, sf).select("query_id", "product_name", sect.alias("sect"), c1.alias("combined_1"),
+                                    c2.alias("combined_2"))
+
+
+def _first_label_sql(text: str, table) -> str:
+    whens = " ".join(f"WHEN regexp_matches({text}, '{p}') THEN '{lab}'" for lab, p in table)
+    return f"(CASE {whens} END)"
+
+
+def _product_features_sql(name: str, query: str) -> str:
+    t = f"lower({name} || ' ' || coalesce({query}, ''))"
+    st = FT.PRODUCT_STORAGE
+
+    def when(p, val):
+        return f"(CASE WHEN regexp_matches({t}, '{p}') THEN {val} END)"
+    ram = when(FT.PRODUCT_RAM, f"regexp_extract({t}, '{FT.PRODUCT_RAM}', 1) || 'GB RAM'")
+    cam = when(FT.CAMERA, f"regexp_extract({t}, '{FT.CAMERA}', 1) || 'MP'")
+    disp = when(FT.DISPLAY, f"regexp_extract({t}, '{FT.DISPLAY}', 1) || '\"'")
+    return (f"{_first_label_sql(t, FT.PRODUCT_BRANDS)} AS brand, "
+            f"trim(nullif(regexp_extract({t}, '{FT.GENERIC_MODEL}', 1), '')) AS model, "
+            f"{when(st, f'regexp_extract({t}, {chr(39)}{st}{chr(39)}, 1) || upper(regexp_extract({t}, {chr(39)}{st}{chr(39)}, 2))')} AS storage, "
+            f"nullif(regexp_extract({t}, '{FT.PRODUCT_COLORS}', 1), '') AS color, "
+            f"{_first_label_sql(t, FT.PRODUCT_CATEGORIES)} AS category, "
+            f"array_to_string(list_filter([{ram}, {cam}, {disp}], lambda x: x IS NOT NULL), '|') AS key_specs")
+
+
+@query("product_features", f"""
+SELECT query_id, product_name, {_product_features_sql('product_name', 'query')} FROM ({_PAIRS_SQL})""",
+       ("offers_q",))
+def product_features(spark, sf):
+    f = FT.product_features("product_name", "query")
+    return _pairs(spark, sf).select("query_id", "product_name", f.alias("f")).select(
+        "query_id", "product_name", "f.brand", "f.model", "f.storage", "f.color", "f.category",
+        F.array_join("f.key_specs", "|").alias("key_specs"))
+
+
+@query("feature_similarity_nofuzz", f"""
+SELECT query_id, product_name,
+ round(0.25 * (CASE WHEN b1 IS NULL OR b2 IS NULL THEN 0.5 WHEN b1 = b2 THEN 1.0 ELSE 0.0 END)
+  + 0.1 * (CASE WHEN s1 IS NULL OR s2 IS NULL THEN 0.5 WHEN s1 = s2 THEN 1.0 ELSE 0.3 END)
+  + 0.05 * (CASE WHEN c1 IS NULL OR c2 IS NULL THEN 0.8 WHEN c1 = c2 THEN 1.0 ELSE 0.6 END), 6) AS partial_score
+FROM (SELECT a.query_id, a.product_name, a.brand AS b1, b.brand AS b2, a.storage AS s1, b.storage AS s2,
+        a.color AS c1, b.color AS c2
+      FROM (SELECT query_id, product_name, {_product_features_sql('product_name', "''")} FROM ({_PAIRS_SQL})) a
+      JOIN (SELECT query_id, {_product_features_sql('query', "''")} FROM queries) b ON a.query_id = b.query_id)""",
+       ("offers_q",))
+def feature_similarity_nofuzz(spark, sf):
+    p = _pairs(spark, sf)
+    f1 = FT.product_features("product_name")
+    f2 = FT.product_features("query")
+    sc = FT.feature_scores(f1, f2)
+    score = 0.25 * sc["brand"] + 0.1 * sc["storage"] + 0.05 * sc["color"]
+    return p.select("query_id", "product_name", F.round(score, 6).alias("partial_score"))
+
+
+def _query_features_sql(q: str) -> str:
+    lq = f"lower({q})"
+
+    def m(p):
+        return f"regexp_matches({lq}, '{p}')"
+
+    def ex(p, g=1):
+        return f"regexp_extract({lq}, '{p}', {g})"
+
+    def title(x):
+        # str.title() on lower text: upper-case letters at the start or after a non-letter.
+        return (f"array_to_string(list_transform(string_split({x}, ''), lambda ch, i: CASE WHEN i = 1 "
+                f"OR NOT regexp_matches(substr({x}, i - 1, 1), '^[[:alpha:]]$') THEN upper(ch) ELSE ch END), '')")
+    st_n = (f"(CASE WHEN {m(FT.QUERY_STORAGE)} THEN {ex(FT.QUERY_STORAGE)} "
+            f"WHEN {m(FT.QUERY_STORAGE_WORDS)} THEN {ex(FT.QUERY_STORAGE_WORDS)} END)")
+    st_u = (f"(CASE WHEN {m(FT.QUERY_STORAGE)} THEN upper({ex(FT.QUERY_STORAGE, 2)}) "
+            f"WHEN {m(FT.QUERY_STORAGE_WORDS)} THEN (CASE WHEN {ex(FT.QUERY_STORAGE_WORDS, 2)} = 'terabyte' "
+            f"THEN 'TB' ELSE 'GB' END) END)")
+    mem = (f"(CASE WHEN {m(FT.QUERY_MEMORY)} THEN {ex(FT.QUERY_MEMORY)} "
+           f"WHEN {m(FT.QUERY_MEMORY_WORDS)} THEN {ex(FT.QUERY_MEMORY_WORDS)} END)")
+    color = f"(CASE WHEN {m(FT.QUERY_COLORS)} THEN {title(ex(FT.QUERY_COLORS))} END)"
+    brand = (f"(CASE WHEN {m(FT.QUERY_BRANDS[0])} THEN {title(ex(FT.QUERY_BRANDS[0]))} "
+             f"WHEN {m(FT.QUERY_BRANDS[1])} THEN {title(ex(FT.QUERY_BRANDS[1]))} END)")
+    model = "(CASE " + " ".join(f"WHEN {m(p)} THEN {title(ex(p))}" for p in FT.QUERY_MODELS) + " END)"
+    return (f"{st_n} || {st_u} AS storage, CASE WHEN {st_u} = 'TB' THEN CAST({st_n} AS BIGINT) * 1024 "
+            f"ELSE CAST({st_n} AS BIGINT) END AS storage_gb, {mem} || 'GB' AS memory, "
+            f"CAST({mem} AS BIGINT) AS memory_gb, {color} AS color, {brand} AS brand, {model} AS model")
+
+
+QF_SQL = f"SELECT query_id, query, country, {_query_features_sql('query')} FROM queries"
+
+
+@query("query_features", f"""
+SELECT *, (CASE WHEN storage IS NULL THEN 0 ELSE 1 END) + (CASE WHEN storage_gb IS NULL THEN 0 ELSE 1 END)
+ + (CASE WHEN memory IS NULL THEN 0 ELSE 1 END) + (CASE WHEN memory_gb IS NULL THEN 0 ELSE 1 END)
+ + (CASE WHEN color IS NULL THEN 0 ELSE 1 END) + (CASE WHEN brand IS NULL THEN 0 ELSE 1 END)
+ + (CASE WHEN model IS NULL THEN 0 ELSE 1 END) AS feature_count FROM ({QF_SQL})""", ("queries",))
+def query_features_q(spark, sf):
+    f = FT.query_features("query")
+    return (T.queries(spark, sf).select("query_id", "query", "country", f.alias("f"))
+            .select("query_id", "query", "country", "f.*", FT.feature_count(F.col("f")).alias("feature_count")))
+
+
+@query("query_hints", f"""
+SELECT query_id, array_to_string(list_filter([
+  CASE WHEN len(list_filter(string_split_regex(trim(query), '\\s+'), lambda t: t <> '')) < 2 THEN '{FT.HINT_VAGUE}' END,
+  CASE WHEN brand IS NULL THEN '{FT.HINT_BRAND}' END,
+  CASE WHEN storage IS NULL AND ({' OR '.join(f"contains(lower(query), '{w}')" for w in FT.PHONE_WORDS)})
+       THEN '{FT.HINT_STORAGE}' END,
+  CASE WHEN model IS NULL THEN '{FT.HINT_MODEL}' END], lambda x: x IS NOT NULL), ' | ') AS hints
+FROM ({QF_SQL})""", ("queries",))
+def query_hints_q(spark, sf):
+    q = T.queries(spark, sf)
+    f = FT.query_features("query")
+    return q.select("query_id", F.array_join(FT.query_hints("query", f), " | ").alias("hints"))
+
+
+# --- fuzzy ratios (Arrow UDFs; rows-only in the driver, goldens in tests) -------------
+def _clean_pairs(spark, sf):
+    return (_pairs(spark, sf).select("query_id", "product_name", "query",
+                                     clean_text("product_name").alias("a"), clean_text("query").alias("b")))
+
+
+@query("fuzz_ratio")
+def fuzz_ratio(spark, sf):
+    return _clean_pairs(spark, sf).select("query_id", "product_name", ratio_udf("a", "b").alias("ratio"))
+
+
+@query("partial_ratio")
+def partial_ratio(spark, sf):
+    return _clean_pairs(spark, sf).select("query_id", "product_name", partial_ratio_udf("a", "b").alias("partial"))
+
+
+@query("token_ratios")
+def token_ratios(spark, sf):
+    return _clean_pairs(spark, sf).select("query_id", "product_name",
+                                          token_sort_ratio_udf("a", "b").alias("token_sort"),
+                                          token_set_ratio_udf("a", "b").alias("token_set"))
+
+
+@query("offer_similarity")
+def offer_similarity(spark, sf):
+    """F6 per distinct (name, query) pair."""
+    return _pairs(spark, sf).select("query_id", "product_name",
+                                    name_similarity_udf("product_name", "query").alias("similarity"))
+
+
+@query("feature_similarity")
+def feature_similarity_q(spark, sf):
+    """each offer name against its query text as the second product (no query context)."""
+    p = _pairs(spark, sf)
+    return p.select("query_id", "product_name",
+                    feature_similarity(F.col("product_name"), F.col("query"), F.lit("")).alias("similarity"))
+
+
+@query("rank_products")
+def rank_products_q(spark, sf):
+    """Distinct offer names ranked by partial match to the query."""
+    return rank_products(_pairs(spark, sf), "query_id", "product_name", "query")

@@ -26,6 +26,8 @@ class Settings:
     # Component search: lineage is cut every this many rounds.
     cc_checkpoint_every: int = 2
     cc_max_rounds: int = 64
+    # Largest component replayed in order by the greedy grouping (one task).
+    greedy_max_component: int = 50000
     weights: dict = field(default_factory=lambda: {
         "fuzzy": 0.3, "brand": 0.25, "model": 0.2, "storage": 0.1,
         "color": 0.05, "query_relevance": 0.1,

@@ -85,13 +85,12 @@ def knn_topk(queries: DataFrame, docs: DataFrame, k: int, query_id: str = "query
     nd = max(1, math.ceil(n_docs / settings.knn_doc_block_rows))
     nq = max(1, math.ceil(n_q / settings.knn_query_block_rows))
     d = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(doc_vec).cast("array<float>").alias("vec"),
-                    F.pmod(F.xxhash64(doc_id), F.lit(nd)).alias("db"),
-                    F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
+                    F.pmod(F.xxhash64(doc_id), F.lit(nd).cast("bigint")).alias("db"),
+                    F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nq - 1).cast("bigint"))).alias("qb"))
     q = queries.select(F.col(query_id).cast("bigint").alias("id"),
                        F.col(query_vec).cast("array<float>").alias("vec"),
-                       F.explode(F.sequence(F.lit(0), F.lit(nd - 1))).cast("bigint").alias("db"),
-                       F.pmod(F.xxhash64(query_id), F.lit(nq)).cast("int").alias("qb"))
-    d = d.withColumn("db", F.col("db").cast("bigint")).withColumn("qb", F.col("qb").cast("int"))
+                       F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nd - 1).cast("bigint"))).alias("db"),
+                       F.pmod(F.xxhash64(query_id), F.lit(nq).cast("bigint")).alias("qb"))
     cand = (d.groupBy("db", "qb").cogroup(q.groupBy("db", "qb"))
             .applyInPandas(_cell_topk(k, exclude_self), _CELL_SCHEMA))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id"))

@@ -173,7 +173,7 @@ def _greedy_fn(settings: Settings):
     thr, pv, cap = settings.duplicate_threshold, settings.price_variance_threshold, settings.greedy_max_component
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("arrival")
+        pdf = pdf.sort_values([c for c in pdf.columns if c.startswith("_arr")], kind="stable")
         if len(pdf) > cap:   # too large to replay in one task: keep the component as one group
             return pd.DataFrame({"offer_key": pdf["offer_key"], "group_no": 0})
         cache: dict[tuple[str, str], float] = {}
@@ -246,11 +246,11 @@ def dedup_groups(offers: DataFrame, arrival: list[str], mode: str = "greedy",
     sizes = o.groupBy("component").agg(F.count("*").alias("_size"))
     o = o.join(sizes, "component")
     alone = o.filter(F.col("_size") == 1).withColumn("group_no", F.lit(0).cast("bigint"))
-    multi = (o.filter(F.col("_size") > 1).withColumn("offer_key", F.to_json(F.struct(*arrival)))
-             .withColumn("arrival", F.struct(*arrival)))
-    g = (multi.select("component", "offer_key", "arrival", "product_name", "norm_price")
+    multi = o.filter(F.col("_size") > 1).withColumn("offer_key", F.to_json(F.struct(*arrival)))
+    arr = [F.col(c).alias(f"_arr{i}") for i, c in enumerate(arrival)]
+    g = (multi.select("component", "offer_key", *arr, "product_name", "norm_price")
          .groupBy("component").applyInPandas(_greedy_fn(settings), _GREEDY_OUT))
-    replayed = multi.join(g, "offer_key").drop("offer_key", "arrival")
+    replayed = multi.join(g, "offer_key").drop("offer_key")
     return (alone.unionByName(replayed)
             .withColumn("dup_group", F.struct(F.col("component"), F.col("group_no")))
             .drop("seg", "_linked", "_size", "group_no"))

@@ -1 +1,222 @@
-"""Queries."""
+"""Vector search, knowledge lookups and the query enhancer."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import features as FT
+from ..operators.history import learn_prices
+from ..operators.knn import knn_topk, l2_norm, normalize
+from ..settings import DEFAULT
+from ..sources import tables as T
+from .catalog import query
+from .q_relational import _TREND_SQL
+from .q_text import _query_features_sql
+
+
+def _cos_sql(a: str, b: str) -> str:
+    da, db = f"CAST({a} AS DOUBLE[])", f"CAST({b} AS DOUBLE[])"
+    return (f"(list_dot_product({da}, {db}) / (sqrt(list_dot_product({da}, {da})) * "
+            f"sqrt(list_dot_product({db}, {db}))))")
+
+
+def _docs(spark, sf) -> DataFrame:
+    return T.kb_docs(spark, sf)
+
+
+def _query_vectors(spark, sf) -> DataFrame:
+    """Each query is embedded as the vector of its own part (same id)."""
+    e = T.table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    return T.queries(spark, sf).join(e, "query_id")
+
+
+@query("knn_topk", f"""
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (
+ SELECT a.vec_id AS query_id, b.vec_id AS doc_id, {_cos_sql('a.embedding', 'b.embedding')} AS score,
+  row_number() OVER (PARTITION BY a.vec_id ORDER BY {_cos_sql('a.embedding', 'b.embedding')} DESC, b.vec_id) AS rank
+ FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) WHERE rank <= 5 AND score >= 0.3""")
+def knn_topk_q(spark, sf):
+    """Five nearest other documents per document, score >= 0.3."""
+    d = _docs(spark, sf)
+    q = d.select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    r = knn_topk(q, d, 5, exclude_self=True, min_score=DEFAULT.min_score)
+    return r.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("normalize_vectors", """
+SELECT vec_id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm,
+ round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x /
+   sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))))), 6) AS unit_sum
+FROM embeddings""")
+def normalize_vectors(spark, sf):
+    e = T.table(spark, sf, "embeddings")
+    u = normalize("embedding")
+    return e.select("vec_id", F.round(l2_norm("embedding"), 6).alias("norm"),
+                    F.round(F.aggregate(u, F.lit(0.0), lambda a, x: a + x), 6).alias("unit_sum"))
+
+
+# --- enhancer ------------------------------------------------------------------------
+def _best_hits(spark, sf, k=3):
+    qv = _query_vectors(spark, sf)
+    hits = knn_topk(qv, _docs(spark, sf), k, min_score=DEFAULT.min_score)
+    return (hits.filter(F.col("rank") == 1)
+            .join(_docs(spark, sf).select("doc_id", F.col("type").alias("hit_type"),
+                                          F.col("product_id").alias("hit_product")), "doc_id")
+            .select("query_id", F.col("doc_id").alias("hit_doc_id"), F.col("score").alias("confidence"),
+                    "hit_type", "hit_product"))
+
+
+_BEST_SQL = f"""
+SELECT query_id, doc_id AS hit_doc_id, score AS confidence, type AS hit_type, product_id AS hit_product FROM (
+ SELECT q.query_id, d.doc_id, d.type, d.product_id, {_cos_sql('e.embedding', 'd.embedding')} AS score,
+  row_number() OVER (PARTITION BY q.query_id ORDER BY {_cos_sql('e.embedding', 'd.embedding')} DESC, d.doc_id) AS rn
+ FROM queries q JOIN embeddings e ON e.vec_id = q.query_id JOIN kb_docs d ON TRUE) WHERE rn = 1 AND score >= 0.3"""
+
+
+def enhance(spark, sf) -> DataFrame:
+    """F13 + J9 + J10 + F14 + P14 for every query at once."""
+    s = DEFAULT
+    q = T.queries(spark, sf)
+    f = FT.query_features("query")
+    q = q.select("query_id", "query", "country", f.alias("f"))
+    kb = T.knowledge(spark, sf)
+    ins = learn_prices(T.price_points(spark, sf)).select(
+        F.col("product_id").alias("hit_product"), "current_price", "price_trend", "best_time_to_buy")
+    j = (q.join(_best_hits(spark, sf), "query_id", "left")
+         .join(kb.withColumnRenamed("product_id", "hit_product"), "hit_product", "left")
+         .join(ins, "hit_product", "left"))
+    gate = (F.coalesce(F.col("confidence"), F.lit(0.0)) > s.enhance_gate) & (F.col("hit_type") == "product_knowledge") \
+        & F.col("product_name").isNotNull()
+    add_storage = F.when(gate & F.col("f.storage").isNull() & (F.size("storage_options") > 0),
+                         F.element_at("storage_options", 1))
+    add_brand = F.when(gate & F.col("f.brand").isNull(), F.col("brand"))
+    lq = F.lower("query")
+    india = F.upper("country") == "IN"
+    suffix = (F.when(india & (lq.contains("iphone") | lq.contains("apple")), " India official")
+              .when(india & (lq.contains("samsung") | lq.contains("oneplus")), " India variant").otherwise(""))
+    return j.select(
+        "query_id", "query", "country", F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
+        "hit_doc_id", "hit_type",
+        F.concat(F.concat_ws(" ", "query", add_storage, add_brand), suffix).alias("enhanced_query"),
+        F.coalesce(F.col("f.storage"), add_storage).alias("storage"),
+        F.coalesce(F.col("f.brand"), add_brand).alias("brand"),
+        F.when(gate, F.slice("alternatives", 1, 3)).otherwise(F.array().cast("array<string>")).alias("alternatives"),
+        F.when(gate, F.col("price_min")).alias("exp_min"), F.when(gate, F.col("price_max")).alias("exp_max"),
+        F.when(gate, F.col("market_insights")).alias("market_insights"),
+        F.when(gate, F.col("current_price")).alias("current_price"),
+        F.when(gate, F.col("price_trend")).alias("price_trend"),
+        F.when(gate, F.col("best_time_to_buy")).alias("best_time_to_buy"),
+        F.col("f").alias("features"))
+
+
+_ENHANCE_SQL = f"""
+SELECT q.query_id, q.query, q.country, coalesce(b.confidence, 0.0) AS confidence, b.hit_doc_id, b.hit_type,
+ q.query || CASE WHEN g.gate AND q.storage IS NULL AND len(k.storage_options) > 0 THEN ' ' || k.storage_options[1] ELSE '' END
+  || CASE WHEN g.gate AND q.brand IS NULL THEN ' ' || k.brand ELSE '' END
+  || CASE WHEN upper(q.country) = 'IN' AND (contains(lower(q.query), 'iphone') OR contains(lower(q.query), 'apple'))
+          THEN ' India official' WHEN upper(q.country) = 'IN' AND (contains(lower(q.query), 'samsung')
+          OR contains(lower(q.query), 'oneplus')) THEN ' India variant' ELSE '' END AS enhanced_query,
+ coalesce(q.storage, CASE WHEN g.gate AND len(k.storage_options) > 0 THEN k.storage_options[1] END) AS storage,
+ coalesce(q.brand, CASE WHEN g.gate THEN k.brand END) AS brand,
+ CASE WHEN g.gate THEN k.alternatives[1:3] ELSE [] END AS alternatives,
+ CASE WHEN g.gate THEN k.price_min END AS exp_min, CASE WHEN g.gate THEN k.price_max END AS exp_max,
+ CASE WHEN g.gate THEN k.market_insights END AS market_insights,
+ CASE WHEN g.gate THEN i.current_price END AS current_price, CASE WHEN g.gate THEN i.price_trend END AS price_trend,
+ CASE WHEN g.gate THEN 'Monitor for trends' END AS best_time_to_buy
+FROM (SELECT query_id, query, country, {_query_features_sql('query')} FROM queries) q
+LEFT JOIN ({_BEST_SQL}) b ON q.query_id = b.query_id
+LEFT JOIN knowledge k ON b.hit_product = k.product_id
+LEFT JOIN ({_TREND_SQL}) i ON b.hit_product = i.product_id
+CROSS JOIN LATERAL (SELECT coalesce(b.confidence, 0.0) > 0.5 AND b.hit_type = 'product_knowledge'
+                    AND k.product_name IS NOT NULL AS gate) g"""
+
+
+@query("enhance_queries", f"""
+SELECT query_id, round(confidence, 6) AS confidence, hit_doc_id, hit_type, enhanced_query, storage, brand,
+ array_to_string(alternatives, '|') AS alternatives FROM ({_ENHANCE_SQL})""",
+       ("queries", "kb_docs", "knowledge", "price_points"))
+def enhance_queries(spark, sf):
+    e = enhance(spark, sf)
+    return e.select("query_id", F.round("confidence", 6).alias("confidence"), "hit_doc_id", "hit_type",
+                    "enhanced_query", "storage", "brand", F.array_join("alternatives", "|").alias("alternatives"))
+
+
+@query("price_context", f"""
+SELECT query_id, round(exp_min, 6) AS exp_min, round(exp_max, 6) AS exp_max, market_insights,
+ round(current_price, 6) AS current_price, price_trend, best_time_to_buy FROM ({_ENHANCE_SQL})""",
+       ("queries", "kb_docs", "knowledge", "price_points"))
+def price_context(spark, sf):
+    e = enhance(spark, sf)
+    return e.select("query_id", F.round("exp_min", 6).alias("exp_min"), F.round("exp_max", 6).alias("exp_max"),
+                    "market_insights", F.round("current_price", 6).alias("current_price"), "price_trend",
+                    "best_time_to_buy")
+
+
+@query("alternatives", f"""
+SELECT q.query_id, b.hit_doc_id,
+ CASE WHEN b.hit_type = 'product_knowledge' THEN array_to_string(k.alternatives, '|') ELSE '' END AS alternatives
+FROM queries q LEFT JOIN ({_BEST_SQL.replace('rn = 1', 'rn <= 1')}) b ON q.query_id = b.query_id
+LEFT JOIN knowledge k ON b.hit_product = k.product_id""", ("queries", "kb_docs", "knowledge", "price_points"))
+def alternatives(spark, sf):
+    """Alternatives of the single best hit, only when it is a product document."""
+    kb = T.knowledge(spark, sf).select(F.col("product_id").alias("hit_product"), "alternatives")
+    h = _best_hits(spark, sf, k=1).join(kb, "hit_product", "left")
+    q = T.queries(spark, sf).select("query_id")
+    return q.join(h, "query_id", "left").select(
+        "query_id", "hit_doc_id",
+        F.when(F.col("hit_type") == "product_knowledge", F.array_join("alternatives", "|"))
+         .otherwise(F.lit("")).alias("alternatives"))
+
+
+@query("alternative_bands", f"""
+WITH alts AS (SELECT e.query_id, u.pos, u.alt FROM ({_ENHANCE_SQL}) e,
+   LATERAL (SELECT unnest(generate_series(1, len(e.alternatives))) AS pos, unnest(e.alternatives) AS alt) u),
+ named AS (SELECT DISTINCT p_name || ' ' || p_type AS alt, min(p_partkey) OVER (PARTITION BY p_name || ' ' || p_type) AS alt_id
+           FROM part),
+ hit AS (SELECT * FROM (SELECT n.alt, d.doc_id, d.type, d.product_id, {_cos_sql('v.embedding', 'd.embedding')} AS score,
+   row_number() OVER (PARTITION BY n.alt ORDER BY {_cos_sql('v.embedding', 'd.embedding')} DESC, d.doc_id) AS rn
+   FROM named n JOIN embeddings v ON v.vec_id = n.alt_id JOIN kb_docs d ON TRUE) WHERE rn = 1 AND score >= 0.3)
+SELECT a.query_id, a.pos, CASE WHEN h.alt IS NULL THEN '• ' || a.alt
+  ELSE '• ' || a.alt || ' ($' || CAST(k.price_min AS VARCHAR) || ' - $' || CAST(k.price_max AS VARCHAR) || ')' END AS line
+FROM alts a LEFT JOIN hit h ON a.alt = h.alt LEFT JOIN knowledge k ON h.product_id = k.product_id
+WHERE h.alt IS NULL OR h.type = 'product_knowledge'""", ("queries", "kb_docs", "knowledge", "price_points"))
+def alternative_bands(spark, sf):
+    """For each of the first three alternatives, its best hit's price band (or the bare name)."""
+    e = enhance(spark, sf).select("query_id", F.posexplode("alternatives").alias("pos0", "alt"))
+    p = T.table(spark, sf, "part")
+    named = (p.groupBy(F.concat_ws(" ", "p_name", "p_type").alias("alt"))
+             .agg(F.min("p_partkey").alias("alt_id")))
+    vec = T.table(spark, sf, "embeddings").select(F.col("vec_id").alias("alt_id"), F.col("embedding").alias("qvec"))
+    av = e.select("alt").distinct().join(named, "alt").join(vec, "alt_id")
+    hits = knn_topk(av.select(F.col("alt_id").alias("query_id"), "qvec"), _docs(spark, sf), 1,
+                    min_score=DEFAULT.min_score)
+    kb = T.knowledge(spark, sf).select(F.col("product_id").alias("hp"), "price_min", "price_max")
+    docs = _docs(spark, sf).select("doc_id", "type", F.col("product_id").alias("hp"))
+    h = (hits.join(docs, "doc_id").join(kb, "hp", "left")
+         .join(named.withColumnRenamed("alt_id", "query_id"), "query_id")
+         .select("alt", "type", "price_min", "price_max"))
+    j = e.join(h, "alt", "left").filter(F.col("type").isNull() | (F.col("type") == "product_knowledge"))
+    band = F.concat(F.lit("• "), F.col("alt"), F.lit(" ($"), F.col("price_min").cast("string"), F.lit(" - $"),
+                    F.col("price_max").cast("string"), F.lit(")"))
+    line = F.when(F.col("type").isNull(), F.concat(F.lit("• "), F.col("alt"))).otherwise(band)
+    return j.select("query_id", (F.col("pos0") + 1).cast("bigint").alias("pos"), line.alias("line"))
+
+
+@query("query_context", f"""
+SELECT query_id,
+ (CASE WHEN storage IS NULL THEN 0 ELSE 1 END) + (CASE WHEN storage_gb IS NULL THEN 0 ELSE 1 END)
+ + (CASE WHEN memory IS NULL THEN 0 ELSE 1 END) + (CASE WHEN memory_gb IS NULL THEN 0 ELSE 1 END)
+ + (CASE WHEN color IS NULL THEN 0 ELSE 1 END) + (CASE WHEN brand IS NULL THEN 0 ELSE 1 END)
+ + (CASE WHEN model IS NULL THEN 0 ELSE 1 END) AS feature_count,
+ hit_doc_id IS NOT NULL AS has_knowledge_match, round(confidence, 6) AS knowledge_confidence
+FROM (SELECT q.*, b.hit_doc_id, b.confidence FROM (SELECT query_id, {_query_features_sql('query')} FROM queries) q
+      LEFT JOIN ({_BEST_SQL}) b ON q.query_id = b.query_id)""", ("queries", "kb_docs"))
+def query_context(spark, sf):
+    """A10: feature count, knowledge match flag and confidence per query."""
+    q = T.queries(spark, sf).select("query_id", FT.query_features("query").alias("f"))
+    h = _best_hits(spark, sf, k=1)
+    return q.join(h, "query_id", "left").select(
+        "query_id", FT.feature_count(F.col("f")).alias("feature_count"),
+        F.col("hit_doc_id").isNotNull().alias("has_knowledge_match"),
+        F.round("confidence", 6).alias("knowledge_confidence"))

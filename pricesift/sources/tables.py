@@ -134,7 +134,27 @@ def knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("p_retailprice").alias("retail_price"),
                     "price_min", "price_max", "price_avg",
                     F.concat(F.lit("Typical "), F.lower("p_type"), F.lit(" pricing near $"),
-                             F.format_number("p_retailprice", 0)).alias("market_insights")))
+                             F.floor("p_retailprice").cast("string")).alias("market_insights"),
+                    alternatives_of_parts(p).alias("alternatives")))
+
+
+def alternatives_of_parts(p: DataFrame) -> Column:
+    """Three nearest parts by retail price within the same type (nearest first, then key).
+
+    The three nearest in a sorted list are among the three before and after, so
+    lag/lead 1..3 over the type's price order are the only candidates.
+    """
+    from pyspark.sql import Window
+    w = Window.partitionBy("p_type").orderBy("p_retailprice", "p_partkey")
+    name = F.concat_ws(" ", "p_name", "p_type")
+    cands = []
+    for k in (1, 2, 3):
+        for fn in (F.lag, F.lead):
+            cands.append(F.when(fn("p_partkey", k).over(w).isNotNull(), F.struct(
+                F.abs(fn("p_retailprice", k).over(w) - F.col("p_retailprice")).alias("d"),
+                fn("p_partkey", k).over(w).alias("k"), fn(name, k).over(w).alias("n"))))
+    best = F.slice(F.array_sort(F.array_compact(F.array(*cands))), 1, 3)
+    return F.transform(best, lambda x: x["n"])
 
 
 def kb_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,6 +209,22 @@ SELECT l.l_partkey AS product_id, p.p_brand || ' ' || p.p_name AS product_name,
 FROM lineitem l JOIN part p ON l.l_partkey=p.p_partkey JOIN supplier s ON l.l_suppkey=s.s_suppkey
 """
 
+KNOWLEDGE_SQL = """
+SELECT p.p_partkey AS product_id, p.p_name || ' ' || p.p_type AS product_name, p.p_type AS category,
+ p.p_brand AS brand, [CAST(p.p_size * 8 AS VARCHAR) || 'GB', CAST(p.p_size * 16 AS VARCHAR) || 'GB'] AS storage_options,
+ p.p_retailprice AS retail_price, r.price_min, r.price_max, r.price_avg,
+ 'Typical ' || lower(p.p_type) || ' pricing near $' || CAST(CAST(floor(p.p_retailprice) AS BIGINT) AS VARCHAR) AS market_insights,
+ a.alternatives
+FROM part p
+LEFT JOIN (SELECT product_id, min(price) AS price_min, max(price) AS price_max, avg(price) AS price_avg
+           FROM price_points GROUP BY product_id) r ON p.p_partkey = r.product_id
+LEFT JOIN (SELECT pk, list(n ORDER BY rn) AS alternatives FROM (
+   SELECT a.p_partkey AS pk, b.p_name || ' ' || b.p_type AS n, row_number() OVER (PARTITION BY a.p_partkey
+     ORDER BY abs(b.p_retailprice - a.p_retailprice), b.p_partkey) AS rn
+   FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_partkey <> b.p_partkey) WHERE rn <= 3 GROUP BY pk) a
+ ON p.p_partkey = a.pk
+"""
+
 KB_DOCS_SQL = """
 SELECT vec_id AS doc_id, vec_id AS product_id,
  CASE WHEN label = 0 THEN 'price_insight' ELSE 'product_knowledge' END AS type, embedding
@@ -201,11 +237,12 @@ VIEW_SQL = {
     "offers_q": OFFERS_Q_SQL,
     "price_points": PRICE_POINTS_SQL,
     "kb_docs": KB_DOCS_SQL,
+    "knowledge": KNOWLEDGE_SQL,
     "registry": "SELECT * FROM " + registry_sql(),
     "fx_rates": "SELECT * FROM " + fx_sql(),
 }
 # Dependencies between the SQL views (a view must come after what it reads).
-VIEW_DEPS = {"offers_q": ["offers", "queries"]}
+VIEW_DEPS = {"offers_q": ["offers", "queries"], "knowledge": ["price_points"]}
 
 
 def with_views(sql: str, *names: str) -> str:

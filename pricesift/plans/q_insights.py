@@ -1 +1,73 @@
-"""Queries."""
+"""Insight texts (F21, F22) and the text report (F23) for every query."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import insights as I
+from ..operators.rank import offer_output, top_n_per_query
+from ..sources import tables as T
+from .catalog import query
+from .q_pricing import scored
+from .q_relational import results
+from .q_vectors import alternative_bands, enhance
+
+
+def _context(spark, sf):
+    return enhance(spark, sf).select("query_id", "exp_min", "exp_max")
+
+
+@query("insight_price")
+def insight_price(spark, sf):
+    return I.price_insight(results(spark, sf), _context(spark, sf))
+
+
+@query("insight_comparison")
+def insight_comparison(spark, sf):
+    return I.comparison_insight(results(spark, sf))
+
+
+@query("insight_recommendation")
+def insight_recommendation(spark, sf):
+    return I.recommendation_insight(enhance(spark, sf), alternative_bands(spark, sf))
+
+
+@query("insight_market")
+def insight_market(spark, sf):
+    return I.market_insight(enhance(spark, sf))
+
+
+@query("insights_all")
+def insights_all(spark, sf):
+    """Long table insights(query_id, insight_type, title, content, confidence), in the reference's order."""
+    e = enhance(spark, sf)
+    r = results(spark, sf)
+    parts = [I.price_insight(r, e.select("query_id", "exp_min", "exp_max")), I.comparison_insight(r),
+             I.recommendation_insight(e, alternative_bands(spark, sf)), I.market_insight(e)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("report_text")
+def report_text(spark, sf):
+    out = offer_output(top_n_per_query(scored(spark, sf)))
+    return I.report_text(out, T.queries(spark, sf))
+
+
+@query("trend_wording", """
+SELECT product_id, CASE price_trend WHEN 'decreasing' THEN '📉 Prices are currently trending down - good time to buy!'
+ WHEN 'increasing' THEN '📈 Prices are trending up - consider buying soon'
+ ELSE '📊 Prices are stable in the current market' END AS wording FROM (
+ SELECT product_id, CASE WHEN count(*) < 3 THEN 'stable'
+  WHEN max(CASE WHEN rn = 1 THEN price END) > max(CASE WHEN rn = 3 THEN price END) THEN 'increasing'
+  WHEN max(CASE WHEN rn = 1 THEN price END) < max(CASE WHEN rn = 3 THEN price END) THEN 'decreasing'
+  ELSE 'stable' END AS price_trend
+ FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY observed_at DESC, seq DESC, seq2 DESC) AS rn
+       FROM price_points) WHERE rn <= 30 GROUP BY product_id)""", ("price_points",))
+def trend_wording(spark, sf):
+    """F22 over the learned trend of every product."""
+    from ..operators.history import last_points, trend_of
+    t = trend_of(last_points(T.price_points(spark, sf)))
+    return t.select("product_id", I.trend_line(F.col("price_trend")).alias("wording"))

@@ -1 +1,53 @@
-"""Queries."""
+"""Price learning in batch and as a stream (M1, M2, M3)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators.history import history_arrays, last_points, learn_prices
+from ..sources import tables as T
+from ..streaming.learning import run_learning
+from .catalog import query
+
+_EV_TREND = """
+SELECT product_id, n_points, current_price, last_updated, oldest_kept, product_name,
+ CASE WHEN n_points < 3 THEN 'stable' WHEN current_price > third_price THEN 'increasing'
+      WHEN current_price < third_price THEN 'decreasing' ELSE 'stable' END AS price_trend,
+ 'Monitor for trends' AS best_time_to_buy, CAST(NULL AS DOUBLE) AS price_prediction,
+ 'Insufficient data for analysis' AS market_analysis
+FROM (SELECT product_id, count(*) AS n_points, max(CASE WHEN rn = 1 THEN price END) AS current_price,
+  max(CASE WHEN rn = 3 THEN price END) AS third_price, max(CASE WHEN rn = 1 THEN observed_at END) AS last_updated,
+  min(observed_at) AS oldest_kept, max(CASE WHEN rn = 1 THEN product_name END) AS product_name
+  FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id
+        ORDER BY observed_at DESC, seq DESC, seq2 DESC) AS rn FROM event_points
+        WHERE product_name <> '' AND price IS NOT NULL) WHERE rn <= 30) GROUP BY product_id)"""
+
+
+@query("price_learning_events", _EV_TREND, ("event_points",))
+def price_learning_events(spark, sf):
+    """M1 batch over the event stream table (the reference of the streaming run)."""
+    return learn_prices(T.event_points(spark, sf))
+
+
+@query("price_learning_stream")
+def price_learning_stream(spark, sf):
+    """M1 as Structured Streaming with per-product state; equals price_learning_events."""
+    return run_learning(spark, T.events_stream(spark, sf))
+
+
+@query("kb_docs_current", """
+SELECT product_id, observed_at AS created_at, 'Price insight for ' || product_name || ': current price ' ||
+ CAST(price AS VARCHAR) AS content FROM (SELECT *, row_number() OVER (PARTITION BY product_id
+ ORDER BY observed_at DESC, seq DESC, seq2 DESC) AS rn FROM price_points) WHERE rn = 1""", ("price_points",))
+def kb_docs_current(spark, sf):
+    """M3: one current insight document per product (the newest point), not one per update."""
+    last = last_points(T.price_points(spark, sf), keep=1)
+    return last.select("product_id", F.col("observed_at").alias("created_at"),
+                       F.concat(F.lit("Price insight for "), F.col("product_name"), F.lit(": current price "),
+                                F.col("price").cast("string")).alias("content"))
+
+
+@query("history_export")
+def history_export(spark, sf):
+    """Nested export of the kept history: ARRAY<STRUCT<date, price, source>> per product."""
+    return history_arrays(last_points(T.price_points(spark, sf)))

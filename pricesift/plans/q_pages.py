@@ -1 +1,54 @@
-"""Queries."""
+"""Page extraction queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.pricing import absolute_link
+from ..sources import pages as PG
+from ..sources import tables as T
+from .catalog import query
+
+_HOST = "regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)"
+
+
+@query("page_fields", f"""
+SELECT page_id, {_HOST} AS host, regexp_extract(html, '<title>(.*?)</title>', 1) AS title,
+ regexp_extract(html, '<h1>(.*?)</h1>', 1) AS h1,
+ CAST(len(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS BIGINT) AS n_links,
+ CAST(len(regexp_extract_all(html, '(class="ad")', 1)) AS BIGINT) AS n_ads FROM pages""")
+def page_fields(spark, sf):
+    return PG.page_fields(T.table(spark, sf, "pages"))
+
+
+@query("field_fallback", """
+SELECT page_id, coalesce(nullif(trim(regexp_extract(html, '<title>(.*?)</title>', 1)), ''),
+ nullif(trim(regexp_extract(html, '<h1>(.*?)</h1>', 1)), ''), nullif(trim(regexp_extract(html, '<p>(.*?)</p>', 1)), ''))
+ AS name FROM pages""")
+def field_fallback(spark, sf):
+    """P20 in column form: first non-empty of title, h1, first paragraph."""
+    h = F.col("html")
+
+    def f(p):
+        return F.nullif(F.trim(F.regexp_extract(h, p, 1)), F.lit(""))
+    return T.table(spark, sf, "pages").select(
+        "page_id", F.coalesce(f("<title>(.*?)</title>"), f("<h1>(.*?)</h1>"), f("<p>(.*?)</p>")).alias("name"))
+
+
+@query("absolute_links", f"""
+SELECT page_id, pos, href, CASE WHEN starts_with(href, '/') THEN 'https://' || host || href
+  WHEN starts_with(href, 'http') THEN href END AS link
+FROM (SELECT page_id, {_HOST} AS host, unnest(generate_series(1, len(l))) AS pos, unnest(l) AS href
+      FROM (SELECT page_id, url, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l FROM pages))""")
+def absolute_links(spark, sf):
+    p = T.table(spark, sf, "pages").select(
+        "page_id", PG.page_host("url").alias("host"),
+        F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("pos0", "href"))
+    return p.select("page_id", (F.col("pos0") + 1).cast("bigint").alias("pos"), "href",
+                    absolute_link("href", "host").alias("link"))
+
+
+@query("page_cards")
+def page_cards(spark, sf):
+    """S2 over every page; pages of hosts without a shop profile yield no cards."""
+    return PG.page_cards(T.table(spark, sf, "pages"))

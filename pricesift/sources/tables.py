@@ -108,7 +108,18 @@ def price_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stream form of price points: product = user_id, price = value."""
-    e = table(spark, sf_dir, "events")
+    return points_from_events(table(spark, sf_dir, "events"))
+
+
+def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a file stream (one file per trigger)."""
+    schema = table(spark, sf_dir, "events").schema
+    raw = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+           .parquet(f"{sf_dir}/events*.parquet"))
+    return points_from_events(raw)
+
+
+def points_from_events(e: DataFrame) -> DataFrame:
     return e.select(F.col("user_id").alias("product_id"),
                     F.concat(F.lit("product "), F.col("user_id").cast("string")).alias("product_name"),
                     F.col("ts").cast("timestamp").alias("observed_at"),
@@ -209,6 +220,11 @@ SELECT l.l_partkey AS product_id, p.p_brand || ' ' || p.p_name AS product_name,
 FROM lineitem l JOIN part p ON l.l_partkey=p.p_partkey JOIN supplier s ON l.l_suppkey=s.s_suppkey
 """
 
+EVENT_POINTS_SQL = """
+SELECT user_id AS product_id, 'product ' || CAST(user_id AS VARCHAR) AS product_name, ts AS observed_at,
+ event_id AS seq, CAST(0 AS BIGINT) AS seq2, value AS price, event_type AS source FROM events
+"""
+
 KNOWLEDGE_SQL = """
 SELECT p.p_partkey AS product_id, p.p_name || ' ' || p.p_type AS product_name, p.p_type AS category,
  p.p_brand AS brand, [CAST(p.p_size * 8 AS VARCHAR) || 'GB', CAST(p.p_size * 16 AS VARCHAR) || 'GB'] AS storage_options,
@@ -238,6 +254,7 @@ VIEW_SQL = {
     "price_points": PRICE_POINTS_SQL,
     "kb_docs": KB_DOCS_SQL,
     "knowledge": KNOWLEDGE_SQL,
+    "event_points": EVENT_POINTS_SQL,
     "registry": "SELECT * FROM " + registry_sql(),
     "fx_rates": "SELECT * FROM " + fx_sql(),
 }

@@ -44,7 +44,11 @@ def _to_double(s: Column) -> Column:
 
 def clean_price_us(text) -> Column:
     """Default rule; one comma with <=2 digits after it is a decimal comma."""
-    s = price_digits(text)
+    return us_rule(price_digits(text))
+
+
+def us_rule(s: Column) -> Column:
+    """P1 on text already reduced to digits, dots and commas (stage it as a column)."""
     no_comma = F.replace(s, F.lit(","), F.lit(""))
     after = F.substring_index(s, ",", -1)
     out = (F.when(_both(s) & _comma_last(s), _european(s))

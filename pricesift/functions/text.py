@@ -61,6 +61,15 @@ def levenshtein_similarity(a, b) -> Column:
         .otherwise(1.0 - F.levenshtein(ca, cb) / longest)
 
 
+def with_levenshtein_similarity(df, a: str, b: str, out: str = "similarity"):
+    """Same as ``levenshtein_similarity`` with both cleaned texts staged as columns."""
+    d = df.withColumn("_ca", clean_text(a)).withColumn("_cb", clean_text(b))
+    la, lb = F.length("_ca"), F.length("_cb")
+    sim = F.when((F.coalesce(la, F.lit(0)) == 0) | (F.coalesce(lb, F.lit(0)) == 0), F.lit(0.0)) \
+        .otherwise(1.0 - F.levenshtein("_ca", "_cb") / F.greatest(la, lb))
+    return d.withColumn(out, sim).drop("_ca", "_cb")
+
+
 def slug(x) -> Column:
     """F16: lower(replace(x, ' ', '_'))."""
     return F.lower(F.replace(_c(x), F.lit(" "), F.lit("_")))

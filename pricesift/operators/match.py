@@ -21,6 +21,7 @@ Near-duplicate grouping at scale
 
 from __future__ import annotations
 
+import bisect
 import os
 
 import pandas as pd
@@ -133,28 +134,31 @@ def duplicate_edges(offers: DataFrame, settings: Settings = DEFAULT) -> DataFram
 def connected_components(edges: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """(node, label) for every node on an edge; label = smallest node of its component.
 
-    Nodes are any orderable column type (here a struct). Each round takes the
-    minimum over neighbours, then jumps to the label's label; it stops when no
-    label changes. Lineage is cut with ``checkpoint()`` (reliable storage).
+    Nodes are any orderable column type (here a small struct). Each round takes
+    the minimum label over neighbours, then jumps to the label's label; it stops
+    when no label changes. The edge table is hash-partitioned by source once and
+    labels stay partitioned by node, so a round shuffles only the neighbour
+    minima and the jump side. Lineage is cut with reliable ``checkpoint()`` into
+    spark.checkpoint.dir every round, so a lost executor recomputes one round.
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
-    both = edges.select(F.col("src"), F.col("dst")).unionByName(
-        edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    both = both.checkpoint()
-    labels = both.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    both = (edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+            .repartition(n, "src").checkpoint())
+    labels = (both.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node"))
+              .repartition(n, "node"))
     for i in range(settings.cc_max_rounds):
         nb = (both.join(labels.withColumnRenamed("node", "src"), "src")
-              .groupBy("dst").agg(F.min("label").alias("nl")))
-        step = (labels.join(nb.withColumnRenamed("dst", "node"), "node", "left")
-                .select("node", F.least("label", F.coalesce("nl", "label")).alias("label")))
-        jump = step.alias("x").join(step.alias("y"), F.col("x.label") == F.col("y.node"), "left").select(
-            F.col("x.node").alias("node"),
-            F.least(F.col("x.label"), F.coalesce(F.col("y.label"), F.col("x.label"))).alias("label"))
-        jump = jump.checkpoint()
-        changed = (jump.join(labels.withColumnRenamed("label", "old"), "node")
-                   .filter(F.col("label") != F.col("old")).limit(1).count())
-        labels = jump
+              .groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("nl")))
+        step = labels.join(nb, "node", "left").select(
+            "node", F.col("label").alias("old"), F.least("label", F.coalesce("nl", "label")).alias("label"))
+        y = step.select(F.col("node").alias("y_node"), F.col("label").alias("y_label"))
+        jump = (step.join(y, step.label == y.y_node, "left")
+                .select("node", "old", F.least("label", F.coalesce("y_label", "label")).alias("label"))
+                .repartition(n, "node").checkpoint())
+        changed = jump.filter(F.col("label") != F.col("old")).limit(1).count()
+        labels = jump.drop("old")
         if os.environ.get("PRICESIFT_DEBUG"):
             print(f"components round {i}: changed={changed}", flush=True)
         if changed == 0:
@@ -170,32 +174,58 @@ _GREEDY_OUT = T.StructType([
 
 
 def _greedy_fn(settings: Settings):
+    """First-fit replay of one component, in arrival order.
+
+    A row joins the earliest group holding a member with a similar name and a
+    close price. Groups are indexed by name -> sorted prices, so a row checks
+    only groups that contain a similar name, and only the nearest price on each
+    side (price similarity falls monotonically away from the row's price).
+    """
     thr, pv, cap = settings.duplicate_threshold, settings.price_variance_threshold, settings.greedy_max_component
 
+    def close(a: float, b: float) -> bool:
+        return 1.0 - abs(a - b) / max(a, b) > 1.0 - pv
+
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([c for c in pdf.columns if c.startswith("_arr")], kind="stable")
         if len(pdf) > cap:   # too large to replay in one task: keep the component as one group
             return pd.DataFrame({"offer_key": pdf["offer_key"], "group_no": 0})
-        cache: dict[tuple[str, str], float] = {}
-        groups: list[list[tuple[str, float]]] = []
+        sim_cache: dict[tuple[str, str], bool] = {}
+        seen_names: list[str] = []
+        name_groups: dict[str, list[int]] = {}          # name -> ascending group ids holding it
+        prices: dict[tuple[int, str], list[float]] = {}  # (group, name) -> sorted prices
+        n_groups = 0
         out = []
         for key, name, price in zip(pdf["offer_key"], pdf["product_name"], pdf["norm_price"]):
+            similar = []
+            for other in seen_names:
+                pair = (name, other) if name <= other else (other, name)
+                if pair not in sim_cache:
+                    sim_cache[pair] = fuzz.name_similarity(name, other) > thr
+                if sim_cache[pair]:
+                    similar.append(other)
+            cands = sorted({g for nm in similar for g in name_groups[nm]})
             placed = -1
-            for gi, members in enumerate(groups):
-                for mname, mprice in members:
-                    pair = (name, mname)
-                    if pair not in cache:
-                        cache[pair] = fuzz.name_similarity(name, mname)
-                    psim = 1.0 - abs(price - mprice) / max(price, mprice)
-                    if cache[pair] > thr and psim > 1.0 - pv:
-                        placed = gi
+            for g in cands:
+                for nm in similar:
+                    ps = prices.get((g, nm))
+                    if not ps:
+                        continue
+                    i = bisect.bisect_left(ps, price)
+                    if (i < len(ps) and close(price, ps[i])) or (i > 0 and close(price, ps[i - 1])):
+                        placed = g
                         break
                 if placed >= 0:
                     break
             if placed < 0:
-                groups.append([])
-                placed = len(groups) - 1
-            groups[placed].append((name, price))
+                placed = n_groups
+                n_groups += 1
+            if name not in name_groups:
+                name_groups[name] = []
+                seen_names.append(name)
+            if not name_groups[name] or name_groups[name][-1] != placed:
+                bisect.insort(name_groups[name], placed)
+            bisect.insort(prices.setdefault((placed, name), []), price)
             out.append((key, placed))
         return pd.DataFrame(out, columns=["offer_key", "group_no"])
     return fn
@@ -254,3 +284,75 @@ def dedup_groups(offers: DataFrame, arrival: list[str], mode: str = "greedy",
     return (alone.unionByName(replayed)
             .withColumn("dup_group", F.struct(F.col("component"), F.col("group_no")))
             .drop("seg", "_linked", "_size", "group_no"))
+
+
+# --- similar-product groups (J6) ----------------------------------------------------------
+_LEADER_OUT = T.StructType([T.StructField("item_key", T.StringType()), T.StructField("leader_key", T.StringType())])
+
+
+def _leader_fn(settings: Settings):
+    thr = settings.group_threshold
+
+    def fn(pdf: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty:
+            return pd.DataFrame({"item_key": pd.Series([], dtype=object), "leader_key": pd.Series([], dtype=object)})
+        pdf = pdf.sort_values([c for c in pdf.columns if c.startswith("_arr")], kind="stable")
+        keys, names = pdf["item_key"].tolist(), pdf["name"].tolist()
+        lookup = {(a, b): s for a, b, s in zip(edges["a"], edges["b"], edges["s"])} if not edges.empty else {}
+        used = [False] * len(keys)
+        out = []
+        for i in range(len(keys)):
+            if used[i]:
+                continue
+            used[i] = True
+            out.append((keys[i], keys[i]))
+            for j in range(i + 1, len(keys)):
+                if used[j]:
+                    continue
+                pair = (names[i], names[j]) if names[i] <= names[j] else (names[j], names[i])
+                s = lookup.get(pair, 0.0)
+                if s >= thr:
+                    used[j] = True
+                    out.append((keys[j], keys[i]))
+        return pd.DataFrame(out, columns=["item_key", "leader_key"])
+    return fn
+
+
+def group_similar(items: DataFrame, key: str, name: str, arrival: list[str],
+                  settings: Settings = DEFAULT) -> DataFrame:
+    """First-fit groups whose members score >= 0.8 (F10, no query) against the group leader.
+
+    Name pairs are scored once on each key's name vocabulary. F10 >= 0.8 needs a
+    brand score above 0 (equal or unknown brands) and a token-sort ratio of at
+    least 34, which gives a lossless length bound; both prune pairs before the UDF.
+    Leader groups only join rows linked by such pairs, so the ordered replay runs
+    per connected component of the name graph.
+    """
+    v = (items.select(key, name).distinct()
+         .withColumn("_brand", product_features(F.col(name))["brand"])
+         .withColumn("_len", F.length(token_sort_key(F.lower(F.col(name))))))
+    a = v.select(key, F.col(name).alias("a"), F.col("_brand").alias("ba"), F.col("_len").alias("la"))
+    b = v.select(key, F.col(name).alias("b"), F.col("_brand").alias("bb"), F.col("_len").alias("lb"))
+    la, lb = F.col("la"), F.col("lb")
+    p = (a.join(b, key).filter(F.col("a") <= F.col("b"))
+         .filter(F.col("ba").isNull() | F.col("bb").isNull() | (F.col("ba") == F.col("bb")))
+         .filter((F.least(la, lb) * 2 >= (la + lb) * 0.33) | ((la == 0) & (lb == 0))))
+    pairs = p.select("a", "b").distinct().withColumn(
+        "s", feature_similarity(F.col("a"), F.col("b"), F.lit(""), settings))
+    good = p.join(pairs, ["a", "b"]).filter(F.col("s") >= settings.group_threshold)
+    comp_edges = good.filter(F.col("a") != F.col("b")).select(
+        F.struct(F.col(key).alias("k"), F.xxhash64("a").alias("h")).alias("src"),
+        F.struct(F.col(key).alias("k"), F.xxhash64("b").alias("h")).alias("dst"))
+    labels = connected_components(comp_edges, settings)
+    node = F.struct(F.col(key).alias("k"), F.xxhash64(F.col(name)).alias("h"))
+    it = (items.withColumn("_node", node)
+          .join(labels.withColumnRenamed("node", "_node"), "_node", "left")
+          .withColumn("component", F.coalesce("label", "_node")).drop("label")
+          .withColumn("item_key", F.to_json(F.struct(key, *arrival))))
+    comp_of_name = it.select(key, F.col(name).alias("a"), "component").distinct()
+    comp_edges_rows = good.join(comp_of_name, [key, "a"]).select("component", "a", "b", "s")
+    arr = [F.col(c).alias(f"_arr{i}") for i, c in enumerate(arrival)]
+    rows = it.select("component", "item_key", F.col(name).alias("name"), *arr)
+    g = (rows.groupBy("component").cogroup(comp_edges_rows.groupBy("component"))
+         .applyInPandas(_leader_fn(settings), _LEADER_OUT))
+    return it.join(g, "item_key").drop("_node", "item_key")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pricing import clean_price_us, pick_currency
+from ..functions.pricing import pick_currency, price_digits, us_rule
 from ..sources.registry import FX_TO_USD
 
 
@@ -31,7 +31,8 @@ def normalize_offers(df: DataFrame, price: str = "price", currency: str = "curre
     r_src = F.try_element_at(m, src)
     r_dst = F.try_element_at(m, tgt)
     known = r_src.isNotNull() & r_dst.isNotNull()
-    return (df.withColumn("amount", clean_price_us(price))
+    # The digit text is staged as a column so the rule's branches reuse it.
+    return (df.withColumn("_pd", price_digits(price)).withColumn("amount", us_rule(F.col("_pd"))).drop("_pd")
             .filter(amount > 0)
             .withColumn("src_currency", pick_currency(price, currency, target))
             .withColumn("norm_price", F.when(src == tgt, amount)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.pricing import clean_price_us
+from ..functions.pricing import clean_price_us, price_digits, us_rule
 from ..settings import DEFAULT, Settings
 from ..sources.registry import RELIABILITY
 from ..sources.tables import ARRIVAL
@@ -23,12 +23,12 @@ def availability_bonus(col: str = "availability") -> Column:
 
 def rank_score(similarity: str = "similarity", source: str = "source", availability: str = "availability",
                rating: str = "rating", reviews: str = "reviews_count", shipping: str = "shipping_cost",
-               price: str = "norm_price", settings: Settings = DEFAULT) -> Column:
+               price: str = "norm_price", settings: Settings = DEFAULT, stage_shipping: bool = False) -> Column:
     """F7, terms added in the reference's order, clamped to [0, 1]."""
     r, n = F.col(rating), F.col(reviews)
     rating_t = F.when(r.isNotNull() & (r != 0), F.least(r / 5.0, F.lit(1.0)) * 0.1).otherwise(0.0)
     reviews_t = F.when(n.isNotNull() & (n != 0), F.least(F.log10(n + 1) / 4.0, F.lit(1.0)) * 0.1).otherwise(0.0)
-    ship = clean_price_us(shipping)
+    ship = F.col("_ship") if stage_shipping else clean_price_us(shipping)
     has_ship = F.coalesce(F.length(F.col(shipping)), F.lit(0)) > 0
     ship_t = F.when(has_ship & ship.isNotNull() & (ship != 0),
                     -F.least(ship / F.col(price) * 0.05, F.lit(0.05)))
@@ -39,6 +39,12 @@ def rank_score(similarity: str = "similarity", source: str = "source", availabil
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
 
 
+def with_rank_score(df: DataFrame, out: str = "score", **kw) -> DataFrame:
+    """Adds the F7 score with the parsed shipping amount staged once per row."""
+    return (df.withColumn("_ship", us_rule(price_digits(F.col(kw.get("shipping", "shipping_cost")))))
+            .withColumn(out, rank_score(stage_shipping=True, **kw)).drop("_ship"))
+
+
 def rank_within_query(df: DataFrame, score: str = "score", price: str = "norm_price",
                       key: str = "query_id") -> DataFrame:
     """1..n by score desc, price asc, then arrival order."""

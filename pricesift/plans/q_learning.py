@@ -51,3 +51,56 @@ def kb_docs_current(spark, sf):
 def history_export(spark, sf):
     """Nested export of the kept history: ARRAY<STRUCT<date, price, source>> per product."""
     return history_arrays(last_points(T.price_points(spark, sf)))
+
+
+# --- knowledge storage (S3-S7) ------------------------------------------------------
+@query("kb_load_products")
+def kb_load_products(spark, sf):
+    """S3: knowledge written as bucketed id -> record JSON maps, then loaded with a fixed schema."""
+    from ..sources import knowledge_io as K
+    path = K.version_dir(spark, "products")
+    K.save_json_maps(K.products_as_records(T.knowledge(spark, sf)), path, buckets=8)
+    return K.load_json_map(spark, path, K.PRODUCT_SCHEMA)
+
+
+@query("kb_load_insights")
+def kb_load_insights(spark, sf):
+    """Price insights with their nested history, written as maps and exploded back to points."""
+    from pyspark.sql import types as TT
+
+    from ..sources import knowledge_io as K
+    hist = history_arrays(last_points(T.price_points(spark, sf)))
+    ins = learn_prices(T.price_points(spark, sf)).join(hist, "product_id")
+    rec = ins.select(F.col("product_id").cast("string").alias("id"),
+                     F.struct("product_name", "current_price", "price_trend", "historical_prices").alias("record"))
+    schema = TT.StructType([
+        TT.StructField("product_name", TT.StringType()), TT.StructField("current_price", TT.DoubleType()),
+        TT.StructField("price_trend", TT.StringType()),
+        TT.StructField("historical_prices", TT.ArrayType(TT.StructType([
+            TT.StructField("date", TT.StringType()), TT.StructField("price", TT.DoubleType()),
+            TT.StructField("source", TT.StringType())])))])
+    path = K.version_dir(spark, "insights")
+    K.save_json_maps(rec, path, buckets=8)
+    loaded = K.load_json_map(spark, path, schema)
+    return loaded.select("id", "product_name", F.explode("historical_prices").alias("p")).select(
+        "id", "product_name", F.col("p.date").alias("date"), F.col("p.price").alias("price"),
+        F.col("p.source").alias("source"))
+
+
+@query("kb_roundtrip")
+def kb_roundtrip(spark, sf):
+    """Full rewrite of the documents table into a new version folder, read back by schema."""
+    from ..sources import knowledge_io as K
+    docs = T.table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("md5"))
+    path = K.version_dir(spark, "documents")
+    K.save_table(docs, path, fmt="parquet")
+    return K.load_table(spark, path, docs.schema, fmt="parquet")
+
+
+@query("kb_seed")
+def kb_seed(spark, sf):
+    """Seed products only when the knowledge table is empty (it is not, so the table is kept)."""
+    from ..sources import knowledge_io as K
+    kb = K.products_as_records(T.knowledge(spark, sf))
+    seed = kb.limit(0)
+    return K.seed_if_empty(kb, seed).select("id", "record.product_name", "record.brand")

@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import pricing as P
-from ..functions.text import levenshtein_similarity
+from ..functions.text import levenshtein_similarity, with_levenshtein_similarity
 from ..operators.normalize import normalize_offers
-from ..operators.rank import rank_score, rank_within_query, top_n_per_query
+from ..operators.rank import rank_within_query, top_n_per_query, with_rank_score
 from ..sources import tables as T
 from . import sql_exprs as S
 from .catalog import query
@@ -19,8 +19,8 @@ A = S.ARRIVAL_SQL
 def scored(spark, sf):
     """Normalised offers with the SQL-checkable similarity and the rank score."""
     o = normalize_offers(T.offers_for_queries(spark, sf))
-    o = o.withColumn("similarity", levenshtein_similarity("product_name", "query"))
-    return o.withColumn("score", rank_score())
+    o = with_levenshtein_similarity(o, "product_name", "query")
+    return with_rank_score(o)
 
 
 SCORED_SQL = f"""SELECT *, {S.rank_score('similarity', 'source', 'availability', 'rating',

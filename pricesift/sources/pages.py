@@ -43,6 +43,9 @@ CARD_SCHEMA = T.StructType([
 ])
 
 
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+
+
 class _Cards(HTMLParser):
     """Collects the text of configured classes inside card containers."""
 
@@ -58,11 +61,13 @@ class _Cards(HTMLParser):
         a = dict(attrs)
         classes = (a.get("class") or "").split()
         if self.depth == 0:
-            if self.p["container"] in classes and len(self.cards) < self.cap:
+            if self.p["container"] in classes and len(self.cards) < self.cap and tag not in VOID:
                 self.cards.append({"title": [], "price": [], "href": None, "image": None})
                 self.depth = 1
             return
-        self.depth += 1
+        void = tag in VOID
+        if not void:
+            self.depth += 1
         card = self.cards[-1]
         if tag == "a" and card["href"] is None and a.get("href"):
             card["href"] = a["href"]
@@ -73,11 +78,16 @@ class _Cards(HTMLParser):
                     card["image"] = v
                     break
         for f in ("title", "price"):
-            if self.field is None and any(c in classes for c in self.p[f]):
+            if not void and self.field is None and any(c in classes for c in self.p[f]):
                 self.field, self.field_depth = f, self.depth
 
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID and self.depth:
+            self.handle_endtag(tag)
+
     def handle_endtag(self, tag):
-        if self.depth == 0:
+        if self.depth == 0 or tag in VOID:
             return
         if self.field is not None and self.depth == self.field_depth:
             self.field = None

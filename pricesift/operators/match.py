@@ -31,7 +31,8 @@ from pyspark.sql import types as T
 
 from ..functions import fuzz
 from ..functions.features import feature_scores, product_features
-from ..functions.text import name_similarity_udf, partial_ratio_udf, ratio_udf, token_sort_key, token_sort_ratio_udf
+from ..functions.text import (ascii_words, clean_text, name_similarity_udf, partial_ratio_udf, ratio_udf,
+                              token_sort_key, token_sort_ratio_udf)
 from ..session import ensure_checkpoint_dir
 from ..settings import DEFAULT, Settings
 
@@ -95,7 +96,7 @@ def _close(p1: Column, p2: Column, settings: Settings) -> Column:
     return 1.0 - F.abs(p1 - p2) / F.greatest(p1, p2) > 1.0 - settings.price_variance_threshold
 
 
-def duplicate_edges(offers: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+def duplicate_edges(offers: DataFrame, settings: Settings = DEFAULT, sims: DataFrame | None = None) -> DataFrame:
     """Edges that connect exactly the components of the duplicate graph, in O(nodes).
 
     * Same name: a name is similar to itself, so along its sorted prices every
@@ -109,10 +110,11 @@ def duplicate_edges(offers: DataFrame, settings: Settings = DEFAULT) -> DataFram
     n = _nodes(offers)
     w = Window.partitionBy("query_id", "product_name").orderBy("norm_price")
     chain = (n.withColumn("next_price", F.lead("norm_price").over(w))
-             .filter(F.col("next_price").isNotNull() & _close(F.col("norm_price"), F.col("next_price"), settings))
+             .filter(F.col("next_price").isNotNull() & _close(F.col("norm_price"), F.col("next_price"), settings)
+                     & self_similar("product_name"))
              .select("query_id", F.col("product_name").alias("name_a"), F.col("norm_price").alias("price_a"),
                      F.col("product_name").alias("name_b"), F.col("next_price").alias("price_b")))
-    sims = similar_names(offers, settings)
+    sims = similar_names(offers, settings) if sims is None else sims
     both = sims.select("query_id", "name_a", "name_b").unionByName(
         sims.select("query_id", F.col("name_b").alias("name_a"), F.col("name_a").alias("name_b")))
     side_a = (both.join(n.withColumnRenamed("product_name", "name_a"), ["query_id", "name_a"])
@@ -131,32 +133,77 @@ def duplicate_edges(offers: DataFrame, settings: Settings = DEFAULT) -> DataFram
 
 
 # --- connected components ------------------------------------------------------------
+_CC_OUT = T.StructType([T.StructField("g", T.LongType()), T.StructField("node", T.LongType()),
+                        T.StructField("label", T.LongType())])
+
+
+def _union_find(pdf: pd.DataFrame) -> pd.DataFrame:
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root = x
+        while parent[root] != root:
+            root = parent[root]
+        while parent[x] != root:
+            parent[x], x = root, parent[x]
+        return root
+    for a, b in zip(pdf["src"].tolist(), pdf["dst"].tolist()):
+        parent.setdefault(a, a)
+        parent.setdefault(b, b)
+        ra, rb = find(a), find(b)
+        if ra != rb:
+            if ra < rb:
+                parent[rb] = ra
+            else:
+                parent[ra] = rb
+    g = int(pdf["g"].iloc[0])
+    nodes = list(parent)
+    return pd.DataFrame({"g": g, "node": nodes, "label": [find(x) for x in nodes]})
+
+
 def connected_components(edges: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """(node, label) for every node on an edge; label = smallest node of its component.
-
-    Nodes are any orderable column type (here a small struct). Each round takes
-    the minimum label over neighbours, then jumps to the label's label; it stops
-    when no label changes. The edge table is hash-partitioned by source once and
-    labels stay partitioned by node, so a round shuffles only the neighbour
-    minima and the jump side. Lineage is cut with reliable ``checkpoint()`` into
-    spark.checkpoint.dir every round, so a lost executor recomputes one round.
+    """(g, node, label) for every node on an edge; label = smallest node of its component.
+
+    ``edges`` has (g, src, dst) with BIGINT nodes; components never cross ``g``.
+    A group with at most ``cc_local_max_edges`` edges is solved in one task by
+    union-find; larger groups (a hot query) go through the distributed loop, so
+    no task ever holds an unbounded group.
+    """
+    ensure_checkpoint_dir(edges.sparkSession)
+    edges = edges.checkpoint()   # consumed by several actions below
+    sizes = edges.groupBy("g").agg(F.count("*").alias("_n"))
+    small_keys = sizes.filter(F.col("_n") <= settings.cc_local_max_edges).select("g")
+    small = edges.join(small_keys, "g", "left_semi")
+    large = edges.join(small_keys, "g", "left_anti")
+    local = small.groupBy("g").applyInPandas(_union_find, _CC_OUT)
+    if large.limit(1).count() == 0:
+        return local
+    return local.unionByName(_components_distributed(large, settings))
+
+
+def _components_distributed(edges: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """Min-label propagation with pointer jumping over (g, node) keys.
+
+    Each round takes the minimum label over neighbours, then jumps to the label's
+    label; it stops when no label changes. Lineage is cut with reliable
+    ``checkpoint()`` into spark.checkpoint.dir every round, so a lost executor
+    recomputes at most one round.
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    both = (edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-            .repartition(n, "src").checkpoint())
-    labels = (both.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node"))
-              .repartition(n, "node"))
+    both = (edges.select("g", "src", "dst")
+            .unionByName(edges.select("g", F.col("dst").alias("src"), F.col("src").alias("dst")))
+            .checkpoint())
+    labels = both.select("g", F.col("src").alias("node")).distinct().withColumn("label", F.col("node"))
     for i in range(settings.cc_max_rounds):
-        nb = (both.join(labels.withColumnRenamed("node", "src"), "src")
-              .groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("nl")))
-        step = labels.join(nb, "node", "left").select(
-            "node", F.col("label").alias("old"), F.least("label", F.coalesce("nl", "label")).alias("label"))
-        y = step.select(F.col("node").alias("y_node"), F.col("label").alias("y_label"))
-        jump = (step.join(y, step.label == y.y_node, "left")
-                .select("node", "old", F.least("label", F.coalesce("y_label", "label")).alias("label"))
-                .repartition(n, "node").checkpoint())
+        nb = (both.join(labels.withColumnRenamed("node", "src"), ["g", "src"])
+              .groupBy("g", F.col("dst").alias("node")).agg(F.min("label").alias("nl")))
+        step = labels.join(nb, ["g", "node"], "left").select(
+            "g", "node", F.col("label").alias("old"), F.least("label", F.coalesce("nl", "label")).alias("label"))
+        y = step.select(F.col("g").alias("y_g"), F.col("node").alias("y_node"), F.col("label").alias("y_label"))
+        jump = (step.join(y, (step.g == y.y_g) & (step.label == y.y_node), "left")
+                .select("g", "node", "old", F.least("label", F.coalesce("y_label", "label")).alias("label"))
+                .checkpoint())
         changed = jump.filter(F.col("label") != F.col("old")).limit(1).count()
         labels = jump.drop("old")
         if os.environ.get("PRICESIFT_DEBUG"):
@@ -177,33 +224,35 @@ def _greedy_fn(settings: Settings):
     """First-fit replay of one component, in arrival order.
 
     A row joins the earliest group holding a member with a similar name and a
-    close price. Groups are indexed by name -> sorted prices, so a row checks
-    only groups that contain a similar name, and only the nearest price on each
-    side (price similarity falls monotonically away from the row's price).
+    close price. Name similarity comes in as the component's precomputed pairs
+    (plus self-similarity per name). Groups are indexed by name -> sorted
+    prices, so a row checks only groups that hold a similar name, and only the
+    nearest price on each side (price similarity falls away from the price).
     """
-    thr, pv, cap = settings.duplicate_threshold, settings.price_variance_threshold, settings.greedy_max_component
+    pv, cap = settings.price_variance_threshold, settings.greedy_max_component
 
     def close(a: float, b: float) -> bool:
         return 1.0 - abs(a - b) / max(a, b) > 1.0 - pv
 
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fn(pdf: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty:
+            return pd.DataFrame({"offer_key": pd.Series([], dtype=object), "group_no": pd.Series([], dtype="int64")})
         pdf = pdf.sort_values([c for c in pdf.columns if c.startswith("_arr")], kind="stable")
         if len(pdf) > cap:   # too large to replay in one task: keep the component as one group
             return pd.DataFrame({"offer_key": pdf["offer_key"], "group_no": 0})
-        sim_cache: dict[tuple[str, str], bool] = {}
-        seen_names: list[str] = []
+        similar_to: dict[str, set[str]] = {}
+        for a, b in zip(pairs["name_a"], pairs["name_b"]):
+            similar_to.setdefault(a, set()).add(b)
+            similar_to.setdefault(b, set()).add(a)
+        for nm, ok in zip(pdf["product_name"], pdf["_self"]):
+            if ok:
+                similar_to.setdefault(nm, set()).add(nm)
         name_groups: dict[str, list[int]] = {}          # name -> ascending group ids holding it
         prices: dict[tuple[int, str], list[float]] = {}  # (group, name) -> sorted prices
         n_groups = 0
         out = []
         for key, name, price in zip(pdf["offer_key"], pdf["product_name"], pdf["norm_price"]):
-            similar = []
-            for other in seen_names:
-                pair = (name, other) if name <= other else (other, name)
-                if pair not in sim_cache:
-                    sim_cache[pair] = fuzz.name_similarity(name, other) > thr
-                if sim_cache[pair]:
-                    similar.append(other)
+            similar = [nm for nm in similar_to.get(name, ()) if nm in name_groups]
             cands = sorted({g for nm in similar for g in name_groups[nm]})
             placed = -1
             for g in cands:
@@ -220,17 +269,21 @@ def _greedy_fn(settings: Settings):
             if placed < 0:
                 placed = n_groups
                 n_groups += 1
-            if name not in name_groups:
-                name_groups[name] = []
-                seen_names.append(name)
-            if not name_groups[name] or name_groups[name][-1] != placed:
-                bisect.insort(name_groups[name], placed)
+            groups_of = name_groups.setdefault(name, [])
+            if not groups_of or groups_of[-1] != placed:
+                bisect.insort(groups_of, placed)
             bisect.insort(prices.setdefault((placed, name), []), price)
             out.append((key, placed))
         return pd.DataFrame(out, columns=["offer_key", "group_no"])
     return fn
 
 
+def self_similar(name: str) -> Column:
+    """A name is a duplicate of itself unless it has no ASCII word character
+    (then the token-set part of the similarity is 0 and the score stays 0.6)."""
+    return F.length(ascii_words(clean_text(F.col(name)))) > 0
+
+
 def chain_segments(offers: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Same-name runs of close prices: (query_id, product_name, norm_price) -> seg key.
 
@@ -240,10 +293,11 @@ def chain_segments(offers: DataFrame, settings: Settings = DEFAULT) -> DataFrame
     n = _nodes(offers)
     w = Window.partitionBy("query_id", "product_name").orderBy("norm_price")
     prev = F.lag("norm_price").over(w)
-    gap = F.when(prev.isNull() | ~_close(prev, F.col("norm_price"), settings), 1).otherwise(0)
+    gap = F.when(prev.isNull() | ~_close(prev, F.col("norm_price"), settings) | ~self_similar("product_name"), 1) \
+        .otherwise(0)
     seg_no = F.sum("gap").over(w.rowsBetween(Window.unboundedPreceding, 0))
     return (n.withColumn("gap", gap).withColumn("seg_no", seg_no)
-            .withColumn("seg", F.struct(F.col("query_id"), F.xxhash64("product_name", "seg_no").alias("h")))
+            .withColumn("seg", F.xxhash64("product_name", "seg_no"))
             .select("query_id", "product_name", "norm_price", "seg"))
 
 
@@ -255,18 +309,21 @@ def dedup_groups(offers: DataFrame, arrival: list[str], mode: str = "greedy",
     reference's first-fit grouping inside each component.
     """
     segs = chain_segments(offers, settings).checkpoint()
-    e = duplicate_edges(offers, settings).filter(F.col("name_a") != F.col("name_b"))
+    sims = similar_names(offers, settings).checkpoint()
+    e = duplicate_edges(offers, settings, sims).filter(F.col("name_a") != F.col("name_b"))
     sa = segs.select("query_id", F.col("product_name").alias("name_a"), F.col("norm_price").alias("price_a"),
                      F.col("seg").alias("src"))
     sb = segs.select("query_id", F.col("product_name").alias("name_b"), F.col("norm_price").alias("price_b"),
                      F.col("seg").alias("dst"))
     se = (e.join(sa, ["query_id", "name_a", "price_a"]).join(sb, ["query_id", "name_b", "price_b"])
-          .select("src", "dst").filter(F.col("src") != F.col("dst")).distinct())
-    labels = connected_components(se, settings)
+          .select(F.col("query_id").alias("g"), "src", "dst").filter(F.col("src") != F.col("dst")).distinct())
+    labels = connected_components(se, settings).withColumnRenamed("g", "query_id")
     o = offers.join(segs, ["query_id", "product_name", "norm_price"])
-    o = (o.join(labels.withColumnRenamed("node", "seg"), "seg", "left")
+    o = (o.join(labels.withColumnRenamed("node", "seg"), ["query_id", "seg"], "left")
          .withColumn("_linked", F.col("label").isNotNull())
-         .withColumn("component", F.coalesce(F.col("label"), F.col("seg"))).drop("label"))
+         .withColumn("component", F.struct(F.col("query_id").alias("q"),
+                                           F.coalesce(F.col("label"), F.col("seg")).alias("c")))
+         .drop("label"))
     if mode == "components":
         return (o.withColumn("dup_group", F.struct(F.col("component"), F.lit(0).cast("bigint").alias("group_no")))
                 .drop("seg", "_linked"))
@@ -274,12 +331,17 @@ def dedup_groups(offers: DataFrame, arrival: list[str], mode: str = "greedy",
     # together, and the greedy run still needs the order there, so every
     # component with more than one offer is replayed; single offers are groups.
     sizes = o.groupBy("component").agg(F.count("*").alias("_size"))
-    o = o.join(sizes, "component")
+    o = o.join(sizes, "component").checkpoint()      # read by three branches below
     alone = o.filter(F.col("_size") == 1).withColumn("group_no", F.lit(0).cast("bigint"))
     multi = o.filter(F.col("_size") > 1).withColumn("offer_key", F.to_json(F.struct(*arrival)))
     arr = [F.col(c).alias(f"_arr{i}") for i, c in enumerate(arrival)]
-    g = (multi.select("component", "offer_key", *arr, "product_name", "norm_price")
-         .groupBy("component").applyInPandas(_greedy_fn(settings), _GREEDY_OUT))
+    rows = multi.select("component", "offer_key", *arr, "product_name", "norm_price",
+                        self_similar("product_name").alias("_self"))
+    comp_of = multi.select("query_id", F.col("product_name").alias("name_a"),
+                           F.col("component").alias("comp_p")).distinct()
+    pairs = sims.join(comp_of, ["query_id", "name_a"]).select(F.col("comp_p").alias("component"), "name_a", "name_b")
+    g = (rows.groupBy("component").cogroup(pairs.groupBy("component"))
+         .applyInPandas(_greedy_fn(settings), _GREEDY_OUT))
     replayed = multi.join(g, "offer_key").drop("offer_key")
     return (alone.unionByName(replayed)
             .withColumn("dup_group", F.struct(F.col("component"), F.col("group_no")))
@@ -341,16 +403,16 @@ def group_similar(items: DataFrame, key: str, name: str, arrival: list[str],
         "s", feature_similarity(F.col("a"), F.col("b"), F.lit(""), settings))
     good = p.join(pairs, ["a", "b"]).filter(F.col("s") >= settings.group_threshold)
     comp_edges = good.filter(F.col("a") != F.col("b")).select(
-        F.struct(F.col(key).alias("k"), F.xxhash64("a").alias("h")).alias("src"),
-        F.struct(F.col(key).alias("k"), F.xxhash64("b").alias("h")).alias("dst"))
-    labels = connected_components(comp_edges, settings)
-    node = F.struct(F.col(key).alias("k"), F.xxhash64(F.col(name)).alias("h"))
-    it = (items.withColumn("_node", node)
-          .join(labels.withColumnRenamed("node", "_node"), "_node", "left")
-          .withColumn("component", F.coalesce("label", "_node")).drop("label")
+        F.col(key).cast("bigint").alias("g"), F.xxhash64("a").alias("src"), F.xxhash64("b").alias("dst"))
+    labels = connected_components(comp_edges, settings).withColumnRenamed("g", key)
+    it = (items.withColumn("_node", F.xxhash64(F.col(name)))
+          .join(labels.withColumnRenamed("node", "_node"), [key, "_node"], "left")
+          .withColumn("component", F.struct(F.col(key).alias("q"), F.coalesce("label", "_node").alias("c")))
+          .drop("label")
           .withColumn("item_key", F.to_json(F.struct(key, *arrival))))
-    comp_of_name = it.select(key, F.col(name).alias("a"), "component").distinct()
-    comp_edges_rows = good.join(comp_of_name, [key, "a"]).select("component", "a", "b", "s")
+    comp_of_name = it.select(key, F.col(name).alias("a"), F.col("component").alias("comp_e")).distinct()
+    comp_edges_rows = good.join(comp_of_name, [key, "a"]).select(
+        F.col("comp_e").alias("component"), "a", "b", "s")
     arr = [F.col(c).alias(f"_arr{i}") for i, c in enumerate(arrival)]
     rows = it.select("component", "item_key", F.col(name).alias("name"), *arr)
     g = (rows.groupBy("component").cogroup(comp_edges_rows.groupBy("component"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pricing import clean_price_us, price_digits, us_rule
+from ..session import ensure_checkpoint_dir
 from ..settings import DEFAULT, Settings
 from ..sources.registry import RELIABILITY
 from ..sources.tables import ARRIVAL
@@ -46,13 +47,41 @@ def with_rank_score(df: DataFrame, out: str = "score", **kw) -> DataFrame:
 
 
 def rank_within_query(df: DataFrame, score: str = "score", price: str = "norm_price",
-                      key: str = "query_id") -> DataFrame:
+                      key: str = "query_id", skew_safe: bool | None = None) -> DataFrame:
     """1..n by score desc, price asc, then arrival order."""
-    w = Window.partitionBy(key).orderBy(F.col(score).desc(), F.col(price).asc(),
-                                        *[F.col(c).asc() for c in ARRIVAL])
+    order = [F.col(score).desc(), F.col(price).asc(), *[F.col(c).asc() for c in ARRIVAL]]
+    use_range = DEFAULT.skew_safe_rank if skew_safe is None else skew_safe
+    if use_range:
+        return row_number_by_range(df, key, order, "rank")
+    w = Window.partitionBy(key).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(w).cast("bigint"))
 
 
+def row_number_by_range(df: DataFrame, key: str, order: list[Column], out: str = "rank") -> DataFrame:
+    """Exact ``row_number() over (partition by key order by ...)`` that splits hot keys.
+
+    1. Range-partition on (key, order...) and sort each partition: a key holding
+       a third of all rows spans a third of the partitions instead of one task.
+    2. ``monotonically_increasing_id`` numbers rows in sorted order inside each
+       partition; a reliable ``checkpoint()`` freezes partition ids and positions.
+    3. A small table of (partition, key) -> first id, count gives every key's
+       offset in the earlier partitions (a window over <= partitions + keys rows).
+    4. rank = id - first id of the (partition, key) + offset + 1.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    s = (df.repartitionByRange(n, F.col(key), *order).sortWithinPartitions(F.col(key), *order)
+         .withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
+         .checkpoint())
+    stats = s.groupBy("_pid", key).agg(F.min("_mid").alias("_m0"), F.count("*").alias("_c"))
+    w = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    stats = stats.withColumn("_off", F.coalesce(F.sum("_c").over(w), F.lit(0))).drop("_c")
+    return (s.join(stats, ["_pid", key])
+            .withColumn(out, (F.col("_mid") - F.col("_m0") + F.col("_off") + 1).cast("bigint"))
+            .drop("_pid", "_mid", "_m0", "_off"))
+
+
 def top_n_per_query(df: DataFrame, score: str = "score", price: str = "norm_price",
                     key: str = "query_id", limit_col: str = "max_results",
                     bound: int | None = None) -> DataFrame:

@@ -23,9 +23,11 @@ class Settings:
     # Block sizes for the exact vector search grid (rows per block).
     knn_doc_block_rows: int = 20000
     knn_query_block_rows: int = 2000
-    # Component search: lineage is cut every this many rounds.
-    cc_checkpoint_every: int = 2
     cc_max_rounds: int = 64
+    # Components of a query with at most this many edges are found in one task.
+    cc_local_max_edges: int = 2_000_000
+    # Per-query rank through a range-partitioned sort (splits hot queries).
+    skew_safe_rank: bool = True
     # Largest component replayed in order by the greedy grouping (one task).
     greedy_max_component: int = 50000
     weights: dict = field(default_factory=lambda: {

@@ -62,6 +62,8 @@ def registry_rows() -> list[tuple]:
             entries = AMAZON_COUNTRIES
         elif shop == "eBay":
             entries = EBAY_COUNTRIES
+        elif shop in dict(EXTRA_SHOPS):
+            entries = dict(EXTRA_SHOPS)[shop]
         elif shop in ("Flipkart", "Amazon India"):
             entries = [("IN", "www.flipkart.com" if shop == "Flipkart" else "www.amazon.in", "INR")]
         else:
@@ -108,3 +110,26 @@ def registry_sql() -> str:
 
 def fx_sql() -> str:
     return sql_values(sorted(FX_TO_USD.items()), ["currency", "rate_to_usd"])
+
+
+EXTRA_SHOPS: list[tuple] = []
+
+
+def register_shop(name: str, countries: list[tuple[str, str, str]], url_template: str,
+                  price_rule: str = "us", us_fallback: bool = False, card_cap: int | None = None) -> None:
+    """Add a shop (country, domain, currency rows, URL template with {domain}/{q}, price rule).
+
+    Shops are data here: registering one extends the broadcast registry used by
+    shop selection, URL building and price parsing; card profiles for page
+    extraction go into ``sources.pages.PROFILES``.
+    """
+    if name in SHOP_ORDER:
+        raise ValueError(f"shop {name} already registered")
+    SHOP_ORDER.append(name)
+    URL_TEMPLATES[name] = url_template
+    PRICE_RULES[name] = price_rule
+    if us_fallback:
+        US_FALLBACK.add(name)
+    if card_cap is not None:
+        CARD_CAPS[name] = card_cap
+    EXTRA_SHOPS.append((name, list(countries)))

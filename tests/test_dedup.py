@@ -61,3 +61,16 @@ def test_greedy_matches_python_loop(spark):
     # every greedy group lies inside one component
     for g in python_greedy(rows):
         assert any(set(g) <= set(c) for c in comps)
+
+
+def test_distributed_components_equal_local(spark):
+    from pricesift.settings import Settings
+    names = ["red widget small", "red widget smal", "blue bolt", "blue bolts", "red widgets small", "blue bolt"]
+    prices = [100, 104, 50, 53, 98, 49]
+    rows = [(q, n, p) for q in (1, 2, 3) for n, p in zip(names, prices)]
+    df = frame(spark, rows)
+    local = sorted(list(r.m) for r in dedup_groups(df, ARR, mode="components").groupBy("dup_group").agg(
+        F.sort_array(F.collect_list("l_orderkey")).alias("m")).collect())
+    dist = sorted(list(r.m) for r in dedup_groups(df, ARR, mode="components", settings=Settings(cc_local_max_edges=0))
+                  .groupBy("dup_group").agg(F.sort_array(F.collect_list("l_orderkey")).alias("m")).collect())
+    assert local == dist

@@ -47,3 +47,25 @@ def test_conversion_and_unknown_currency(spark):
                                 ("€100", None, "USD")], "price string, currency string, target_currency string")
     got = [(r.norm_price, r.norm_currency) for r in normalize_offers(df).collect()]
     assert got == [(12.0, "USD"), (10.0, "XYZ"), (110.00000000000001, "USD")]
+
+
+def test_range_rank_equals_window_on_skewed_keys(spark):
+    from pyspark.sql import Window
+
+    from pricesift.operators.rank import row_number_by_range
+    # key 0 holds most rows; ties on score are broken by the unique id
+    df = spark.range(0, 5000).select(
+        F.when(F.col("id") % 10 < 7, F.lit(0)).otherwise(F.col("id") % 13).alias("k"),
+        (F.col("id") % 17).cast("double").alias("score"), F.col("id"))
+    order = [F.col("score").desc(), F.col("id")]
+    a = row_number_by_range(df, "k", order, "r").select("k", "id", "r")
+    b = df.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy(*order)).cast("bigint"))
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select("k", "id", "r").collect()))
+
+
+def test_register_shop_extends_registry(spark):
+    from pricesift.sources import registry as R
+    if "Mock Shop" not in R.SHOP_ORDER:
+        R.register_shop("Mock Shop", [("US", "mock.example", "USD")], "https://{domain}/find?q={q}")
+    rows = R.source_registry(spark).filter("source = 'Mock Shop'").collect()
+    assert [(r.country, r.domain, r.price_rule) for r in rows] == [("US", "mock.example", "us")]

@@ -36,6 +36,16 @@ from ..functions.text import (ascii_words, clean_text, name_similarity_udf, part
 from ..session import ensure_checkpoint_dir
 from ..settings import DEFAULT, Settings
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin over the shuffle partitions before a Python UDF.
+
+    A distinct set of short strings is small in bytes, so AQE would coalesce it
+    into a few tasks and the UDF would run on a few cores; an explicit partition
+    count is kept by AQE.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def feature_similarity(p1: Column, p2: Column, query: Column, settings: Settings = DEFAULT) -> Column:
     """F10 = .3 fuzzy + .25 brand + .2 model + .1 storage + .05 colour + .1 query relevance."""
     w = settings.weights
@@ -87,7 +97,8 @@ def similar_names(offers: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     la, lb = F.col("la"), F.col("lb")
     p = (a.join(b, "query_id").filter(F.col("name_a") < F.col("name_b"))
          .filter(((la == 0) & (lb == 0)) | (F.least(la, lb) * 2 >= (la + lb) * 0.625)))
-    names = p.select("name_a", "name_b").distinct().withColumn("name_sim", name_similarity_udf("name_a", "name_b"))
+    names = spread(p.select("name_a", "name_b").distinct()).withColumn(
+        "name_sim", name_similarity_udf("name_a", "name_b"))
     return (p.join(names, ["name_a", "name_b"]).filter(F.col("name_sim") > settings.duplicate_threshold)
             .select("query_id", "name_a", "name_b", "name_sim"))
 
@@ -96,6 +107,16 @@ def _close(p1: Column, p2: Column, settings: Settings) -> Column:
     return 1.0 - F.abs(p1 - p2) / F.greatest(p1, p2) > 1.0 - settings.price_variance_threshold
 
 
+def chain_edges(offers: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """Same-name edges: each price node to the next higher price of the same name when close."""
+    w = Window.partitionBy("query_id", "product_name").orderBy("norm_price")
+    return (_nodes(offers).withColumn("next_price", F.lead("norm_price").over(w))
+            .filter(F.col("next_price").isNotNull() & _close(F.col("norm_price"), F.col("next_price"), settings)
+                    & self_similar("product_name"))
+            .select("query_id", F.col("product_name").alias("name_a"), F.col("norm_price").alias("price_a"),
+                    F.col("product_name").alias("name_b"), F.col("next_price").alias("price_b")))
+
+
 def duplicate_edges(offers: DataFrame, settings: Settings = DEFAULT, sims: DataFrame | None = None) -> DataFrame:
     """Edges that connect exactly the components of the duplicate graph, in O(nodes).
 
@@ -108,12 +129,7 @@ def duplicate_edges(offers: DataFrame, settings: Settings = DEFAULT, sims: DataF
     Columns: query_id, name_a, price_a, name_b, price_b.
     """
     n = _nodes(offers)
-    w = Window.partitionBy("query_id", "product_name").orderBy("norm_price")
-    chain = (n.withColumn("next_price", F.lead("norm_price").over(w))
-             .filter(F.col("next_price").isNotNull() & _close(F.col("norm_price"), F.col("next_price"), settings)
-                     & self_similar("product_name"))
-             .select("query_id", F.col("product_name").alias("name_a"), F.col("norm_price").alias("price_a"),
-                     F.col("product_name").alias("name_b"), F.col("next_price").alias("price_b")))
+    chain = chain_edges(offers, settings)
     sims = similar_names(offers, settings) if sims is None else sims
     both = sims.select("query_id", "name_a", "name_b").unionByName(
         sims.select("query_id", F.col("name_b").alias("name_a"), F.col("name_a").alias("name_b")))
@@ -122,9 +138,14 @@ def duplicate_edges(offers: DataFrame, settings: Settings = DEFAULT, sims: DataF
     side_b = (both.join(n.withColumnRenamed("product_name", "name_b"), ["query_id", "name_b"])
               .select("query_id", "name_a", "name_b", "norm_price", F.lit(False).alias("is_a")))
     u = side_a.unionByName(side_b).withColumn("b_price", F.when(~F.col("is_a"), F.col("norm_price")))
-    wp = Window.partitionBy("query_id", "name_a", "name_b").orderBy("norm_price", F.col("is_a").desc())
-    below = F.last("b_price", ignorenulls=True).over(wp.rowsBetween(Window.unboundedPreceding, -1))
-    above = F.first("b_price", ignorenulls=True).over(wp.rowsBetween(1, Window.unboundedFollowing))
+    # Both neighbours use growing frames (unbounded preceding .. previous row),
+    # which Spark evaluates in one pass; "above" runs over the descending order.
+    # Ties: an equal b price counts as above (a rows sort before b rows going up).
+    part = Window.partitionBy("query_id", "name_a", "name_b")
+    up = part.orderBy("norm_price", F.col("is_a").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    down = part.orderBy(F.col("norm_price").desc(), F.col("is_a").asc()).rowsBetween(Window.unboundedPreceding, -1)
+    below = F.last("b_price", ignorenulls=True).over(up)
+    above = F.last("b_price", ignorenulls=True).over(down)
     near = (u.withColumn("below", below).withColumn("above", above).filter("is_a")
             .select("query_id", "name_a", F.col("norm_price").alias("price_a"), "name_b",
                     F.explode(F.array("below", "above")).alias("price_b"))
@@ -301,6 +322,35 @@ def chain_segments(offers: DataFrame, settings: Settings = DEFAULT) -> DataFrame
             .select("query_id", "product_name", "norm_price", "seg"))
 
 
+def segment_edges(segs: DataFrame, sims: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """Edges between chain segments of similar names (exact for components).
+
+    Segments of one name are disjoint price runs. For two families of disjoint
+    intervals, every touching pair (overlap, or a gap whose ends are close) is
+    found by linking each interval to the *last* interval of the other family
+    that starts at or before it: if an earlier one touched, the later one would
+    lie between them and be close to both, so it would be part of that run.
+    One window pass with a growing frame per (query, name, similar name).
+    """
+    iv = segs.groupBy("query_id", "product_name", "seg").agg(F.min("norm_price").alias("lo"),
+                                                            F.max("norm_price").alias("hi"))
+    both = sims.select("query_id", "name_a", "name_b").unionByName(
+        sims.select("query_id", F.col("name_b").alias("name_a"), F.col("name_a").alias("name_b")))
+    mine = (both.join(iv.withColumnRenamed("product_name", "name_a"), ["query_id", "name_a"])
+            .withColumn("is_a", F.lit(True)))
+    other = (both.join(iv.withColumnRenamed("product_name", "name_b"), ["query_id", "name_b"])
+             .withColumn("is_a", F.lit(False)))
+    u = mine.unionByName(other)
+    w = (Window.partitionBy("query_id", "name_a", "name_b").orderBy("lo", "is_a")
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    prev_other = F.last(F.when(~F.col("is_a"), F.struct(F.col("hi").alias("hi"), F.col("seg").alias("seg"))),
+                        ignorenulls=True).over(w)
+    t = u.withColumn("o", prev_other).filter(F.col("is_a") & F.col("o").isNotNull())
+    touch = (F.col("lo") <= F.col("o.hi")) | _close(F.col("o.hi"), F.col("lo"), settings)
+    return t.filter(touch).select(F.col("query_id").alias("g"), F.col("seg").alias("src"),
+                                  F.col("o.seg").alias("dst"))
+
+
 def dedup_groups(offers: DataFrame, arrival: list[str], mode: str = "greedy",
                  settings: Settings = DEFAULT) -> DataFrame:
     """Adds ``dup_group`` (a struct key) to every offer.
@@ -310,13 +360,7 @@ def dedup_groups(offers: DataFrame, arrival: list[str], mode: str = "greedy",
     """
     segs = chain_segments(offers, settings).checkpoint()
     sims = similar_names(offers, settings).checkpoint()
-    e = duplicate_edges(offers, settings, sims).filter(F.col("name_a") != F.col("name_b"))
-    sa = segs.select("query_id", F.col("product_name").alias("name_a"), F.col("norm_price").alias("price_a"),
-                     F.col("seg").alias("src"))
-    sb = segs.select("query_id", F.col("product_name").alias("name_b"), F.col("norm_price").alias("price_b"),
-                     F.col("seg").alias("dst"))
-    se = (e.join(sa, ["query_id", "name_a", "price_a"]).join(sb, ["query_id", "name_b", "price_b"])
-          .select(F.col("query_id").alias("g"), "src", "dst").filter(F.col("src") != F.col("dst")).distinct())
+    se = segment_edges(segs, sims, settings).filter(F.col("src") != F.col("dst")).distinct()
     labels = connected_components(se, settings).withColumnRenamed("g", "query_id")
     o = offers.join(segs, ["query_id", "product_name", "norm_price"])
     o = (o.join(labels.withColumnRenamed("node", "seg"), ["query_id", "seg"], "left")
@@ -399,7 +443,7 @@ def group_similar(items: DataFrame, key: str, name: str, arrival: list[str],
     p = (a.join(b, key).filter(F.col("a") <= F.col("b"))
          .filter(F.col("ba").isNull() | F.col("bb").isNull() | (F.col("ba") == F.col("bb")))
          .filter((F.least(la, lb) * 2 >= (la + lb) * 0.33) | ((la == 0) & (lb == 0))))
-    pairs = p.select("a", "b").distinct().withColumn(
+    pairs = spread(p.select("a", "b").distinct()).withColumn(
         "s", feature_similarity(F.col("a"), F.col("b"), F.lit(""), settings))
     good = p.join(pairs, ["a", "b"]).filter(F.col("s") >= settings.group_threshold)
     comp_edges = good.filter(F.col("a") != F.col("b")).select(

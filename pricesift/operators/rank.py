@@ -87,14 +87,30 @@ def top_n_per_query(df: DataFrame, score: str = "score", price: str = "norm_pric
                     bound: int | None = None) -> DataFrame:
     """Keep rank <= max_results (<= 0 means no limit).
 
-    When every query has a positive limit no larger than ``bound``, the literal
-    ``rank <= bound`` lets Spark plan a partial top-k (WindowGroupLimit) before
-    the shuffle, so a hot query never moves all its rows.
+    Rows of queries with a positive limit are ranked with ``row_number() <=
+    bound`` where ``bound`` (the largest limit, read from the small queries
+    table) is a literal, so Spark adds a partial WindowGroupLimit before the
+    shuffle and a hot query ships at most ``bound`` rows per task. Only queries
+    without a limit need the full rank (range-partitioned, see
+    ``row_number_by_range``).
     """
-    ranked = rank_within_query(df, score, price, key)
-    if bound is not None:
-        ranked = ranked.filter(F.col("rank") <= bound)
-    return ranked.filter((F.col(limit_col) <= 0) | (F.col("rank") <= F.col(limit_col)))
+    if bound is None:
+        return rank_within_query(df, score, price, key).filter(
+            (F.col(limit_col) <= 0) | (F.col("rank") <= F.col(limit_col)))
+    order = [F.col(score).desc(), F.col(price).asc(), *[F.col(c).asc() for c in ARRIVAL]]
+    w = Window.partitionBy(key).orderBy(*order)
+    limited = (df.filter(F.col(limit_col) > 0)
+               .withColumn("rank", F.row_number().over(w).cast("bigint"))
+               .filter(F.col("rank") <= F.lit(int(max(bound, 1))))
+               .filter(F.col("rank") <= F.col(limit_col)))
+    unlimited = rank_within_query(df.filter(F.col(limit_col) <= 0), score, price, key)
+    return limited.unionByName(unlimited)
+
+
+def limit_bound(queries: DataFrame, limit_col: str = "max_results") -> int:
+    """Largest positive result limit over the queries table (a scalar)."""
+    v = queries.agg(F.max(limit_col).alias("m")).first()["m"]
+    return int(v) if v is not None and v > 0 else 0
 
 
 def offer_output(df: DataFrame, extra: list[str] | None = None) -> DataFrame:

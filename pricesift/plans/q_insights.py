@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import insights as I
-from ..operators.rank import offer_output, top_n_per_query
+from ..operators.rank import limit_bound, offer_output, top_n_per_query
 from ..sources import tables as T
 from .catalog import query
 from .q_pricing import scored
@@ -52,7 +52,7 @@ def insights_all(spark, sf):
 
 @query("report_text")
 def report_text(spark, sf):
-    out = offer_output(top_n_per_query(scored(spark, sf)))
+    out = offer_output(top_n_per_query(scored(spark, sf), bound=limit_bound(T.queries(spark, sf))))
     return I.report_text(out, T.queries(spark, sf))
 
 
@@ -71,3 +71,14 @@ def trend_wording(spark, sf):
     from ..operators.history import last_points, trend_of
     t = trend_of(last_points(T.price_points(spark, sf)))
     return t.select("product_id", I.trend_line(F.col("price_trend")).alias("wording"))
+
+
+@query("kb_doc_text")
+def kb_doc_text(spark, sf):
+    """product and price-insight document texts for every product."""
+    from ..operators.history import history_arrays, last_points, learn_prices
+    kb = T.knowledge(spark, sf).withColumn("features", F.array(F.lower("category"))) \
+        .withColumn("reviews_summary", F.lit(None).cast("string"))
+    pts = T.price_points(spark, sf)
+    ins = learn_prices(pts).join(history_arrays(last_points(pts)), "product_id")
+    return I.product_doc_text(kb).unionByName(I.insight_doc_text(ins))

@@ -104,3 +104,25 @@ def kb_seed(spark, sf):
     kb = K.products_as_records(T.knowledge(spark, sf))
     seed = kb.limit(0)
     return K.seed_if_empty(kb, seed).select("id", "record.product_name", "record.brand")
+
+
+@query("kb_load_documents")
+def kb_load_documents(spark, sf):
+    """The document store (id -> content, metadata) written as bucketed maps and loaded by schema."""
+    from pyspark.sql import types as TT
+
+    from ..functions.ids import document_id
+    from ..sources import knowledge_io as K
+    d = T.table(spark, sf, "documents")
+    rec = d.select(document_id("text", {"lang": F.col("lang"), "source": F.col("source")}).alias("id"),
+                   F.struct(F.col("text").alias("content"),
+                            F.struct("lang", "source").alias("metadata"),
+                            F.col("doc_id").alias("created_from")).alias("record"))
+    schema = TT.StructType([TT.StructField("content", TT.StringType()),
+                            TT.StructField("metadata", TT.StructType([TT.StructField("lang", TT.StringType()),
+                                                                      TT.StructField("source", TT.StringType())])),
+                            TT.StructField("created_from", TT.LongType())])
+    path = K.version_dir(spark, "docs")
+    K.save_json_maps(rec.dropDuplicates(["id"]), path, buckets=16)
+    loaded = K.load_json_map(spark, path, schema)
+    return loaded.select("id", "created_from", "metadata.lang", "metadata.source", F.md5("content").alias("md5"))

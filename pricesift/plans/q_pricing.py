@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import pricing as P
 from ..functions.text import levenshtein_similarity, with_levenshtein_similarity
 from ..operators.normalize import normalize_offers
-from ..operators.rank import rank_within_query, top_n_per_query, with_rank_score
+from ..operators.rank import limit_bound, rank_within_query, top_n_per_query, with_rank_score
 from ..sources import tables as T
 from . import sql_exprs as S
 from .catalog import query
@@ -46,7 +46,9 @@ SELECT {RANK_COLS_SQL}, row_number() OVER (PARTITION BY query_id
 FROM ({SCORED_SQL})""", ("norm",))
 def rank_offers(spark, sf):
     """Flagship: offers -> P1/P5 -> J3 -> similarity -> F7 -> W1."""
-    return rank_within_query(scored(spark, sf)).select(*_rank_cols())
+    s = scored(spark, sf).select("query_id", "l_orderkey", "l_linenumber", "product_id", "seller_id", "source",
+                                 "scraped_at", "norm_price", "norm_currency", "similarity", "score")
+    return rank_within_query(s).select(*_rank_cols())
 
 
 @query("topn_offers", f"""
@@ -55,7 +57,8 @@ SELECT * EXCLUDE (max_results) FROM (
    ORDER BY score DESC, norm_price, {A}) AS rank
  FROM ({SCORED_SQL})) WHERE max_results <= 0 OR rank <= max_results""", ("norm",))
 def topn_offers(spark, sf):
-    return top_n_per_query(scored(spark, sf)).select(*_rank_cols())
+    bound = limit_bound(T.queries(spark, sf))
+    return top_n_per_query(scored(spark, sf), bound=bound).select(*_rank_cols())
 
 
 @query("rank_score", f"""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as AG
 from ..operators.history import last_points, learn_prices, trend_of
-from ..operators.rank import top_n_per_query
+from ..operators.rank import limit_bound, top_n_per_query
 from ..operators.retrieval import candidate_offers, union_offers
 from ..operators.shops import search_urls, shops_for_queries
 from ..sources import tables as T
@@ -28,7 +28,7 @@ T.VIEW_DEPS["results"] = ["norm"]
 
 def results(spark, sf):
     """Final per-query results (SQL-checkable similarity), with the numeric output price."""
-    r = top_n_per_query(scored(spark, sf))
+    r = top_n_per_query(scored(spark, sf), bound=limit_bound(T.queries(spark, sf)))
     p = F.col("norm_price").cast("bigint")
     return r.select("query_id", "l_orderkey", "l_linenumber", "product_id", "seller_id", "source", "seller",
                     "product_name", "rating", p.cast("string").alias("price"), p.cast("double").alias("price_num"),

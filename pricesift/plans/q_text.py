@@ -15,7 +15,8 @@ from .catalog import query
 
 def _pairs(spark, sf):
     """Distinct (offer name, query) pairs: every string function runs once per pair."""
-    return T.offers_for_queries(spark, sf).select("query_id", "product_name", "query").distinct()
+    from ..operators.match import spread
+    return spread(T.offers_for_queries(spark, sf).select("query_id", "product_name", "query").distinct())
 
 
 _PAIRS_SQL = "SELECT DISTINCT query_id, product_name, query FROM offers_q"

@@ -9,6 +9,7 @@ Lines or parquet into a fresh version folder (never over a path being read).
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,16 +45,28 @@ def products_as_records(knowledge: DataFrame) -> DataFrame:
                  "alternatives", "market_insights").alias("record"))
 
 
-def save_json_maps(records: DataFrame, path: str, buckets: int) -> None:
-    """Write (id, record) rows as ``buckets`` JSON-map documents (one per file)."""
+def save_json_maps(records: DataFrame, path: str, buckets: int, max_per_map: int = 50_000) -> None:
+    """Write (id, record) rows as JSON-map documents, one per line.
+
+    The number of documents grows with the data (at most ``max_per_map``
+    records each on average), so no task builds an unbounded map.
+    """
+    buckets = max(buckets, math.ceil(records.count() / max_per_map))
     b = records.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(buckets)))
     maps = b.groupBy("_b").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("id", "record")))).alias("value"))
     maps.select("value").repartition(buckets).write.mode("overwrite").text(path)
 
 
-def load_json_map(spark: SparkSession, path: str, value_schema: T.StructType) -> DataFrame:
-    """Read id -> record JSON maps (whole file per task) into rows."""
-    raw = spark.read.text(path, wholetext=True)
+def load_json_map(spark: SparkSession, path: str, value_schema: T.StructType,
+                  one_document_per_file: bool = False) -> DataFrame:
+    """Read id -> record JSON maps into rows.
+
+    Maps written by ``save_json_maps`` are one document per line (many per file
+    possible), so they are read line by line. A pretty-printed single-document
+    file (the original format) needs ``one_document_per_file=True``: then each
+    file is parsed whole, in one task.
+    """
+    raw = spark.read.text(path, wholetext=one_document_per_file)
     m = F.from_json("value", T.MapType(T.StringType(), value_schema))
     return raw.select(F.explode(m).alias("id", "record")).select("id", "record.*")
 

@@ -19,3 +19,16 @@ def test_cards(spark):
     got = sorted((r.page_id, r.shop, r.pos, r.title, r.price_text, r.href) for r in page_cards(pages).collect())
     assert got == [(1, "Amazon", 1, "Apple iPhone 16 Pro 128GB", "$999.00", "/dp/B0DGJBN8TV"),
                    (2, "eBay", 2, "iPhone 16 Pro", "$950.00", "https://ebay.com/itm/2")]
+
+
+def test_json_map_roundtrip_keeps_every_record(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    from pricesift.sources import knowledge_io as K
+    recs = spark.range(0, 500).select(F.col("id").cast("string").alias("id"),
+                                      F.struct((F.col("id") * 2).alias("v")).alias("record"))
+    path = str(tmp_path / "maps")
+    K.save_json_maps(recs, path, buckets=7)
+    back = K.load_json_map(spark, path, T.StructType([T.StructField("v", T.LongType())]))
+    assert sorted((r.id, r.v) for r in back.collect()) == sorted((str(i), 2 * i) for i in range(500))

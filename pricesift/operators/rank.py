@@ -76,7 +76,11 @@ def row_number_by_range(df: DataFrame, key: str, order: list[Column], out: str =
          .checkpoint())
     stats = s.groupBy("_pid", key).agg(F.min("_mid").alias("_m0"), F.count("*").alias("_c"))
     w = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    stats = stats.withColumn("_off", F.coalesce(F.sum("_c").over(w), F.lit(0))).drop("_c")
+    stats = stats.withColumn("_off", F.coalesce(F.sum("_c").over(w), F.lit(0))).drop("_c").checkpoint()
+    # The offsets table has at most (partitions + keys) rows; broadcast it when
+    # its checked size is small so the sorted data is not shuffled again.
+    if stats.count() <= DEFAULT.broadcast_max_rows:
+        stats = F.broadcast(stats)
     return (s.join(stats, ["_pid", key])
             .withColumn(out, (F.col("_mid") - F.col("_m0") + F.col("_off") + 1).cast("bigint"))
             .drop("_pid", "_mid", "_m0", "_off"))

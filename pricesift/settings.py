@@ -28,6 +28,8 @@ class Settings:
     cc_local_max_edges: int = 2_000_000
     # Per-query rank through a range-partitioned sort (splits hot queries).
     skew_safe_rank: bool = True
+    # Row bound under which a derived small table (checked by count) is broadcast.
+    broadcast_max_rows: int = 1_000_000
     # Largest component replayed in order by the greedy grouping (one task).
     greedy_max_component: int = 50000
     weights: dict = field(default_factory=lambda: {

@@ -10,19 +10,26 @@ O(len(b)) big-integer operations.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 _NON_WORD = re.compile(r"(?ui)\W")
 _PUNCT = re.compile(r"[^\w\s]")
 _SPACES = re.compile(r"\s+")
 
 
-def lcs_len(a: str, b: str) -> int:
-    if not a or not b:
-        return 0
+@lru_cache(maxsize=1 << 16)
+def _masks(a: str) -> tuple[dict[str, int], int]:
+    """Bit masks of each character's positions in ``a`` (read-only, cached)."""
     masks: dict[str, int] = {}
     for i, ch in enumerate(a):
         masks[ch] = masks.get(ch, 0) | (1 << i)
-    full = (1 << len(a)) - 1
+    return masks, (1 << len(a)) - 1
+
+
+def lcs_len(a: str, b: str) -> int:
+    if not a or not b:
+        return 0
+    masks, full = _masks(a)
     v = full
     for ch in b:
         m = masks.get(ch, 0)
@@ -70,11 +77,13 @@ def partial_ratio(a: str | None, b: str | None) -> int:
     return _intr(100 * best)
 
 
+@lru_cache(maxsize=1 << 16)
 def full_process(s: str) -> str:
     s = "".join(ch for ch in s if ord(ch) < 128)
     return _NON_WORD.sub(" ", s).lower().strip()
 
 
+@lru_cache(maxsize=1 << 16)
 def token_sort(s: str) -> str:
     return " ".join(sorted(full_process(s).split())).strip()
 
@@ -85,28 +94,39 @@ def token_sort_ratio(a: str | None, b: str | None) -> int:
     return ratio(token_sort(a), token_sort(b))
 
 
+@lru_cache(maxsize=1 << 16)
+def _token_set(p: str) -> frozenset:
+    return frozenset(p.split())
+
+
 def token_set_ratio(a: str | None, b: str | None) -> int:
     if a is None or b is None:
         return 0
     p1, p2 = full_process(a), full_process(b)
     if not p1 or not p2:
         return 0
-    t1, t2 = set(p1.split()), set(p2.split())
+    t1, t2 = _token_set(p1), _token_set(p2)
     sect = " ".join(sorted(t1 & t2))
     c12 = (sect + " " + " ".join(sorted(t1 - t2))).strip()
     c21 = (sect + " " + " ".join(sorted(t2 - t1))).strip()
     return max(ratio(sect, c12), ratio(sect, c21), ratio(c12, c21))
 
 
+@lru_cache(maxsize=1 << 16)
 def clean_text(s: str) -> str:
     """punctuation to space, squeeze spaces, trim (input already lower-cased)."""
     return _SPACES.sub(" ", _PUNCT.sub(" ", s)).strip()
 
 
+@lru_cache(maxsize=1 << 16)
+def _clean_lower(s: str) -> str:
+    return clean_text(s.lower())
+
+
 def name_similarity(name: str | None, query: str | None) -> float:
     """0.4 token-sort + 0.4 token-set + 0.2 partial, on cleaned lower text."""
     if not name or not query:
         return 0.0
-    a, b = clean_text(name.lower()), clean_text(query.lower())
+    a, b = _clean_lower(name), _clean_lower(query)
     return (token_sort_ratio(a, b) * 0.4 + token_set_ratio(a, b) * 0.4
             + partial_ratio(a, b) * 0.2) / 100.0

@@ -81,7 +81,9 @@ def knn_topk(queries: DataFrame, docs: DataFrame, k: int, query_id: str = "query
     n_docs = docs.count()
     n_q = queries.count()
     if n_docs == 0 or n_q == 0 or k <= 0:
-        return queries.sparkSession.createDataFrame([], _CELL_SCHEMA.add("rank", T.LongType()))
+        empty = T.StructType([*(_CELL_SCHEMA.fields), T.StructField("rank", T.LongType())])
+        return (queries.sparkSession.createDataFrame([], empty)
+                .withColumnRenamed("query_id", query_id).withColumnRenamed("doc_id", doc_id))
     nd = max(1, math.ceil(n_docs / settings.knn_doc_block_rows))
     nq = max(1, math.ceil(n_q / settings.knn_query_block_rows))
     d = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(doc_vec).cast("array<float>").alias("vec"),

@@ -13,3 +13,25 @@ def test_stream_equals_batch(spark, sf):
     assert sorted(map(tuple, batch), key=lambda t: t[0]) == sorted(map(tuple, stream), key=lambda t: t[0])
     assert len(batch) > 0 and max(r.n_points for r in batch) <= 30
     assert key(batch[0]) is not None
+
+
+def test_stream_two_batches_out_of_order(spark, sf, tmp_path):
+    """Newer events arrive in the first micro-batch, older ones in the second; state must merge."""
+    import os
+    import time
+
+    from pyspark.sql import functions as F
+    ev = T.table(spark, sf, "events")
+    cut = ev.approxQuantile("event_id", [0.5], 0.0)[0]
+    d = str(tmp_path)
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    newer = ev.filter(F.col("event_id") > cut).toArrow()
+    older = ev.filter(F.col("event_id") <= cut).toArrow()
+    pq.write_table(newer, os.path.join(d, "events.parquet"))
+    time.sleep(1.1)   # the file source orders files by modification time
+    pq.write_table(older, os.path.join(d, "events_2.parquet"))
+    assert isinstance(newer, pa.Table)
+    batch = learn_prices(T.points_from_events(ev)).select(*COLS).collect()
+    stream = run_learning(spark, T.events_stream(spark, d)).select(*COLS).collect()
+    assert sorted(map(tuple, batch), key=lambda t: t[0]) == sorted(map(tuple, stream), key=lambda t: t[0])

@@ -18,10 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_digest(text: str | Column) -> Column:
-    """128-bit identity of a text (null counts as empty), as 16 bytes."""
-    col = F.col(text) if isinstance(text, str) else text
-    return F.unhex(F.md5(F.coalesce(col, F.lit("")).cast("binary")))
+def row_key(id_col: str, text_col: str) -> Column:
+    """128-bit identity of an (id, text) row: rows of equal id and text share it; a null id is its own id."""
+    known = F.concat(F.lit("1"), F.col(id_col).cast("string"))
+    return F.unhex(F.md5(F.concat_ws("\0", F.coalesce(known, F.lit("0")), F.coalesce(F.col(text_col), F.lit(""))).cast("binary")))
 
 
 def byte_words(text: str | None) -> list[bytes]:
@@ -34,7 +34,3 @@ def texts(batch: pa.RecordBatch, column: int = 0) -> Iterator[str | None]:
     for value in batch.column(column):
         yield value.as_py()
 
-
-def by_row(docs: DataFrame, id_col: str, other: DataFrame, digest: str = "_ps_digest") -> list[Column]:
-    """Null-safe join condition on (id, digest) of a text row."""
-    return [docs[id_col].eqNullSafe(other[id_col]), docs[digest] == other[digest]]

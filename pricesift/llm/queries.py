@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate
+from . import chat, decontaminate, quality_rules, secret_scan, simhash, substrings
+from ..session import write_shared
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +28,47 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
                         decontaminate.is_contaminated().alias("contaminated"))
 
 
+@query
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = docs.select("doc_id", secret_scan.spans_column("text").alias("found"))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"),
+                                                                     s["end"].cast("string"))), ",")
+
+    def many(kind):
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
+
+    base = F.filter("found", lambda s: s["kind"] != "guess")
+    return out.select("doc_id", many("assign").alias("n_assign"), many("access").alias("n_access"),
+                      many("hex").alias("n_hex"), F.sha2(listed(base), 256).alias("base_sha256"),
+                      listed(F.col("found")).alias("spans"))
+
+
+@query
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", quality_rules.counts_column("text").alias("_ps_counts"))
+    judged = quality_rules.judge(write_shared(docs, "counts"), table(spark, sf_dir, "labels"))
+    counts = [F.col("_ps_counts")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return judged.select("doc_id", *counts, F.col("_ps_base_failed").alias("base_failed"), F.col("_ps_kept").alias("kept"))
+
+
+@query
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    cleaned = substrings.cleaned_texts(docs, window=35).select(
+        "k1", "k2", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    keyed = docs.select("doc_id", *substrings.text_keys("text"))
+    return keyed.join(cleaned, ["k1", "k2"]).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @query
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")

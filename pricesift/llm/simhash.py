@@ -216,7 +216,9 @@ def link(fps: DataFrame, max_bits: int = 4, entry_limit: int = 8192) -> DataFram
     if not 1 <= max_bits <= 4:
         raise ValueError("the index is built for a distance of one to four bits")
     masks = F.array(*[F.struct(F.lit(i).alias("choice"), F.lit(m).alias("mask")) for i, m in enumerate(_masks(8 - max_bits))])
-    index = (fps.select("fp", F.explode(masks).alias("m"))
+    width = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Spread the fingerprints before they multiply: their own exchange was sized for single rows.
+    index = (fps.select("fp").repartition(width, "fp").select("fp", F.explode(masks).alias("m"))
              .select(F.col("m.choice").alias("choice"), F.col("fp").bitwiseAND(F.col("m.mask")).alias("key"), "fp"))
     entries = index.repartition("choice", "key").sortWithinPartitions("choice", "key")
     found = write_shared(entries.mapInArrow(_entry_edges(max_bits, entry_limit), "a long, b long"), "entry-edges")

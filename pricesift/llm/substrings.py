@@ -1,12 +1,20 @@
 """Exact substring deduplication on windows of ``window`` consecutive words.
 
 Every window gets a Rabin-Karp hash (a polynomial over 64-bit word hashes, taken
-from prefix sums). A window can only repeat where its *anchor* repeats: the gram
-of ``gram`` words inside it with the smallest hash, a choice that depends on the
-window's words alone. So anchors (about two in ``window - gram + 2`` positions)
-are counted first, and the windows whose anchor occurs once are settled; the
-hashes of the others are counted in Spark, keyed by window hash and anchor hash
-together (128 bits). Repeated windows are merged into maximal removal intervals.
+from prefix sums), and repeated hashes are found by counting in Spark. Two steps
+settle most windows without a row of their own:
+
+* A window can only repeat where its *anchor* repeats: the gram of ``gram`` words
+  inside it with the smallest hash, a choice that depends on the window's words
+  alone. Anchors stand at about two in ``window - gram + 2`` positions; they are
+  counted first, and windows whose anchor occurs once are settled.
+* Neighbouring windows that share an anchor form a run, hashed as one (the words that
+  the run spans, and the anchor's place in it). A run that repeats settles all of
+  its windows. Only the windows of the other runs, and of one witness for each
+  repeated run whose anchor such a run shares, are hashed and counted one by one.
+
+Windows are counted by window hash and anchor hash together (128 bits). Repeated
+windows are merged into maximal removal intervals.
 
 Equal texts collapse first, with map-side combination: one copy stands for all,
 and a text held by several rows has all of its windows repeated. Counting uses
@@ -55,25 +63,33 @@ class Hasher:
             self.tables = {b: (_powers(b, self.room), _powers(pow(b, -1, 1 << 64), self.room))
                            for b in (WINDOW_BASE, GRAM_BASE)}
 
-    def _rolling(self, ids: np.ndarray, base: int, length: int) -> np.ndarray:
+    def _rolling(self, ids: np.ndarray, base: int, length: int) -> tuple[np.ndarray, np.ndarray]:
         up, down = (t[:len(ids)] for t in self.tables[base])
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(ids * down, dtype=np.uint64)))
         n = len(ids) - length + 1
-        return (sums[length:] - sums[:n]) * up[:n]
-
-    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(window hashes, anchor position of each window, gram hashes)."""
+        return (sums[length:] - sums[:n]) * up[:n], sums
+
+    def runs(self, anchors: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(anchor position, run hash) of each run of windows that share an anchor."""
+        first = np.flatnonzero(np.concatenate(([True], anchors[1:] != anchors[:-1])))
+        last = np.concatenate((first[1:], [len(anchors)])) - 1
+        span = (sums[last + self.window] - sums[first]) * self.tables[WINDOW_BASE][0][first]
+        place = (anchors[first] - first) * 65_536 + (last - first)
+        return anchors[first], span + place.astype(np.uint64) * np.uint64(MIX)
+
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(window hashes, anchor position of each window, gram hashes, prefix sums)."""
         ids = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
         self._grow(len(ids))
-        windows = self._rolling(ids, WINDOW_BASE, self.window)
-        grams = self._rolling(ids, GRAM_BASE, self.gram)
+        windows, sums = self._rolling(ids, WINDOW_BASE, self.window)
+        grams, _ = self._rolling(ids, GRAM_BASE, self.gram)
         order = (grams ^ (grams >> np.uint64(31))) * np.uint64(MIX)
         order ^= order >> np.uint64(29)
         width = self.window - self.gram + 1
         views = np.lib.stride_tricks.sliding_window_view(order, width)
         anchors = np.concatenate([views[a:a + _SLAB].argmin(axis=1) + np.arange(a, min(a + _SLAB, len(views)))
                                   for a in range(0, len(views), _SLAB)])
-        return windows, anchors, grams
+        return windows, anchors, grams, sums
 
 
 def text_keys(text_col: str) -> list[Column]:
@@ -87,7 +103,9 @@ def _longs(*columns: np.ndarray) -> list[pa.Array]:
 
 
 def _anchor_rows(window: int, gram: int):
-    """(k1, k2, text) -> (k1, k2, pos, gram): the anchors of each text, once per task for equal texts."""
+    """(k1, k2, text) -> (k1, k2, pos, gram, run): the anchors of each text, once per task for equal texts."""
+    names = ["k1", "k2", "pos", "gram", "run"]
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, seen = Hasher(window, gram), set()
         for batch in batches:
@@ -97,15 +115,15 @@ def _anchor_rows(window: int, gram: int):
                 if len(words) < window or (k1, k2) in seen:
                     continue
                 seen.add((k1, k2))
-                _, anchors, grams = hasher(words)
-                at = anchors[np.concatenate(([True], anchors[1:] != anchors[:-1]))]
-                held.append((np.full(len(at), k1), np.full(len(at), k2), at.astype(np.int32), grams[at]))
+                _, anchors, grams, sums = hasher(words)
+                at, run = hasher.runs(anchors, sums)
+                held.append((np.full(len(at), k1), np.full(len(at), k2), at.astype(np.int32), grams[at], run))
                 size += len(at)
                 if size > 100_000:
-                    yield _batch(held, ["k1", "k2", "pos", "gram"])
+                    yield _batch(held, names)
                     held, size = [], 0
             if held:
-                yield _batch(held, ["k1", "k2", "pos", "gram"])
+                yield _batch(held, names)
     return rows
 
 
@@ -113,8 +131,15 @@ def _batch(held: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(_longs(*map(np.concatenate, zip(*held, strict=True))), names=names)
 
 
+def _owned(anchors: np.ndarray, positions: pa.ListScalar) -> np.ndarray:
+    """Starts of the windows whose anchor is at one of the positions."""
+    flag = np.zeros(anchors[-1] + 1, bool)
+    flag[positions.values.to_numpy(zero_copy_only=False)] = True
+    return np.flatnonzero(flag[anchors])
+
+
 def _window_rows(window: int, gram: int):
-    """(k1, k2, text, positions of repeated anchors) -> (k1, k2, start, hash, gram) of their windows."""
+    """(k1, k2, text, anchor positions) -> (k1, k2, start, hash, gram) of their windows."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, names = Hasher(window, gram), ["k1", "k2", "start", "hash", "gram"]
         for batch in batches:
@@ -123,10 +148,8 @@ def _window_rows(window: int, gram: int):
             for i, (k1, k2, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
                                                    texts(batch, 2), strict=True)):
                 words = byte_words(text)
-                windows, anchors, grams = hasher(words)
-                flag = np.zeros(len(words), bool)
-                flag[at[i].values.to_numpy(zero_copy_only=False)] = True
-                start = np.flatnonzero(flag[anchors])
+                windows, anchors, grams, _ = hasher(words)
+                start = _owned(anchors, at[i])
                 held.append((np.full(len(start), k1), np.full(len(start), k2), start.astype(np.int32),
                              windows[start], grams[anchors[start]]))
                 size += len(start)
@@ -147,22 +170,26 @@ def merge(starts: np.ndarray, window: int) -> np.ndarray:
     return np.stack((starts[first], starts[last] + window), axis=1)
 
 
-def _kept_rows(window: int):
-    """(k1, k2, text, copies, starts) -> (k1, k2, n_words, n_removed, kept_text, spans)."""
+def _kept_rows(window: int, gram: int):
+    """(k1, k2, text, copies, whole, starts) -> (k1, k2, n_words, n_removed, kept_text, spans)."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(window, gram)
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            starts = batch.column(4)
+            whole, starts = batch.column(4), batch.column(5)
             copies = batch.column(3).to_pylist()
             out: list[list] = [[], [], [], []]
             for i, text in enumerate(texts(batch, 2)):
                 words = byte_words(text)
+                found = [np.empty(0, np.int64)]
                 if copies[i] > 1:  # every window starts in the copies too
-                    cuts = merge(np.arange(max(0, len(words) - window + 1)), window)
-                elif starts[i].is_valid:
-                    cuts = merge(np.sort(starts[i].values.to_numpy(zero_copy_only=False).astype(np.int64)), window)
-                else:
-                    cuts = merge(np.empty(0, np.int64), window)
+                    found.append(np.arange(max(0, len(words) - window + 1)))
+                elif whole[i].is_valid or starts[i].is_valid:
+                    if whole[i].is_valid and len(whole[i].values):
+                        found.append(_owned(hasher(words)[1], whole[i]))
+                    if starts[i].is_valid:
+                        found.append(starts[i].values.to_numpy(zero_copy_only=False))
+                cuts = merge(np.unique(np.concatenate(found)), window)
                 cuts = cuts.tolist()
                 kept, at = [], 0
                 for a, b in cuts:
@@ -183,31 +210,39 @@ def _kept_rows(window: int):
 def cleaned_texts(docs: DataFrame, window: int = 35, gram: int = 8, text_col: str = "text") -> DataFrame:
     """(k1, k2, n_words, n_removed, kept_text, spans), one row per distinct text."""
     keyed = docs.select(*text_keys(text_col), F.col(text_col).alias("text"))
-    anchors = write_shared(keyed.mapInArrow(_anchor_rows(window, gram), "k1 long, k2 long, pos int, gram long"), "anchors")
+    anchors = write_shared(keyed.mapInArrow(_anchor_rows(window, gram), "k1 long, k2 long, pos int, gram long, run long"), "anchors")
 
-    def repeated(df: DataFrame, keys: list[str], place: str) -> DataFrame:
-        """Keys that occur at two places or more."""
+    def counted(df: DataFrame, keys: list[str], place: str) -> DataFrame:
+        """Least and greatest occurrence of each key."""
         spot = F.xxhash64("k1", "k2", place)
-        return (df.groupBy(*keys).agg(F.min(spot).alias("lo"), F.max(spot).alias("hi"))
-                .where("lo <> hi").select(*keys))
-
-    flagged = (anchors.join(repeated(anchors, ["gram"], "pos"), "gram")
-               .groupBy("k1", "k2").agg(F.collect_set("pos").alias("at")))
+        return df.groupBy(*keys).agg(F.min(spot).alias("lo"), F.max(spot).alias("hi"))
+
+    known = anchors.join(counted(anchors, ["gram"], "pos").where("lo <> hi").select("gram"), "gram")
+    known = write_shared(known.select("k1", "k2", "pos", "gram", "run"), "repeated-anchors")
+    runs = counted(known, ["gram", "run"], "pos")
+    single = runs.where("lo = hi").select("gram").distinct().withColumn("single", F.lit(True))
+    judged = known.join(runs.join(single, "gram", "left"), ["gram", "run"])
+    whole = F.col("lo") != F.col("hi")
+    witness = F.col("single") & (F.xxhash64("k1", "k2", "pos") == F.col("lo"))  # of a run, or the run's only one
+    places = judged.groupBy("k1", "k2").agg(F.collect_set(F.when(whole, F.col("pos"))).alias("whole"),
+                                            F.collect_set(F.when(witness, F.col("pos"))).alias("open"))
+    places = write_shared(places, "places")
     unique = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    windows = (unique.join(flagged, ["k1", "k2"]).select("k1", "k2", "text", "at")
+    windows = (unique.join(places.where(F.size("open") > 0).select("k1", "k2", "open"), ["k1", "k2"])
+               .select("k1", "k2", "text", "open")
                .mapInArrow(_window_rows(window, gram), "k1 long, k2 long, start int, hash long, gram long"))
-    starts = (windows.join(repeated(windows, ["hash", "gram"], "start"), ["hash", "gram"])
+    starts = (windows.join(counted(windows, ["hash", "gram"], "start").where("lo <> hi").select("hash", "gram"), ["hash", "gram"])
               .groupBy("k1", "k2").agg(F.collect_set("start").alias("starts")))
-    return (unique.join(starts, ["k1", "k2"], "left").select("k1", "k2", "text", "copies", "starts")
-            .mapInArrow(_kept_rows(window), "k1 long, k2 long, n_words long, n_removed long, kept_text string, "
-                                            "spans array<struct<start:long,end:long>>"))
+    return (unique.join(places.select("k1", "k2", "whole"), ["k1", "k2"], "left").join(starts, ["k1", "k2"], "left")
+            .select("k1", "k2", "text", "copies", "whole", "starts")
+            .mapInArrow(_kept_rows(window, gram), "k1 long, k2 long, n_words long, n_removed long, kept_text string, "
+                                                  "spans array<struct<start:long,end:long>>"))
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, text_col: str = "text") -> DataFrame:
     """``docs`` with its texts cut down to the words that no repeated window covers."""
-    out = (cleaned_texts(docs, window, text_col=text_col)
-           .select("k1", "k2", F.col("kept_text").alias("_ps_kept")))
+    out = cleaned_texts(docs, window, text_col=text_col).select(
+        F.col("k1").alias("_ps_k1"), F.col("k2").alias("_ps_k2"), F.col("kept_text").alias("_ps_kept"))
     k1, k2 = text_keys(text_col)
-    keyed = docs.withColumn("_ps_k1", k1).withColumn("_ps_k2", k2)
-    joined = keyed.join(out, (keyed["_ps_k1"] == out["k1"]) & (keyed["_ps_k2"] == out["k2"]))
+    joined = docs.withColumn("_ps_k1", k1).withColumn("_ps_k2", k2).join(out, ["_ps_k1", "_ps_k2"])
     return joined.withColumn(text_col, F.col("_ps_kept")).select(*docs.columns)

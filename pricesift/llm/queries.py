@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, quality_rules, secret_scan, simhash, substrings
+from . import chat, decontaminate, licenses, packing, quality_fm, quality_rules, secret_scan, simhash, substrings, warc
 from ..session import write_shared
 from .common import table
 
@@ -69,6 +69,29 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.join(cleaned, ["k1", "k2"]).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+@query
+def op6_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.round_trip(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    said = F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["start"].cast("string"), m["end"].cast("string")))
+    return out.select("doc_id", F.size("matches").cast("long").alias("n_matches"),
+                      F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"]))), ",").alias("licenses"),
+                      F.array_join(said, ",").alias("spans"),
+                      F.size(F.flatten(F.transform("matches", lambda m: m["differences"]))).cast("long").alias("n_differences"))
+
+
+@query
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    model = quality_fm.train(docs, table(spark, sf_dir, "labels"))
+    return quality_fm.score(docs, model).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 @query
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -84,3 +107,8 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.char_length("loss").cast("long").alias("loss_chars"),
                       F.sha2(F.col("loss"), 256).alias("loss_sha256"),
                       F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))

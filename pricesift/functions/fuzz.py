@@ -1,132 +1,172 @@
-"""Fuzzy string ratios (indel-based), a small per-row helper for pandas UDFs.
-
-Definitions follow the published fuzzywuzzy semantics on top of an indel
-(LCS) ratio: ``ratio = round(100 * 2 * LCS / (len a + len b))`` with Python's
-half-even rounding, equal strings score 100, an empty side scores 0. The LCS is
-computed bit-parallel on Python integers (Hyyrö 2004), so one call costs
-O(len(b)) big-integer operations.
+"""Indel-based string ratios over whole batches of pairs.
+
+``ratio = round(100 * 2 * LCS / (len a + len b))`` with half-even rounding; equal
+strings score 100, an empty side scores 0. All pairs of a batch advance together:
+strings become padded code arrays, and the bit-parallel LCS keeps one or more
+64-bit words per pair, so one numpy operation moves every pair one character on.
+Token parts are native Spark columns (``functions.text``); the scalar forms below
+serve tests and single values.
 """
 
 from __future__ import annotations
 
 import re
-from functools import lru_cache
-
-_NON_WORD = re.compile(r"(?ui)\W")
-_PUNCT = re.compile(r"[^\w\s]")
-_SPACES = re.compile(r"\s+")
-
-
-@lru_cache(maxsize=1 << 16)
-def _masks(a: str) -> tuple[dict[str, int], int]:
-    """Bit masks of each character's positions in ``a`` (read-only, cached)."""
-    masks: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        masks[ch] = masks.get(ch, 0) | (1 << i)
-    return masks, (1 << len(a)) - 1
-
 
+import numpy as np
+
+_CHUNK = 4096  # pairs that advance together
+_WINDOWS = 1 << 16  # substring windows compared at once
+
+
+def _lcs_codes(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    """LCS lengths of padded code arrays; the pads of both sides never match."""
+    n, words = len(a), max(1, -(-a.shape[1] // 64))
+    kind = np.uint8 if max(a.max(initial=0), b.max(initial=0)) < 254 else np.uint32  # narrow codes compare faster
+    top = np.iinfo(kind).max
+    wide = np.full((n, 64 * words), top, kind)
+    wide[:, :a.shape[1]] = np.where(np.arange(a.shape[1]) < la[:, None], a, top)
+    steps = np.where(np.arange(b.shape[1]) < lb[:, None], b, top - 1).astype(kind).T.copy()
+    free = np.full((n, words), 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for j in range(int(lb.max(initial=0))):
+        same = np.packbits(wide == steps[j][:, None], axis=1, bitorder="little").view("<u8")
+        taken = free & same
+        if words == 1:
+            grown = free + taken
+        else:
+            grown, carry = np.empty_like(free), np.zeros(n, np.uint64)
+            for w in range(words):
+                part = free[:, w] + taken[:, w]
+                grown[:, w] = part + carry
+                carry = ((part < free[:, w]) | (grown[:, w] < part)).astype(np.uint64)
+        free = grown | (free & ~same)
+    return np.bitwise_count(~free).sum(axis=1).astype(np.int64)
+
+
+def _codes(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.fromiter(map(len, strings), np.int64, len(strings))
+    width = max(1, int(lengths.max(initial=0)))
+    return np.array(strings, dtype=f"U{width}").view(np.uint32).reshape(len(strings), width), lengths
+
+
+def _by_length(a: list[str], b: list[str]):
+    """Index chunks of pairs of like size, so one long string pads few others."""
+    order = np.argsort(np.fromiter((max(len(x), len(y)) for x, y in zip(a, b, strict=True)), np.int64, len(a)), kind="stable")
+    for at in range(0, len(order), _CHUNK):
+        yield order[at:at + _CHUNK]
+
+
+def lcs_lens(a: list[str], b: list[str]) -> np.ndarray:
+    out = np.zeros(len(a), np.int64)
+    for pick in _by_length(a, b):
+        (x, lx), (y, ly) = _codes([a[i] for i in pick]), _codes([b[i] for i in pick])
+        out[pick] = _lcs_codes(x, lx, y, ly) if x.shape[1] >= y.shape[1] else _lcs_codes(y, ly, x, lx)
+    return out
+
+
+def ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """0..100 per pair."""
+    total = np.fromiter((len(x) + len(y) for x, y in zip(a, b, strict=True)), np.int64, len(a))
+    raw = 2.0 * lcs_lens(a, b) / np.maximum(total, 1)
+    return np.where(total == 0, 100.0, np.rint(100 * raw))
+
+
+def partial_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """Best ratio of the shorter string against every window of its length in the longer one."""
+    out = np.zeros(len(a))
+    for pick in _by_length(a, b):
+        pairs = [(a[i], b[i]) if len(a[i]) <= len(b[i]) else (b[i], a[i]) for i in pick]
+        (short, ls), (long, ll) = _codes([s for s, _ in pairs]), _codes([t for _, t in pairs])
+        best = np.zeros(len(pick))
+        counts = np.where(ls > 0, ll - ls + 1, 0)
+        groups = np.concatenate(([0], np.cumsum(counts)))
+        for lo in range(0, int(groups[-1]), _WINDOWS):
+            at = np.arange(lo, min(lo + _WINDOWS, int(groups[-1])))
+            pair = np.searchsorted(groups, at, side="right") - 1
+            start = at - groups[pair]
+            take = np.minimum(start[:, None] + np.arange(short.shape[1]), long.shape[1] - 1)
+            n = _lcs_codes(short[pair], ls[pair], long[pair[:, None], take], ls[pair])
+            np.maximum.at(best, pair, 2.0 * n / (2 * ls[pair]))
+        score = np.where(best > 0.995, 100.0, np.rint(100 * best))
+        out[pick] = np.where((ls == 0) & (ll == 0), 100.0, score)
+    return out
+
+
+def blend(ts: np.ndarray, tset: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """F6 weights: 0.4 token-sort + 0.4 token-set + 0.2 partial."""
+    return (ts * 0.4 + tset * 0.4 + part * 0.2) / 100.0
+
+
+def similarity_batch(clean: tuple[list, list], sort: tuple[list, list], sect: list, c1: list, c2: list,
+                     floor: float | None = None) -> np.ndarray:
+    """F6 of a batch from its token parts.
+
+    With ``floor``, pairs that cannot exceed it any more drop out before the next
+    ratio is computed and get 0: first on the token-sort ratio, then with token-set.
+    """
+    n = len(sect)
+    ts, tset, part = ratios(*sort), np.full(n, 100.0), np.full(n, 100.0)
+
+    def alive() -> np.ndarray:
+        return np.arange(n) if floor is None else np.flatnonzero(blend(ts, tset, part) > floor)
+
+    at = alive()
+    pick = lambda x, i: [x[k] for k in i]
+    s, x, y = pick(sect, at), pick(c1, at), pick(c2, at)
+    best = np.maximum(np.maximum(ratios(s, x), ratios(s, y)), ratios(x, y))
+    tset[at] = np.where([bool(p) and bool(q) for p, q in zip(x, y, strict=True)], best, 0.0) if len(at) else best
+    gone = np.ones(n, bool)
+    at = np.intersect1d(at, alive())
+    gone[at] = False
+    part[at] = partial_ratios(pick(clean[0], at), pick(clean[1], at))
+    return np.where(gone, 0.0, blend(ts, tset, part))
+
+
+# --- single values ---------------------------------------------------------------------
 def lcs_len(a: str, b: str) -> int:
-    if not a or not b:
-        return 0
-    masks, full = _masks(a)
-    v = full
-    for ch in b:
-        m = masks.get(ch, 0)
-        u = v & m
-        v = ((v + u) | (v - u)) & full
-    return len(a) - bin(v).count("1")
-
-
-def _intr(x: float) -> int:
-    return int(round(x))
-
-
-def raw_ratio(a: str, b: str) -> float:
-    total = len(a) + len(b)
-    return 2.0 * lcs_len(a, b) / total if total else 0.0
+    return int(lcs_lens([a], [b])[0])
 
 
 def ratio(a: str | None, b: str | None) -> int:
-    if a is None or b is None:
-        return 0
-    if a == b:
-        return 100
-    if not a or not b:
-        return 0
-    return _intr(100 * raw_ratio(a, b))
+    return 0 if a is None or b is None else int(ratios([a], [b])[0])
 
 
 def partial_ratio(a: str | None, b: str | None) -> int:
-    """Best ratio of the shorter string against every window of its length."""
-    if a is None or b is None:
-        return 0
-    if a == b:
-        return 100
-    if not a or not b:
-        return 0
-    short, long_ = (a, b) if len(a) <= len(b) else (b, a)
-    n = len(short)
-    best = 0.0
-    for i in range(len(long_) - n + 1):
-        r = raw_ratio(short, long_[i:i + n])
-        if r > best:
-            best = r
-            if r > 0.995:
-                return 100
-    return _intr(100 * best)
+    return 0 if a is None or b is None else int(partial_ratios([a], [b])[0])
 
 
-@lru_cache(maxsize=1 << 16)
-def full_process(s: str) -> str:
-    s = "".join(ch for ch in s if ord(ch) < 128)
-    return _NON_WORD.sub(" ", s).lower().strip()
-
-
-@lru_cache(maxsize=1 << 16)
-def token_sort(s: str) -> str:
-    return " ".join(sorted(full_process(s).split())).strip()
+def words_of(text: str) -> list[str]:
+    """Lower-case ASCII word runs: other ASCII parts words, anything beyond ASCII vanishes."""
+    return re.sub(r"\W", " ", text.encode("ascii", "ignore").decode()).lower().split()
 
 
 def token_sort_ratio(a: str | None, b: str | None) -> int:
     if a is None or b is None:
         return 0
-    return ratio(token_sort(a), token_sort(b))
+    return ratio(" ".join(sorted(words_of(a))), " ".join(sorted(words_of(b))))
 
 
-@lru_cache(maxsize=1 << 16)
-def _token_set(p: str) -> frozenset:
-    return frozenset(p.split())
+def set_parts(a: str, b: str) -> tuple[str, str, str]:
+    """Shared words, and the shared words followed by each side's own."""
+    x, y = set(words_of(a)), set(words_of(b))
+    shared = sorted(x & y)
+    return " ".join(shared), " ".join(shared + sorted(x - y)), " ".join(shared + sorted(y - x))
 
 
 def token_set_ratio(a: str | None, b: str | None) -> int:
     if a is None or b is None:
         return 0
-    p1, p2 = full_process(a), full_process(b)
-    if not p1 or not p2:
-        return 0
-    t1, t2 = _token_set(p1), _token_set(p2)
-    sect = " ".join(sorted(t1 & t2))
-    c12 = (sect + " " + " ".join(sorted(t1 - t2))).strip()
-    c21 = (sect + " " + " ".join(sorted(t2 - t1))).strip()
-    return max(ratio(sect, c12), ratio(sect, c21), ratio(c12, c21))
+    sect, c1, c2 = set_parts(a, b)
+    return int(max(ratios([sect, sect, c1], [c1, c2, c2]))) if c1 and c2 else 0
 
 
-@lru_cache(maxsize=1 << 16)
 def clean_text(s: str) -> str:
     """punctuation to space, squeeze spaces, trim (input already lower-cased)."""
-    return _SPACES.sub(" ", _PUNCT.sub(" ", s)).strip()
-
-
-@lru_cache(maxsize=1 << 16)
-def _clean_lower(s: str) -> str:
-    return clean_text(s.lower())
+    return " ".join(re.sub(r"[^\w\s]", " ", s).split())
 
 
 def name_similarity(name: str | None, query: str | None) -> float:
-    """0.4 token-sort + 0.4 token-set + 0.2 partial, on cleaned lower text."""
+    """F6 on cleaned lower text; 0 when either side is missing."""
     if not name or not query:
         return 0.0
-    a, b = _clean_lower(name), _clean_lower(query)
-    return (token_sort_ratio(a, b) * 0.4 + token_set_ratio(a, b) * 0.4
-            + partial_ratio(a, b) * 0.2) / 100.0
+    a, b = clean_text(name.lower()), clean_text(query.lower())
+    return (token_sort_ratio(a, b) * 0.4 + token_set_ratio(a, b) * 0.4 + partial_ratio(a, b) * 0.2) / 100.0

@@ -4,13 +4,14 @@ LCS-based ratios that have no built-in.
 Native: ``clean_text`` (F1), ``token_sort_key`` (F3), token sets (F4),
 ``levenshtein_similarity`` (SQL-checkable sibling of F6), ``slug`` (F16),
 ``title_case`` (D7).
-UDF (pandas, one Arrow batch per call): ``ratio_udf`` (F2), ``partial_ratio_udf``
-(F5), ``token_sort_ratio_udf`` (F3), ``token_set_ratio_udf`` (F4),
-``name_similarity_udf`` (F6). Callers dedupe string pairs before calling these.
+UDF (numpy over an Arrow batch): ``ratio_udf`` (F2), ``partial_ratio_udf`` (F5),
+``token_sort_ratio_udf`` (F3), ``token_set_ratio_udf`` (F4), ``name_similarity_udf``
+(F6); the token parts reach them as native columns.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -84,31 +85,55 @@ def title_case(x) -> Column:
          .otherwise(ch))), "")
 
 
-# --- Arrow-batched ratio UDFs ---------------------------------------------------
-def _pair(fn, a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([fn(x, y) for x, y in zip(a, b)], dtype="float64")
+# --- Arrow-batched ratio UDFs (numpy over the whole batch, no call per row) --------------
+def _both_known(fn, a: pd.Series, b: pd.Series) -> pd.Series:
+    out = pd.Series(0.0, index=a.index)
+    known = (a.notna() & b.notna()).to_numpy()
+    if known.any():
+        out[known] = fn(a[known].tolist(), b[known].tolist())
+    return out
 
 
 @F.pandas_udf(DoubleType())
 def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return _pair(fuzz.ratio, a, b)
+    return _both_known(fuzz.ratios, a, b)
 
 
 @F.pandas_udf(DoubleType())
 def partial_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return _pair(fuzz.partial_ratio, a, b)
+    return _both_known(fuzz.partial_ratios, a, b)
 
 
 @F.pandas_udf(DoubleType())
-def token_sort_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return _pair(fuzz.token_sort_ratio, a, b)
+def _set_ratio_udf(sect: pd.Series, c1: pd.Series, c2: pd.Series) -> pd.Series:
+    x, y, s = c1.tolist(), c2.tolist(), sect.tolist()
+    best = np.maximum(np.maximum(fuzz.ratios(s, x), fuzz.ratios(s, y)), fuzz.ratios(x, y))
+    return pd.Series(np.where((c1 != "") & (c2 != ""), best, 0.0))
 
 
-@F.pandas_udf(DoubleType())
-def token_set_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return _pair(fuzz.token_set_ratio, a, b)
+def token_sort_ratio_udf(a, b) -> Column:
+    return ratio_udf(token_sort_key(a), token_sort_key(b))
 
 
-@F.pandas_udf(DoubleType())
-def name_similarity_udf(name: pd.Series, query: pd.Series) -> pd.Series:
-    return _pair(fuzz.name_similarity, name, query)
+def token_set_ratio_udf(a, b) -> Column:
+    known = _c(a).isNotNull() & _c(b).isNotNull()
+    parts = [F.coalesce(p, F.lit("")) for p in token_set_parts(a, b)]
+    return F.when(known, _set_ratio_udf(*parts)).otherwise(0.0)
+
+
+def _similarity_udf(floor: float | None):
+    @F.pandas_udf(DoubleType())
+    def run(ca: pd.Series, cb: pd.Series, sa: pd.Series, sb: pd.Series, sect: pd.Series,
+            c1: pd.Series, c2: pd.Series) -> pd.Series:
+        return pd.Series(fuzz.similarity_batch((ca.tolist(), cb.tolist()), (sa.tolist(), sb.tolist()),
+                                               sect.tolist(), c1.tolist(), c2.tolist(), floor))
+    return run
+
+
+def name_similarity_udf(name, query, floor: float | None = None) -> Column:
+    """F6 of two text columns; with ``floor``, pairs that cannot exceed it may get 0."""
+    a, b = _c(name), _c(query)
+    ca, cb = clean_text(F.coalesce(a, F.lit(""))), clean_text(F.coalesce(b, F.lit("")))
+    score = _similarity_udf(floor)(ca, cb, token_sort_key(ca), token_sort_key(cb), *token_set_parts(ca, cb))
+    empty = (F.coalesce(F.length(a), F.lit(0)) == 0) | (F.coalesce(F.length(b), F.lit(0)) == 0)
+    return F.when(empty, 0.0).otherwise(score)

@@ -5,8 +5,7 @@ come from two ``count()`` scalars and the block sizes in ``Settings``). Each
 document row is tagged with every query block and each query row with every
 document block, so cell (d, q) meets exactly one document block and one query
 block in ``cogroup(...).applyInPandas``. A cell does one numpy matrix product
-and emits, per query, every document scoring at least its k-th best score
-(ties kept). A final ``row_number() <= k`` per query (a literal bound, so Spark
+and emits, per query, its k best documents (equal scores by id). A final ``row_number() <= k`` per query (a literal bound, so Spark
 adds a partial WindowGroupLimit before the shuffle) picks the global top k.
 
 Memory per task is bounded by the block sizes, no pair table is ever
@@ -49,7 +48,7 @@ def dot(a, b) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def _cell_topk(k: int, exclude_self: bool):
+def _cell_topk(k: int, exclude_self: bool, digits: int | None = None):
     def fn(docs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
         if docs.empty or qs.empty:
             return pd.DataFrame({"query_id": pd.Series([], dtype="int64"),
@@ -62,13 +61,20 @@ def _cell_topk(k: int, exclude_self: bool):
         dm = np.divide(dm, dn, out=np.zeros_like(dm), where=dn > 0)
         qm = np.divide(qm, qn, out=np.zeros_like(qm), where=qn > 0)
         sims = qm @ dm.T                                   # (queries, docs) of this cell
+        if digits is not None:
+            sims = np.round(sims, digits)
         did = docs["id"].to_numpy(dtype=np.int64)
         qid = qs["id"].to_numpy(dtype=np.int64)
         if exclude_self:
             sims[qid[:, None] == did[None, :]] = -np.inf
-        kk = min(k, sims.shape[1])
-        kth = -np.partition(-sims, kk - 1, axis=1)[:, kk - 1:kk]   # k-th best per query
-        rows, cols = np.nonzero((sims >= kth) & np.isfinite(sims))
+        # The k best of each query; equal scores go by id, so a cell never emits more than k.
+        by_id = np.argsort(did, kind="stable")
+        sims, did = sims[:, by_id], did[by_id]
+        cols = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+        rows = np.repeat(np.arange(len(qid)), cols.shape[1])
+        cols = cols.ravel()
+        real = np.isfinite(sims[rows, cols])
+        rows, cols = rows[real], cols[real]
         return pd.DataFrame({"query_id": qid[rows], "doc_id": did[cols], "score": sims[rows, cols]})
     return fn
 
@@ -76,8 +82,11 @@ def _cell_topk(k: int, exclude_self: bool):
 def knn_topk(queries: DataFrame, docs: DataFrame, k: int, query_id: str = "query_id",
              query_vec: str = "qvec", doc_id: str = "doc_id", doc_vec: str = "embedding",
              exclude_self: bool = False, min_score: float | None = None,
-             settings: Settings = DEFAULT) -> DataFrame:
-    """Top-k documents per query by cosine; ``min_score`` filters after the top-k."""
+             settings: Settings = DEFAULT, digits: int | None = None) -> DataFrame:
+    """Top-k documents per query by cosine; ``min_score`` filters after the top-k.
+
+    ``digits`` rounds the scores before they are compared, so that equal texts tie.
+    """
     n_docs = docs.count()
     n_q = queries.count()
     if n_docs == 0 or n_q == 0 or k <= 0:
@@ -94,7 +103,7 @@ def knn_topk(queries: DataFrame, docs: DataFrame, k: int, query_id: str = "query
                        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nd - 1).cast("bigint"))).alias("db"),
                        F.pmod(F.xxhash64(query_id), F.lit(nq).cast("bigint")).alias("qb"))
     cand = (d.groupBy("db", "qb").cogroup(q.groupBy("db", "qb"))
-            .applyInPandas(_cell_topk(k, exclude_self), _CELL_SCHEMA))
+            .applyInPandas(_cell_topk(k, exclude_self, digits), _CELL_SCHEMA))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id"))
     top = cand.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
     if min_score is not None:

@@ -3,26 +3,26 @@ duplicate tests (J7), near-duplicate grouping (J5) and similar-product groups (J
 
 Near-duplicate grouping at scale
 --------------------------------
-1. Nodes are distinct (query_id, name, price): exact copies are one node, so
-   copies never multiply pairs.
-2. Similar names are found on each query's name vocabulary (not on offers),
-   with a lossless length bound before the Arrow UDF, once per name pair.
-3. Offers are linked along sorted prices: consecutive prices of one name, and
-   the nearest price above/below across two similar names. This yields the
-   same connected components as testing every offer pair, with O(nodes) edges
-   and no pair table (see ``duplicate_edges``).
-4. Connected components over the surviving edges: min-label propagation with
-   pointer jumping, lineage cut by ``checkpoint()`` into spark.checkpoint.dir.
-5. The reference's order-dependent greedy grouping only links rows through
-   edges, so replaying it per component (``applyInPandas``) is exactly the
-   global greedy result. Components larger than ``greedy_max_component`` are
-   kept whole as one group instead (documented deviation; no row is dropped).
+1. Exact copies are one node: nodes are distinct (query, name, price).
+2. Names of a query are compared on its vocabulary, never on offers. A pair passes
+   with a token-sort ratio of 63 when the other ratios are high, so names that share
+   no word, or differ in half of their characters, may still be alike: no word or
+   prefix key can rule a pair out without losing links. The vocabulary pairs are
+   therefore compared as salted blocks (a hot query spreads over ``PAIR_BLOCKS``
+   keys), behind a lossless length bound, with a kernel that drops a pair as soon as
+   it cannot pass any more.
+3. Offers of one name form maximal runs of close prices (segments); segments of
+   similar names link by their price intervals, in O(segments), without offer pairs.
+4. Components of the segment graph by star contraction (``operators.components``),
+   one path for every size. ``mode="components"`` groups by them: the scale form.
+5. ``mode="greedy"`` replays the reference's order-dependent first-fit grouping inside
+   each component, exactly and without any cap. The replay is sequential by
+   definition, so a component is one task's work: an operator for parity checks.
 """
 
 from __future__ import annotations
 
 import bisect
-import os
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -33,8 +33,13 @@ from ..functions import fuzz
 from ..functions.features import feature_scores, product_features
 from ..functions.text import (ascii_words, clean_text, name_similarity_udf, partial_ratio_udf, ratio_udf,
                               token_sort_key, token_sort_ratio_udf)
-from ..session import ensure_checkpoint_dir
+from ..session import write_shared
 from ..settings import DEFAULT, Settings
+from .components import connected_components
+from .rank import row_number_by_range
+
+PAIR_BLOCKS = 16  # keys over which the vocabulary pairs of one query spread
+
 
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin over the shuffle partitions before a Python UDF.
@@ -64,9 +69,8 @@ def feature_similarity(p1: Column, p2: Column, query: Column, settings: Settings
 def rank_products(df: DataFrame, key: str, name: str, query: str) -> DataFrame:
     """relevance = partial ratio of the query against the name; rank desc, stable on name."""
     rel = partial_ratio_udf(F.lower(F.col(query)), F.lower(F.col(name))) / 100.0
-    r = df.withColumn("relevance", rel)
-    w = Window.partitionBy(key).orderBy(F.col("relevance").desc(), F.col(name))
-    return r.withColumn("rank", F.row_number().over(w).cast("bigint")).select(key, name, "relevance", "rank")
+    r = df.select(key, name, rel.alias("relevance"))
+    return row_number_by_range(r, key, [F.col("relevance").desc(), F.col(name)]).select(key, name, "relevance", "rank")
 
 
 def is_duplicate(sim: Column, p1: Column, p2: Column, settings: Settings = DEFAULT) -> Column:
@@ -77,30 +81,55 @@ def is_duplicate(sim: Column, p1: Column, p2: Column, settings: Settings = DEFAU
     return sim >= thr
 
 
+def duplicate_pairs(products: DataFrame, key: str, name: str, price: str, settings: Settings = DEFAULT) -> DataFrame:
+    """J7 over all name pairs of a key: (key, name_a, price_a, name_b, price_b, similarity) of the duplicates.
+
+    A score of 0.85 (F10 without a query) needs two known, equal brands: an unknown one
+    already costs 0.125 and a second loss follows from the query term. So the pairs are
+    joined on (key, brand), and a lossless length bound follows from a token-sort ratio
+    of at least 66.
+    """
+    v = (products.select(key, F.col(name).alias("name"), F.col(price).alias("price"),
+                         product_features(F.col(name))["brand"].alias("brand"), F.length(token_sort_key(F.lower(F.col(name)))).alias("n"))
+         .filter(F.col("brand").isNotNull()).withColumn("_key", F.struct(F.col(key), F.col("brand"))))
+    la, lb = F.col("n_a"), F.col("n_b")
+    p = (vocabulary_pairs(v, "_key", "name", ["price", "n"])
+         .filter((F.least(la, lb) * 2 >= (la + lb) * 0.655) | ((la == 0) & (lb == 0))))
+    scored = spread(p.select(F.col("_key")[key].alias(key), "name_a", "price_a", "name_b", "price_b")).withColumn(
+        "similarity", feature_similarity(F.col("name_a"), F.col("name_b"), F.lit(""), settings))
+    return scored.filter(is_duplicate(F.col("similarity"), F.col("price_a"), F.col("price_b"), settings))
+
+
 # --- duplicate edges -------------------------------------------------------------------
 def _nodes(offers: DataFrame) -> DataFrame:
     """Distinct (query_id, name, price): exact copies are one node."""
     return offers.select("query_id", "product_name", "norm_price").distinct()
 
 
+def vocabulary_pairs(vocabulary: DataFrame, key: str, name: str, extra: list[str] | None = None) -> DataFrame:
+    """(key, name_a, name_b, extra_a, extra_b) of all name pairs a < b of a key, in salted blocks."""
+    extra = extra or []
+    a = vocabulary.select(key, F.pmod(F.xxhash64(name), F.lit(PAIR_BLOCKS)).alias("_block"), F.col(name).alias("name_a"),
+                          *[F.col(c).alias(f"{c}_a") for c in extra])
+    b = vocabulary.select(key, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PAIR_BLOCKS - 1).cast("bigint"))).alias("_block"),
+                          F.col(name).alias("name_b"), *[F.col(c).alias(f"{c}_b") for c in extra])
+    return a.join(b, [key, "_block"]).filter(F.col("name_a") < F.col("name_b")).drop("_block")
+
+
 def similar_names(offers: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Pairs of distinct names of the same query with name similarity above the threshold.
 
     Works on the name vocabulary of each query, never on offers. A lossless
     length bound on the token-sorted names (token-sort ratio >= 63 is needed)
-    prunes pairs before the UDF, which runs once per distinct name pair.
+    prunes pairs before the kernel.
     """
     v = (offers.select("query_id", "product_name").distinct()
-         .withColumn("sort_len", F.length(token_sort_key("product_name"))))
-    a = v.select("query_id", F.col("product_name").alias("name_a"), F.col("sort_len").alias("la"))
-    b = v.select("query_id", F.col("product_name").alias("name_b"), F.col("sort_len").alias("lb"))
-    la, lb = F.col("la"), F.col("lb")
-    p = (a.join(b, "query_id").filter(F.col("name_a") < F.col("name_b"))
-         .filter(((la == 0) & (lb == 0)) | (F.least(la, lb) * 2 >= (la + lb) * 0.625)))
-    names = spread(p.select("name_a", "name_b").distinct()).withColumn(
-        "name_sim", name_similarity_udf("name_a", "name_b"))
-    return (p.join(names, ["name_a", "name_b"]).filter(F.col("name_sim") > settings.duplicate_threshold)
-            .select("query_id", "name_a", "name_b", "name_sim"))
+         .withColumn("n", F.length(token_sort_key(clean_text("product_name")))))
+    la, lb = F.col("n_a"), F.col("n_b")
+    p = (vocabulary_pairs(v, "query_id", "product_name", ["n"])
+         .filter(((la == 0) & (lb == 0)) | (F.least(la, lb) * 2 >= (la + lb) * 0.625)).drop("n_a", "n_b"))
+    scored = spread(p).withColumn("name_sim", name_similarity_udf("name_a", "name_b", floor=settings.duplicate_threshold))
+    return scored.filter(F.col("name_sim") > settings.duplicate_threshold)
 
 
 def _close(p1: Column, p2: Column, settings: Settings) -> Column:
@@ -117,123 +146,6 @@ def chain_edges(offers: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
                     F.col("product_name").alias("name_b"), F.col("next_price").alias("price_b")))
 
 
-def duplicate_edges(offers: DataFrame, settings: Settings = DEFAULT, sims: DataFrame | None = None) -> DataFrame:
-    """Edges that connect exactly the components of the duplicate graph, in O(nodes).
-
-    * Same name: a name is similar to itself, so along its sorted prices every
-      node links to the next one when their price similarity passes; any two
-      close prices are connected through the nodes between them.
-    * Similar names (a, b): each node of ``a`` links to the nearest price of ``b``
-      below and above it when close enough; every other close ``b`` node lies
-      beyond those and is reached along ``b``'s own chain.
-    Columns: query_id, name_a, price_a, name_b, price_b.
-    """
-    n = _nodes(offers)
-    chain = chain_edges(offers, settings)
-    sims = similar_names(offers, settings) if sims is None else sims
-    both = sims.select("query_id", "name_a", "name_b").unionByName(
-        sims.select("query_id", F.col("name_b").alias("name_a"), F.col("name_a").alias("name_b")))
-    side_a = (both.join(n.withColumnRenamed("product_name", "name_a"), ["query_id", "name_a"])
-              .select("query_id", "name_a", "name_b", "norm_price", F.lit(True).alias("is_a")))
-    side_b = (both.join(n.withColumnRenamed("product_name", "name_b"), ["query_id", "name_b"])
-              .select("query_id", "name_a", "name_b", "norm_price", F.lit(False).alias("is_a")))
-    u = side_a.unionByName(side_b).withColumn("b_price", F.when(~F.col("is_a"), F.col("norm_price")))
-    # Both neighbours use growing frames (unbounded preceding .. previous row),
-    # which Spark evaluates in one pass; "above" runs over the descending order.
-    # Ties: an equal b price counts as above (a rows sort before b rows going up).
-    part = Window.partitionBy("query_id", "name_a", "name_b")
-    up = part.orderBy("norm_price", F.col("is_a").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    down = part.orderBy(F.col("norm_price").desc(), F.col("is_a").asc()).rowsBetween(Window.unboundedPreceding, -1)
-    below = F.last("b_price", ignorenulls=True).over(up)
-    above = F.last("b_price", ignorenulls=True).over(down)
-    near = (u.withColumn("below", below).withColumn("above", above).filter("is_a")
-            .select("query_id", "name_a", F.col("norm_price").alias("price_a"), "name_b",
-                    F.explode(F.array("below", "above")).alias("price_b"))
-            .filter(F.col("price_b").isNotNull() & _close(F.col("price_a"), F.col("price_b"), settings)))
-    return chain.unionByName(near)
-
-
-# --- connected components ------------------------------------------------------------
-_CC_OUT = T.StructType([T.StructField("g", T.LongType()), T.StructField("node", T.LongType()),
-                        T.StructField("label", T.LongType())])
-
-
-def _union_find(pdf: pd.DataFrame) -> pd.DataFrame:
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        root = x
-        while parent[root] != root:
-            root = parent[root]
-        while parent[x] != root:
-            parent[x], x = root, parent[x]
-        return root
-    for a, b in zip(pdf["src"].tolist(), pdf["dst"].tolist()):
-        parent.setdefault(a, a)
-        parent.setdefault(b, b)
-        ra, rb = find(a), find(b)
-        if ra != rb:
-            if ra < rb:
-                parent[rb] = ra
-            else:
-                parent[ra] = rb
-    g = int(pdf["g"].iloc[0])
-    nodes = list(parent)
-    return pd.DataFrame({"g": g, "node": nodes, "label": [find(x) for x in nodes]})
-
-
-def connected_components(edges: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """(g, node, label) for every node on an edge; label = smallest node of its component.
-
-    ``edges`` has (g, src, dst) with BIGINT nodes; components never cross ``g``.
-    A group with at most ``cc_local_max_edges`` edges is solved in one task by
-    union-find; larger groups (a hot query) go through the distributed loop, so
-    no task ever holds an unbounded group.
-    """
-    ensure_checkpoint_dir(edges.sparkSession)
-    edges = edges.checkpoint()   # consumed by several actions below
-    sizes = edges.groupBy("g").agg(F.count("*").alias("_n"))
-    small_keys = sizes.filter(F.col("_n") <= settings.cc_local_max_edges).select("g")
-    small = edges.join(small_keys, "g", "left_semi")
-    large = edges.join(small_keys, "g", "left_anti")
-    local = small.groupBy("g").applyInPandas(_union_find, _CC_OUT)
-    if large.limit(1).count() == 0:
-        return local
-    return local.unionByName(_components_distributed(large, settings))
-
-
-def _components_distributed(edges: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """Min-label propagation with pointer jumping over (g, node) keys.
-
-    Each round takes the minimum label over neighbours, then jumps to the label's
-    label; it stops when no label changes. Lineage is cut with reliable
-    ``checkpoint()`` into spark.checkpoint.dir every round, so a lost executor
-    recomputes at most one round.
-    """
-    spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
-    both = (edges.select("g", "src", "dst")
-            .unionByName(edges.select("g", F.col("dst").alias("src"), F.col("src").alias("dst")))
-            .checkpoint())
-    labels = both.select("g", F.col("src").alias("node")).distinct().withColumn("label", F.col("node"))
-    for i in range(settings.cc_max_rounds):
-        nb = (both.join(labels.withColumnRenamed("node", "src"), ["g", "src"])
-              .groupBy("g", F.col("dst").alias("node")).agg(F.min("label").alias("nl")))
-        step = labels.join(nb, ["g", "node"], "left").select(
-            "g", "node", F.col("label").alias("old"), F.least("label", F.coalesce("nl", "label")).alias("label"))
-        y = step.select(F.col("g").alias("y_g"), F.col("node").alias("y_node"), F.col("label").alias("y_label"))
-        jump = (step.join(y, (step.g == y.y_g) & (step.label == y.y_node), "left")
-                .select("g", "node", "old", F.least("label", F.coalesce("y_label", "label")).alias("label"))
-                .checkpoint())
-        changed = jump.filter(F.col("label") != F.col("old")).limit(1).count()
-        labels = jump.drop("old")
-        if os.environ.get("PRICESIFT_DEBUG"):
-            print(f"components round {i}: changed={changed}", flush=True)
-        if changed == 0:
-            return labels
-    raise RuntimeError(f"components did not converge in {settings.cc_max_rounds} rounds")
-
-
 # --- greedy replay ---------------------------------------------------------------------
 _GREEDY_OUT = T.StructType([
     T.StructField("offer_key", T.StringType()),
@@ -250,7 +162,7 @@ def _greedy_fn(settings: Settings):
     prices, so a row checks only groups that hold a similar name, and only the
     nearest price on each side (price similarity falls away from the price).
     """
-    pv, cap = settings.price_variance_threshold, settings.greedy_max_component
+    pv = settings.price_variance_threshold
 
     def close(a: float, b: float) -> bool:
         return 1.0 - abs(a - b) / max(a, b) > 1.0 - pv
@@ -259,8 +171,6 @@ def _greedy_fn(settings: Settings):
         if pdf.empty:
             return pd.DataFrame({"offer_key": pd.Series([], dtype=object), "group_no": pd.Series([], dtype="int64")})
         pdf = pdf.sort_values([c for c in pdf.columns if c.startswith("_arr")], kind="stable")
-        if len(pdf) > cap:   # too large to replay in one task: keep the component as one group
-            return pd.DataFrame({"offer_key": pdf["offer_key"], "group_no": 0})
         similar_to: dict[str, set[str]] = {}
         for a, b in zip(pairs["name_a"], pairs["name_b"]):
             similar_to.setdefault(a, set()).add(b)
@@ -306,7 +216,9 @@ def self_similar(name: str) -> Column:
 
 
 def chain_segments(offers: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """Same-name runs of close prices: (query_id, product_name, norm_price) -> seg key.
+    """Same-name runs of close prices: (query_id, product_name, norm_price) -> seg.
+
+    The segment's key holds the query, the run's number and the name itself.
 
     A running sum of "gap" flags along each name's sorted prices numbers the
     runs, so every same-name chain collapses to one segment without iteration.
@@ -318,7 +230,7 @@ def chain_segments(offers: DataFrame, settings: Settings = DEFAULT) -> DataFrame
         .otherwise(0)
     seg_no = F.sum("gap").over(w.rowsBetween(Window.unboundedPreceding, 0))
     return (n.withColumn("gap", gap).withColumn("seg_no", seg_no)
-            .withColumn("seg", F.xxhash64("product_name", "seg_no"))
+            .withColumn("seg", F.concat_ws("|", F.col("query_id").cast("string"), F.col("seg_no").cast("string"), "product_name"))
             .select("query_id", "product_name", "norm_price", "seg"))
 
 
@@ -347,8 +259,7 @@ def segment_edges(segs: DataFrame, sims: DataFrame, settings: Settings = DEFAULT
                         ignorenulls=True).over(w)
     t = u.withColumn("o", prev_other).filter(F.col("is_a") & F.col("o").isNotNull())
     touch = (F.col("lo") <= F.col("o.hi")) | _close(F.col("o.hi"), F.col("lo"), settings)
-    return t.filter(touch).select(F.col("query_id").alias("g"), F.col("seg").alias("src"),
-                                  F.col("o.seg").alias("dst"))
+    return t.filter(touch).select(F.col("seg").alias("a"), F.col("o.seg").alias("b"))
 
 
 def dedup_groups(offers: DataFrame, arrival: list[str], mode: str = "greedy",
@@ -358,24 +269,20 @@ def dedup_groups(offers: DataFrame, arrival: list[str], mode: str = "greedy",
     ``mode="components"`` groups by connected component; ``"greedy"`` replays the
     reference's first-fit grouping inside each component.
     """
-    segs = chain_segments(offers, settings).checkpoint()
-    sims = similar_names(offers, settings).checkpoint()
-    se = segment_edges(segs, sims, settings).filter(F.col("src") != F.col("dst")).distinct()
-    labels = connected_components(se, settings).withColumnRenamed("g", "query_id")
-    o = offers.join(segs, ["query_id", "product_name", "norm_price"])
-    o = (o.join(labels.withColumnRenamed("node", "seg"), ["query_id", "seg"], "left")
-         .withColumn("_linked", F.col("label").isNotNull())
-         .withColumn("component", F.struct(F.col("query_id").alias("q"),
-                                           F.coalesce(F.col("label"), F.col("seg")).alias("c")))
-         .drop("label"))
+    segs = write_shared(chain_segments(offers, settings), "segments")
+    sims = write_shared(similar_names(offers, settings), "similar-names")
+    labels = connected_components(segment_edges(segs, sims, settings))
+    o = (offers.join(segs, ["query_id", "product_name", "norm_price"])
+         .join(labels.withColumnRenamed("node", "seg"), "seg", "left")
+         .withColumn("component", F.coalesce("root", "seg")).drop("root"))
     if mode == "components":
         return (o.withColumn("dup_group", F.struct(F.col("component"), F.lit(0).cast("bigint").alias("group_no")))
-                .drop("seg", "_linked"))
+                .drop("seg"))
     # A segment without cross-name edges holds one name whose close prices chain
     # together, and the greedy run still needs the order there, so every
     # component with more than one offer is replayed; single offers are groups.
     sizes = o.groupBy("component").agg(F.count("*").alias("_size"))
-    o = o.join(sizes, "component").checkpoint()      # read by three branches below
+    o = write_shared(o.join(sizes, "component"), "components")      # read by three branches below
     alone = o.filter(F.col("_size") == 1).withColumn("group_no", F.lit(0).cast("bigint"))
     multi = o.filter(F.col("_size") > 1).withColumn("offer_key", F.to_json(F.struct(*arrival)))
     arr = [F.col(c).alias(f"_arr{i}") for i, c in enumerate(arrival)]
@@ -389,76 +296,73 @@ def dedup_groups(offers: DataFrame, arrival: list[str], mode: str = "greedy",
     replayed = multi.join(g, "offer_key").drop("offer_key")
     return (alone.unionByName(replayed)
             .withColumn("dup_group", F.struct(F.col("component"), F.col("group_no")))
-            .drop("seg", "_linked", "_size", "group_no"))
+            .drop("seg", "_size", "group_no"))
 
 
 # --- similar-product groups (J6) ----------------------------------------------------------
-_LEADER_OUT = T.StructType([T.StructField("item_key", T.StringType()), T.StructField("leader_key", T.StringType())])
-
+_LEADER_OUT = T.StructType([T.StructField("item", T.StringType()), T.StructField("leader", T.StringType())])
 
-def _leader_fn(settings: Settings):
-    thr = settings.group_threshold
 
-    def fn(pdf: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        if pdf.empty:
-            return pd.DataFrame({"item_key": pd.Series([], dtype=object), "leader_key": pd.Series([], dtype=object)})
-        pdf = pdf.sort_values([c for c in pdf.columns if c.startswith("_arr")], kind="stable")
-        keys, names = pdf["item_key"].tolist(), pdf["name"].tolist()
-        lookup = {(a, b): s for a, b, s in zip(edges["a"], edges["b"], edges["s"])} if not edges.empty else {}
-        used = [False] * len(keys)
-        out = []
-        for i in range(len(keys)):
-            if used[i]:
-                continue
-            used[i] = True
-            out.append((keys[i], keys[i]))
-            for j in range(i + 1, len(keys)):
-                if used[j]:
-                    continue
-                pair = (names[i], names[j]) if names[i] <= names[j] else (names[j], names[i])
-                s = lookup.get(pair, 0.0)
-                if s >= thr:
-                    used[j] = True
-                    out.append((keys[j], keys[i]))
-        return pd.DataFrame(out, columns=["item_key", "leader_key"])
-    return fn
+def _leaders(names: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    """First-fit leaders of one component's names, in order of first arrival."""
+    near: dict[str, list[str]] = {}
+    for a, b in zip(edges["name_a"], edges["name_b"], strict=True):
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    leader: dict[str, str] = {}
+    for n in names.sort_values("order", kind="stable")["name"]:
+        if n not in leader:
+            leader[n] = n
+            for m in near.get(n, ()):
+                leader.setdefault(m, n)
+    return pd.DataFrame({"item": list(leader), "leader": list(leader.values())})
 
 
 def group_similar(items: DataFrame, key: str, name: str, arrival: list[str],
                   settings: Settings = DEFAULT) -> DataFrame:
     """First-fit groups whose members score >= 0.8 (F10, no query) against the group leader.
 
-    Name pairs are scored once on each key's name vocabulary. F10 >= 0.8 needs a
-    brand score above 0 (equal or unknown brands) and a token-sort ratio of at
-    least 34, which gives a lossless length bound; both prune pairs before the UDF.
-    Leader groups only join rows linked by such pairs, so the ordered replay runs
-    per connected component of the name graph.
+    A row's leader depends on its name and on the order in which names first arrive:
+    no name scores higher against another than against itself, so a name that reaches
+    the threshold with any other also reaches it with itself, and all its rows follow
+    its first one. Names are therefore grouped once, per component of the graph of
+    similar names, and joined back; a name below the threshold against itself has no
+    similar names, and each of its rows leads its own group.
+
+    F10 >= 0.8 needs equal or unknown brands and a token-sort ratio of at least 34,
+    which gives a lossless length bound; both prune pairs before the kernel.
+    ``leader_key`` is the leader's arrival key as JSON.
     """
-    v = (items.select(key, name).distinct()
-         .withColumn("_brand", product_features(F.col(name))["brand"])
-         .withColumn("_len", F.length(token_sort_key(F.lower(F.col(name))))))
-    a = v.select(key, F.col(name).alias("a"), F.col("_brand").alias("ba"), F.col("_len").alias("la"))
-    b = v.select(key, F.col(name).alias("b"), F.col("_brand").alias("bb"), F.col("_len").alias("lb"))
-    la, lb = F.col("la"), F.col("lb")
-    p = (a.join(b, key).filter(F.col("a") <= F.col("b"))
-         .filter(F.col("ba").isNull() | F.col("bb").isNull() | (F.col("ba") == F.col("bb")))
-         .filter((F.least(la, lb) * 2 >= (la + lb) * 0.33) | ((la == 0) & (lb == 0))))
-    pairs = spread(p.select("a", "b").distinct()).withColumn(
-        "s", feature_similarity(F.col("a"), F.col("b"), F.lit(""), settings))
-    good = p.join(pairs, ["a", "b"]).filter(F.col("s") >= settings.group_threshold)
-    comp_edges = good.filter(F.col("a") != F.col("b")).select(
-        F.col(key).cast("bigint").alias("g"), F.xxhash64("a").alias("src"), F.xxhash64("b").alias("dst"))
-    labels = connected_components(comp_edges, settings).withColumnRenamed("g", key)
-    it = (items.withColumn("_node", F.xxhash64(F.col(name)))
-          .join(labels.withColumnRenamed("node", "_node"), [key, "_node"], "left")
-          .withColumn("component", F.struct(F.col(key).alias("q"), F.coalesce("label", "_node").alias("c")))
-          .drop("label")
-          .withColumn("item_key", F.to_json(F.struct(key, *arrival))))
-    comp_of_name = it.select(key, F.col(name).alias("a"), F.col("component").alias("comp_e")).distinct()
-    comp_edges_rows = good.join(comp_of_name, [key, "a"]).select(
-        F.col("comp_e").alias("component"), "a", "b", "s")
-    arr = [F.col(c).alias(f"_arr{i}") for i, c in enumerate(arrival)]
-    rows = it.select("component", "item_key", F.col(name).alias("name"), *arr)
-    g = (rows.groupBy("component").cogroup(comp_edges_rows.groupBy("component"))
-         .applyInPandas(_leader_fn(settings), _LEADER_OUT))
-    return it.join(g, "item_key").drop("_node", "item_key")
+    arr = F.struct(*[F.col(c) for c in arrival])
+    v = (items.groupBy(key, name).agg(F.min(arr).alias("first"))
+         .withColumn("brand", product_features(F.col(name))["brand"])
+         .withColumn("n", F.length(token_sort_key(F.lower(F.col(name))))))
+    v = write_shared(v, "names")
+    la, lb = F.col("n_a"), F.col("n_b")
+    ba, bb = F.col("brand_a"), F.col("brand_b")
+    p = (vocabulary_pairs(v, key, name, ["n", "brand"])
+         .filter(ba.isNull() | bb.isNull() | (ba == bb))
+         .filter((F.least(la, lb) * 2 >= (la + lb) * 0.33) | ((la == 0) & (lb == 0))).select(key, "name_a", "name_b"))
+    scored = spread(p).withColumn("s", feature_similarity(F.col("name_a"), F.col("name_b"), F.lit(""), settings))
+    good = write_shared(scored.filter(F.col("s") >= settings.group_threshold), "similar-products")
+
+    def node(col: str):
+        return F.concat_ws("|", F.col(key).cast("string"), col)
+
+    labels = connected_components(good.select(node("name_a").alias("a"), node("name_b").alias("b")))
+    rows = (v.withColumn("node", node(name)).join(labels, "node")
+            .select("root", F.col("node").alias("name"), "first"))
+    # Arrival as a rank inside the component is enough for the replay.
+    rows = rows.select(F.col("root").alias("comp"), "name",
+                       F.row_number().over(Window.partitionBy("root").orderBy("first", "name")).alias("order"))
+    edges = (good.select(node("name_a").alias("name_a"), node("name_b").alias("name_b"))
+             .join(labels.withColumnRenamed("node", "name_a"), "name_a").select(F.col("root").alias("comp_e"), "name_a", "name_b"))
+    led = (rows.groupBy("comp").cogroup(edges.groupBy("comp_e")).applyInPandas(_leaders, _LEADER_OUT))
+    firsts = v.select(node(name).alias("leader"), F.col("first").alias("_leader_first"))
+    led = led.join(firsts, "leader").select(F.col("item").alias("_node"), "_leader_first")
+    alone = feature_similarity(F.col(name), F.col(name), F.lit(""), settings) < settings.group_threshold
+    own = v.select(key, name, "first", alone.alias("_alone"))
+    it = items.withColumn("_node", node(name)).join(own, [key, name]).join(led, "_node", "left")
+    leader = F.when(F.col("_alone"), arr).otherwise(F.coalesce("_leader_first", "first"))
+    return (it.withColumn("leader_key", F.to_json(F.struct(F.col(key), *[leader[c].alias(c) for c in arrival])))
+            .drop("_node", "first", "_alone", "_leader_first"))

@@ -18,6 +18,15 @@ def rate_map(rates: dict[str, float] | None = None) -> Column:
     return F.create_map(*[x for k, v in sorted(rates.items()) for x in (F.lit(k), F.lit(v))])
 
 
+def stage(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that the optimizer does not copy into its uses.
+
+    ``inline`` of one struct is a generator: expressions above it refer to its output
+    and filters on it stay above, while it compiles into the same stage.
+    """
+    return df.select("*", F.inline(F.array(F.struct(value.alias(name)))))
+
+
 def normalize_offers(df: DataFrame, price: str = "price", currency: str = "currency",
                      target: str = "target_currency", rates: dict[str, float] | None = None) -> DataFrame:
     """Adds amount, src_currency, norm_price, norm_currency; drops unparsable or zero prices.
@@ -31,9 +40,9 @@ def normalize_offers(df: DataFrame, price: str = "price", currency: str = "curre
     r_src = F.try_element_at(m, src)
     r_dst = F.try_element_at(m, tgt)
     known = r_src.isNotNull() & r_dst.isNotNull()
-    # The digit text is staged as a column so the rule's branches reuse it.
-    return (df.withColumn("_pd", price_digits(price)).withColumn("amount", us_rule(F.col("_pd"))).drop("_pd")
-            .filter(amount > 0)
+    # Both the digit text and the amount are used many times: each is computed once per row.
+    d = stage(stage(df, "_pd", price_digits(price)), "amount", us_rule(F.col("_pd"))).drop("_pd")
+    return (d.filter(amount > 0)
             .withColumn("src_currency", pick_currency(price, currency, target))
             .withColumn("norm_price", F.when(src == tgt, amount)
                         .when(known, amount * r_src / r_dst).otherwise(amount))

@@ -1,9 +1,10 @@
 """Candidate retrieval (J2) and offer union.
 
-J2 works on the *vocabulary*, not on offers: distinct product names are
-tokenised once, joined to query tokens on the token, counted per
-(query, name), and only the matching names are joined back to the offers.
-The big table is touched by one partial-aggregated distinct and one equi-join.
+J2 works on the *vocabulary*, not on offers: distinct names and queries become token
+sets, every query keeps the rarest tokens of which one must be shared (all of its
+tokens but ``need - 1``), names meet queries on those, and the pairs are verified by
+set intersection. A token that most names hold is never joined on unless a query has
+nothing rarer. Only matching names are joined back to the offers.
 """
 
 from __future__ import annotations
@@ -16,22 +17,28 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_text
 
 
-def _token_rows(df: DataFrame, key: str, text: str) -> DataFrame:
-    return (df.select(key, F.explode(F.split(clean_text(text), " ")).alias("token"))
-            .filter(F.col("token") != "").distinct())
+def _tokens(text: str):
+    return F.array_distinct(F.filter(F.split(clean_text(text), " "), lambda t: t != ""))
 
 
 def candidate_offers(offers: DataFrame, queries: DataFrame, min_share: float = 1.0) -> DataFrame:
     """Offers whose name holds at least ``ceil(min_share * n)`` of a query's n distinct tokens."""
-    names = offers.select("product_name").distinct()
-    name_tok = _token_rows(names, "product_name", "product_name")
-    q_tok = _token_rows(queries, "query_id", "query")
-    need = (q_tok.groupBy("query_id").agg(F.count("*").alias("n_tokens"))
-            .withColumn("need", F.ceil(F.col("n_tokens") * F.lit(min_share))))
-    hits = (q_tok.join(name_tok, "token").groupBy("query_id", "product_name")
-            .agg(F.count("*").alias("shared")).join(need, "query_id")
-            .filter(F.col("shared") >= F.col("need")))
-    return offers.join(hits.select("query_id", "product_name", "shared"), "product_name")
+    names = offers.select("product_name").distinct().withColumn("name_tokens", _tokens("product_name"))
+    held = names.select("product_name", "name_tokens", F.explode("name_tokens").alias("token"))
+    counts = held.groupBy("token").agg(F.count("*").alias("n"))
+    q = queries.select("query_id", _tokens("query").alias("query_tokens")).filter(F.size("query_tokens") > 0)
+    need = F.ceil(F.size("query_tokens") * F.lit(min_share)).cast("int")
+    rare = (q.select("query_id", "query_tokens", F.explode("query_tokens").alias("token")).join(counts, "token", "left")
+            .groupBy("query_id", "query_tokens")
+            .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("order")))
+    prefix = F.slice("order", F.lit(1), F.size("query_tokens") - need + 1)
+    keys = rare.select("query_id", "query_tokens", F.explode(prefix).alias("p")).select("query_id", "query_tokens", "p.token")
+    shared = F.size(F.array_intersect("query_tokens", "name_tokens"))
+    hits = (keys.join(held, "token").withColumn("shared", shared.cast("bigint"))
+            .filter(F.col("shared") >= need).select("query_id", "product_name", "shared"))
+    if min_share < 1.0:  # a name may meet a query on several of its rare tokens
+        hits = hits.distinct()
+    return offers.join(hits, "product_name")
 
 
 def union_offers(parts: list[DataFrame]) -> DataFrame:

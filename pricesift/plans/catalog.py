@@ -15,6 +15,8 @@ from . import sql_exprs
 
 VIEW_SQL["norm"] = sql_exprs.NORMALIZED_SQL
 VIEW_DEPS["norm"] = ["offers_q"]
+for _name, (_sql, _deps) in sql_exprs.SEARCH_VIEWS.items():
+    VIEW_SQL[_name], VIEW_DEPS[_name] = _sql, _deps
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, tuple[QueryFn, str | None]] = {}

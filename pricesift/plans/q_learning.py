@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import slug
 from ..operators.history import history_arrays, last_points, learn_prices
+from ..sources import knowledge_io as K
 from ..sources import tables as T
 from ..streaming.learning import run_learning
 from .catalog import query
+from .q_relational import last30_sql
 
 _EV_TREND = """
 SELECT product_id, n_points, current_price, last_updated, oldest_kept, product_name,
@@ -29,7 +32,7 @@ def price_learning_events(spark, sf):
     return learn_prices(T.event_points(spark, sf))
 
 
-@query("price_learning_stream")
+@query("price_learning_stream", _EV_TREND, ("event_points",))
 def price_learning_stream(spark, sf):
     """M1 as Structured Streaming with per-product state; equals price_learning_events."""
     return run_learning(spark, T.events_stream(spark, sf))
@@ -47,82 +50,87 @@ def kb_docs_current(spark, sf):
                                 F.col("price").cast("string")).alias("content"))
 
 
-@query("history_export")
+_HISTORY = f"""SELECT product_id, list(struct_pack(date := strftime(observed_at, '%Y-%m-%dT%H:%M:%S'), price := price, source := source)
+  ORDER BY observed_at, seq, seq2) AS pts FROM ({last30_sql('price_points')}) GROUP BY product_id"""
+
+
+@query("history_export", f"SELECT product_id, CAST(to_json(pts) AS VARCHAR) AS historical_prices FROM ({_HISTORY})", ("price_points",))
 def history_export(spark, sf):
-    """Nested export of the kept history: ARRAY<STRUCT<date, price, source>> per product."""
-    return history_arrays(last_points(T.price_points(spark, sf)))
+    """Nested export of the kept history: a JSON list of {date, price, source} per product."""
+    h = history_arrays(last_points(T.price_points(spark, sf)))
+    return h.select("product_id", F.to_json("historical_prices").alias("historical_prices"))
 
 
 # --- knowledge storage (S3-S7) ------------------------------------------------------
-@query("kb_load_products")
+@query("kb_load_products", """
+SELECT CAST(product_id AS VARCHAR) AS id, product_name, category, brand, array_to_string(storage_options, '|') AS storage_options,
+ round(price_min, 6) AS price_min, round(price_max, 6) AS price_max, round(price_avg, 6) AS price_avg,
+ array_to_string(alternatives, '|') AS alternatives, market_insights FROM knowledge""", ("knowledge",))
 def kb_load_products(spark, sf):
-    """S3: knowledge written as bucketed id -> record JSON maps, then loaded with a fixed schema."""
-    from ..sources import knowledge_io as K
+    """S3: knowledge written as id -> record JSON maps, then loaded with a fixed schema."""
     path = K.version_dir(spark, "products")
-    K.save_json_maps(K.products_as_records(T.knowledge(spark, sf)), path, buckets=8)
-    return K.load_json_map(spark, path, K.PRODUCT_SCHEMA)
+    K.save_json_maps(K.products_as_records(T.knowledge(spark, sf)), path)
+    r = K.load_json_map(spark, path, K.PRODUCT_SCHEMA)
+    return r.select("id", "product_name", "category", "brand", F.array_join("storage_options", "|").alias("storage_options"),
+                    *[F.round(f"price_range.{c}", 6).alias(f"price_{c}") for c in ("min", "max", "avg")],
+                    F.array_join("alternatives", "|").alias("alternatives"), "market_insights")
 
 
-@query("kb_load_insights")
+@query("kb_load_insights", f"""
+SELECT CAST(product_id AS VARCHAR) AS id, product_name, strftime(observed_at, '%Y-%m-%dT%H:%M:%S') AS date, price, source
+FROM ({last30_sql('price_points')}) JOIN (SELECT product_id, arg_max(product_name, struct_pack(o := observed_at, s := seq, t := seq2)) AS name
+ FROM price_points GROUP BY product_id) USING (product_id)""", ("price_points",))
 def kb_load_insights(spark, sf):
     """Price insights with their nested history, written as maps and exploded back to points."""
-    from pyspark.sql import types as TT
-
-    from ..sources import knowledge_io as K
     hist = history_arrays(last_points(T.price_points(spark, sf)))
     ins = learn_prices(T.price_points(spark, sf)).join(hist, "product_id")
     rec = ins.select(F.col("product_id").cast("string").alias("id"),
                      F.struct("product_name", "current_price", "price_trend", "historical_prices").alias("record"))
-    schema = TT.StructType([
-        TT.StructField("product_name", TT.StringType()), TT.StructField("current_price", TT.DoubleType()),
-        TT.StructField("price_trend", TT.StringType()),
-        TT.StructField("historical_prices", TT.ArrayType(TT.StructType([
-            TT.StructField("date", TT.StringType()), TT.StructField("price", TT.DoubleType()),
-            TT.StructField("source", TT.StringType())])))])
     path = K.version_dir(spark, "insights")
-    K.save_json_maps(rec, path, buckets=8)
-    loaded = K.load_json_map(spark, path, schema)
+    K.save_json_maps(rec, path)
+    loaded = K.load_json_map(spark, path, rec.schema["record"].dataType)
     return loaded.select("id", "product_name", F.explode("historical_prices").alias("p")).select(
         "id", "product_name", F.col("p.date").alias("date"), F.col("p.price").alias("price"),
         F.col("p.source").alias("source"))
 
 
-@query("kb_roundtrip")
+@query("kb_roundtrip", "SELECT doc_id, lang, source, n_chars, md5(text) AS md5 FROM documents")
 def kb_roundtrip(spark, sf):
     """Full rewrite of the documents table into a new version folder, read back by schema."""
-    from ..sources import knowledge_io as K
     docs = T.table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("md5"))
     path = K.version_dir(spark, "documents")
     K.save_table(docs, path, fmt="parquet")
     return K.load_table(spark, path, docs.schema, fmt="parquet")
 
 
-@query("kb_seed")
+_SEED_VALUES = ", ".join(f"('{b.lower()}_{n.lower().replace(' ', '_')}', '{n}', '{b}')" for n, _, b, *_ in K.SEED_PRODUCTS)
+
+
+@query("kb_seed", f"""
+SELECT lower(replace(brand || ' ' || product_name, ' ', '_')) AS id, min(product_name) AS product_name, min(brand) AS brand FROM knowledge GROUP BY id
+UNION ALL SELECT * FROM (VALUES {_SEED_VALUES}) v(id, product_name, brand)
+ WHERE id NOT IN (SELECT lower(replace(brand || ' ' || product_name, ' ', '_')) FROM knowledge)""", ("knowledge",))
 def kb_seed(spark, sf):
-    """Seed products only when the knowledge table is empty (it is not, so the table is kept)."""
-    from ..sources import knowledge_io as K
-    kb = K.products_as_records(T.knowledge(spark, sf))
-    seed = kb.limit(0)
-    return K.seed_if_empty(kb, seed).select("id", "record.product_name", "record.brand")
+    """S7 + U2: the knowledge keyed by slug (or the seed, were it empty) and the starting products that it lacks."""
+    kb = T.knowledge(spark, sf)
+    record = F.min(F.struct("product_name", "brand")).alias("record")
+    kb = kb.groupBy(slug(F.concat_ws(" ", "brand", "product_name")).alias("id")).agg(record)
+    seed = K.seed_records(spark).select("id", F.struct("record.product_name", "record.brand").alias("record"))
+    return K.add_missing(K.seed_if_empty(kb, seed), seed).select("id", "record.product_name", "record.brand")
 
 
-@query("kb_load_documents")
+@query("kb_load_documents", """
+SELECT md5(text) || '_' || md5('{"lang": "' || lang || '", "source": "' || source || '"}') AS id, min(doc_id) AS created_from,
+ lang, source, md5(text) AS md5 FROM documents GROUP BY text, lang, source""")
 def kb_load_documents(spark, sf):
-    """The document store (id -> content, metadata) written as bucketed maps and loaded by schema."""
-    from pyspark.sql import types as TT
-
+    """The document store (id -> content, metadata) written as maps and loaded by schema; equal documents are one."""
     from ..functions.ids import document_id
-    from ..sources import knowledge_io as K
-    d = T.table(spark, sf, "documents")
-    rec = d.select(document_id("text", {"lang": F.col("lang"), "source": F.col("source")}).alias("id"),
-                   F.struct(F.col("text").alias("content"),
-                            F.struct("lang", "source").alias("metadata"),
-                            F.col("doc_id").alias("created_from")).alias("record"))
-    schema = TT.StructType([TT.StructField("content", TT.StringType()),
-                            TT.StructField("metadata", TT.StructType([TT.StructField("lang", TT.StringType()),
-                                                                      TT.StructField("source", TT.StringType())])),
-                            TT.StructField("created_from", TT.LongType())])
+    d = T.table(spark, sf, "documents").select(
+        document_id("text", {"lang": F.col("lang"), "source": F.col("source")}).alias("id"), "text", "lang", "source", "doc_id")
+    first = d.groupBy("id").agg(F.min(F.struct("doc_id", "lang", "source", "text")).alias("r"))
+    rec = first.select("id", F.struct(F.col("r.text").alias("content"), F.struct("r.lang", "r.source").alias("metadata"),
+                                      F.col("r.doc_id").alias("created_from")).alias("record"))
     path = K.version_dir(spark, "docs")
-    K.save_json_maps(rec.dropDuplicates(["id"]), path, buckets=16)
-    loaded = K.load_json_map(spark, path, schema)
+    K.save_json_maps(rec, path)
+    loaded = K.load_json_map(spark, path, rec.schema["record"].dataType)
     return loaded.select("id", "created_from", "metadata.lang", "metadata.source", F.md5("content").alias("md5"))

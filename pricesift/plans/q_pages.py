@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.pricing import absolute_link
 from ..sources import pages as PG
 from ..sources import tables as T
+from ..sources.registry import PRICE_RULES
+from . import sql_exprs as S
 from .catalog import query
 
 _HOST = "regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)"
@@ -48,7 +50,27 @@ def absolute_links(spark, sf):
                     absolute_link("href", "host").alias("link"))
 
 
-@query("page_cards")
+_AMOUNT = {"us": S.clean_price_us("price_text"), "india": S.clean_price_india("price_text"), "strip": S.clean_price_strip("price_text"),
+           "loose": f"TRY_CAST({S.clean_price_loose('price_text')} AS DOUBLE)"}
+_RULE = ("CASE shop " + " ".join(f"WHEN '{shop}' THEN {_AMOUNT[rule]}" for shop, rule in PRICE_RULES.items() if shop in T._PAGE_SHOPS)
+         + " END")
+
+
+@query("page_cards", f"""
+SELECT shop, product_name, price_text, CASE WHEN shop = 'eBay' THEN {S.clean_price_loose('price_text')} ELSE CAST(amount AS VARCHAR) END AS price,
+ amount, currency, link, rating, reviews_count, availability, shipping_cost, seller, pos, product_id FROM (
+ SELECT shop, product_name, price_text, {_RULE} AS amount, currency, pos,
+  CASE shop WHEN 'Flipkart' THEN 'https://' || host || '/p/' || pk WHEN 'eBay' THEN 'https://' || host || '/itm/' || pk
+   ELSE 'https://' || host || '/dp/B' || lpad(pk, 9, '0') END AS link,
+  CASE WHEN shop LIKE 'Amazon%' THEN 'B' || lpad(pk, 9, '0') END AS product_id,
+  CASE WHEN shop LIKE 'Amazon%' THEN rating END AS rating,
+  CASE WHEN shop LIKE 'Amazon%' AND reviews_count > 0 THEN reviews_count END AS reviews_count,
+  CASE WHEN shop = 'eBay' THEN 'Available' WHEN shop = 'Flipkart' THEN 'Unknown' WHEN availability = 'Out of Stock' THEN 'Out of Stock'
+   ELSE 'In Stock' END AS availability,
+  CASE WHEN shop = 'eBay' THEN shipping_cost END AS shipping_cost,
+  CASE WHEN shop = 'eBay' THEN seller ELSE shop END AS seller
+ FROM (SELECT *, CAST(product_id AS VARCHAR) AS pk, CASE currency WHEN 'USD' THEN '$' WHEN 'INR' THEN '₹' WHEN 'EUR' THEN '€' ELSE '£' END
+   || price AS price_text FROM shop_cards)) WHERE amount > 0 OR shop = 'eBay'""", ("shop_cards",))
 def page_cards(spark, sf):
-    """S2 over every page; pages of hosts without a shop profile yield no cards."""
-    return PG.page_cards(T.table(spark, sf, "pages"))
+    """S2 over shop pages built from the offers: every field of a card, parsed by its shop's rules."""
+    return PG.page_cards(T.shop_pages(spark, sf)).drop("page_id", "image_url")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as AG
 from ..operators.history import last_points, learn_prices, trend_of
-from ..operators.rank import limit_bound, top_n_per_query
+from ..operators.rank import limit_bound
 from ..operators.retrieval import candidate_offers, union_offers
+from ..operators.search import ranked_results
 from ..operators.shops import search_urls, shops_for_queries
+from ..session import write_shared
 from ..sources import tables as T
 from ..sources.registry import SHOP_ORDER, source_registry
 from . import sql_exprs as S
@@ -17,22 +20,33 @@ from .q_pricing import SCORED_SQL, scored
 
 A = S.ARRIVAL_SQL
 
-T.VIEW_SQL["results"] = f"""
-SELECT query_id, l_orderkey, l_linenumber, product_id, seller_id, source, seller, product_name, rating,
+T.VIEW_SQL["results"] = """
+SELECT query_id, l_orderkey, l_linenumber, product_id, seller_id, source, seller, product_name, rating, scraped_at,
  CAST(CAST(trunc(norm_price) AS BIGINT) AS VARCHAR) AS price,
- CAST(CAST(trunc(norm_price) AS BIGINT) AS DOUBLE) AS price_num, similarity, score, rank
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, norm_price, {A}) AS rank
-      FROM ({SCORED_SQL})) WHERE max_results <= 0 OR rank <= max_results"""
-T.VIEW_DEPS["results"] = ["norm"]
+ CAST(CAST(trunc(norm_price) AS BIGINT) AS DOUBLE) AS price_num, similarity, score, rank FROM ranked"""
+T.VIEW_DEPS["results"] = ["ranked"]
 
+_RANKED: dict[tuple[str, str], DataFrame] = {}
 
-def results(spark, sf):
-    """Final per-query results (SQL-checkable similarity), with the numeric output price."""
-    r = top_n_per_query(scored(spark, sf), bound=limit_bound(T.queries(spark, sf)))
+
+def ranked(spark, sf) -> DataFrame:
+    """The search results of every query, written once per session and input to the shared folder.
+
+    Summaries, exports, insights and reports all read this one table.
+    """
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _RANKED:
+        bound = limit_bound(T.queries(spark, sf))
+        _RANKED[at] = write_shared(ranked_results(T.offers_for_queries(spark, sf), T.ARRIVAL, bound).drop("dup_group"), "ranked")
+    return _RANKED[at]
+
+
+def results(spark, sf) -> DataFrame:
+    """The ranked results with the numeric output price."""
     p = F.col("norm_price").cast("bigint")
-    return r.select("query_id", "l_orderkey", "l_linenumber", "product_id", "seller_id", "source", "seller",
-                    "product_name", "rating", p.cast("string").alias("price"), p.cast("double").alias("price_num"),
-                    "similarity", "score", "rank")
+    return ranked(spark, sf).select("query_id", "l_orderkey", "l_linenumber", "product_id", "seller_id", "source", "seller",
+                                    "product_name", "rating", "scraped_at", p.cast("string").alias("price"),
+                                    p.cast("double").alias("price_num"), "similarity", "score", "rank")
 
 
 # --- shops ------------------------------------------------------------------
@@ -170,19 +184,6 @@ def group_best(spark, sf):
                     F.round(-F.col("ns"), 6).alias("similarity"), "group_id")
 
 
-@query("response_envelope", """
-SELECT r.query_id, q.query, q.country, count(*) AS total_results,
- string_agg(DISTINCT r.source, ',' ORDER BY r.source) AS sources_used
-FROM results r JOIN queries q ON r.query_id = q.query_id GROUP BY r.query_id, q.query, q.country""",
-       ("results", "queries"))
-def response_envelope(spark, sf):
-    r = results(spark, sf).groupBy("query_id").agg(
-        F.count("*").alias("total_results"),
-        F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources_used"))
-    q = T.queries(spark, sf).select("query_id", "query", "country")
-    return r.join(q, "query_id").select("query_id", "query", "country", "total_results", "sources_used")
-
-
 @query("export_top3", """
 SELECT query_id, to_json(list(struct_pack(rank := rank, productName := product_name, price := price,
  source := source) ORDER BY rank)) AS top3 FROM results WHERE rank <= 3 GROUP BY query_id""", ("results",))
@@ -200,25 +201,31 @@ def product_price_range(spark, sf):
     return AG.product_price_range(T.price_points(spark, sf)).withColumn("price_avg", F.round("price_avg", 6))
 
 
-_LAST30 = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id
-  ORDER BY observed_at DESC, seq DESC, seq2 DESC) AS rn FROM price_points) WHERE rn <= 30"""
+def last30_sql(points: str) -> str:
+    return f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id
+  ORDER BY observed_at DESC, seq DESC, seq2 DESC) AS rn FROM {points}) WHERE rn <= 30"""
 
 
-@query("price_history_last30", f"SELECT product_id, observed_at, seq, seq2, price, source, rn FROM ({_LAST30})",
+@query("price_history_last30", f"SELECT product_id, observed_at, seq, seq2, price, source, rn FROM ({last30_sql('price_points')})",
        ("price_points",))
 def price_history_last30(spark, sf):
     return last_points(T.price_points(spark, sf)).select(
         "product_id", "observed_at", "seq", "seq2", "price", "source", F.col("rn").cast("bigint").alias("rn"))
 
 
-_TREND_SQL = f"""
+def trend_sql(points: str) -> str:
+    """Current price, trend and name per product of a point table."""
+    return f"""
 SELECT product_id, n_points, current_price, last_updated, oldest_kept, product_name,
  CASE WHEN n_points < 3 THEN 'stable' WHEN current_price > third_price THEN 'increasing'
       WHEN current_price < third_price THEN 'decreasing' ELSE 'stable' END AS price_trend
 FROM (SELECT product_id, count(*) AS n_points, max(CASE WHEN rn = 1 THEN price END) AS current_price,
   max(CASE WHEN rn = 3 THEN price END) AS third_price, max(CASE WHEN rn = 1 THEN observed_at END) AS last_updated,
   min(observed_at) AS oldest_kept, max(CASE WHEN rn = 1 THEN product_name END) AS product_name
-  FROM ({_LAST30}) GROUP BY product_id)"""
+  FROM ({last30_sql(points)}) GROUP BY product_id)"""
+
+
+_TREND_SQL = trend_sql("price_points")
 
 
 @query("price_trend", f"SELECT product_id, n_points, price_trend FROM ({_TREND_SQL})", ("price_points",))
@@ -306,7 +313,8 @@ def docs_upsert(spark, sf):
     docs = _docs(spark, sf)
     ids = T.table(spark, sf, "labels").select("doc_id")
     stored = docs.join(ids, "doc_id", "left_semi").withColumn("is_new", F.lit(False))
-    incoming = docs.dropDuplicates(["doc_id"])
+    cols = [c for c in docs.columns if c != "doc_id"]  # of rows that share an id the smallest is added
+    incoming = docs.groupBy("doc_id").agg(F.min(F.struct(*cols)).alias("r")).select("doc_id", "r.*")
     new = incoming.join(stored.select("doc_id"), "doc_id", "left_anti").withColumn("is_new", F.lit(True))
     return stored.unionByName(new)
 

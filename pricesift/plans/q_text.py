@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import features as FT
-from ..functions.text import (clean_text, name_similarity_udf, partial_ratio_udf, ratio_udf,
-                              token_set_parts, token_set_ratio_udf, token_sort_key, token_sort_ratio_udf)
+from ..functions.text import (clean_text, name_similarity_udf, partial_ratio_udf, ratio_udf, token_set_parts,
+                              token_set_ratio_udf, token_sort_key, token_sort_ratio_udf)
 from ..operators.match import feature_similarity, rank_products
 from ..sources import tables as T
 from . import sql_exprs as S
@@ -22,9 +22,7 @@ def _pairs(spark, sf):
 _PAIRS_SQL = "SELECT DISTINCT query_id, product_name, query FROM offers_q"
 
 
-def _sql_tokens(x: str) -> str:
-    s = f"trim(lower(regexp_replace(regexp_replace({x}, '[^\\x00-\\x7F]', '', 'g'), '\\W', ' ', 'g')))"
-    return f"list_filter(string_split_regex({s}, '\\s+'), lambda t: t <> '')"
+_sql_tokens = S.tokens
 
 
 @query("clean_text", f"SELECT DISTINCT product_name, {S.clean_text('product_name')} AS clean FROM offers",
@@ -148,59 +146,99 @@ def query_features_q(spark, sf):
             .select("query_id", "query", "country", "f.*", FT.feature_count(F.col("f")).alias("feature_count")))
 
 
-@query("query_hints", f"""
-SELECT query_id, array_to_string(list_filter([
-  CASE WHEN len(list_filter(string_split_regex(trim(query), '\\s+'), lambda t: t <> '')) < 2 THEN '{FT.HINT_VAGUE}' END,
-  CASE WHEN brand IS NULL THEN '{FT.HINT_BRAND}' END,
-  CASE WHEN storage IS NULL AND ({' OR '.join(f"contains(lower(query), '{w}')" for w in FT.PHONE_WORDS)})
-       THEN '{FT.HINT_STORAGE}' END,
-  CASE WHEN model IS NULL THEN '{FT.HINT_MODEL}' END], lambda x: x IS NOT NULL), ' | ') AS hints
-FROM ({QF_SQL})""", ("queries",))
+def hints_sql(q: str, f: str) -> str:
+    """F15 over a relation ``f`` with the query's features."""
+    phone = " OR ".join(f"contains(lower({q}), '{w}')" for w in FT.PHONE_WORDS)
+    return f"""array_to_string(list_filter([
+  CASE WHEN len(list_filter(string_split_regex(trim({q}), '\\s+'), lambda t: t <> '')) < 2 THEN '{FT.HINT_VAGUE}' END,
+  CASE WHEN {f}.brand IS NULL THEN '{FT.HINT_BRAND}' END,
+  CASE WHEN {f}.storage IS NULL AND ({phone}) THEN '{FT.HINT_STORAGE}' END,
+  CASE WHEN {f}.model IS NULL THEN '{FT.HINT_MODEL}' END], lambda x: x IS NOT NULL), ' | ')"""
+
+
+@query("query_hints", f"SELECT query_id, {hints_sql('f.query', 'f')} AS hints FROM ({QF_SQL}) f", ("queries",))
 def query_hints_q(spark, sf):
     q = T.queries(spark, sf)
     f = FT.query_features("query")
     return q.select("query_id", F.array_join(FT.query_hints("query", f), " | ").alias("hints"))
 
 
-# --- fuzzy ratios (Arrow UDFs; rows-only in the driver, goldens in tests) -------------
+# --- fuzzy ratios (Arrow UDFs; the SQL computes the same LCS with 128-bit integers) ------
+_PARTS_SQL = S.ratio_parts(_PAIRS_SQL, "product_name", "query")
+
+
 def _clean_pairs(spark, sf):
     return (_pairs(spark, sf).select("query_id", "product_name", "query",
                                      clean_text("product_name").alias("a"), clean_text("query").alias("b")))
 
 
-@query("fuzz_ratio")
+@query("fuzz_ratio", f"SELECT query_id, product_name, {S.ratio('ca', 'cb')} AS ratio FROM ({_PARTS_SQL})", ("offers_q",))
 def fuzz_ratio(spark, sf):
     return _clean_pairs(spark, sf).select("query_id", "product_name", ratio_udf("a", "b").alias("ratio"))
 
 
-@query("partial_ratio")
+@query("partial_ratio", f"SELECT query_id, product_name, {S.partial_ratio('sh', 'lo')} AS partial FROM ({_PARTS_SQL})", ("offers_q",))
 def partial_ratio(spark, sf):
     return _clean_pairs(spark, sf).select("query_id", "product_name", partial_ratio_udf("a", "b").alias("partial"))
 
 
-@query("token_ratios")
+@query("token_ratios", f"""
+SELECT query_id, product_name, {S.ratio('sa', 'sb')} AS token_sort, {S.TSET} AS token_set FROM ({_PARTS_SQL})""", ("offers_q",))
 def token_ratios(spark, sf):
     return _clean_pairs(spark, sf).select("query_id", "product_name",
                                           token_sort_ratio_udf("a", "b").alias("token_sort"),
                                           token_set_ratio_udf("a", "b").alias("token_set"))
 
 
-@query("offer_similarity")
+@query("offer_similarity", f"""
+SELECT query_id, product_name, round(similarity, 6) AS similarity
+FROM ({S.similarity(_PAIRS_SQL, 'product_name', 'query')})""", ("offers_q",))
 def offer_similarity(spark, sf):
     """F6 per distinct (name, query) pair."""
     return _pairs(spark, sf).select("query_id", "product_name",
-                                    name_similarity_udf("product_name", "query").alias("similarity"))
-
-
-@query("feature_similarity")
+                                    F.round(name_similarity_udf("product_name", "query"), 6).alias("similarity"))
+
+
+def feature_similarity_sql(pairs: str, a: str, b: str, q: str | None = None) -> str:
+    """F10 of two name columns of ``pairs`` as ``similarity``; ``q`` is the query column, if any."""
+    shorter = lambda x, y: (f"CASE WHEN length({x}) <= length({y}) THEN {x} ELSE {y} END",
+                            f"CASE WHEN length({x}) <= length({y}) THEN {y} ELSE {x} END")
+    query = q or "''"
+    f1 = _product_features_sql(a, query).replace(" AS brand", " AS b1").replace(" AS model", " AS m1").replace(
+        " AS storage", " AS s1").replace(" AS color", " AS k1").replace(" AS category", " AS cat1").replace(" AS key_specs", " AS ks1")
+    f2 = _product_features_sql(b, query).replace(" AS brand", " AS b2").replace(" AS model", " AS m2").replace(
+        " AS storage", " AS s2").replace(" AS color", " AS k2").replace(" AS category", " AS cat2").replace(" AS key_specs", " AS ks2")
+    rel = "0.5"
+    extra = ""
+    if q:
+        (s1, l1), (s2, l2) = shorter("lq", "la"), shorter("lq", "lb")
+        extra = f", {s1} AS p1, {l1} AS o1, {s2} AS p2, {l2} AS o2"
+        rel = f"(CASE WHEN length({q}) = 0 THEN 0.5 ELSE ({S.partial_ratio('p1', 'o1')} / 100.0 + {S.partial_ratio('p2', 'o2')} / 100.0) / 2.0 END)"
+    return f"""
+SELECT *, {S.ratio('ka', 'kb')} / 100.0 * 0.3
+  + (CASE WHEN b1 IS NULL OR b2 IS NULL THEN 0.5 WHEN b1 = b2 THEN 1.0 ELSE 0.0 END) * 0.25
+  + (CASE WHEN m1 IS NULL OR m2 IS NULL THEN 0.5 ELSE {S.ratio('m1', 'm2')} / 100.0 END) * 0.2
+  + (CASE WHEN s1 IS NULL OR s2 IS NULL THEN 0.5 WHEN s1 = s2 THEN 1.0 ELSE 0.3 END) * 0.1
+  + (CASE WHEN k1 IS NULL OR k2 IS NULL THEN 0.8 WHEN k1 = k2 THEN 1.0 ELSE 0.6 END) * 0.05 + {rel} * 0.1 AS similarity
+FROM (SELECT *{extra}, array_to_string(list_sort({_sql_tokens('la')}), ' ') AS ka, array_to_string(list_sort({_sql_tokens('lb')}), ' ') AS kb
+ FROM (SELECT *, lower({a}) AS la, lower({b}) AS lb, lower({query}) AS lq, {f1}, {f2} FROM ({pairs})))"""
+
+
+@query("feature_similarity", f"""
+SELECT query_id, product_name, round(similarity, 6) AS similarity
+FROM ({feature_similarity_sql(_PAIRS_SQL, 'product_name', 'query', 'query')})""", ("offers_q",))
 def feature_similarity_q(spark, sf):
-    """each offer name against its query text as the second product (no query context)."""
+    """F10 + F11: each offer name against its query text, with the query as context."""
     p = _pairs(spark, sf)
-    return p.select("query_id", "product_name",
-                    feature_similarity(F.col("product_name"), F.col("query"), F.lit("")).alias("similarity"))
+    return p.select("query_id", "product_name", F.round(
+        feature_similarity(F.col("product_name"), F.col("query"), F.col("query")), 6).alias("similarity"))
 
 
-@query("rank_products")
+@query("rank_products", f"""
+SELECT query_id, product_name, relevance, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, product_name) AS rank
+FROM (SELECT query_id, product_name, {S.partial_ratio('sh', 'lo')} / 100.0 AS relevance
+ FROM (SELECT *, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS sh, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS lo
+  FROM (SELECT *, lower(query) AS a, lower(product_name) AS b FROM ({_PAIRS_SQL}))))""", ("offers_q",))
 def rank_products_q(spark, sf):
     """Distinct offer names ranked by partial match to the query."""
     return rank_products(_pairs(spark, sf), "query_id", "product_name", "query")

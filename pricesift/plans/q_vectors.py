@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import features as FT
+from ..functions.text import slug
+from ..operators.encoder import DIM, document_weights, term_counts, vectors
 from ..operators.history import learn_prices
 from ..operators.knn import knn_topk, l2_norm, normalize
+from ..session import write_shared
 from ..settings import DEFAULT
 from ..sources import tables as T
+from . import sql_exprs as S
 from .catalog import query
-from .q_relational import _TREND_SQL
-from .q_text import _query_features_sql
+from .q_relational import trend_sql
+from .q_text import _query_features_sql, hints_sql
 
 
 def _cos_sql(a: str, b: str) -> str:
@@ -25,12 +29,6 @@ def _docs(spark, sf) -> DataFrame:
     return T.kb_docs(spark, sf)
 
 
-def _query_vectors(spark, sf) -> DataFrame:
-    """Each query is embedded as the vector of its own part (same id)."""
-    e = T.table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
-    return T.queries(spark, sf).join(e, "query_id")
-
-
 @query("knn_topk", f"""
 SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (
  SELECT a.vec_id AS query_id, b.vec_id AS doc_id, {_cos_sql('a.embedding', 'b.embedding')} AS score,
@@ -56,36 +54,86 @@ def normalize_vectors(spark, sf):
                     F.round(F.aggregate(u, F.lit(0.0), lambda a, x: a + x), 6).alias("unit_sum"))
 
 
+# --- encoded texts ---------------------------------------------------------------------
+T.VIEW_SQL["kb_terms"] = f"""
+SELECT doc_id, CAST('0x' || substr(md5(token), 1, 7) AS BIGINT) % {DIM} AS place, count(*) AS n
+FROM (SELECT doc_id, unnest({S.tokens('text')}) AS token FROM kb_texts) GROUP BY ALL"""
+T.VIEW_SQL["kb_weights"] = """
+SELECT place, ln(((SELECT count(*) FROM kb_texts) + 1.0) / (count(*) + 1)) AS idf FROM kb_terms GROUP BY place"""
+T.VIEW_SQL["kb_vectors"] = """
+SELECT doc_id, place, w, sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS norm
+FROM (SELECT doc_id, place, CAST(CAST(n * idf AS FLOAT) AS DOUBLE) AS w FROM kb_terms JOIN kb_weights USING (place))"""
+T.VIEW_DEPS |= {"kb_terms": ["kb_texts"], "kb_weights": ["kb_terms", "kb_texts"], "kb_vectors": ["kb_terms", "kb_weights"]}
+
+
+def _hits_sql(texts: str) -> str:
+    """Best document (score >= 0.3) of each (id, text) row of ``texts``."""
+    return f"""
+SELECT id, doc_id AS hit_doc_id, score AS confidence FROM (
+ SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, doc_id) AS rn FROM (
+  SELECT q.id, d.doc_id, round(sum(q.w * d.w) / (any_value(q.norm) * any_value(d.norm)), 9) AS score FROM (
+   SELECT id, place, w, sqrt(sum(w * w) OVER (PARTITION BY id)) AS norm FROM (
+    SELECT id, place, CAST(CAST(count(*) * any_value(idf) AS FLOAT) AS DOUBLE) AS w FROM (
+     SELECT id, CAST('0x' || substr(md5(token), 1, 7) AS BIGINT) % {DIM} AS place
+     FROM (SELECT id, unnest({S.tokens('text')}) AS token FROM ({texts}))) JOIN kb_weights USING (place) GROUP BY id, place)) q
+  JOIN kb_vectors d ON q.place = d.place WHERE q.norm > 0 AND d.norm > 0 GROUP BY q.id, d.doc_id)) WHERE rn = 1 AND score >= 0.3"""
+
+
+T.VIEW_SQL["query_hits"] = f"""
+SELECT h.id AS query_id, h.hit_doc_id, h.confidence, d.type AS hit_type, d.product_id AS hit_product, d.name AS hit_name
+FROM ({_hits_sql('SELECT query_id AS id, query AS text FROM queries')}) h JOIN kb_texts d ON h.hit_doc_id = d.doc_id"""
+T.VIEW_DEPS["query_hits"] = ["queries", "kb_texts", "kb_weights", "kb_vectors"]
+
+
+def text_hits(spark, sf, texts: DataFrame, k: int = 1) -> DataFrame:
+    """J8 on encoded texts: up to ``k`` knowledge texts (score >= 0.3) per (id, text) row, best first."""
+    docs = T.kb_texts(spark, sf)
+    counts = write_shared(term_counts(docs, "doc_id", "text"), "kb-terms")
+    weights = document_weights(counts, docs.count())
+    q = vectors(term_counts(texts, "id", "text"), weights, "id").withColumnRenamed("vec", "qvec")
+    hits = knn_topk(q, vectors(counts, weights, "doc_id").withColumnRenamed("vec", "embedding"), k,
+                    query_id="id", min_score=DEFAULT.min_score, digits=9)
+    meta = docs.select("doc_id", F.col("type").alias("hit_type"), F.col("product_id").alias("hit_product"), F.col("name").alias("hit_name"))
+    return hits.join(meta, "doc_id").select("id", F.col("doc_id").alias("hit_doc_id"), F.col("score").alias("confidence"),
+                                            "rank", "hit_type", "hit_product", "hit_name")
+
+
+@query("knowledge_search", f"""
+SELECT query_id, hit_doc_id, round(confidence, 6) AS score, hit_type, hit_name FROM query_hits""", ("query_hits",))
+def knowledge_search(spark, sf):
+    """J8/P13 from text: the best knowledge text of every query, if any reaches 0.3."""
+    return _best_hits(spark, sf).select("query_id", "hit_doc_id", F.round("confidence", 6).alias("score"), "hit_type", "hit_name")
+
+
 # --- enhancer ------------------------------------------------------------------------
-def _best_hits(spark, sf, k=3):
-    qv = _query_vectors(spark, sf)
-    hits = knn_topk(qv, _docs(spark, sf), k, min_score=DEFAULT.min_score)
-    return (hits.filter(F.col("rank") == 1)
-            .join(_docs(spark, sf).select("doc_id", F.col("type").alias("hit_type"),
-                                          F.col("product_id").alias("hit_product")), "doc_id")
-            .select("query_id", F.col("doc_id").alias("hit_doc_id"), F.col("score").alias("confidence"),
-                    "hit_type", "hit_product"))
+def _best_hits(spark, sf):
+    q = T.queries(spark, sf).select(F.col("query_id").alias("id"), F.col("query").alias("text"))
+    return text_hits(spark, sf, q).withColumnRenamed("id", "query_id").drop("rank")
+
+
+def _slug_points(spark, sf, slugs: DataFrame) -> DataFrame:
+    """Price points keyed by the slug of the product's name, of the given slugs only."""
+    pts = T.price_points(spark, sf).withColumn("product_id", slug("product_name"))
+    return pts.join(slugs, "product_id", "left_semi")
 
 
-_BEST_SQL = f"""
-SELECT query_id, doc_id AS hit_doc_id, score AS confidence, type AS hit_type, product_id AS hit_product FROM (
- SELECT q.query_id, d.doc_id, d.type, d.product_id, {_cos_sql('e.embedding', 'd.embedding')} AS score,
-  row_number() OVER (PARTITION BY q.query_id ORDER BY {_cos_sql('e.embedding', 'd.embedding')} DESC, d.doc_id) AS rn
- FROM queries q JOIN embeddings e ON e.vec_id = q.query_id JOIN kb_docs d ON TRUE) WHERE rn = 1 AND score >= 0.3"""
+T.VIEW_SQL["slug_points"] = "SELECT * REPLACE (lower(replace(product_name, ' ', '_')) AS product_id) FROM price_points"
+T.VIEW_DEPS["slug_points"] = ["price_points"]
 
 
 def enhance(spark, sf) -> DataFrame:
-    """F13 + J9 + J10 + F14 + P14 for every query at once."""
+    """F13 + J9 + J10 + F14 + P14 for every query at once; knowledge and prices of the hits only."""
     s = DEFAULT
-    q = T.queries(spark, sf)
     f = FT.query_features("query")
-    q = q.select("query_id", "query", "country", f.alias("f"))
-    kb = T.knowledge(spark, sf)
-    ins = learn_prices(T.price_points(spark, sf)).select(
-        F.col("product_id").alias("hit_product"), "current_price", "price_trend", "best_time_to_buy")
-    j = (q.join(_best_hits(spark, sf), "query_id", "left")
-         .join(kb.withColumnRenamed("product_id", "hit_product"), "hit_product", "left")
-         .join(ins, "hit_product", "left"))
+    q = T.queries(spark, sf).select("query_id", "query", "country", f.alias("f"))
+    hits = write_shared(_best_hits(spark, sf), "query-hits")
+    kb = (T.knowledge(spark, sf).withColumnRenamed("product_id", "hit_product")
+          .join(hits.select("hit_product").distinct(), "hit_product", "left_semi"))
+    slugs = hits.select(slug("hit_name").alias("product_id")).distinct()
+    ins = learn_prices(_slug_points(spark, sf, slugs)).select(
+        F.col("product_id").alias("hit_slug"), "current_price", "price_trend", "best_time_to_buy")
+    j = (q.join(hits.withColumn("hit_slug", slug("hit_name")), "query_id", "left")
+         .join(kb, "hit_product", "left").join(ins, "hit_slug", "left"))
     gate = (F.coalesce(F.col("confidence"), F.lit(0.0)) > s.enhance_gate) & (F.col("hit_type") == "product_knowledge") \
         & F.col("product_name").isNotNull()
     add_storage = F.when(gate & F.col("f.storage").isNull() & (F.size("storage_options") > 0),
@@ -97,7 +145,7 @@ def enhance(spark, sf) -> DataFrame:
               .when(india & (lq.contains("samsung") | lq.contains("oneplus")), " India variant").otherwise(""))
     return j.select(
         "query_id", "query", "country", F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
-        "hit_doc_id", "hit_type",
+        "hit_doc_id", "hit_type", "hit_name",
         F.concat(F.concat_ws(" ", "query", add_storage, add_brand), suffix).alias("enhanced_query"),
         F.coalesce(F.col("f.storage"), add_storage).alias("storage"),
         F.coalesce(F.col("f.brand"), add_brand).alias("brand"),
@@ -110,8 +158,8 @@ def enhance(spark, sf) -> DataFrame:
         F.col("f").alias("features"))
 
 
-_ENHANCE_SQL = f"""
-SELECT q.query_id, q.query, q.country, coalesce(b.confidence, 0.0) AS confidence, b.hit_doc_id, b.hit_type,
+T.VIEW_SQL["enhanced"] = f"""
+SELECT q.query_id, q.query, q.country, coalesce(b.confidence, 0.0) AS confidence, b.hit_doc_id, b.hit_type, b.hit_name,
  q.query || CASE WHEN g.gate AND q.storage IS NULL AND len(k.storage_options) > 0 THEN ' ' || k.storage_options[1] ELSE '' END
   || CASE WHEN g.gate AND q.brand IS NULL THEN ' ' || k.brand ELSE '' END
   || CASE WHEN upper(q.country) = 'IN' AND (contains(lower(q.query), 'iphone') OR contains(lower(q.query), 'apple'))
@@ -125,43 +173,43 @@ SELECT q.query_id, q.query, q.country, coalesce(b.confidence, 0.0) AS confidence
  CASE WHEN g.gate THEN i.current_price END AS current_price, CASE WHEN g.gate THEN i.price_trend END AS price_trend,
  CASE WHEN g.gate THEN 'Monitor for trends' END AS best_time_to_buy
 FROM (SELECT query_id, query, country, {_query_features_sql('query')} FROM queries) q
-LEFT JOIN ({_BEST_SQL}) b ON q.query_id = b.query_id
+LEFT JOIN query_hits b ON q.query_id = b.query_id
 LEFT JOIN knowledge k ON b.hit_product = k.product_id
-LEFT JOIN ({_TREND_SQL}) i ON b.hit_product = i.product_id
+LEFT JOIN ({trend_sql('slug_points')}) i ON lower(replace(b.hit_name, ' ', '_')) = i.product_id
 CROSS JOIN LATERAL (SELECT coalesce(b.confidence, 0.0) > 0.5 AND b.hit_type = 'product_knowledge'
                     AND k.product_name IS NOT NULL AS gate) g"""
+T.VIEW_DEPS["enhanced"] = ["queries", "query_hits", "knowledge", "slug_points"]
 
 
-@query("enhance_queries", f"""
+@query("enhance_queries", """
 SELECT query_id, round(confidence, 6) AS confidence, hit_doc_id, hit_type, enhanced_query, storage, brand,
- array_to_string(alternatives, '|') AS alternatives FROM ({_ENHANCE_SQL})""",
-       ("queries", "kb_docs", "knowledge", "price_points"))
+ array_to_string(alternatives, '|') AS alternatives FROM enhanced""", ("enhanced",))
 def enhance_queries(spark, sf):
     e = enhance(spark, sf)
     return e.select("query_id", F.round("confidence", 6).alias("confidence"), "hit_doc_id", "hit_type",
                     "enhanced_query", "storage", "brand", F.array_join("alternatives", "|").alias("alternatives"))
 
 
-@query("price_context", f"""
+@query("price_context", """
 SELECT query_id, round(exp_min, 6) AS exp_min, round(exp_max, 6) AS exp_max, market_insights,
- round(current_price, 6) AS current_price, price_trend, best_time_to_buy FROM ({_ENHANCE_SQL})""",
-       ("queries", "kb_docs", "knowledge", "price_points"))
+ round(current_price, 6) AS current_price, price_trend, best_time_to_buy FROM enhanced""", ("enhanced",))
 def price_context(spark, sf):
+    """J10 + F14: price expectations of the matched product, its learned prices found by the slug of its name."""
     e = enhance(spark, sf)
     return e.select("query_id", F.round("exp_min", 6).alias("exp_min"), F.round("exp_max", 6).alias("exp_max"),
                     "market_insights", F.round("current_price", 6).alias("current_price"), "price_trend",
                     "best_time_to_buy")
 
 
-@query("alternatives", f"""
+@query("alternatives", """
 SELECT q.query_id, b.hit_doc_id,
  CASE WHEN b.hit_type = 'product_knowledge' THEN array_to_string(k.alternatives, '|') ELSE '' END AS alternatives
-FROM queries q LEFT JOIN ({_BEST_SQL.replace('rn = 1', 'rn <= 1')}) b ON q.query_id = b.query_id
-LEFT JOIN knowledge k ON b.hit_product = k.product_id""", ("queries", "kb_docs", "knowledge", "price_points"))
+FROM queries q LEFT JOIN query_hits b ON q.query_id = b.query_id
+LEFT JOIN knowledge k ON b.hit_product = k.product_id""", ("queries", "query_hits", "knowledge"))
 def alternatives(spark, sf):
     """Alternatives of the single best hit, only when it is a product document."""
     kb = T.knowledge(spark, sf).select(F.col("product_id").alias("hit_product"), "alternatives")
-    h = _best_hits(spark, sf, k=1).join(kb, "hit_product", "left")
+    h = _best_hits(spark, sf).join(kb, "hit_product", "left")
     q = T.queries(spark, sf).select("query_id")
     return q.join(h, "query_id", "left").select(
         "query_id", "hit_doc_id",
@@ -169,54 +217,54 @@ def alternatives(spark, sf):
          .otherwise(F.lit("")).alias("alternatives"))
 
 
-@query("alternative_bands", f"""
-WITH alts AS (SELECT e.query_id, u.pos, u.alt FROM ({_ENHANCE_SQL}) e,
-   LATERAL (SELECT unnest(generate_series(1, len(e.alternatives))) AS pos, unnest(e.alternatives) AS alt) u),
- named AS (SELECT DISTINCT p_name || ' ' || p_type AS alt, min(p_partkey) OVER (PARTITION BY p_name || ' ' || p_type) AS alt_id
-           FROM part),
- hit AS (SELECT * FROM (SELECT n.alt, d.doc_id, d.type, d.product_id, {_cos_sql('v.embedding', 'd.embedding')} AS score,
-   row_number() OVER (PARTITION BY n.alt ORDER BY {_cos_sql('v.embedding', 'd.embedding')} DESC, d.doc_id) AS rn
-   FROM named n JOIN embeddings v ON v.vec_id = n.alt_id JOIN kb_docs d ON TRUE) WHERE rn = 1 AND score >= 0.3)
-SELECT a.query_id, a.pos, CASE WHEN h.alt IS NULL THEN '• ' || a.alt
+T.VIEW_SQL["bands"] = f"""
+SELECT a.query_id, a.pos, CASE WHEN h.id IS NULL THEN '• ' || a.alt
   ELSE '• ' || a.alt || ' ($' || CAST(k.price_min AS VARCHAR) || ' - $' || CAST(k.price_max AS VARCHAR) || ')' END AS line
-FROM alts a LEFT JOIN hit h ON a.alt = h.alt LEFT JOIN knowledge k ON h.product_id = k.product_id
-WHERE h.alt IS NULL OR h.type = 'product_knowledge'""", ("queries", "kb_docs", "knowledge", "price_points"))
-def alternative_bands(spark, sf):
-    """For each of the first three alternatives, its best hit's price band (or the bare name)."""
-    e = enhance(spark, sf).select("query_id", F.posexplode("alternatives").alias("pos0", "alt"))
-    p = T.table(spark, sf, "part")
-    named = (p.groupBy(F.concat_ws(" ", "p_name", "p_type").alias("alt"))
-             .agg(F.min("p_partkey").alias("alt_id")))
-    vec = T.table(spark, sf, "embeddings").select(F.col("vec_id").alias("alt_id"), F.col("embedding").alias("qvec"))
-    av = e.select("alt").distinct().join(named, "alt").join(vec, "alt_id")
-    hits = knn_topk(av.select(F.col("alt_id").alias("query_id"), "qvec"), _docs(spark, sf), 1,
-                    min_score=DEFAULT.min_score)
-    kb = T.knowledge(spark, sf).select(F.col("product_id").alias("hp"), "price_min", "price_max")
-    docs = _docs(spark, sf).select("doc_id", "type", F.col("product_id").alias("hp"))
-    h = (hits.join(docs, "doc_id").join(kb, "hp", "left")
-         .join(named.withColumnRenamed("alt_id", "query_id"), "query_id")
-         .select("alt", "type", "price_min", "price_max"))
-    j = e.join(h, "alt", "left").filter(F.col("type").isNull() | (F.col("type") == "product_knowledge"))
+FROM (SELECT e.query_id, u.pos, u.alt FROM enhanced e,
+   LATERAL (SELECT unnest(generate_series(1, len(e.alternatives))) AS pos, unnest(e.alternatives) AS alt) u) a
+LEFT JOIN (SELECT h.id, d.type, d.product_id FROM (
+  {_hits_sql('SELECT DISTINCT name AS id, name AS text FROM catalogue WHERE name IN (SELECT unnest(alternatives) FROM enhanced)')}) h
+  JOIN kb_texts d ON h.hit_doc_id = d.doc_id) h ON a.alt = h.id
+LEFT JOIN knowledge k ON h.product_id = k.product_id
+WHERE h.id IS NULL OR h.type = 'product_knowledge'"""
+T.VIEW_DEPS["bands"] = ["enhanced", "catalogue", "kb_texts", "kb_weights", "kb_vectors", "knowledge"]
+
+
+def bands(spark, sf, enhanced: DataFrame) -> DataFrame:
+    """For each alternative of each query, its best hit's price band (or the bare name)."""
+    e = enhanced.select("query_id", F.posexplode("alternatives").alias("pos0", "alt"))
+    names = write_shared(e.select("alt").distinct().select(F.xxhash64("alt").alias("id"), F.col("alt").alias("text")), "alternatives")
+    hits = text_hits(spark, sf, names).join(names, "id").select(F.col("text").alias("alt"), "hit_type", "hit_product")
+    kb = (T.knowledge(spark, sf).select(F.col("product_id").alias("hit_product"), "price_min", "price_max")
+          .join(hits.select("hit_product").distinct(), "hit_product", "left_semi"))
+    j = (e.join(hits.join(kb, "hit_product", "left"), "alt", "left")
+         .filter(F.col("hit_type").isNull() | (F.col("hit_type") == "product_knowledge")))
     band = F.concat(F.lit("• "), F.col("alt"), F.lit(" ($"), F.col("price_min").cast("string"), F.lit(" - $"),
                     F.col("price_max").cast("string"), F.lit(")"))
-    line = F.when(F.col("type").isNull(), F.concat(F.lit("• "), F.col("alt"))).otherwise(band)
+    line = F.when(F.col("hit_type").isNull(), F.concat(F.lit("• "), F.col("alt"))).otherwise(band)
     return j.select("query_id", (F.col("pos0") + 1).cast("bigint").alias("pos"), line.alias("line"))
 
 
+@query("alternative_bands", "SELECT * FROM bands", ("bands",))
+def alternative_bands(spark, sf):
+    return bands(spark, sf, write_shared(enhance(spark, sf), "enhanced"))
+
+
 @query("query_context", f"""
-SELECT query_id,
- (CASE WHEN storage IS NULL THEN 0 ELSE 1 END) + (CASE WHEN storage_gb IS NULL THEN 0 ELSE 1 END)
- + (CASE WHEN memory IS NULL THEN 0 ELSE 1 END) + (CASE WHEN memory_gb IS NULL THEN 0 ELSE 1 END)
- + (CASE WHEN color IS NULL THEN 0 ELSE 1 END) + (CASE WHEN brand IS NULL THEN 0 ELSE 1 END)
- + (CASE WHEN model IS NULL THEN 0 ELSE 1 END) AS feature_count,
- hit_doc_id IS NOT NULL AS has_knowledge_match, round(confidence, 6) AS knowledge_confidence
-FROM (SELECT q.*, b.hit_doc_id, b.confidence FROM (SELECT query_id, {_query_features_sql('query')} FROM queries) q
-      LEFT JOIN ({_BEST_SQL}) b ON q.query_id = b.query_id)""", ("queries", "kb_docs"))
+SELECT q.query_id,
+ (CASE WHEN q.storage IS NULL THEN 0 ELSE 1 END) + (CASE WHEN q.storage_gb IS NULL THEN 0 ELSE 1 END)
+ + (CASE WHEN q.memory IS NULL THEN 0 ELSE 1 END) + (CASE WHEN q.memory_gb IS NULL THEN 0 ELSE 1 END)
+ + (CASE WHEN q.color IS NULL THEN 0 ELSE 1 END) + (CASE WHEN q.brand IS NULL THEN 0 ELSE 1 END)
+ + (CASE WHEN q.model IS NULL THEN 0 ELSE 1 END) AS feature_count,
+ b.hit_doc_id IS NOT NULL AS has_knowledge_match, round(b.confidence, 6) AS knowledge_confidence,
+ b.hit_name AS matched_product, {hints_sql('q.query', 'q')} AS suggestions
+FROM (SELECT query_id, query, {_query_features_sql('query')} FROM queries) q
+LEFT JOIN query_hits b ON q.query_id = b.query_id""", ("queries", "query_hits"))
 def query_context(spark, sf):
-    """A10: feature count, knowledge match flag and confidence per query."""
-    q = T.queries(spark, sf).select("query_id", FT.query_features("query").alias("f"))
-    h = _best_hits(spark, sf, k=1)
-    return q.join(h, "query_id", "left").select(
+    """A10: feature count, knowledge match, its confidence and product, and suggestions per query."""
+    q = T.queries(spark, sf).select("query_id", "query", FT.query_features("query").alias("f"))
+    return q.join(_best_hits(spark, sf), "query_id", "left").select(
         "query_id", FT.feature_count(F.col("f")).alias("feature_count"),
         F.col("hit_doc_id").isNotNull().alias("has_knowledge_match"),
-        F.round("confidence", 6).alias("knowledge_confidence"))
+        F.round("confidence", 6).alias("knowledge_confidence"), F.col("hit_name").alias("matched_product"),
+        F.array_join(FT.query_hints("query", F.col("f")), " | ").alias("suggestions"))

@@ -118,3 +118,130 @@ FROM (SELECT *, {clean_price_us('price')} AS amount,
 """
 
 ARRIVAL_SQL = "scraped_at, l_orderkey, l_linenumber, product_id, seller_id"
+
+
+# --- indel ratios (bit-parallel LCS on 128-bit integers, up to 120 characters) ------------
+def lcs(a: str, b: str) -> str:
+    """Length of the longest common subsequence of two short texts."""
+    full = f"((CAST(1 AS HUGEINT) << CAST(length({a}) AS INT)) - 1)"
+    at = (f"list_sum(list_transform(generate_series(1, length({a})), lambda i: CASE WHEN substr({a}, i, 1) = ch "
+          f"THEN CAST(1 AS HUGEINT) << CAST(i - 1 AS INT) ELSE 0 END))::HUGEINT")
+    masks = f"list_transform(string_split({b}, ''), lambda ch: {at})"
+    step = f"list_reduce(list_prepend({full}, {masks}), lambda v, m: ((v + (v & m)) | (v - (v & m))) & {full})"
+    return f"(length({a}) - bit_count({step}))"
+
+
+def ratio(a: str, b: str) -> str:
+    return (f"(CASE WHEN {a} = {b} THEN 100.0 WHEN {a} = '' OR {b} = '' THEN 0.0 "
+            f"ELSE round_even(100 * (2.0 * {lcs(a, b)} / (length({a}) + length({b}))), 0) END)")
+
+
+def partial_ratio(short: str, long: str) -> str:
+    """``short`` must be the shorter text (the first of equals)."""
+    window = f"substr({long}, o + 1, length({short}))"
+    best = (f"list_max(list_transform(generate_series(0, length({long}) - length({short})), "
+            f"lambda o: 2.0 * {lcs(short, window)} / (2 * length({short}))))")
+    return (f"(CASE WHEN {short} = {long} THEN 100.0 WHEN {short} = '' THEN 0.0 "
+            f"WHEN {best} > 0.995 THEN 100.0 ELSE round_even(100 * {best}, 0) END)")
+
+
+def tokens(x: str) -> str:
+    s = f"trim(lower(regexp_replace(regexp_replace({x}, '[^\\x00-\\x7F]', '', 'g'), '\\W', ' ', 'g')))"
+    return f"list_filter(string_split_regex({s}, '\\s+'), lambda t: t <> '')"
+
+
+def ratio_parts(pairs: str, a: str, b: str) -> str:
+    """``pairs`` with its texts cleaned (ca, cb), token-sorted (sa, sb), split into token-set parts
+    (sect, c1, c2) and ordered by length (sh, lo)."""
+    return f"""
+SELECT *, CASE WHEN length(ca) <= length(cb) THEN ca ELSE cb END AS sh,
+ CASE WHEN length(ca) <= length(cb) THEN cb ELSE ca END AS lo,
+ array_to_string(list_sort(ta), ' ') AS sa, array_to_string(list_sort(tb), ' ') AS sb,
+ trim(sect || ' ' || r1) AS c1, trim(sect || ' ' || r2) AS c2
+FROM (SELECT *, array_to_string(list_sort(list_distinct(list_intersect(ta, tb))), ' ') AS sect,
+  array_to_string(list_sort(list_distinct(list_filter(ta, lambda t: NOT list_contains(tb, t)))), ' ') AS r1,
+  array_to_string(list_sort(list_distinct(list_filter(tb, lambda t: NOT list_contains(ta, t)))), ' ') AS r2
+ FROM (SELECT *, {tokens('ca')} AS ta, {tokens('cb')} AS tb
+  FROM (SELECT *, {clean_text(a)} AS ca, {clean_text(b)} AS cb FROM ({pairs}))))"""
+
+
+TSET = f"(CASE WHEN c1 = '' OR c2 = '' THEN 0.0 ELSE greatest({ratio('sect', 'c1')}, {ratio('sect', 'c2')}, {ratio('c1', 'c2')}) END)"
+
+
+def similarity(pairs: str, a: str, b: str, floor: float | None = None) -> str:
+    """``pairs`` with F6 as ``similarity``; with ``floor`` only the pairs above it, ratio by ratio."""
+    keep = (lambda x: f" WHERE {x} > {floor}") if floor is not None else (lambda x: "")
+    blend = "(ts * 0.4 + tset * 0.4 + pr * 0.2) / 100.0"
+    ts = f"SELECT *, {ratio('sa', 'sb')} AS ts FROM ({ratio_parts(pairs, a, b)})"
+    ts = f"SELECT * FROM ({ts}){keep('(ts * 0.4 + 100 * 0.4 + 100 * 0.2) / 100.0')}"
+    tset = f"SELECT * FROM (SELECT *, {TSET} AS tset FROM ({ts})){keep('(ts * 0.4 + tset * 0.4 + 100 * 0.2) / 100.0')}"
+    out = (f"SELECT *, CASE WHEN {a} = '' OR {b} = '' THEN 0.0 ELSE {blend} END AS similarity "
+           f"FROM (SELECT *, {partial_ratio('sh', 'lo')} AS pr FROM ({tset}))")
+    return f"SELECT * FROM ({out}){keep('similarity')}"
+
+
+# --- the search: similarity, near-duplicate groups, best members, score, rank --------------
+def close(p1: str, p2: str) -> str:
+    return f"(1.0 - abs({p1} - {p2}) / greatest({p1}, {p2}) > 0.9)"
+
+
+SIMILAR_OFFERS_SQL = f"""
+SELECT n.*, s.similarity FROM norm n JOIN (
+ SELECT product_name AS pn, query AS q, similarity
+ FROM ({similarity('SELECT DISTINCT product_name, query FROM norm', 'product_name', 'query')})) s
+ ON n.product_name = s.pn AND n.query = s.q"""
+
+_VOCABULARY = "SELECT DISTINCT query_id, product_name FROM norm"
+NAME_PAIRS_SQL = f"""
+SELECT query_id, name_a, name_b FROM ({similarity(
+    f'''SELECT a.query_id, a.product_name AS name_a, b.product_name AS name_b
+        FROM ({_VOCABULARY}) a JOIN ({_VOCABULARY}) b ON a.query_id = b.query_id AND a.product_name < b.product_name''',
+    'name_a', 'name_b', 0.85)})"""
+
+#: Runs of close prices of one name.
+RUNS_SQL = f"""
+SELECT query_id, product_name, seg, min(norm_price) AS lo, max(norm_price) AS hi FROM (
+ SELECT *, sum(gap) OVER (PARTITION BY query_id, product_name ORDER BY norm_price) AS seg FROM (
+  SELECT *, CASE WHEN prev IS NULL OR NOT {close('prev', 'norm_price')}
+    OR len({tokens(clean_text('product_name'))}) = 0 THEN 1 ELSE 0 END AS gap
+  FROM (SELECT *, lag(norm_price) OVER (PARTITION BY query_id, product_name ORDER BY norm_price) AS prev
+        FROM (SELECT DISTINCT query_id, product_name, norm_price FROM norm))))
+GROUP BY query_id, product_name, seg"""
+
+#: Every run with the smallest run that it reaches over similar names at close prices.
+ROOTS_SQL = f"""
+SELECT query_id, product_name, seg, min(struct_pack(n := other_name, s := other_seg)) AS root FROM (
+ WITH RECURSIVE link AS (
+  SELECT a.query_id, a.product_name AS n1, a.seg AS s1, b.product_name AS n2, b.seg AS s2
+  FROM (SELECT query_id, name_a AS x, name_b AS y FROM name_pairs
+        UNION ALL SELECT query_id, name_b, name_a FROM name_pairs) p
+  JOIN runs a ON a.query_id = p.query_id AND a.product_name = p.x
+  JOIN runs b ON b.query_id = p.query_id AND b.product_name = p.y
+  WHERE (a.lo <= b.hi AND b.lo <= a.hi) OR (a.hi < b.lo AND {close('a.hi', 'b.lo')}) OR (b.hi < a.lo AND {close('b.hi', 'a.lo')})),
+ reach AS (
+  SELECT query_id, product_name, seg, product_name AS other_name, seg AS other_seg FROM runs
+  UNION SELECT r.query_id, r.product_name, r.seg, l.n2, l.s2
+  FROM reach r JOIN link l ON l.query_id = r.query_id AND l.n1 = r.other_name AND l.s1 = r.other_seg)
+ SELECT * FROM reach) GROUP BY query_id, product_name, seg"""
+
+GROUPED_SQL = """
+SELECT o.*, r.root FROM sim_offers o JOIN runs u ON o.query_id = u.query_id AND o.product_name = u.product_name
+ AND o.norm_price BETWEEN u.lo AND u.hi
+JOIN roots r ON r.query_id = u.query_id AND r.product_name = u.product_name AND r.seg = u.seg"""
+
+BEST_SQL = f"""
+SELECT * EXCLUDE (rn), substr(md5(product_name), 1, 8) AS group_id FROM (
+ SELECT *, count(*) OVER (PARTITION BY query_id, root) AS group_size,
+  row_number() OVER (PARTITION BY query_id, root ORDER BY similarity DESC, norm_price, {ARRIVAL_SQL}) AS rn
+ FROM grouped) WHERE rn = 1"""
+
+RANKED_SQL = f"""
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, norm_price, {ARRIVAL_SQL}) AS rank
+ FROM (SELECT *, {rank_score('similarity', 'source', 'availability', 'rating', 'reviews_count', 'shipping_cost', 'norm_price')}
+       AS score FROM best))
+WHERE max_results <= 0 OR rank <= max_results"""
+
+SEARCH_VIEWS = {"sim_offers": (SIMILAR_OFFERS_SQL, ["norm"]), "name_pairs": (NAME_PAIRS_SQL, ["norm"]),
+                "runs": (RUNS_SQL, ["norm"]), "roots": (ROOTS_SQL, ["runs", "name_pairs"]),
+                "grouped": (GROUPED_SQL, ["sim_offers", "runs", "roots"]), "best": (BEST_SQL, ["grouped"]),
+                "ranked": (RANKED_SQL, ["best"])}

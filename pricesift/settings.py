@@ -23,15 +23,10 @@ class Settings:
     # Block sizes for the exact vector search grid (rows per block).
     knn_doc_block_rows: int = 20000
     knn_query_block_rows: int = 2000
-    cc_max_rounds: int = 64
-    # Components of a query with at most this many edges are found in one task.
-    cc_local_max_edges: int = 2_000_000
     # Per-query rank through a range-partitioned sort (splits hot queries).
     skew_safe_rank: bool = True
     # Row bound under which a derived small table (checked by count) is broadcast.
     broadcast_max_rows: int = 1_000_000
-    # Largest component replayed in order by the greedy grouping (one task).
-    greedy_max_component: int = 50000
     weights: dict = field(default_factory=lambda: {
         "fuzzy": 0.3, "brand": 0.25, "model": 0.2, "storage": 0.1,
         "color": 0.05, "query_relevance": 0.1,

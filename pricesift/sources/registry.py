@@ -52,6 +52,24 @@ FX_TO_USD = {"USD": 1.0, "INR": 0.012, "EUR": 1.1, "GBP": 1.25}
 SYMBOLS = {"$": "USD", "₹": "INR", "€": "EUR", "£": "GBP"}
 # Card caps per shop page (first N containers are parsed).
 CARD_CAPS = {"Amazon": 20, "Amazon India": 20, "Flipkart": 25, "eBay": 15}
+# Card containers (tried in order) and the classes of a card's fields (first non-empty wins).
+_AMAZON = {
+    "containers": [{"attr": "data-component-type", "value": "s-search-result"}, {"class": "s-result-item", "attr": "data-asin"},
+                   {"class": "s-widget-container"}],
+    "id_attrs": ["data-asin", "data-uuid"], "needs_id": True, "image_attrs": ["data-src", "src"], "seller_name": "Amazon",
+    "title": ["a-size-medium", "a-size-base-plus", "a-link-normal"], "price": ["a-offscreen", "a-price-whole", "a-color-price"],
+    "rating": ["a-icon-alt"], "reviews": ["s-underline-text", "a-size-base"], "availability": ["a-color-success", "a-color-price"]}
+PROFILES = {
+    "Amazon": _AMAZON,
+    "Amazon India": {**_AMAZON, "price": ["a-price-whole", "a-offscreen"], "seller_name": "Amazon India"},
+    "Flipkart": {"containers": [{"attr": "data-id"}, {"class": "_1AtVbE"}, {"class": "_13oc-S"}, {"class": "_2kHMtA"}],
+                 "id_attrs": ["data-id"], "image_attrs": ["src", "data-src"], "seller_name": "Flipkart",
+                 "title": ["_4rR01T", "s1Q9rs", "_2WkVRV", "IRpwTa"], "price": ["_30jeq3", "_1_WHN1", "Nx9bqj", "_3tbKJL"],
+                 "rating": ["_3LWZlK"], "reviews": ["_2_R_DZ"], "availability": ["_2Tpdn3"]},
+    "eBay": {"containers": [{"class": "s-item"}], "id_attrs": [], "image_attrs": ["src"], "seller_name": "eBay Seller",
+             "availability_default": "Available", "title": ["s-item__title"], "price": ["notranslate", "s-item__price"],
+             "shipping": ["s-item__shipping"], "seller": ["s-item__seller-info-text"]},
+}
 # --- end fixed values -------------------------------------------------------
 
 
@@ -90,10 +108,6 @@ def source_registry(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(registry_rows(), REGISTRY_SCHEMA)
 
 
-def fx_rates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(sorted(FX_TO_USD.items()), "currency string, rate_to_usd double")
-
-
 def sql_values(rows: list[tuple], columns: list[str]) -> str:
     """Render literal rows as a SQL VALUES relation (for the DuckDB oracle)."""
     def lit(v):
@@ -116,12 +130,12 @@ EXTRA_SHOPS: list[tuple] = []
 
 
 def register_shop(name: str, countries: list[tuple[str, str, str]], url_template: str,
-                  price_rule: str = "us", us_fallback: bool = False, card_cap: int | None = None) -> None:
-    """Add a shop (country, domain, currency rows, URL template with {domain}/{q}, price rule).
+                  price_rule: str = "us", us_fallback: bool = False, card_cap: int | None = None,
+                  profile: dict | None = None) -> None:
+    """Add a shop (country, domain, currency rows, URL template with {domain}/{q}, price rule, card profile).
 
-    Shops are data here: registering one extends the broadcast registry used by
-    shop selection, URL building and price parsing; card profiles for page
-    extraction go into ``sources.pages.PROFILES``.
+    Shops are data: registering one extends the registry that shop selection, URL
+    building, page extraction and price parsing read when a query is built.
     """
     if name in SHOP_ORDER:
         raise ValueError(f"shop {name} already registered")
@@ -132,4 +146,6 @@ def register_shop(name: str, countries: list[tuple[str, str, str]], url_template
         US_FALLBACK.add(name)
     if card_cap is not None:
         CARD_CAPS[name] = card_cap
+    if profile is not None:
+        PROFILES[name] = {"id_attrs": [], "image_attrs": ["src"], "seller_name": name, **profile}
     EXTRA_SHOPS.append((name, list(countries)))

@@ -39,6 +39,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+# --- catalogue: part columns as product names with brand, model, storage, colour and category words
+CATALOGUE_BRANDS = ["Apple", "Samsung", "Google", "OnePlus", "Xiaomi", "Sony", "Nokia", "Motorola"]
+CATALOGUE_MODELS = [("iPhone ", 12, " Pro"), ("Galaxy S", 20, " Ultra"), ("Pixel ", 5, " Pro"), ("OnePlus ", 8, ""),
+                    ("Redmi Note ", 8, ""), ("Xperia ", 1, ""), ("Nokia G", 10, ""), ("Moto G", 50, "")]
+CATALOGUE_STORAGE = ["64GB", "128GB", "256GB", "512GB"]
+CATALOGUE_COLORS = ["Black", "White", "Blue", "Green", "Silver", "Purple"]
+CATALOGUE_SPECS = ["smartphone", "mobile 8GB RAM", "phone 50MP 6.1 inch"]
+
+
+def _nth(values: list[str], at: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (at + 1).cast("int"))
+
+
+def catalogue() -> list[Column]:
+    """family (ten parts of one model), brand, model, storage, color, name and short_name of a part."""
+    k = F.col("p_partkey")
+    fam = F.floor(k / 10).cast("bigint")
+    models = [F.concat(F.lit(a), (F.lit(n) + F.floor(fam / 8)).cast("string"), F.lit(b)) for a, n, b in CATALOGUE_MODELS]
+    brand = _nth(CATALOGUE_BRANDS, fam % 8)
+    model = F.element_at(F.array(*models), (fam % 8 + 1).cast("int"))
+    storage, color = _nth(CATALOGUE_STORAGE, F.col("p_size") % 4), _nth(CATALOGUE_COLORS, k % 6)
+    return [fam.alias("family"), brand.alias("brand"), model.alias("model"), storage.alias("storage"), color.alias("color"),
+            F.concat_ws(" ", brand, model, storage, color, _nth(CATALOGUE_SPECS, k % 3)).alias("name"),
+            F.concat(model, F.lit(" "), storage, F.lit(" - "), color, F.lit(" (Unlocked)")).alias("short_name")]
+
+
 # Arrival order of offers: (scraped_at, l_orderkey, l_linenumber, product_id,
 # seller_id) is unique on every driver table and needs no global numbering.
 ARRIVAL = ["scraped_at", "l_orderkey", "l_linenumber", "product_id", "seller_id"]
@@ -49,9 +75,12 @@ def arrival_cols() -> list[Column]:
 
 
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw offers (S1): one per line item, text prices as a shop would show them."""
+    """Raw offers (S1): one per line item, text prices as a shop would show them.
+
+    Odd lines carry the short form of the product's name, as another shop would.
+    """
     l = table(spark, sf_dir, "lineitem")
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
+    p = table(spark, sf_dir, "part").select("p_partkey", *catalogue())
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     j = l.join(p, l.l_partkey == p.p_partkey).join(s, l.l_suppkey == s.s_suppkey)
     nat = F.col("s_nationkey") % 4
@@ -60,8 +89,8 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_linenumber",
         F.col("l_partkey").alias("product_id"),
         F.col("l_suppkey").alias("seller_id"),
-        F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("product_name"),
-        F.col("p_name").alias("query_key"),
+        F.when(F.col("l_linenumber") % 2 == 0, F.col("name")).otherwise(F.col("short_name")).alias("product_name"),
+        F.col("family").alias("query_key"),
         F.when(nat == 0, "USD").when(nat == 1, "INR").when(nat == 2, "EUR").otherwise("GBP").alias("currency"),
         F.when(nat == 2, F.regexp_replace(price2, r"\.", ",")).otherwise(price2).alias("price"),
         F.element_at(F.array(*[F.lit(x) for x in
@@ -81,15 +110,20 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search requests: one per distinct part name (id = smallest part key)."""
-    q = (table(spark, sf_dir, "part").groupBy("p_name")
-         .agg(F.min("p_partkey").alias("query_id"))
-         .select("query_id", F.col("p_name").alias("query")))
+    """Search requests: one text per model family, from vague to exact (id = smallest part key)."""
+    first = table(spark, sf_dir, "part").select("p_partkey", *catalogue()).groupBy("family").agg(
+        F.min(F.struct("p_partkey", "brand", "model", "storage", "color")).alias("c"))
+    f, c = F.col("family"), F.col("c")
+    text = (F.when(f % 5 == 0, "deals").when(f % 5 == 1, c["model"])
+            .when(f % 5 == 2, F.concat_ws(" ", c["brand"], c["model"], c["storage"]))
+            .when(f % 5 == 3, F.concat_ws(" ", c["brand"], F.lit("phone 256 gigabyte")))
+            .otherwise(F.concat_ws(" ", c["model"], c["color"])))
+    q = first.select(c["p_partkey"].alias("query_id"), f.alias("family"), text.alias("query"))
     m4 = F.col("query_id") % 4
     m3 = F.col("query_id") % 3
     empty = F.array().cast("array<string>")
     return q.select(
-        "query_id", "query",
+        "query_id", "query", "family",
         F.when(m4 == 0, "US").when(m4 == 1, "IN").when(m4 == 2, "UK").otherwise("DE").alias("country"),
         F.when(m3 == 0, 50).when(m3 == 1, 10).otherwise(0).alias("max_results"),
         F.lit("USD").alias("target_currency"),
@@ -101,19 +135,19 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def offers_for_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Offers keyed by the query they answer (exact name match, see J2 for token match)."""
-    q = queries(spark, sf_dir).select("query_id", "query", "country", "max_results", "target_currency")
-    return offers(spark, sf_dir).join(q, F.col("query_key") == F.col("query"))
+    """Offers keyed by the query they answer (one model family, see J2 for token match)."""
+    q = queries(spark, sf_dir).select("query_id", "query", "country", "max_results", "target_currency", "family")
+    return offers(spark, sf_dir).join(q, F.col("query_key") == F.col("family")).drop("family")
 
 
 def price_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observed price points per product from line items (history input)."""
     l = table(spark, sf_dir, "lineitem")
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+    p = table(spark, sf_dir, "part").select("p_partkey", *catalogue())
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     return (l.join(p, l.l_partkey == p.p_partkey).join(s, l.l_suppkey == s.s_suppkey)
             .select(F.col("l_partkey").alias("product_id"),
-                    F.concat_ws(" ", "p_brand", "p_name").alias("product_name"),
+                    F.col("name").alias("product_name"),
                     F.col("l_shipdate").alias("observed_at"),
                     (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),
                     F.col("l_suppkey").alias("seq2"),
@@ -148,39 +182,42 @@ def knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product knowledge (one per part) with price range from observed offers."""
     from ..operators.aggregates import product_price_range  # local import: avoid cycle
     p = table(spark, sf_dir, "part")
+    p = p.select("p_partkey", "p_type", "p_retailprice", *catalogue())
     rng = product_price_range(price_points(spark, sf_dir))
-    storage = F.concat((F.col("p_size") * 8).cast("string"), F.lit("GB"))
-    return (p.join(rng, p.p_partkey == rng.product_id, "left")
+    alt = alternatives_of_parts(p)
+    return (p.join(rng, p.p_partkey == rng.product_id, "left").join(alt, p.p_partkey == alt["_pk"], "left")
             .select(F.col("p_partkey").alias("product_id"),
-                    F.concat_ws(" ", "p_name", "p_type").alias("product_name"),
+                    F.col("name").alias("product_name"),
                     F.col("p_type").alias("category"),
-                    F.col("p_brand").alias("brand"),
-                    F.array(storage, F.concat((F.col("p_size") * 16).cast("string"), F.lit("GB")))
-                     .alias("storage_options"),
+                    "brand",
+                    F.array("storage", F.lit("1TB")).alias("storage_options"),
                     F.col("p_retailprice").alias("retail_price"),
                     "price_min", "price_max", "price_avg",
                     F.concat(F.lit("Typical "), F.lower("p_type"), F.lit(" pricing near $"),
                              F.floor("p_retailprice").cast("string")).alias("market_insights"),
-                    alternatives_of_parts(p).alias("alternatives")))
+                    "alternatives"))
 
 
-def alternatives_of_parts(p: DataFrame) -> Column:
-    """Three nearest parts by retail price within the same type (nearest first, then key).
+def alternatives_of_parts(p: DataFrame) -> DataFrame:
+    """(p_partkey, alternatives): the three nearest parts by retail price within the same type (then by key).
 
-    The three nearest in a sorted list are among the three before and after, so
-    lag/lead 1..3 over the type's price order are the only candidates.
+    Parts of one price are one level that keeps its four smallest keys; the three nearest
+    parts lie on the part's own level or on the three levels to either side.
     """
     from pyspark.sql import Window
-    w = Window.partitionBy("p_type").orderBy("p_retailprice", "p_partkey")
-    name = F.concat_ws(" ", "p_name", "p_type")
-    cands = []
-    for k in (1, 2, 3):
-        for fn in (F.lag, F.lead):
-            cands.append(F.when(fn("p_partkey", k).over(w).isNotNull(), F.struct(
-                F.abs(fn("p_retailprice", k).over(w) - F.col("p_retailprice")).alias("d"),
-                fn("p_partkey", k).over(w).alias("k"), fn(name, k).over(w).alias("n"))))
-    best = F.slice(F.array_sort(F.array_compact(F.array(*cands))), 1, 3)
-    return F.transform(best, lambda x: x["n"])
+    first = Window.partitionBy("p_type", "p_retailprice").orderBy("p_partkey")
+    top = p.select("p_type", "p_retailprice", "p_partkey", "name").withColumn("_rn", F.row_number().over(first)).filter("_rn <= 4")
+    level = F.struct(F.col("p_retailprice").alias("price"),
+                     F.array_sort(F.collect_list(F.struct(F.col("p_partkey").alias("k"), F.col("name").alias("n")))).alias("members"))
+    levels = top.groupBy("p_type", "p_retailprice").agg(level.alias("level"))
+    w = Window.partitionBy("p_type").orderBy("p_retailprice")
+    near = [fn("level", i).over(w) for i in (1, 2, 3) for fn in (F.lag, F.lead)]
+    levels = levels.select("p_type", "p_retailprice", F.array_compact(F.array("level", *near)).alias("near"))
+    j = p.select("p_type", "p_retailprice", "p_partkey").join(levels, ["p_type", "p_retailprice"])
+    found = F.flatten(F.transform("near", lambda v: F.transform(v["members"], lambda m: F.struct(
+        F.abs(v["price"] - F.col("p_retailprice")).alias("d"), m["k"].alias("k"), m["n"].alias("n")))))
+    best = F.slice(F.array_sort(F.filter(found, lambda x: x["k"] != F.col("p_partkey"))), 1, 3)
+    return j.select(F.col("p_partkey").alias("_pk"), F.transform(best, lambda x: x["n"]).alias("alternatives"))
 
 
 def kb_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,12 +229,75 @@ def kb_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "embedding")
 
 
+_PAGE_SHOPS = {"Amazon": 20, "eBay": 15, "Flipkart": 25, "Amazon India": 20}  # cards that a page shows
+
+
+def shop_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result pages as shops would serve them: the first offers of a query, one page per query, shop and country."""
+    from pyspark.sql import Window
+    o = offers_for_queries(spark, sf_dir)
+    india = F.col("currency") == "INR"
+    shop = (F.when(india & (F.col("seller_id") % 2 == 0), "Flipkart").when(india, "Amazon India")
+            .when(F.col("source") == "eBay", "eBay").otherwise("Amazon"))
+    end = F.when(F.col("currency") == "USD", "com").when(F.col("currency") == "GBP", "co.uk").otherwise("de")
+    o = o.withColumn("shop", shop).withColumn("host", F.when(F.col("shop") == "Flipkart", "www.flipkart.com")
+        .when(F.col("shop") == "Amazon India", "www.amazon.in")
+        .when(F.col("shop") == "eBay", F.concat(F.lit("www.ebay."), end)).otherwise(F.concat(F.lit("www.amazon."), end)))
+    w = Window.partitionBy("query_id", "host").orderBy(*ARRIVAL)
+    o = o.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= 25)
+    sym = F.when(F.col("currency") == "USD", "$").when(india, "₹").when(F.col("currency") == "EUR", "€").otherwise("£")
+    price = F.concat(sym, F.col("price"))
+    asin = F.concat(F.lit("B"), F.lpad(F.col("product_id").cast("string"), 9, "0"))
+    rating = F.when(F.col("rating").isNotNull(), F.format_string('<span class="a-icon-alt">%s out of 5 stars</span>', F.col("rating").cast("string"))).otherwise("")
+    amazon = F.format_string(
+        '<div class="s-result-item" data-asin="%s"><h2><a class="a-link-normal" href="/dp/%s"><span class="a-size-medium">%s</span></a></h2>'
+        '<span class="a-price"><span class="a-offscreen">%s</span></span>%s<a class="s-underline-text">%s</a><span class="a-color-success">%s</span></div>',
+        asin, asin, "product_name", price, rating, F.col("reviews_count").cast("string"), "availability")
+    ebay = F.format_string(
+        '<li class="s-item"><a class="s-item__link" href="https://%s/itm/%s"><div class="s-item__title">%s</div></a>'
+        '<span class="s-item__price">%s</span><span class="s-item__shipping">+%s shipping</span><span class="s-item__seller-info-text">%s</span></li>',
+        "host", F.col("product_id").cast("string"), "product_name", price, "shipping_cost", "seller")
+    flipkart = F.format_string(
+        '<div class="_1AtVbE"><a href="/p/%s" title="x"><div class="_4rR01T">%s</div></a><div class="_30jeq3">%s</div></div>',
+        F.col("product_id").cast("string"), "product_name", price)
+    card = F.when(F.col("shop") == "Flipkart", flipkart).when(F.col("shop") == "eBay", ebay).otherwise(amazon)
+    page = o.groupBy("query_id", "query", "host").agg(F.array_sort(F.collect_list(F.struct("pos", card.alias("c")))).alias("cs"))
+    return page.select(
+        F.xxhash64("query_id", "host").alias("page_id"),
+        F.concat(F.lit("https://"), "host", F.lit("/s?k="), F.url_encode("query"), F.lit("&q="), F.col("query_id").cast("string")).alias("url"),
+        F.concat(F.lit("<html><body>"), F.array_join(F.transform("cs", lambda x: x["c"]), ""), F.lit("</body></html>")).alias("html"))
+
+
+def kb_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two knowledge texts per product: what it is, and its price insight."""
+    c = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), *catalogue())
+    made = F.explode(F.array(
+        F.struct(F.lit("product_knowledge").alias("type"),
+                 F.concat(F.lit("Product: "), F.col("name"), F.lit(" Brand: "), F.col("brand")).alias("text")),
+        F.struct(F.lit("price_insight").alias("type"), F.concat(F.lit("Price analysis for: "), F.col("short_name")).alias("text"))))
+    d = c.select("product_id", "name", made.alias("d"))
+    return d.select((F.col("product_id") * 2 + F.when(F.col("d.type") == "price_insight", 1).otherwise(0)).alias("doc_id"),
+                    "product_id", "name", "d.type", "d.text")
+
+
 # --------------------------------------------------------------------------
 # The same derivations in DuckDB SQL (used only by the oracle strings).
 # --------------------------------------------------------------------------
+def _nth_sql(values: list[str], at: str) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + f"][{at} + 1]"
+
+
+CATALOGUE_SQL = f"""
+SELECT *, brand || ' ' || model || ' ' || storage || ' ' || color || ' ' || specs AS name,
+ model || ' ' || storage || ' - ' || color || ' (Unlocked)' AS short_name
+FROM (SELECT p_partkey, p_partkey // 10 AS family, {_nth_sql(CATALOGUE_BRANDS, '(p_partkey // 10) % 8')} AS brand,
+ [{', '.join(f"'{a}' || CAST({n} + p_partkey // 80 AS VARCHAR) || '{b}'" for a, n, b in CATALOGUE_MODELS)}][(p_partkey // 10) % 8 + 1] AS model,
+ {_nth_sql(CATALOGUE_STORAGE, 'p_size % 4')} AS storage, {_nth_sql(CATALOGUE_COLORS, 'p_partkey % 6')} AS color,
+ {_nth_sql(CATALOGUE_SPECS, 'p_partkey % 3')} AS specs, p_type, p_retailprice FROM part)"""
+
 OFFERS_SQL = """
 SELECT l.l_orderkey, l.l_linenumber, l.l_partkey AS product_id, l.l_suppkey AS seller_id,
- p.p_name || ' ' || p.p_type || ' ' || p.p_brand AS product_name, p.p_name AS query_key,
+ CASE WHEN l.l_linenumber % 2 = 0 THEN p.name ELSE p.short_name END AS product_name, p.family AS query_key,
  CASE s.s_nationkey % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'INR' WHEN 2 THEN 'EUR' ELSE 'GBP' END AS currency,
  CASE s.s_nationkey % 4 WHEN 2
    THEN replace(CAST(CAST(l.l_extendedprice AS DECIMAL(12,2)) AS VARCHAR),'.',',')
@@ -210,29 +310,38 @@ SELECT l.l_orderkey, l.l_linenumber, l.l_partkey AS product_id, l.l_suppkey AS s
  CAST(CAST(l.l_tax*100 AS DECIMAL(6,2)) AS VARCHAR) AS shipping_cost,
  s.s_name AS seller, l.l_shipdate AS scraped_at,
  '/dp/B' || lpad(CAST(l.l_partkey AS VARCHAR), 9, '0') AS link
-FROM lineitem l JOIN part p ON l.l_partkey=p.p_partkey JOIN supplier s ON l.l_suppkey=s.s_suppkey
+FROM lineitem l JOIN catalogue p ON l.l_partkey=p.p_partkey JOIN supplier s ON l.l_suppkey=s.s_suppkey
 """
 
 QUERIES_SQL = """
-SELECT query_id, query,
+SELECT query_id, query, family,
  CASE query_id % 4 WHEN 0 THEN 'US' WHEN 1 THEN 'IN' WHEN 2 THEN 'UK' ELSE 'DE' END AS country,
  CASE query_id % 3 WHEN 0 THEN 50 WHEN 1 THEN 10 ELSE 0 END AS max_results,
  'USD' AS target_currency,
  CASE WHEN query_id % 5 = 0 THEN ['amazon', 'EBAY'] ELSE CAST([] AS VARCHAR[]) END AS include_sources,
  CASE WHEN query_id % 7 = 0 THEN ['Walmart'] ELSE CAST([] AS VARCHAR[]) END AS exclude_sources
-FROM (SELECT min(p_partkey) AS query_id, p_name AS query FROM part GROUP BY p_name)
+FROM (SELECT p_partkey AS query_id, family, CASE family % 5 WHEN 0 THEN 'deals' WHEN 1 THEN model
+  WHEN 2 THEN brand || ' ' || model || ' ' || storage WHEN 3 THEN brand || ' phone 256 gigabyte'
+  ELSE model || ' ' || color END AS query
+ FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p_partkey) AS rn FROM catalogue) WHERE rn = 1)
 """
 
+KB_TEXTS_SQL = """
+SELECT p_partkey * 2 AS doc_id, p_partkey AS product_id, name, 'product_knowledge' AS type,
+ 'Product: ' || name || ' Brand: ' || brand AS text FROM catalogue
+UNION ALL
+SELECT p_partkey * 2 + 1, p_partkey, name, 'price_insight', 'Price analysis for: ' || short_name FROM catalogue"""
+
 OFFERS_Q_SQL = """
 SELECT o.*, q.query_id, q.query, q.country, q.max_results, q.target_currency
-FROM offers o JOIN queries q ON o.query_key = q.query
+FROM offers o JOIN queries q ON o.query_key = q.family
 """
 
 PRICE_POINTS_SQL = """
-SELECT l.l_partkey AS product_id, p.p_brand || ' ' || p.p_name AS product_name,
+SELECT l.l_partkey AS product_id, p.name AS product_name,
  l.l_shipdate AS observed_at, l.l_orderkey * 8 + l.l_linenumber AS seq, l.l_suppkey AS seq2,
  l.l_extendedprice / l.l_quantity AS price, s.s_name AS source
-FROM lineitem l JOIN part p ON l.l_partkey=p.p_partkey JOIN supplier s ON l.l_suppkey=s.s_suppkey
+FROM lineitem l JOIN catalogue p ON l.l_partkey=p.p_partkey JOIN supplier s ON l.l_suppkey=s.s_suppkey
 """
 
 EVENT_POINTS_SQL = """
@@ -241,18 +350,18 @@ SELECT user_id AS product_id, 'product ' || CAST(user_id AS VARCHAR) AS product_
 """
 
 KNOWLEDGE_SQL = """
-SELECT p.p_partkey AS product_id, p.p_name || ' ' || p.p_type AS product_name, p.p_type AS category,
- p.p_brand AS brand, [CAST(p.p_size * 8 AS VARCHAR) || 'GB', CAST(p.p_size * 16 AS VARCHAR) || 'GB'] AS storage_options,
+SELECT p.p_partkey AS product_id, p.name AS product_name, p.p_type AS category,
+ p.brand, [p.storage, '1TB'] AS storage_options,
  p.p_retailprice AS retail_price, r.price_min, r.price_max, r.price_avg,
  'Typical ' || lower(p.p_type) || ' pricing near $' || CAST(CAST(floor(p.p_retailprice) AS BIGINT) AS VARCHAR) AS market_insights,
  a.alternatives
-FROM part p
+FROM catalogue p
 LEFT JOIN (SELECT product_id, min(price) AS price_min, max(price) AS price_max, avg(price) AS price_avg
            FROM price_points GROUP BY product_id) r ON p.p_partkey = r.product_id
 LEFT JOIN (SELECT pk, list(n ORDER BY rn) AS alternatives FROM (
-   SELECT a.p_partkey AS pk, b.p_name || ' ' || b.p_type AS n, row_number() OVER (PARTITION BY a.p_partkey
+   SELECT a.p_partkey AS pk, b.name AS n, row_number() OVER (PARTITION BY a.p_partkey
      ORDER BY abs(b.p_retailprice - a.p_retailprice), b.p_partkey) AS rn
-   FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_partkey <> b.p_partkey) WHERE rn <= 3 GROUP BY pk) a
+   FROM catalogue a JOIN catalogue b ON a.p_type = b.p_type AND a.p_partkey <> b.p_partkey) WHERE rn <= 3 GROUP BY pk) a
  ON p.p_partkey = a.pk
 """
 
@@ -262,7 +371,20 @@ SELECT vec_id AS doc_id, vec_id AS product_id,
 FROM embeddings
 """
 
+#: The offers that the shop pages show, with the fields that their cards carry.
+SHOP_CARDS_SQL = f"""
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, host ORDER BY scraped_at, l_orderkey, l_linenumber, product_id, seller_id) AS pos FROM (
+ SELECT *, CASE shop WHEN 'Flipkart' THEN 'www.flipkart.com' WHEN 'Amazon India' THEN 'www.amazon.in'
+   WHEN 'eBay' THEN 'www.ebay.' || tld ELSE 'www.amazon.' || tld END AS host
+ FROM (SELECT *, CASE WHEN currency = 'INR' AND seller_id % 2 = 0 THEN 'Flipkart' WHEN currency = 'INR' THEN 'Amazon India'
+    WHEN source = 'eBay' THEN 'eBay' ELSE 'Amazon' END AS shop,
+   CASE currency WHEN 'USD' THEN 'com' WHEN 'GBP' THEN 'co.uk' ELSE 'de' END AS tld FROM offers_q)))
+WHERE pos <= CASE shop {' '.join(f"WHEN '{k}' THEN {v}" for k, v in _PAGE_SHOPS.items())} END"""
+
 VIEW_SQL = {
+    "shop_cards": SHOP_CARDS_SQL,
+    "catalogue": CATALOGUE_SQL,
+    "kb_texts": KB_TEXTS_SQL,
     "offers": OFFERS_SQL,
     "queries": QUERIES_SQL,
     "offers_q": OFFERS_Q_SQL,
@@ -274,7 +396,8 @@ VIEW_SQL = {
     "fx_rates": "SELECT * FROM " + fx_sql(),
 }
 # Dependencies between the SQL views (a view must come after what it reads).
-VIEW_DEPS = {"offers_q": ["offers", "queries"], "knowledge": ["price_points"]}
+VIEW_DEPS = {"shop_cards": ["offers_q"], "offers": ["catalogue"], "queries": ["catalogue"], "kb_texts": ["catalogue"], "price_points": ["catalogue"],
+             "offers_q": ["offers", "queries"], "knowledge": ["catalogue", "price_points"]}
 
 
 def with_views(sql: str, *names: str) -> str:
@@ -288,7 +411,7 @@ def with_views(sql: str, *names: str) -> str:
             ordered.append(n)
     for n in names:
         add(n)
-    ctes = ",\n".join(f"{n} AS ({VIEW_SQL[n]})" for n in ordered)
+    ctes = ",\n".join(f"{n} AS MATERIALIZED ({VIEW_SQL[n]})" for n in ordered)
     body = sql.strip()
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{body[5:]}"

@@ -3,9 +3,9 @@
 State per product is its newest 30 points (bounded), kept in the state store
 by ``applyInPandasWithState``; each micro-batch merges new points into the
 state in (observed_at, seq) order, so the result equals the batch window query
-whatever order the points arrive in. ``foreachBatch`` appends every update to
-a table under the shared checkpoint folder (M2); the latest row per product is
-the current insight.
+whatever order the points arrive in. ``foreachBatch`` appends every update to a log
+under the shared checkpoint folder; ``merge_current`` then folds the log into a new
+version of the current table, one row per product (M2).
 """
 
 from __future__ import annotations
@@ -13,12 +13,12 @@ from __future__ import annotations
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, write_shared
 from ..settings import DEFAULT
 
 STATE = T.StructType([
@@ -45,9 +45,13 @@ _COLS = ["ts", "seq", "seq2", "price", "source"]
 
 def _update(keep: int):
     def fn(key, pdfs, state):
-        frames = [p for p in pdfs]
-        new = pd.concat(frames) if frames else pd.DataFrame(columns=["product_name", *_COLS])
-        new = new[new["product_name"].notna() & (new["product_name"] != "") & new["price"].notna()]
+        # Each Arrow frame is cut to its newest points before the next is read.
+        new = pd.DataFrame({c: [] for c in ["product_name", *_COLS]})
+        for p in pdfs:
+            p = p[p["product_name"].notna() & (p["product_name"] != "") & p["price"].notna()][["product_name", *_COLS]]
+            both = [x for x in (new, p) if len(x)]
+            if both:
+                new = pd.concat(both).sort_values(["ts", "seq", "seq2"], kind="stable").tail(keep)
         name = None
         if state.exists:
             s = state.get
@@ -55,9 +59,10 @@ def _update(keep: int):
             old = pd.DataFrame({c: list(s[i + 1]) for i, c in enumerate(_COLS)})
         else:
             old = pd.DataFrame({c: [] for c in _COLS})
-        pts = pd.concat([old, new[_COLS]], ignore_index=True)
-        if len(pts) == 0:
+        both = [x for x in (old, new[_COLS]) if len(x)]
+        if not both:
             return
+        pts = pd.concat(both, ignore_index=True)
         pts = pts.sort_values(["ts", "seq", "seq2"], kind="stable").tail(keep)
         if len(new):
             last_new = new.sort_values(["ts", "seq", "seq2"], kind="stable")
@@ -86,8 +91,22 @@ def learning_stream(points: DataFrame, keep: int = DEFAULT.history_keep) -> Data
         _update(keep), OUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def run_learning(spark: SparkSession, source: DataFrame, out_dir: str | None = None) -> DataFrame:
-    """Run the stream to completion (availableNow) and return the latest insight per product."""
+def merge_current(previous: DataFrame | None, updates: DataFrame) -> DataFrame:
+    """M2: a new written version of the current table: the newest update per product, else its previous row.
+
+    ``min``/``max`` of a struct combine map-side, so a product with most of the updates ships one row per task.
+    """
+    cols = [f.name for f in OUT.fields if f.name != "product_id"]
+    rows = updates.select("product_id", "batch_id", *cols)
+    if previous is not None:
+        rows = rows.unionByName(previous.withColumn("batch_id", F.lit(-1).cast("bigint")).select("product_id", "batch_id", *cols))
+    newest = rows.groupBy("product_id").agg(F.max(F.struct("batch_id", *cols)).alias("r"))
+    return write_shared(newest.select("product_id", *[F.col("r")[c].alias(c) for c in cols]), "insights-current")
+
+
+def run_learning(spark: SparkSession, source: DataFrame, out_dir: str | None = None,
+                 previous: DataFrame | None = None) -> DataFrame:
+    """Run the stream to completion (availableNow) and return the merged current insights."""
     base = ensure_checkpoint_dir(spark).rstrip("/") + f"/learning-{uuid.uuid4().hex}"
     out_dir = out_dir or base + "/out"
 
@@ -97,9 +116,7 @@ def run_learning(spark: SparkSession, source: DataFrame, out_dir: str | None = N
     q = (learning_stream(source).writeStream.outputMode("update").foreachBatch(sink)
          .option("checkpointLocation", base + "/ckpt").trigger(availableNow=True).start())
     q.awaitTermination()
-    res = spark.read.parquet(out_dir)
-    w = Window.partitionBy("product_id").orderBy(F.col("batch_id").desc())
-    latest = res.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "batch_id")
+    latest = merge_current(previous, spark.read.parquet(out_dir))
     return latest.select(
         "product_id", "n_points", "current_price", "price_trend",
         F.timestamp_micros("last_updated_us").alias("last_updated"),

@@ -1,10 +1,12 @@
 """Near-duplicate grouping: greedy replay vs a plain-Python run of the reference's loop."""
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
 from pricesift.functions import fuzz
 from pricesift.operators.aggregates import group_best
+from pricesift.operators.components import connected_components
 from pricesift.operators.match import dedup_groups
 
 ARR = ["scraped_at", "l_orderkey", "l_linenumber", "product_id", "seller_id"]
@@ -63,14 +65,44 @@ def test_greedy_matches_python_loop(spark):
         assert any(set(g) <= set(c) for c in comps)
 
 
-def test_distributed_components_equal_local(spark):
-    from pricesift.settings import Settings
-    names = ["red widget small", "red widget smal", "blue bolt", "blue bolts", "red widgets small", "blue bolt"]
-    prices = [100, 104, 50, 53, 98, 49]
-    rows = [(q, n, p) for q in (1, 2, 3) for n, p in zip(names, prices)]
-    df = frame(spark, rows)
-    local = sorted(list(r.m) for r in dedup_groups(df, ARR, mode="components").groupBy("dup_group").agg(
-        F.sort_array(F.collect_list("l_orderkey")).alias("m")).collect())
-    dist = sorted(list(r.m) for r in dedup_groups(df, ARR, mode="components", settings=Settings(cc_local_max_edges=0))
-                  .groupBy("dup_group").agg(F.sort_array(F.collect_list("l_orderkey")).alias("m")).collect())
-    assert local == dist
+def all_pairs_components(rows):
+    """Components of the graph over all row pairs with a similar name and a close price."""
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    sims = {}
+    for i, (q, n, p) in enumerate(rows):
+        for j in range(i):
+            r, m, o = rows[j]
+            if q != r or not 1 - abs(p - o) / max(p, o) > 0.9:
+                continue
+            if (n, m) not in sims:
+                sims[n, m] = n == m or fuzz.name_similarity(n, m) > 0.85
+            if sims[n, m]:
+                parent[root(i)] = root(j)
+    out = {}
+    for i in range(len(rows)):
+        out.setdefault(root(i), []).append(i)
+    return sorted(out.values())
+
+
+def test_components_equal_all_pairs_on_random_rows(spark):
+    rng = random.Random(11)
+    words = ["red", "blue", "widget", "widgets", "small", "smal", "bolt", "bolts"]
+    rows = [(rng.randrange(3), " ".join(rng.sample(words, rng.randrange(2, 4))), round(10 * 1.06 ** rng.randrange(9 if i % 4 else 90), 2))
+            for i in range(160)]
+    got = spark_groups(frame(spark, rows), "components")
+    assert got == all_pairs_components(rows)
+    assert any(len(g) > 5 for g in got) and any(len(g) == 1 for g in got)
+
+
+def test_connected_components_on_chains_and_hubs(spark):
+    edges = [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(60)] + [("hub", f"s{i}") for i in range(50)] + [("x", "x")]
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert {got[f"c{i:03d}"] for i in range(61)} == {"c000"}
+    assert {got[f"s{i}"] for i in range(50)} == {"hub"} and "x" not in got
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0

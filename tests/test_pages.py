@@ -15,10 +15,33 @@ EBAY = """<ul><li class="s-item"><a class="s-item__link" href="https://ebay.com/
 
 def test_cards(spark):
     pages = spark.createDataFrame([(1, "https://www.amazon.com/s?k=x", AMAZON), (2, "https://www.ebay.com/sch", EBAY),
-                                   (3, "https://example.org/", AMAZON)], "page_id long, url string, html string")
-    got = sorted((r.page_id, r.shop, r.pos, r.title, r.price_text, r.href) for r in page_cards(pages).collect())
-    assert got == [(1, "Amazon", 1, "Apple iPhone 16 Pro 128GB", "$999.00", "/dp/B0DGJBN8TV"),
-                   (2, "eBay", 2, "iPhone 16 Pro", "$950.00", "https://ebay.com/itm/2")]
+                                   (3, "https://example.org/", AMAZON), (4, "https://notamazon.com/", AMAZON),
+                                   (5, None, AMAZON), (6, "https://www.amazon.in/s", None)],
+                                  "page_id long, url string, html string")
+    got = sorted((r.page_id, r.shop, r.pos, r.product_id, r.product_name, r.price, r.currency, r.link) for r in page_cards(pages).collect())
+    assert got == [(1, "Amazon", 1, "B0DGJBN8TV", "Apple iPhone 16 Pro 128GB", "999.0", "USD", "https://www.amazon.com/dp/B0DGJBN8TV"),
+                   (2, "eBay", 2, None, "iPhone 16 Pro", "950.00", "USD", "https://ebay.com/itm/2")]
+
+
+def test_containers_are_tried_in_order(spark):
+    card = ('<div {}><a href="/dp/B000000001"><span class="a-size-medium">{}</span></a><span class="a-offscreen">$5</span></div>')
+    html = card.format('class="s-widget-container" data-asin="A"', "last kind") + card.format(
+        'data-component-type="s-search-result" data-asin="B"', "first kind")
+    pages = spark.createDataFrame([(1, "https://amazon.de/s", html), (2, "https://amazon.de/s", card.format('class="s-widget-container"', "id from link"))],
+                                  "page_id long, url string, html string")
+    got = sorted((r.page_id, r.product_id, r.product_name, r.currency) for r in page_cards(pages).collect())
+    assert got == [(1, "B", "first kind", "EUR"), (2, "B000000001", "id from link", "EUR")]
+
+
+def test_registered_shop_works_in_the_workers(spark):
+    from pricesift.sources import registry as R
+    if "Card Shop" not in R.SHOP_ORDER:
+        R.register_shop("Card Shop", [("US", "cards.example", "CAD")], "https://{domain}/find?q={q}", price_rule="strip", card_cap=1,
+                        profile={"containers": [{"class": "box"}], "title": ["t"], "price": ["p"]})
+    box = '<div class="box"><a href="/x/1"><b class="t">Thing</b></a><i class="p">1,234</i></div>'
+    pages = spark.createDataFrame([(1, "https://shop.cards.example/find?q=a", box + box)], "page_id long, url string, html string")
+    got = [(r.shop, r.pos, r.product_name, r.amount, r.currency, r.link, r.seller) for r in page_cards(pages).collect()]
+    assert got == [("Card Shop", 1, "Thing", 1234.0, "CAD", "https://shop.cards.example/x/1", "Card Shop")]
 
 
 def test_json_map_roundtrip_keeps_every_record(spark, tmp_path):
@@ -29,6 +52,6 @@ def test_json_map_roundtrip_keeps_every_record(spark, tmp_path):
     recs = spark.range(0, 500).select(F.col("id").cast("string").alias("id"),
                                       F.struct((F.col("id") * 2).alias("v")).alias("record"))
     path = str(tmp_path / "maps")
-    K.save_json_maps(recs, path, buckets=7)
+    K.save_json_maps(recs, path)
     back = K.load_json_map(spark, path, T.StructType([T.StructField("v", T.LongType())]))
     assert sorted((r.id, r.v) for r in back.collect()) == sorted((str(i), 2 * i) for i in range(500))

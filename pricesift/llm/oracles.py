@@ -44,7 +44,70 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+
+SPLIT = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+REPEATS = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {SPLIT} AS w FROM documents),
+win AS (SELECT rid, s, md5(array_to_string(list_slice(w, s, s + 34), ' ')) AS k
+        FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS s FROM d WHERE len(w) >= 35)),
+cut AS (SELECT DISTINCT rid, unnest(range(s, s + 35)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY k) AS c FROM win) WHERE c > 1),
+kept AS (SELECT t.rid, string_agg(t.x, ' ' ORDER BY t.p) AS said, count(*) AS n
+         FROM (SELECT rid, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d) t ANTI JOIN cut ON cut.rid = t.rid AND cut.p = t.p GROUP BY t.rid)
+SELECT d.doc_id, len(d.w) AS n_words, len(d.w) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.said, '')) AS kept_sha256
+FROM d LEFT JOIN kept k ON k.rid = d.rid
+"""
+
+#: SHA-1 in base32: eight groups of twenty bits, four characters each.
+_BASE32 = """array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  CAST((CAST('0x' || substr(sha1(coalesce(html, '')), CAST((i // 4) * 5 + 1 AS BIGINT), 5) AS BIGINT) // [32768, 1024, 32, 1][i % 4 + 1]) % 32 + 1 AS BIGINT), 1)), '')"""
+WARC = f"""
+SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, {_BASE32} AS payload_digest,
+ CASE WHEN page_id < stored THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < stored THEN stored END AS refers_to
+FROM (SELECT *, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS stored FROM pages)
+"""
+
+#: Levels of the six rules, exact binomial tails per stratum, rule and cutoff, and the verdict.
+_RATIOS = {"symbols": ("n_symbols", "word_chars"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"),
+           "capitals": ("n_capitals", "word_chars"), "bangs": ("n_bangs", "n_words"), "echoes": ("n_echoes", "n_words")}
+_LEVELS = ", ".join(f"struct_pack(rule := '{r}', level := CASE WHEN {b} > 0 THEN least(40, CAST(floor(40 * {t} / {b}) AS BIGINT)) ELSE 0 END)"
+                    for r, (t, b) in _RATIOS.items())
+QUALITY = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t, {SPLIT} AS w FROM documents),
+ln AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines
+       FROM (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY rid),
+fw AS (SELECT rid, s, array_to_string(list_slice(w, s, s + 4), ' ') AS k FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS s FROM d WHERE len(w) >= 5)),
+rw AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(s, s + 5)) AS p
+       FROM (SELECT *, count(*) OVER (PARTITION BY rid, k) AS c FROM fw) WHERE c > 1) GROUP BY rid),
+m AS (SELECT d.rid, d.doc_id, d.lang, len(w) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+       CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(ln.n_lines, 0) AS n_lines,
+       coalesce(ln.n_dup_lines, 0) AS n_dup_lines, coalesce(rw.n, 0) AS n_repeat_words,
+       length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_capitals, length(regexp_replace(t, '[^!]', '', 'g')) AS n_bangs,
+       len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) AS n_echoes
+      FROM d LEFT JOIN ln USING (rid) LEFT JOIN rw USING (rid)),
+lv AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, [{_LEVELS}] AS levels FROM m),
+lab AS (SELECT lv.lang, CAST(q.quality = 1 AS INT) AS good, unnest(lv.levels) AS x
+        FROM lv JOIN (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) q ON lv.doc_id = q.doc_id),
+hist AS (SELECT lang, x.rule AS rule, x.level AS level, sum(good) AS good, sum(1 - good) AS bad FROM lab GROUP BY ALL),
+strata AS (SELECT lang FROM hist GROUP BY lang HAVING sum(good) > 0),
+cnt AS (SELECT s.lang, r.rule, c.cutoff, coalesce(sum(h.good) FILTER (h.level >= c.cutoff), 0) AS k, sum(h.good) AS n,
+         coalesce(sum(h.bad) FILTER (h.level >= c.cutoff), 0) AS bad_k, sum(h.bad) AS bad_n
+        FROM strata s, (SELECT unnest({list(_RATIOS)}) AS rule) r, (SELECT unnest(range(1, 41)) AS cutoff) c
+        JOIN hist h ON h.lang IS NOT DISTINCT FROM s.lang AND h.rule = r.rule GROUP BY s.lang, r.rule, c.cutoff),
+tail AS (SELECT *, CASE WHEN k >= n * (0.05 / 6) THEN 1.0 ELSE list_sum(list_transform(range(0, CAST(k AS BIGINT) + 1), lambda i:
+          exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.05 / 6) + (n - i) * ln(1 - 0.05 / 6)))) END AS p FROM cnt),
+best AS (SELECT lang, rule, arg_max(cutoff, struct_pack(g := bad_k / greatest(bad_n, 1) - k / n, c := cutoff)) AS cutoff
+         FROM tail WHERE p <= 0.05 / (6 * 40 * (SELECT count(*) FROM strata)) AND bad_k > 0 GROUP BY lang, rule),
+bad AS (SELECT DISTINCT y.rid FROM (SELECT rid, lang, unnest(levels) AS x FROM lv) y
+        JOIN best b ON b.lang IS NOT DISTINCT FROM y.lang AND b.rule = y.x.rule AND y.x.level >= b.cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+ NOT base_failed AND rid NOT IN (SELECT rid FROM bad) AS kept FROM lv
+"""
+
 ORACLES: dict[str, str] = {
     "op1_benchmark_decontamination": CONTAMINATION,
+    "op3_quality_rules": QUALITY,
+    "op5_substring_dedup": REPEATS,
+    "op6_warc_normaliser": WARC,
     "op9_chat_formatting": CHAT,
 }

@@ -15,7 +15,7 @@ work stays in proportion to the members. Both ways find the same components.
 
 Exact copies collapse into one fingerprint with map-side combination before
 anything is indexed. Components come from alternating star contraction on
-narrow edge tables, each round written to the shared folder.
+narrow edge tables (``operators.components``).
 
 Defined cases: a null or empty text has fingerprint zero, linked like any other;
 fewer words than a shingle hash as one sequence; repeated rows are rows of one
@@ -27,7 +27,6 @@ kept (``keep_one``).
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -37,6 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from ..session import write_shared
 from .common import row_key
 
@@ -185,32 +185,6 @@ def _midpoint_edges(members: DataFrame, max_bits: int) -> DataFrame:
     return (spread.select("a", b.alias("b")).where(F.col("b").isNotNull() & (F.col("a") != F.col("b"))).distinct())
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of an (a, b) edge table; root is the smallest node of its component."""
-    def star(pairs: DataFrame, large: bool) -> DataFrame:
-        if large:
-            pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = pairs.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        out = pairs.join(least, "a")
-        if large:
-            return out.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        return (out.select(F.col("b").alias("a"), F.col("m").alias("b"))
-                .unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
-
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    now = write_shared(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    before = state(now)
-    while True:
-        now = write_shared(star(star(now, True), False), "edges")
-        after = state(now)
-        if after == before:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
-                now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        before = after
-
-
 def link(fps: DataFrame, max_bits: int = 4, entry_limit: int = 8192) -> DataFrame:
     """(node, root) of the distinct fingerprints in column ``fp`` that link to another one."""
     if not 1 <= max_bits <= 4:
@@ -226,7 +200,7 @@ def link(fps: DataFrame, max_bits: int = 4, entry_limit: int = 8192) -> DataFram
     edges = found.where(F.col("b").isNotNull())
     if not large.isEmpty():
         edges = edges.unionByName(_midpoint_edges(large, max_bits))
-    return components(edges)
+    return connected_components(edges)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col: str = "doc_id",
@@ -240,10 +214,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col
                                      fingerprint_column(text_col, shingle).alias("fp")), "fingerprints")
     fps = keyed.groupBy("fp").agg(F.min(id_col).alias("least"))
     roots = link(fps.select("fp"), max_bits, entry_limit)
-    rooted = (fps.join(roots, fps["fp"] == roots["node"], "left")
-              .select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = rooted.join(least, "root").select("fp", "root", "component_id")
+    # Most fingerprints link to none: only linked ones need their component's least id.
+    linked = write_shared(fps.join(roots, fps["fp"] == roots["node"]).select("fp", "least", "root"), "linked")
+    least = write_shared(linked.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    found = linked.join(least, "root").select("fp", "root", "component_id")
+    labels = (fps.join(found, "fp", "left")
+              .select("fp", F.coalesce("root", "fp").alias("root"),
+                      F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id")))
     return keyed.join(labels, "fp").select(id_col, "_ps_key", "fp", "root", "component_id")
 
 

@@ -217,11 +217,13 @@ def cleaned_texts(docs: DataFrame, window: int = 35, gram: int = 8, text_col: st
         spot = F.xxhash64("k1", "k2", place)
         return df.groupBy(*keys).agg(F.min(spot).alias("lo"), F.max(spot).alias("hi"))
 
-    known = anchors.join(counted(anchors, ["gram"], "pos").where("lo <> hi").select("gram"), "gram")
-    known = write_shared(known.select("k1", "k2", "pos", "gram", "run"), "repeated-anchors")
+    # Counts are written before they are joined: both sides of a join then come straight
+    # from a shuffle, which is what lets Spark split a gram that very many texts share.
+    grams = write_shared(counted(anchors, ["gram"], "pos").where("lo <> hi").select("gram"), "repeated-grams")
+    known = write_shared(anchors.join(grams, "gram").select("k1", "k2", "pos", "gram", "run"), "repeated-anchors")
     runs = counted(known, ["gram", "run"], "pos")
     single = runs.where("lo = hi").select("gram").distinct().withColumn("single", F.lit(True))
-    judged = known.join(runs.join(single, "gram", "left"), ["gram", "run"])
+    judged = known.join(write_shared(runs.join(single, "gram", "left"), "runs"), ["gram", "run"])
     whole = F.col("lo") != F.col("hi")
     witness = F.col("single") & (F.xxhash64("k1", "k2", "pos") == F.col("lo"))  # of a run, or the run's only one
     places = judged.groupBy("k1", "k2").agg(F.collect_set(F.when(whole, F.col("pos"))).alias("whole"),

@@ -17,7 +17,8 @@ Windows are counted by window hash and anchor hash together (128 bits). Repeated
 windows are merged into maximal removal intervals.
 
 Equal texts collapse first, with map-side combination: one copy stands for all,
-and a text held by several rows has all of its windows repeated. Counting uses
+compressed for its one shuffle, and a text held by several rows has all of its
+windows repeated. Counting uses
 the least and greatest occurrence, never a list of occurrences, so a passage
 that a third of the rows share costs a few partial aggregates; joins on hashes
 are plain shuffled joins that Spark splits when skewed.
@@ -34,6 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,6 +129,26 @@ def _anchor_rows(window: int, gram: int):
     return rows
 
 
+def _packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k1, k2, text) -> (k1, k2, n, blob): each text of a task once, compressed; its further copies without."""
+    pack, seen = zstandard.ZstdCompressor(level=3), set()
+    for batch in batches:
+        keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        blobs = []
+        for key, text in zip(keys, texts(batch, 2), strict=True):
+            blobs.append(None if key in seen else pack.compress((text or "").encode("utf-8", "surrogatepass")))
+            seen.add(key)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([1] * len(keys), pa.int64()),
+                                          pa.array(blobs, pa.binary())], names=["k1", "k2", "n", "blob"])
+
+
+def _unpacked(blobs: pa.Array) -> Iterator[list[bytes]]:
+    """The words of compressed texts."""
+    unpack = zstandard.ZstdDecompressor()
+    for blob in blobs:
+        yield unpack.decompress(blob.as_py()).split()
+
+
 def _batch(held: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(_longs(*map(np.concatenate, zip(*held, strict=True))), names=names)
 
@@ -139,15 +161,14 @@ def _owned(anchors: np.ndarray, positions: pa.ListScalar) -> np.ndarray:
 
 
 def _window_rows(window: int, gram: int):
-    """(k1, k2, text, anchor positions) -> (k1, k2, start, hash, gram) of their windows."""
+    """(k1, k2, blob, anchor positions) -> (k1, k2, start, hash, gram) of their windows."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, names = Hasher(window, gram), ["k1", "k2", "start", "hash", "gram"]
         for batch in batches:
             held, size = [], 0
             at = batch.column(3)
-            for i, (k1, k2, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
-                                                   texts(batch, 2), strict=True)):
-                words = byte_words(text)
+            for i, (k1, k2, words) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
+                                                    _unpacked(batch.column(2)), strict=True)):
                 windows, anchors, grams, _ = hasher(words)
                 start = _owned(anchors, at[i])
                 held.append((np.full(len(start), k1), np.full(len(start), k2), start.astype(np.int32),
@@ -171,7 +192,7 @@ def merge(starts: np.ndarray, window: int) -> np.ndarray:
 
 
 def _kept_rows(window: int, gram: int):
-    """(k1, k2, text, copies, whole, starts) -> (k1, k2, n_words, n_removed, kept_text, spans)."""
+    """(k1, k2, blob, copies, whole, starts) -> (k1, k2, n_words, n_removed, kept_text, spans)."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(window, gram)
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -179,8 +200,7 @@ def _kept_rows(window: int, gram: int):
             whole, starts = batch.column(4), batch.column(5)
             copies = batch.column(3).to_pylist()
             out: list[list] = [[], [], [], []]
-            for i, text in enumerate(texts(batch, 2)):
-                words = byte_words(text)
+            for i, words in enumerate(_unpacked(batch.column(2))):
                 found = [np.empty(0, np.int64)]
                 if copies[i] > 1:  # every window starts in the copies too
                     found.append(np.arange(max(0, len(words) - window + 1)))
@@ -229,14 +249,15 @@ def cleaned_texts(docs: DataFrame, window: int = 35, gram: int = 8, text_col: st
     places = judged.groupBy("k1", "k2").agg(F.collect_set(F.when(whole, F.col("pos"))).alias("whole"),
                                             F.collect_set(F.when(witness, F.col("pos"))).alias("open"))
     places = write_shared(places, "places")
-    unique = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    unique = (keyed.mapInArrow(_packed_rows, "k1 long, k2 long, n long, blob binary")
+              .groupBy("k1", "k2").agg(F.max("blob").alias("blob"), F.sum("n").alias("copies")))
     windows = (unique.join(places.where(F.size("open") > 0).select("k1", "k2", "open"), ["k1", "k2"])
-               .select("k1", "k2", "text", "open")
+               .select("k1", "k2", "blob", "open")
                .mapInArrow(_window_rows(window, gram), "k1 long, k2 long, start int, hash long, gram long"))
     starts = (windows.join(counted(windows, ["hash", "gram"], "start").where("lo <> hi").select("hash", "gram"), ["hash", "gram"])
               .groupBy("k1", "k2").agg(F.collect_set("start").alias("starts")))
     return (unique.join(places.select("k1", "k2", "whole"), ["k1", "k2"], "left").join(starts, ["k1", "k2"], "left")
-            .select("k1", "k2", "text", "copies", "whole", "starts")
+            .select("k1", "k2", "blob", "copies", "whole", "starts")
             .mapInArrow(_kept_rows(window, gram), "k1 long, k2 long, n_words long, n_removed long, kept_text string, "
                                                   "spans array<struct<start:long,end:long>>"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pricing import clean_price_us, price_digits, us_rule
-from ..session import ensure_checkpoint_dir
+from ..session import write_shared
 from ..settings import DEFAULT, Settings
 from ..sources.registry import RELIABILITY
 from ..sources.tables import ARRIVAL
@@ -60,23 +60,22 @@ def rank_within_query(df: DataFrame, score: str = "score", price: str = "norm_pr
 def row_number_by_range(df: DataFrame, key: str, order: list[Column], out: str = "rank") -> DataFrame:
     """Exact ``row_number() over (partition by key order by ...)`` that splits hot keys.
 
-    1. Range-partition on (key, order...) and sort each partition: a key holding
+    1. The input is written once, since choosing the ranges reads it before the shuffle does.
+    2. Range-partition on (key, order...) and sort each partition: a key holding
        a third of all rows spans a third of the partitions instead of one task.
-    2. ``monotonically_increasing_id`` numbers rows in sorted order inside each
-       partition; a reliable ``checkpoint()`` freezes partition ids and positions.
+       ``monotonically_increasing_id`` numbers rows in sorted order inside each
+       partition; writing the table freezes partition ids and positions.
     3. A small table of (partition, key) -> first id, count gives every key's
        offset in the earlier partitions (a window over <= partitions + keys rows).
     4. rank = id - first id of the (partition, key) + offset + 1.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    s = (df.repartitionByRange(n, F.col(key), *order).sortWithinPartitions(F.col(key), *order)
-         .withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
-         .checkpoint())
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = write_shared(df, "to-rank")
+    s = write_shared(df.repartitionByRange(n, F.col(key), *order).sortWithinPartitions(F.col(key), *order)
+                     .withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()), "sorted")
     stats = s.groupBy("_pid", key).agg(F.min("_mid").alias("_m0"), F.count("*").alias("_c"))
     w = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    stats = stats.withColumn("_off", F.coalesce(F.sum("_c").over(w), F.lit(0))).drop("_c").checkpoint()
+    stats = write_shared(stats.withColumn("_off", F.coalesce(F.sum("_c").over(w), F.lit(0))).drop("_c"), "offsets")
     # The offsets table has at most (partitions + keys) rows; broadcast it when
     # its checked size is small so the sorted data is not shuffled again.
     if stats.count() <= DEFAULT.broadcast_max_rows:

@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col
     """
     keyed = write_shared(docs.select(F.col(id_col), row_key(id_col, text_col).alias("_ps_key"),
                                      fingerprint_column(text_col, shingle).alias("fp")), "fingerprints")
-    fps = keyed.groupBy("fp").agg(F.min(id_col).alias("least"))
+    fps = write_shared(keyed.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct-fingerprints")
     roots = link(fps.select("fp"), max_bits, entry_limit)
     # Most fingerprints link to none: only linked ones need their component's least id.
     linked = write_shared(fps.join(roots, fps["fp"] == roots["node"]).select("fp", "least", "root"), "linked")
@@ -221,7 +221,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col
     labels = (fps.join(found, "fp", "left")
               .select("fp", F.coalesce("root", "fp").alias("root"),
                       F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id")))
-    return keyed.join(labels, "fp").select(id_col, "_ps_key", "fp", "root", "component_id")
+    # Written, so that the join comes straight from two shuffles and a hot fingerprint can be split.
+    return keyed.join(write_shared(labels, "labels"), "fp").select(id_col, "_ps_key", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col: str = "doc_id",

@@ -130,10 +130,25 @@ def _similarity_udf(floor: float | None):
     return run
 
 
+def name_parts(text) -> Column:
+    """What F6 needs of one text: cleaned text, its sorted distinct tokens, its token-sort key."""
+    clean = clean_text(F.coalesce(_c(text), F.lit("")))
+    return F.struct(clean.alias("clean"), F.array_sort(F.array_distinct(tokens(clean))).alias("tokens"),
+                    token_sort_key(clean).alias("key"), (F.coalesce(F.length(_c(text)), F.lit(0)) == 0).alias("empty"))
+
+
+def similarity_of_parts(a: Column, b: Column, floor: float | None = None) -> Column:
+    """F6 of two ``name_parts``; with ``floor``, pairs that cannot exceed it may get 0.
+
+    Both token lists are sorted, so their intersection and differences are, too.
+    """
+    sect = F.array_join(F.array_intersect(a["tokens"], b["tokens"]), " ")
+    c1 = F.trim(F.concat_ws(" ", sect, F.array_join(F.array_except(a["tokens"], b["tokens"]), " ")))
+    c2 = F.trim(F.concat_ws(" ", sect, F.array_join(F.array_except(b["tokens"], a["tokens"]), " ")))
+    score = _similarity_udf(floor)(a["clean"], b["clean"], a["key"], b["key"], sect, c1, c2)
+    return F.when(a["empty"] | b["empty"], 0.0).otherwise(score)
+
+
 def name_similarity_udf(name, query, floor: float | None = None) -> Column:
-    """F6 of two text columns; with ``floor``, pairs that cannot exceed it may get 0."""
-    a, b = _c(name), _c(query)
-    ca, cb = clean_text(F.coalesce(a, F.lit(""))), clean_text(F.coalesce(b, F.lit("")))
-    score = _similarity_udf(floor)(ca, cb, token_sort_key(ca), token_sort_key(cb), *token_set_parts(ca, cb))
-    empty = (F.coalesce(F.length(a), F.lit(0)) == 0) | (F.coalesce(F.length(b), F.lit(0)) == 0)
-    return F.when(empty, 0.0).otherwise(score)
+    """F6 of two text columns. Where a text meets many others, stage its ``name_parts`` once instead."""
+    return similarity_of_parts(name_parts(name), name_parts(query), floor)

@@ -31,11 +31,12 @@ from pyspark.sql import types as T
 
 from ..functions import fuzz
 from ..functions.features import feature_scores, product_features
-from ..functions.text import (ascii_words, clean_text, name_similarity_udf, partial_ratio_udf, ratio_udf,
+from ..functions.text import (ascii_words, clean_text, name_parts, partial_ratio_udf, ratio_udf, similarity_of_parts,
                               token_sort_key, token_sort_ratio_udf)
 from ..session import write_shared
 from ..settings import DEFAULT, Settings
 from .components import connected_components
+from .normalize import stage
 from .rank import row_number_by_range
 
 PAIR_BLOCKS = 16  # keys over which the vocabulary pairs of one query spread
@@ -51,19 +52,33 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def feature_similarity(p1: Column, p2: Column, query: Column, settings: Settings = DEFAULT) -> Column:
-    """F10 = .3 fuzzy + .25 brand + .2 model + .1 storage + .05 colour + .1 query relevance."""
-    w = settings.weights
-    f1, f2 = product_features(p1, query), product_features(p2, query)
-    sc = feature_scores(f1, f2)
-    fuzzy = token_sort_ratio_udf(F.lower(p1), F.lower(p2)) / 100.0
+def feature_score(f1: Column, f2: Column, fuzzy: Column, relevance: Column, settings: Settings = DEFAULT) -> Column:
+    """F10 from two feature structs: .3 fuzzy + .25 brand + .2 model + .1 storage + .05 colour + .1 query relevance."""
+    w, sc = settings.weights, feature_scores(f1, f2)
     model = F.when(f1["model"].isNull() | f2["model"].isNull(), F.lit(0.5)) \
         .otherwise(ratio_udf(F.lower(f1["model"]), F.lower(f2["model"])) / 100.0)
+    return (fuzzy * w["fuzzy"] + sc["brand"] * w["brand"] + model * w["model"] + sc["storage"] * w["storage"]
+            + sc["color"] * w["color"] + relevance * w["query_relevance"])
+
+
+def feature_similarity(p1: Column, p2: Column, query: Column, settings: Settings = DEFAULT) -> Column:
+    """F10 + F11 of two name columns in the context of a query."""
+    fuzzy = token_sort_ratio_udf(F.lower(p1), F.lower(p2)) / 100.0
     lq = F.lower(query)
     rel = F.when(F.coalesce(F.length(query), F.lit(0)) == 0, F.lit(0.5)).otherwise(
         (partial_ratio_udf(lq, F.lower(p1)) / 100.0 + partial_ratio_udf(lq, F.lower(p2)) / 100.0) / 2.0)
-    return (fuzzy * w["fuzzy"] + sc["brand"] * w["brand"] + model * w["model"] + sc["storage"] * w["storage"]
-            + sc["color"] * w["color"] + rel * w["query_relevance"])
+    return feature_score(product_features(p1, query), product_features(p2, query), fuzzy, rel, settings)
+
+
+def with_features(names: DataFrame, name: str) -> DataFrame:
+    """Adds ``f`` (F8), ``k`` (token-sort key) and ``n`` (its length): computed once per name, not per pair."""
+    k = token_sort_key(F.lower(F.col(name)))
+    return stage(stage(names, "f", product_features(F.col(name))), "k", k).withColumn("n", F.length("k"))
+
+
+def product_score(a: str, b: str, settings: Settings = DEFAULT) -> Column:
+    """F10 without a query of the two sides ``f_a, k_a`` and ``f_b, k_b`` of a pair."""
+    return feature_score(F.col(f"f{a}"), F.col(f"f{b}"), ratio_udf(f"k{a}", f"k{b}") / 100.0, F.lit(0.5), settings)
 
 
 def rank_products(df: DataFrame, key: str, name: str, query: str) -> DataFrame:
@@ -89,15 +104,14 @@ def duplicate_pairs(products: DataFrame, key: str, name: str, price: str, settin
     joined on (key, brand), and a lossless length bound follows from a token-sort ratio
     of at least 66.
     """
-    v = (products.select(key, F.col(name).alias("name"), F.col(price).alias("price"),
-                         product_features(F.col(name))["brand"].alias("brand"), F.length(token_sort_key(F.lower(F.col(name)))).alias("n"))
-         .filter(F.col("brand").isNotNull()).withColumn("_key", F.struct(F.col(key), F.col("brand"))))
+    v = with_features(products.select(key, F.col(name).alias("name"), F.col(price).alias("price")), "name")
+    v = v.filter(F.col("f.brand").isNotNull()).withColumn("_key", F.struct(F.col(key), F.col("f.brand").alias("brand")))
     la, lb = F.col("n_a"), F.col("n_b")
-    p = (vocabulary_pairs(v, "_key", "name", ["price", "n"])
+    p = (vocabulary_pairs(v, "_key", "name", ["price", "n", "f", "k"])
          .filter((F.least(la, lb) * 2 >= (la + lb) * 0.655) | ((la == 0) & (lb == 0))))
-    scored = spread(p.select(F.col("_key")[key].alias(key), "name_a", "price_a", "name_b", "price_b")).withColumn(
-        "similarity", feature_similarity(F.col("name_a"), F.col("name_b"), F.lit(""), settings))
-    return scored.filter(is_duplicate(F.col("similarity"), F.col("price_a"), F.col("price_b"), settings))
+    scored = spread(p.withColumn(key, F.col("_key")[key])).withColumn("similarity", product_score("_a", "_b", settings))
+    return (scored.select(key, "name_a", "price_a", "name_b", "price_b", "similarity")
+            .filter(is_duplicate(F.col("similarity"), F.col("price_a"), F.col("price_b"), settings)))
 
 
 # --- duplicate edges -------------------------------------------------------------------
@@ -123,13 +137,15 @@ def similar_names(offers: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     length bound on the token-sorted names (token-sort ratio >= 63 is needed)
     prunes pairs before the kernel.
     """
-    v = (offers.select("query_id", "product_name").distinct()
-         .withColumn("n", F.length(token_sort_key(clean_text("product_name")))))
+    v = stage(offers.select("query_id", "product_name").distinct(), "parts", name_parts("product_name"))
+    v = v.withColumn("n", F.length("parts.key"))
     la, lb = F.col("n_a"), F.col("n_b")
-    p = (vocabulary_pairs(v, "query_id", "product_name", ["n"])
-         .filter(((la == 0) & (lb == 0)) | (F.least(la, lb) * 2 >= (la + lb) * 0.625)).drop("n_a", "n_b"))
-    scored = spread(p).withColumn("name_sim", name_similarity_udf("name_a", "name_b", floor=settings.duplicate_threshold))
-    return scored.filter(F.col("name_sim") > settings.duplicate_threshold)
+    p = (vocabulary_pairs(v, "query_id", "product_name", ["n", "parts"])
+         .filter(((la == 0) & (lb == 0)) | (F.least(la, lb) * 2 >= (la + lb) * 0.625)))
+    floor = settings.duplicate_threshold
+    scored = spread(p).select("query_id", "name_a", "name_b",
+                              similarity_of_parts(F.col("parts_a"), F.col("parts_b"), floor).alias("name_sim"))
+    return scored.filter(F.col("name_sim") > floor)
 
 
 def _close(p1: Column, p2: Column, settings: Settings) -> Column:
@@ -334,16 +350,13 @@ def group_similar(items: DataFrame, key: str, name: str, arrival: list[str],
     ``leader_key`` is the leader's arrival key as JSON.
     """
     arr = F.struct(*[F.col(c) for c in arrival])
-    v = (items.groupBy(key, name).agg(F.min(arr).alias("first"))
-         .withColumn("brand", product_features(F.col(name))["brand"])
-         .withColumn("n", F.length(token_sort_key(F.lower(F.col(name))))))
-    v = write_shared(v, "names")
+    v = write_shared(with_features(items.groupBy(key, name).agg(F.min(arr).alias("first")), name), "names")
     la, lb = F.col("n_a"), F.col("n_b")
-    ba, bb = F.col("brand_a"), F.col("brand_b")
-    p = (vocabulary_pairs(v, key, name, ["n", "brand"])
+    ba, bb = F.col("f_a.brand"), F.col("f_b.brand")
+    p = (vocabulary_pairs(v, key, name, ["n", "f", "k"])
          .filter(ba.isNull() | bb.isNull() | (ba == bb))
-         .filter((F.least(la, lb) * 2 >= (la + lb) * 0.33) | ((la == 0) & (lb == 0))).select(key, "name_a", "name_b"))
-    scored = spread(p).withColumn("s", feature_similarity(F.col("name_a"), F.col("name_b"), F.lit(""), settings))
+         .filter((F.least(la, lb) * 2 >= (la + lb) * 0.33) | ((la == 0) & (lb == 0))))
+    scored = spread(p).select(key, "name_a", "name_b", product_score("_a", "_b", settings).alias("s"))
     good = write_shared(scored.filter(F.col("s") >= settings.group_threshold), "similar-products")
 
     def node(col: str):
@@ -360,7 +373,7 @@ def group_similar(items: DataFrame, key: str, name: str, arrival: list[str],
     led = (rows.groupBy("comp").cogroup(edges.groupBy("comp_e")).applyInPandas(_leaders, _LEADER_OUT))
     firsts = v.select(node(name).alias("leader"), F.col("first").alias("_leader_first"))
     led = led.join(firsts, "leader").select(F.col("item").alias("_node"), "_leader_first")
-    alone = feature_similarity(F.col(name), F.col(name), F.lit(""), settings) < settings.group_threshold
+    alone = product_score("", "", settings) < settings.group_threshold
     own = v.select(key, name, "first", alone.alias("_alone"))
     it = items.withColumn("_node", node(name)).join(own, [key, name]).join(led, "_node", "left")
     leader = F.when(F.col("_alone"), arr).otherwise(F.coalesce("_leader_first", "first"))

@@ -1,5 +1,6 @@
 """Near-duplicate grouping: greedy replay vs a plain-Python run of the reference's loop."""
 import datetime as dt
+import json
 import random
 
 from pyspark.sql import functions as F
@@ -106,3 +107,24 @@ def test_connected_components_on_chains_and_hubs(spark):
     assert {got[f"c{i:03d}"] for i in range(61)} == {"c000"}
     assert {got[f"s{i}"] for i in range(50)} == {"hub"} and "x" not in got
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_group_similar_equals_a_plain_first_fit_loop(spark):
+    from pricesift.operators.match import feature_similarity, group_similar
+    rng = random.Random(3)
+    parts = [["Apple iPhone 16 Pro", "iPhone 16 Pro", "Samsung Galaxy S24", "plain thing", ""], ["128GB", "256GB", ""], ["Black", "White", ""]]
+    rows = [(rng.randrange(2), i, " ".join(x for x in (rng.choice(p) for p in parts) if x)) for i in range(120)]
+    items = spark.createDataFrame(rows, "query_id long, rank long, product_name string")
+    names = sorted({r[2] for r in rows})
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
+    sim = {(r.a, r.b): r.s for r in pairs.select("a", "b", feature_similarity(F.col("a"), F.col("b"), F.lit("")).alias("s")).collect()}
+    want, led = {}, set()
+    for i, (q, rank, n) in enumerate(rows):
+        if i in led:
+            continue
+        for j in range(i, len(rows)):
+            if j == i or (j not in led and rows[j][0] == q and sim[n, rows[j][2]] >= 0.8):
+                led.add(j)
+                want[rows[j][1]] = rank
+    got = {r["rank"]: json.loads(r.leader_key)["rank"] for r in group_similar(items, "query_id", "product_name", ["rank"]).collect()}
+    assert got == want and len(set(want.values())) not in (1, len(rows))

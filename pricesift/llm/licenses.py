@@ -3,11 +3,13 @@
 A candidate block is the text around a cue ("licen", "copyright", ...), wide enough for
 the longest template. The block is compressed with Zstandard alone and once with each
 template as a raw-content dictionary; a template that the block repeats saves many
-bytes. Templates are ranked by the bytes saved, and the best ``tries`` are confirmed
-by wording: template and block are aligned word by word, and a winner may lack or
+bytes. Templates are confirmed by wording in the order of the bytes saved, until one
+passes: template and block are aligned word by word, and a winner may lack or
 change at most ``tolerance`` of its words, none of them a *deciding* word (a number,
-version or negation, or one that the template lists). The exact wording differences
-are part of the result. Further cues inside a confirmed passage are not tried again.
+version or negation, or one that the template lists). Templates of whose words the
+block lacks too many to pass at any place are left out beforehand. The exact wording
+differences are part of the result. Further cues inside a confirmed passage are not
+tried again.
 
 Blocks are bounded by the templates, so memory is, too; equal blocks of a task are
 judged once. Texts without any cue are ruled out by substring search.
@@ -20,6 +22,7 @@ exclusive.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -86,13 +89,18 @@ def _words(text: str) -> list[tuple[str, int, int]]:
     return [(m[0].lower(), m.start(), m.end()) for m in WORD.finditer(text)]
 
 
+def _decides(word: str) -> bool:
+    return word in DECIDING or any(c.isdigit() for c in word)
+
+
 class Scanner:
     """Judges blocks against a set of templates."""
 
-    def __init__(self, templates: dict[str, list[str]], tolerance: float = 0.1, tries: int = 3):
-        self.tolerance, self.tries = tolerance, tries
+    def __init__(self, templates: dict[str, list[str]], tolerance: float = 0.1):
+        self.tolerance = tolerance
         self.names = [(name, wording) for name, all_wordings in templates.items() for wording in all_wordings]
         self.words = [[w for w, _, _ in _words(t)] for _, t in self.names]
+        self.bags = [Counter(w) for w in self.words]
         self.radius = max((len(t) for _, t in self.names), default=0) * 5 // 4
         options = {"level": LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
         self.alone = zstandard.ZstdCompressor(**options)
@@ -100,12 +108,21 @@ class Scanner:
             " ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), **options) for w in self.words]
         self.judge = lru_cache(maxsize=20_000)(self._judge)
 
-    def ranked(self, said: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    def possible(self, said: list[tuple[str, int, int]]) -> list[int]:
+        """Templates that may be confirmed: the words that the block lacks are lost wherever it is aligned."""
+        have, out = Counter(w for w, _, _ in said), []
+        for i, bag in enumerate(self.bags):
+            lost = bag - have
+            if lost.total() <= self.tolerance * len(self.words[i]) and not any(map(_decides, lost)):
+                out.append(i)
+        return out
+
+    def ranked(self, said: list[tuple[str, int, int]], among: list[int] | None = None) -> list[tuple[int, int]]:
         """(bytes saved, template) from the largest saving; words alone are compressed, in lower case."""
         raw = " ".join(w for w, _, _ in said).encode()
         plain = len(self.alone.compress(raw))
-        saved = [(plain - len(c.compress(raw)), i) for i, c in enumerate(self.given)]
-        return sorted((s for s in saved if s[0] > 0), key=lambda s: (-s[0], -len(self.words[s[1]]), s[1]))
+        saved = [(plain - len(self.given[i].compress(raw)), i) for i in (range(len(self.given)) if among is None else among)]
+        return sorted(saved, key=lambda s: (-s[0], -len(self.words[s[1]]), s[1]))
 
     def confirm(self, template: int, said: list[tuple[str, int, int]]) -> tuple[int, int, list[str]] | None:
         """(start, end, differences) where the block words say the template, or None."""
@@ -127,7 +144,7 @@ class Scanner:
             lost, new = want[a1:a2], have[lo + b1:lo + b2]
             if op == "insert" and (a1 in (0, len(want))):
                 continue  # words before or after the passage
-            if set(lost) & DECIDING or any(c.isdigit() for w in lost for c in w):
+            if any(map(_decides, lost)):
                 return None
             inner = new if 0 < a1 and a2 < len(want) else []
             if set(inner) & DECIDING:
@@ -141,7 +158,7 @@ class Scanner:
     def _judge(self, block: str) -> tuple[str, int, int, int, tuple[str, ...]] | None:
         """(license, start, end, bytes saved, differences) of the best confirmed template."""
         said = _words(block)
-        for saved, template in self.ranked(said)[:self.tries]:
+        for saved, template in self.ranked(said, self.possible(said)):
             if found := self.confirm(template, said):
                 return self.names[template][0], found[0], found[1], saved, tuple(found[2])
         return None
@@ -163,13 +180,13 @@ class Scanner:
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None, tolerance: float = 0.1,
-                  tries: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, matches array<struct<license, start, end, saved, differences>>) of every row."""
     chosen = templates or TEMPLATES
 
     @F.pandas_udf("array<struct<license:string,start:long,end:long,saved:long,differences:array<string>>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scanner = Scanner(chosen, tolerance, tries)
+        scanner = Scanner(chosen, tolerance)
         for s in batches:
             yield pd.Series([scanner.scan(t) for t in s], dtype="object")
 

@@ -36,6 +36,18 @@ def test_case_junk_and_many_notices():
     assert [g[0] for g in scan(text)] == ["MIT"] * 50 + ["CC-BY-4.0"]
 
 
+def test_short_notices_are_found_whatever_long_templates_save():
+    """The short wordings between legal prose, of whose bytes long templates save more."""
+    rng = random.Random(3)
+    legal = [w for i in (2, 0) for t in ("GPL-3.0-or-later", "ISC", "MIT", "BSD-3-Clause") for w in L.TEMPLATES[t][i if t == "MIT" else 0].split()]
+    for name, wordings in L.TEMPLATES.items():
+        for t in (t for t in wordings if len(t) < 60):
+            for _ in range(10):
+                around = [" ".join(rng.choice(["the", "of", "to", "and", *legal[:90]]) for _ in range(90)) for _ in range(2)]
+                got = scan(f"{around[0]} zebra. {t} Zebra {around[1]}")
+                assert (name, t.rstrip(".")) in [g[:2] for g in got], (name, t, around)
+
+
 def test_template_saves_more_bytes_than_others():
     s = L.Scanner(L.TEMPLATES)
     said = L._words("foo bar " + L.TEMPLATES["ISC"][0] + " baz")

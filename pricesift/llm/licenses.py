@@ -8,8 +8,9 @@ passes: template and block are aligned word by word, and a winner may lack or
 change at most ``tolerance`` of its words, none of them a *deciding* word (a number,
 version or negation, or one that the template lists). Templates of whose words the
 block lacks too many to pass at any place are left out beforehand. The exact wording
-differences are part of the result. Further cues inside a confirmed passage are not
-tried again.
+differences are part of the result. The text before a confirmed passage is judged
+again without it; a passage that begins after the cue is left to the next cue near it.
+Further cues inside a confirmed passage are not tried again.
 
 Blocks are bounded by the templates, so memory is, too; equal blocks of a task are
 judged once. Texts without any cue are ruled out by substring search.
@@ -112,8 +113,8 @@ class Scanner:
         """Templates that may be confirmed: the words that the block lacks are lost wherever it is aligned."""
         have, out = Counter(w for w, _, _ in said), []
         for i, bag in enumerate(self.bags):
-            lost = bag - have
-            if lost.total() <= self.tolerance * len(self.words[i]) and not any(map(_decides, lost)):
+            lost = {w: n - have[w] for w, n in bag.items() if n > have[w]}
+            if sum(lost.values()) <= self.tolerance * len(self.words[i]) and not any(map(_decides, lost)):
                 out.append(i)
         return out
 
@@ -167,17 +168,31 @@ class Scanner:
         if not text or not any(c in text.lower() for c in CUE_WORDS):
             return []
         out, at = [], 0
-        for cue in CUES.finditer(text):
-            if cue.start() < at:
-                continue
-            a, b = max(at, cue.start() - self.radius), min(len(text), cue.end() + self.radius)
-            found = self.judge(text[a:b])
-            if found and a + found[2] > cue.start():
-                name, start, end, saved, diffs = found
-                out.append({"license": name, "start": a + start, "end": a + end, "saved": saved, "differences": list(diffs)})
-                at = a + end
+        cues = list(CUES.finditer(text))
+        for i, cue in enumerate(cues):
+            later = cues[i + 1].start() if i + 1 < len(cues) else len(text) + self.radius
+            while at <= cue.start():
+                a, b = max(at, cue.start() - self.radius), min(len(text), cue.end() + self.radius)
+                found = self._passages(text, a, b, cue.start(), later - self.radius)
+                if not found:
+                    break
+                out += found
+                at = found[-1]["end"]
         return out
 
+    def _passages(self, text: str, a: int, b: int, cue: int, later: int) -> list[dict]:
+        """Passages of text[a:b] by place, the best one first cut out; one that begins after
+        the cue and from ``later`` on is left to the next cue, whose block holds it whole."""
+        found = self.judge(text[a:b])
+        if not found:
+            return []
+        name, start, end, saved, diffs = found
+        start, end = a + start, a + end
+        out = self._passages(text, a, start, cue, later)
+        if start <= cue or start < later:
+            out.append({"license": name, "start": start, "end": end, "saved": saved, "differences": list(diffs)})
+        return out + self._passages(text, end, b, cue, later) if end <= cue or end < later else out
+
 
 def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None, tolerance: float = 0.1,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -48,6 +48,20 @@ def test_short_notices_are_found_whatever_long_templates_save():
                 assert (name, t.rstrip(".")) in [g[:2] for g in got], (name, t, around)
 
 
+def test_neighbouring_notices_are_all_found_in_any_order():
+    short = [(n, t) for n, all_wordings in L.TEMPLATES.items() for t in all_wordings]
+    for n1, t1 in short:
+        for n2, t2 in short:
+            text = f"{t1} Parts are {t2}"
+            assert [g[0] for g in scan(text)] == [n1, n2], text
+    assert [g[0] for g in scan("Licensed under CC BY 4.0. Released under the MIT License.")] == ["CC-BY-4.0", "MIT"]
+    # templates without any cue word, before and after a cue
+    own = L.Scanner({"A": ["alpha beta gamma delta"], "B": ["one two three four five six seven eight"], "wide": ["zulu " * 40]})
+    for text in ("alpha beta gamma delta license one two three four five six seven eight", "license one two three four five six seven eight alpha beta gamma delta",
+                 "license license alpha beta gamma delta one two three four five six seven eight license", "license alpha beta gamma delta " + "x " * 500 + "license"):
+        assert sorted(m["license"] for m in own.scan(text)) == ["A", "B"][:1 + ("one" in text)], text
+
+
 def test_template_saves_more_bytes_than_others():
     s = L.Scanner(L.TEMPLATES)
     said = L._words("foo bar " + L.TEMPLATES["ISC"][0] + " baz")

@@ -59,6 +59,26 @@ TEMPLATES: dict[str, list[str]] = {
         "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
         "later version.",
     ],
+    "GPL-2.0-or-later": [
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+        "License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any "
+        "later version.",
+    ],
+    "LGPL-2.1-or-later": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) "
+        "any later version.",
+    ],
+    "LGPL-3.0-or-later": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) "
+        "any later version.",
+    ],
+    "AGPL-3.0-or-later": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) "
+        "any later version.",
+    ],
     "GPL-2.0-only": ["This work is licensed under the GNU General Public License, version 2."],
     "LGPL-3.0-only": ["This work is licensed under the GNU Lesser General Public License, version 3."],
     "AGPL-3.0-only": ["This work is licensed under the GNU Affero General Public License, version 3."],
@@ -81,6 +101,8 @@ TEMPLATES: dict[str, list[str]] = {
     "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0."],
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
 }
+for _name in (*TEMPLATES, "BSD-2-Clause"):
+    TEMPLATES.setdefault(_name, []).append(f"SPDX-License-Identifier: {_name}")
 #: Words that tell licenses apart: never missing or changed in a winner.
 DECIDING = frozenset("""mit apache gnu gpl lesser affero mozilla bsd cc by by-nc by-sa by-nd attribution attribution-sharealike
 attribution-noncommercial noncommercial sharealike no not non without either later any free""".split())

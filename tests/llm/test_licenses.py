@@ -62,6 +62,19 @@ def test_neighbouring_notices_are_all_found_in_any_order():
         assert sorted(m["license"] for m in own.scan(text)) == ["A", "B"][:1 + ("one" in text)], text
 
 
+def test_spdx_tags_and_or_later_notices():
+    for name in ("MIT", "Apache-2.0", "GPL-2.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-SA-4.0"):
+        assert scan(f"# SPDX-License-Identifier: {name}\nimport os") == [(name, f"SPDX-License-Identifier: {name}", [])]
+    assert scan("SPDX-License-Identifier: GPL-2.0-without") == []
+    later = ("This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as "
+             "published by the Free Software Foundation; either version {2} of the License, or (at your option) any later version.")
+    for what, kind, version, name in (("program", "", "2", "GPL-2.0-or-later"), ("program", "", "3", "GPL-3.0-or-later"),
+                                      ("library", "Lesser ", "2.1", "LGPL-2.1-or-later"), ("library", "Lesser ", "3", "LGPL-3.0-or-later"),
+                                      ("program", "Affero ", "3", "AGPL-3.0-or-later")):
+        assert [g[0] for g in scan(later.format(what, kind, version))] == [name]
+    assert scan(later.format("program", "", "1")) == []
+
+
 def test_template_saves_more_bytes_than_others():
     s = L.Scanner(L.TEMPLATES)
     said = L._words("foo bar " + L.TEMPLATES["ISC"][0] + " baz")

@@ -5,7 +5,8 @@ The method adds values that stand in a credential context (``pwd: x``, ``Bearer
 ``scheme://user:x@host`` and the like) when they would be expensive to guess: a
 dynamic programme finds the cheapest segmentation of the value into known words,
 dates, repeats, keyboard walks and brute-force spans, in bits, and the value is a
-secret from ``min_bits`` on. So ``password is hunter`` stays, a random value goes.
+secret from ``min_bits`` on. So ``password is hunter`` stays, a random value goes. A
+value that lies wholly in a base span is held already; one that sticks out is judged.
 
 Values are handled in one left-to-right pass whatever their length: a word, date or
 walk is found from its first character, a repeat from its unit of at most
@@ -180,7 +181,7 @@ def scan(text: str | None, min_bits: float = 40.0) -> list[tuple[int, int, str]]
             for m in pattern.finditer(text):
                 value = m[1].rstrip(TRAILING)
                 a, b = m.start(1), m.start(1) + len(value)
-                if len(value) >= 8 and not any(x < b and a < y for x, y in held) and guess_bits(value) >= min_bits:
+                if len(value) >= 8 and not any(x <= a and b <= y for x, y in held) and guess_bits(value) >= min_bits:
                     added.add((a, b, "guess"))
         spans += added
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))

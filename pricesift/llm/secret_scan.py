@@ -36,15 +36,17 @@ HEX = re.compile(r"[0-9a-f]+")
 ASSIGN_MIN, ACCESS_MIN, HEX_MIN = 12, 18, 16
 ASSIGN_KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: Credential contexts beyond the base pattern; group 1 is the value.
+#: Credential contexts beyond the base pattern; the group that matched is the value, up to
+#: white space or the closing quote. Keys are ASCII, values are any text.
 CONTEXTS = [
     re.compile(r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|(?:api|access|private|client|auth)[_-]?(?:key|secret|token))"""
-               r"""["']?\x20*(?:[:=]|=>|\x20is\x20)\x20*["']?([!-&(-~]{8,})""", re.I | re.A),
+               r"""["']?\x20*(?:[:=]|=>|\x20is\x20)\x20*"""
+               r"""(?:"(?=(?u:[^\s"]{8}|[^\s"]*\\"))((?u:\\\S|[^\s"\\])+)|'(?=(?u:[^\s']{8}|[^\s']*\\'))((?u:\\\S|[^\s'\\])+)|((?u:[^\s"']\S{7,})))""", re.I | re.A),
     re.compile(r"\b(?:bearer|basic)\x20+([A-Za-z0-9+/_.=~-]{8,})", re.I | re.A),
-    re.compile(r"[a-z][a-z0-9+.-]{1,15}://[^\s:/@]{1,64}:([!-.0-?A-~]{8,})@", re.I | re.A),
+    re.compile(r"[a-z][a-z0-9+.-]{1,15}://(?u:[^\s:/@]*):((?u:[^\s/@]{8,}))@", re.I | re.A),
 ]
 CONTEXT_KEYS = ("pass", "pwd", "secret", "token", "credential", "key", "bearer", "basic", "://")
-TRAILING = "\"'`,;.)]}>!?"
+TRAILING = "\"'`,;.)]}>!?”’»…。"
 
 #: Words that guessers try first, most common first.
 COMMON = """password qwerty admin welcome login master dragon monkey letmein football baseball shadow sunshine princess
@@ -82,13 +84,14 @@ RANKS = {w: i + 1 for i, w in enumerate(COMMON)}
 def _char_bits(value: str) -> float:
     """Bits of one brute-forced character, by the alphabets that the value uses."""
     size = (10 * any(c.isdigit() for c in value) + 26 * any("a" <= c <= "z" for c in value)
-            + 26 * any("A" <= c <= "Z" for c in value) + 33 * any(not c.isalnum() for c in value))
+            + 26 * any("A" <= c <= "Z" for c in value) + 33 * any(not c.isalnum() for c in value)
+            + 100 * any(c.isalnum() and not c.isascii() for c in value))
     return math.log2(max(size, 10))
 
 
 def _segments(value: str, brute: float) -> list[list[tuple[int, float]]]:
     """For each start: (end, bits) of words, dates, repeats and walks that begin there."""
-    low = value.lower()
+    low = "".join(x if len(x := c.lower()) == 1 else c for c in value)  # place by place
     plain = low.translate(LEET)
     out: list[list[tuple[int, float]]] = [[] for _ in value]
     n, walk = len(value), 0
@@ -179,8 +182,8 @@ def scan(text: str | None, min_bits: float = 40.0) -> list[tuple[int, int, str]]
         added = set()
         for pattern in CONTEXTS:
             for m in pattern.finditer(text):
-                value = m[1].rstrip(TRAILING)
-                a, b = m.start(1), m.start(1) + len(value)
+                value = m[m.lastindex].rstrip(TRAILING)
+                a, b = m.start(m.lastindex), m.start(m.lastindex) + len(value)
                 if len(value) >= 8 and not any(x <= a and b <= y for x, y in held) and guess_bits(value) >= min_bits:
                     added.add((a, b, "guess"))
         spans += added

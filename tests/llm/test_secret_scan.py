@@ -66,6 +66,16 @@ def test_values_that_stick_out_of_base_spans_are_judged():
     assert [k for _, _, k in S.scan("password: Correct12horseBattery9zQ, x")] == ["assign"]  # wholly in the base span
 
 
+def test_context_values_of_any_user_and_alphabet():
+    for text, value in (("redis://:s3cr3tXy9Zq7@host", "s3cr3tXy9Zq7"), (f"ftp://{'u' * 90}:s3cr3tXy9Zq7@host", "s3cr3tXy9Zq7"),
+                        ("pwd: Zürich#Xk92!pQ7", "Zürich#Xk92!pQ7"), ("pwd: o'Xk9#2!pQ7'zR", "o'Xk9#2!pQ7'zR"), ("pwd = 'Xk9#2\"!pQ7zR', y", "Xk9#2\"!pQ7zR"),
+                        ('{"pwd":"Xk9#2\'!pQ7zR","user":"bob"}', "Xk9#2'!pQ7zR"), ('pwd: "Xk9\\"#2!pQ7zR" y', 'Xk9\\"#2!pQ7zR'), ("pwd: İXk9#2!pQ7é\u00a0y", "İXk9#2!pQ7é")):
+        assert [text[a:b] for a, b, k in S.scan(text) if k == "guess"] == [value], text
+    assert S.scan('{"pwd":"abc","user":"Xk9#2!pQ7zR"}') == []
+    (inner,) = S.scan('password: "token: Xk9#2!pQ7zR"')
+    assert inner[2] == "guess" and inner[1] - inner[0] == 11
+
+
 def test_redact_odd_rows(spark):
     docs = odd_docs(spark, texts=[*TEXTS, None, "clean text", "x" * 100_000])
     out = S.redact(docs)

@@ -13,6 +13,14 @@ documents rejected, the loosest of equals. The cutoff grid is fixed beforehand a
 nothing else is fitted, so every labelled row is holdout. A stratum without
 enough good labels gets no cutoff and loses nothing to these rules.
 
+``select_narrowed`` (used by ``keep_good``) needs fewer labels for the same promise. Which
+rules share the risk is settled by the bad documents that pass the base rules alone:
+the rule that reaches most of them, then the one that reaches most of the rest, and so
+on, but no more rules than the number of good labels can clear. Nothing about the
+good documents but their number is used for that, so the tests stay valid. The cutoffs of
+a rule are nested and tested from the strictest down until one fails, so they need no
+correction among themselves. ``select_cutoffs`` is what the SQL of op3 states.
+
 Base rules: fewer than 10 words, or over a fifth of the words in 5-word windows
 that the text holds more than once.
 
@@ -151,15 +159,74 @@ def select_cutoffs(labelled: DataFrame, risk: float = 0.05, delta: float = 0.05)
     return best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "b.cutoff"))).alias("cutoffs"))
 
 
+def cover(masks: dict[int, int]) -> list[str]:
+    """Rules by the bad documents that they reach and no earlier one does; ``masks`` counts documents by reached rules."""
+    rules, out, left = list(RULES), [], dict(masks)
+    while True:
+        reach = [sum(n for m, n in left.items() if m >> i & 1) for i in range(len(rules))]
+        best = max(range(len(rules)), key=lambda i: (reach[i], -i))
+        if not reach[best]:
+            return out
+        out.append(rules[best])
+        left = {m: n for m, n in left.items() if not m >> best & 1}
+
+
+def narrowed(masks: dict[int, int], hist: dict[str, dict[int, tuple[int, int]]], risk: float, delta: float) -> dict[str, int]:
+    """Cutoffs of one stratum by rule; ``hist`` is rule -> level -> (good, bad)."""
+    n, n_bad = (sum(x[i] for x in next(iter(hist.values())).values()) for i in (0, 1))
+    order = cover(masks)
+    while order and binomial_tail(n, 0, risk / len(order)) > delta / len(order):
+        order.pop()
+    out = {}
+    for rule in order:
+        k, bad_k, best = 0, 0, (0.0, 0)
+        for cutoff in range(LEVELS, 0, -1):
+            good, bad = hist[rule].get(cutoff, (0, 0))
+            k, bad_k = k + good, bad_k + bad
+            if binomial_tail(n, k, risk / len(order)) > delta / len(order):
+                break
+            best = max(best, (bad_k / max(n_bad, 1) - k / n, cutoff))
+        if best[0] > 0:
+            out[rule] = best[1]
+    return out
+
+
+def select_narrowed(labelled: DataFrame, risk: float = 0.05, delta: float = 0.05) -> DataFrame:
+    """As ``select_cutoffs``, with the risk shared by the rules that the bad documents call for."""
+    reached = sum((F.when(F.element_at("levels", r) > 0, 1 << i).otherwise(0) for i, r in enumerate(RULES)), F.lit(0))
+    masks = (labelled.where("good = 0").groupBy("stratum", F.lit("").alias("rule"), reached.alias("level"))
+             .agg(F.lit(0).cast("long").alias("good"), F.count(F.lit(1)).alias("bad")))
+    rows = labelled.select("stratum", "good", F.explode("levels").alias("rule", "level"))
+    hist = rows.groupBy("stratum", "rule", "level").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
+    both = write_shared(hist.unionByName(masks), "rule-levels")
+    strata = max(1, both.groupBy("stratum").agg(F.sum("good").alias("g")).where("g > 0").count())
+
+    def select(rows: pd.DataFrame) -> pd.DataFrame:
+        masks, hist = {}, {rule: {} for rule in RULES}
+        for rule, level, good, bad in zip(rows["rule"], rows["level"], rows["good"], rows["bad"], strict=True):
+            if rule:
+                hist[rule][int(level)] = int(good), int(bad)
+            else:
+                masks[int(level)] = int(bad)
+        found = narrowed(masks, hist, risk, delta / strata)
+        stratum = rows["stratum"].iloc[0]
+        return pd.DataFrame([(stratum, *f) for f in found.items()], columns=["stratum", "rule", "cutoff"], dtype="object")
+
+    best = both.groupBy("stratum").applyInPandas(select, "stratum string, rule string, cutoff int")
+    return best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
+
+
 def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05, id_col: str = "doc_id",
-          stratum_col: str = "lang") -> DataFrame:
+          stratum_col: str = "lang", narrow: bool = False) -> DataFrame:
     """``docs`` with a ``_ps_counts`` column -> the same rows with ``_ps_base_failed`` and ``_ps_kept``."""
     marks = (labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("_ps_id"))
              .agg(F.min("quality").alias("quality")))
     labelled = (docs.select(F.col(id_col).alias("_ps_id"), F.col(stratum_col).cast("string").alias("stratum"),
-                            levels("_ps_counts").alias("levels"))
-                .join(marks, "_ps_id").select("stratum", (F.col("quality") == 1).cast("long").alias("good"), "levels"))
-    cut = write_shared(select_cutoffs(labelled, risk, delta), "cutoffs")
+                            levels("_ps_counts").alias("levels"), base_failed("_ps_counts").alias("failed"))
+                .join(marks, "_ps_id").select("stratum", (F.col("quality") == 1).cast("long").alias("good"), "levels", "failed"))
+    if narrow:
+        labelled = labelled.where("good = 1 OR NOT failed")  # bad documents that the cutoffs are needed for
+    cut = write_shared((select_narrowed if narrow else select_cutoffs)(labelled, risk, delta), "cutoffs")
     cut = cut.select(F.col("stratum").alias("_ps_stratum"), F.col("cutoffs").alias("_ps_cutoffs"))
     joined = docs.join(cut, F.col(stratum_col).cast("string").eqNullSafe(F.col("_ps_stratum")), "left")
     level = levels("_ps_counts")
@@ -177,4 +244,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", **opti
     so neither the second pass nor a join moves the texts through a shuffle again.
     """
     measured = write_shared(docs.withColumn("_ps_counts", counts_column(text_col)), "measured")
-    return judge(measured, labels, **options).where("_ps_kept").select(*docs.columns)
+    return judge(measured, labels, narrow=True, **options).where("_ps_kept").select(*docs.columns)

@@ -55,6 +55,27 @@ def test_cutoffs_keep_their_bound_and_need_enough_labels(spark):
         assert Q.binomial_tail(n, k, 0.15 / 6) <= 0.05 / tests and Q.binomial_tail(n, k, 0.05 / 6) > 0.05 / tests
 
 
+def test_narrowed_rules_serve_small_strata_and_keep_the_bound(spark):
+    rows = labelled(spark, 300, lambda i: 0, 50, lambda i: 30, "few").unionByName(
+        labelled(spark, 70, lambda i: 0, 50, lambda i: 30, "fewer")).unionByName(
+        labelled(spark, 1000, lambda i: 20 if i % 10 == 0 else 0, 50, lambda i: 10 + 20 * (i % 2), None))  # a tenth of the good at 20
+    assert {r.stratum: r.cutoffs for r in Q.select_narrowed(rows).collect()} == {"few": {"symbols": 30}, None: {"symbols": 30}}
+    assert "few" not in {r.stratum for r in Q.select_cutoffs(rows).collect()}
+    text = "one two three four five six seven eight nine ten eleven "
+    docs = spark.createDataFrame([(i, text + ("|" * 30 if i % 5 == 0 else f"w{i}"), "de") for i in range(500)], "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 5 != 0).cast("int").alias("quality"))
+    assert sorted(r.doc_id for r in Q.keep_good(docs, labels).collect()) == [i for i in range(500) if i % 5]
+
+
+def test_narrowed_false_rejection_stays_within_delta():
+    rng, over, runs = random.Random(5), 0, 400
+    for _ in range(runs):  # a twentieth of the good lies at or above every level from 20 down: each such cutoff is just too loose
+        k = sum(rng.random() < 0.0501 for _ in range(500))
+        hist = {r: {0: (500, 40)} for r in Q.RULES} | {"symbols": {0: (500 - k, 0), 20: (k, 0), 10: (0, 40)}}
+        over += bool(Q.narrowed({1: 40}, hist, 0.05, 0.05))
+    assert over <= 0.08 * runs
+
+
 def test_odd_rows(spark):
     docs = odd_docs(spark)
     labels = spark.createDataFrame([(5, 1), (5, 0), (6, None), (None, 1), (9, 1), (999, 0)], "doc_id long, quality int")

@@ -97,10 +97,11 @@ def kb_load_insights(spark, sf):
 @query("kb_roundtrip", "SELECT doc_id, lang, source, n_chars, md5(text) AS md5 FROM documents")
 def kb_roundtrip(spark, sf):
     """Full rewrite of the documents table into a new version folder, read back by schema."""
-    docs = T.table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("md5"))
+    docs = T.table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", "text")
     path = K.version_dir(spark, "documents")
     K.save_table(docs, path, fmt="parquet")
-    return K.load_table(spark, path, docs.schema, fmt="parquet")
+    loaded = K.load_table(spark, path, docs.schema, fmt="parquet")
+    return loaded.select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("md5"))
 
 
 _SEED_VALUES = ", ".join(f"('{b.lower()}_{n.lower().replace(' ', '_')}', '{n}', '{b}')" for n, _, b, *_ in K.SEED_PRODUCTS)

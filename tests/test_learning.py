@@ -35,3 +35,11 @@ def test_stream_two_batches_out_of_order(spark, sf, tmp_path):
     batch = learn_prices(T.points_from_events(ev)).select(*COLS).collect()
     stream = run_learning(spark, T.events_stream(spark, d)).select(*COLS).collect()
     assert sorted(map(tuple, batch), key=lambda t: t[0]) == sorted(map(tuple, stream), key=lambda t: t[0])
+
+
+def test_roundtrip_stores_whole_texts(spark, sf, monkeypatch):
+    from pricesift.plans import q_learning as Q
+    saved, save = [], Q.K.save_table
+    monkeypatch.setattr(Q.K, "save_table", lambda docs, *a, **k: (saved.append(docs.columns), save(docs, *a, **k))[1])
+    assert Q.kb_roundtrip(spark, sf).count() == T.table(spark, sf, "documents").count()
+    assert saved == [["doc_id", "lang", "source", "n_chars", "text"]]

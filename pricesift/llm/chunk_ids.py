@@ -27,8 +27,8 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"  # their class is the same in every Unicode ve
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _CUT = re.compile(r"(?<=\S) ")
 _PLAIN = re.compile(rf"[\n -~{LETTERS}]*")
-#: A blank after any white space: there a cut at every blank would be wrong.
-_ODD_BLANK = "[\x09-\x0d\x1c-\x1f \x85\xa0  -     　] "
+#: A blank at the start or after any white space: there a cut at every blank would be wrong.
+_ODD_BLANK = "^ |[\x09-\x0d\x1c-\x1f \x85\xa0  -     　] "
 
 
 def byte_letters() -> dict[int, str]:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, packing, quality_fm, quality_rules, secret_scan, simhash, substrings, token_store, warc
+from . import alignment, chat, decontaminate, licenses, packing, quality_fm, quality_rules, secret_scan, simhash, substrings, token_store, warc
 from ..session import write_shared
 from .common import table
 
@@ -119,3 +119,8 @@ def op12_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_store.new_folder(spark)
     index = token_store.with_starts(token_store.write_tokens(table(spark, sf_dir, "documents"), folder))
     return token_store.read_digests(index, folder)
+
+
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))

@@ -28,11 +28,9 @@ an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import os
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +42,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import write_shared
-from .chunk_ids import IDS, LETTER_OF, TEXT, ByteEncoder, Memo, blocks, content, encoder, sizes_of, split_at_blanks
+from .chunk_ids import IDS, LETTER_OF, TEXT, ByteEncoder, Memo, blocks, content, cut_ids, encoder, sizes_of, split_at_blanks
 
-TEXT_BYTES, ENTRIES_IN_BLOCK, DOCUMENTS_IN_BLOCK, KNOWN_CHUNKS = 4 << 20, 6_000_000, 1 << 18, 700_000
+TEXT_BYTES, ENTRIES_IN_BLOCK, DOCUMENTS_IN_BLOCK, KNOWN_CHUNKS = 8 << 20, 6_000_000, 1 << 18, 700_000
+FEW, LARGE_GROUP = 64, 64
 FIGURES = ("n_a", "n_b", "n_groups", "n_links")
 
 
@@ -80,6 +79,56 @@ def shared_groups(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int,
     return groups
 
 
+def _spelling(tokens: pa.Array, per_chunk: np.ndarray, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each token ends, counted on over all chunks, and which chunks the tokens spell."""
+    ends = np.cumsum(sizes_of(tokens))
+    cuts = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(per_chunk)))]
+    wanted = np.concatenate(([0], np.cumsum(sizes_of(chunks))))
+    said, want = content(tokens), content(chunks)
+    if len(said) == len(want) and (cuts == wanted).all() and said == want:
+        return ends, np.ones(len(per_chunk), bool)
+    fine = np.array([said[i:j] == want[k:m] for i, j, k, m in zip(cuts, cuts[1:], wanted, wanted[1:], strict=False)], bool)
+    return ends + np.repeat(wanted[:-1] - cuts[:-1], per_chunk), fine
+
+
+def shared_groups_of_many(a_ends: np.ndarray, b_ends: np.ndarray, a_starts: np.ndarray, b_starts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``shared_groups`` of many pairs of lists at once, each step for all of them.
+
+    The lists stand one after the other, their ends counted on; ``a_starts`` and ``b_starts``
+    (with a closing one) say where each begins. What a few long intervals have left is done
+    one by one.
+    """
+    a0, a1, b0, b1 = a_starts[:-1], a_starts[1:], b_starts[:-1], b_starts[1:]
+    low, high = a0, a1 - 1
+    left = (low + high - 1) // 2
+    right, found = left + 1, []
+    turn = np.zeros(len(a0), bool)  # whose turn it is: the ends to the left or to the right of the middle
+    while len(a0) >= FEW:
+        at_left, at_right = left >= low, right < high
+        leaf = ~(at_left | at_right)
+        if leaf.any():
+            found.append(np.stack([a0[leaf], a1[leaf], b0[leaf], b1[leaf]]))
+            a0, a1, b0, b1, low, high, left, right, turn, at_left, at_right = (
+                x[~leaf] for x in (a0, a1, b0, b1, low, high, left, right, turn, at_left, at_right))
+        to_left = at_left & (~turn | ~at_right)
+        looked = np.where(to_left, left, right)
+        at = np.searchsorted(b_ends, a_ends[looked])
+        hit = b_ends[np.minimum(at, len(b_ends) - 1)] == a_ends[looked]
+        miss = ~hit
+        halves = [[a0[hit], looked[hit] + 1, b0[hit], at[hit] + 1, low[hit], np.where(to_left, left, left + 1)[hit]],
+                  [looked[hit] + 1, a1[hit], at[hit] + 1, b1[hit], np.where(to_left, right, right + 1)[hit], high[hit]]]
+        left, right, turn = np.where(to_left, left - 1, left)[miss], np.where(to_left, right, right + 1)[miss], to_left[miss]
+        new = [np.concatenate(x) for x in zip(*halves, strict=True)]
+        middle = (new[4] + new[5] - 1) // 2
+        a0, a1, b0, b1, low, high = (np.concatenate([x[miss], y]) for x, y in zip((a0, a1, b0, b1, low, high), new, strict=True))
+        left, right = np.concatenate([left, middle]), np.concatenate([right, middle + 1])
+        turn = np.concatenate([turn, np.zeros(len(middle), bool)])
+    for i, j, k, m in zip(a0.tolist(), a1.tolist(), b0.tolist(), b1.tolist(), strict=True):
+        found.append(np.array(shared_groups(a_ends[i:j].tolist(), b_ends[k:m].tolist()), np.int64).T + np.array([[i], [i], [k], [k]]))
+    groups = np.concatenate(found, axis=1)
+    return tuple(groups[:, np.argsort(groups[0])])
+
+
 class TokenAligner:
     """Groups and links of texts under a byte-level BPE (A) and a sentencepiece model (B)."""
 
@@ -88,57 +137,81 @@ class TokenAligner:
         self.a = encoder(ByteEncoder, a_path, True)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         byte_of = {c: bytes([b]) for b, c in LETTER_OF.items()}
-        self.a_bytes = {i: b"".join(map(byte_of.__getitem__, t)) for t, i in self.a.vocab.items() if set(t) <= byte_of.keys()}
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
-                        for i in range(self.b.get_piece_size()) for p in [self.b.id_to_piece(i)]]
-        self.n_b = len(self.b_bytes)  # a pair is A id * n_b + B id
+        a_bytes = [b""] * (max(self.a.vocab.values()) + 1)
+        for token, i in self.a.vocab.items():
+            a_bytes[i] = b"".join(byte_of.get(c, b"") for c in token)
+        b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
+                   for i in range(self.b.get_piece_size()) for p in [self.b.id_to_piece(i)]]
+        self.n_a, self.n_b = len(a_bytes), len(b_bytes)  # a pair is A id * n_b + B id
+        if self.n_a * self.n_b >= 1 << 32:
+            raise ValueError("the vocabularies are too large for pairs of 32 bits")
+        self.a_bytes, self.b_bytes = pa.array(a_bytes, IDS), pa.array(b_bytes, IDS)
+        said = [f"{i}{end}" for n, ends in ((self.n_a, ",|"), (self.n_b, ",;")) for end in ends for i in range(n)]
+        self.said = pa.array(said, TEXT)  # ids inside a group, last A ids, B ids, last B ids
         self.blank = self.b.piece_to_id("▁")
-        self.a_said, self.b_said = list(map(str, range(max(self.a_bytes) + 1))), list(map(str, range(self.n_b)))
         self.known = Memo(self._aligned, KNOWN_CHUNKS)
 
-    def encoded(self, chunks: pa.Array) -> tuple[list[list[int]], list[list[int]]]:
-        ids = self.a.of_chunk(chunks)[0]
-        flat, ends = np.frombuffer(content(ids), "<u4").tolist(), np.cumsum(sizes_of(ids) // 4).tolist()
-        a = [flat[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
-        return a, [b or [self.blank] for b in self.b.encode(chunks.to_pylist(), num_threads=1)]
-
-    def groups(self, a: list[int], b: list[int], said: bytes) -> list[tuple[list[int], list[int]]] | None:
-        """Leaf groups of ids; none if the tokens do not spell ``said``."""
-        a_tokens, b_tokens = list(map(self.a_bytes.__getitem__, a)), list(map(self.b_bytes.__getitem__, b))
-        if b"".join(a_tokens) != said or b"".join(b_tokens) != said:
-            return None
-        found = shared_groups(list(accumulate(map(len, a_tokens))), list(accumulate(map(len, b_tokens))))
-        return [(a[a0:a1], b[b0:b1]) for a0, a1, b0, b1 in found]
+    def encoded(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A ids, B ids and their numbers per chunk."""
+        a = self.a.new_chunks(chunks)[0]
+        b = [x or [self.blank] for x in self.b.encode(chunks.to_pylist(), num_threads=1)]
+        sizes = np.fromiter(map(len, b), np.int64, len(b))
+        return np.frombuffer(content(a), "<u4").astype(np.int64), np.fromiter(chain.from_iterable(b), np.int64, int(sizes.sum())), sizes_of(a) // 4, sizes
 
     def _aligned(self, chunks: pa.Array) -> list[pa.Array]:
         """For distinct chunks: whether tokens spell them, the four figures, groups as text, pairs and how often each is linked."""
-        fine, figures, texts, pairs, often = [], [], [], [], []
-        a_said, b_said, n_b = self.a_said, self.b_said, self.n_b
-        for chunk, a, b in zip(chunks.to_pylist(), *self.encoded(chunks), strict=True):
-            groups = self.groups(a, b, b" " + chunk.encode())
-            fine.append(groups is not None)
-            links, said, n = [], [], 0
-            tally = Counter()
-            for x, y in groups or ():
-                said.append(",".join([a_said[i] for i in x]) + "|" + ",".join([b_said[i] for i in y]) + ";")
-                n += len(x) * len(y)
-                if len(x) * len(y) <= 64:
-                    links += [i * n_b + j for i in x for j in y]
-                else:
-                    of_b = Counter(y).items()
-                    for i, k in Counter(x).items():
-                        tally.update({i * n_b + j: k * m for j, m in of_b})
-            if tally:
-                tally.update(links)
-                pairs.append(np.fromiter(tally.keys(), "<u4").tobytes())
-                often.append(np.fromiter(tally.values(), "<u4").tobytes())
-            else:
-                pairs.append(np.array(links, "<u4").tobytes())
-                often.append(b"\1\0\0\0" * len(links))
-            figures.append((len(a), len(b), len(groups or ()), n))
-            texts.append("".join(said))
-        return [pa.array(fine, pa.bool_()), *(pa.array(x, pa.int64()) for x in zip(*figures, strict=True)),
-                pa.array(texts, TEXT), pa.array(pairs, IDS), pa.array(often, IDS)]
+        a, b, of_a, of_b = self.encoded(chunks)
+        spelled = pc.binary_join_element_wise(pa.scalar(" ", TEXT), chunks, pa.scalar("", TEXT)).cast(IDS)
+        a_ends, a_fine = _spelling(self.a_bytes.take(pa.array(a)), of_a, spelled)
+        b_ends, b_fine = _spelling(self.b_bytes.take(pa.array(b)), of_b, spelled)
+        fine = a_fine & b_fine
+        columns = [of_a, of_b, np.zeros(len(fine), np.int64), np.zeros(len(fine), np.int64)]
+        texts, pairs, often = [pa.array([""], TEXT)], [pa.array([b""], IDS)], [pa.array([b""], IDS)]
+        order = np.zeros(len(fine), np.int64)
+        if fine.any():
+            in_a, in_b = np.repeat(fine, of_a), np.repeat(fine, of_b)
+            n_groups, n_links, *more = self._grouped(a[in_a], b[in_b], a_ends[in_a], b_ends[in_b], of_a[fine], of_b[fine])
+            columns[2][fine], columns[3][fine] = n_groups, n_links
+            for column, found in zip((texts, pairs, often), more, strict=True):
+                column.append(found)
+            order[fine] = 1 + np.arange(fine.sum())
+        return [pa.array(fine), *map(pa.array, columns), *(pa.concat_arrays(x).take(pa.array(order)) for x in (texts, pairs, often))]
+
+    def _grouped(self, a, b, a_ends, b_ends, of_a, of_b) -> tuple:
+        """Groups and links of chunks that their tokens spell."""
+        a_starts, b_starts = (np.concatenate(([0], np.cumsum(n))) for n in (of_a, of_b))
+        a0, a1, b0, b1 = shared_groups_of_many(a_ends, b_ends, a_starts, b_starts)
+        in_a, in_b, chunk = a1 - a0, b1 - b0, np.searchsorted(a_starts, a0, "right") - 1
+        n_links = np.bincount(chunk, in_a * in_b, len(of_a)).astype(np.int64)
+        # Texts: of each group its A ids, then its B ids; the last of each has its own ending.
+        order = np.empty(len(a) + len(b), np.int64)
+        last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        last_a[a1 - 1], last_b[b1 - 1] = self.n_a, self.n_b
+        order[np.arange(len(a)) + np.repeat(b0, in_a)] = a + last_a
+        order[np.arange(len(b)) + np.repeat(a1, in_b)] = 2 * self.n_a + b + last_b
+        said = self.said.take(pa.array(order))
+        ends = np.concatenate(([0], np.cumsum(sizes_of(said))))[a_starts + b_starts]
+        texts = pa.LargeStringArray.from_buffers(len(of_a), pa.py_buffer(ends), pa.py_buffer(bytes(content(said))))
+        # Pairs: all of small groups; the distinct ones of large groups, with their numbers.
+        large = in_a * in_b > LARGE_GROUP
+        sizes = np.where(large, 0, in_a * in_b)
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        k = np.arange(len(group)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        pairs = (a[a0[group] + k // in_b[group]] * self.n_b + b[b0[group] + k % in_b[group]]).astype("<u4")
+        often, of_chunk = np.ones(len(pairs), "<u4"), chunk[group]
+        if large.any():
+            more = [self._tallied(a[i:j], b[m:n]) for i, j, m, n in zip(a0[large], a1[large], b0[large], b1[large], strict=True)]
+            of_chunk = np.concatenate([of_chunk, np.repeat(chunk[large], [len(x) for x, _ in more])])
+            by_chunk = np.argsort(of_chunk, kind="stable")
+            pairs, often = (np.concatenate(x)[by_chunk].astype("<u4") for x in zip((pairs, often), *more, strict=True))
+            of_chunk = of_chunk[by_chunk]
+        held = np.bincount(of_chunk, minlength=len(of_a))
+        return np.bincount(chunk, minlength=len(of_a)), n_links, texts, cut_ids(pairs, held), cut_ids(often, held)
+
+    def _tallied(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct pairs of all links of a group, and how many links each has."""
+        (x, n), (y, m) = (np.unique(v, return_counts=True) for v in (a, b))
+        return (x[:, None] * self.n_b + y).ravel(), (n[:, None] * m).ravel()
 
     def texts(self, texts: pa.Array) -> tuple[list[np.ndarray], list[str], np.ndarray, np.ndarray, np.ndarray]:
         """For texts (no nulls): figures, hashes, and by (text, pair): place of the text, pair, number of links."""

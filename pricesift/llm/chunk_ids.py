@@ -81,18 +81,30 @@ class Memo:
         self.compute, self.entries, self.keys, self.values = compute, entries, strings([]), None
 
     def __call__(self, wanted: pa.Array) -> list[pa.Array]:
-        """Columns of ``compute`` for distinct strings."""
+        """Columns of ``compute`` for distinct strings. A full table stays as it is while it knows most of them."""
         at = pc.index_in(wanted, value_set=self.keys)
-        if self.values is None or at.null_count:
-            new = wanted.filter(at.is_null())
-            held = self.keys.nbytes + sum(v.nbytes for v in self.values or [])
-            if self.values is None or len(self.keys) + len(new) > self.entries or held > TABLE_BYTES:
-                self.keys, self.values = wanted, self.compute(wanted)
-                return self.values
-            self.values = [pa.concat_arrays([a, b]) for a, b in zip(self.values, self.compute(new), strict=True)]
+        if not at.null_count and self.values is not None:
+            return [v.take(at) for v in self.values]
+        unseen = at.is_null()
+        new = wanted.filter(unseen)
+        columns = self.compute(new)
+        if self.values is None or 2 * len(new) > len(wanted) and self.full():
+            self.keys, self.values = new, columns
+        elif not self.full():
+            place, mask = np.asarray(at.fill_null(0)).astype(np.int64), np.asarray(unseen)
+            place[mask] = len(self.keys) + np.arange(len(new))
             self.keys = pa.concat_arrays([self.keys, new])
-            at = pc.index_in(wanted, value_set=self.keys)
-        return [v.take(at) for v in self.values]
+            self.values = [pa.concat_arrays([a, b]) for a, b in zip(self.values, columns, strict=True)]
+            return [v.take(pa.array(place)) for v in self.values]
+        if len(new) == len(wanted):
+            return columns
+        seen, order = at.drop_null(), np.empty(len(wanted), np.int64)
+        mask = np.asarray(unseen)
+        order[~mask], order[mask] = np.arange(len(seen)), len(seen) + np.arange(len(new))
+        return [pa.concat_arrays([v.take(seen), c]).take(pa.array(order)) for v, c in zip(self.values, columns, strict=True)]
+
+    def full(self) -> bool:
+        return len(self.keys) >= self.entries or self.keys.nbytes + sum(v.nbytes for v in self.values) > TABLE_BYTES
 
 
 @dataclass
@@ -158,7 +170,7 @@ class ChunkEncoder:
         self.vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         added = [] if plain_specials else [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added)) or r"(?!)")
-        self.of_chunk, self.of_word = Memo(self._chunks), Memo(self._words)
+        self.of_chunk, self.of_word = Memo(self.new_chunks), Memo(self._words)
         self.of_unit: dict[str, bytes] = {}
 
     def flagged(self, test) -> np.ndarray:
@@ -209,7 +221,8 @@ class ChunkEncoder:
             out.append(cut_ids(ids, sizes) if len(sizes) == len(part) else bytes_of(self.whole([self.opened(w) for w in part])))
         return [pa.concat_arrays(out) if out else pa.array([], IDS)]
 
-    def _chunks(self, chunks: pa.Array) -> list[pa.Array]:
+    def new_chunks(self, chunks: pa.Array) -> list[pa.Array]:
+        """Ids of distinct chunks, computed."""
         words = pc.utf8_rtrim(chunks, characters=_PUNCTUATION)
         simple = pc.match_substring_regex(words, f"^[{LETTERS}]+$")
         tails = pc.replace_substring_regex(chunks.filter(simple), f"^[{LETTERS}]+", "", max_replacements=1)

@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 from itertools import accumulate
 
+import numpy as np
 import pytest
 import sentencepiece
 from helpers import empty_docs, key, odd_docs, sentence
@@ -76,6 +77,26 @@ def test_divide_and_conquer_equals_common_ends(seed):
     want = [(sum(x <= low for x in a), sum(x <= high for x in a), sum(x <= low for x in b), sum(x <= high for x in b))
             for low, high in zip([0, *cuts], cuts, strict=False)]
     assert A.shared_groups(a, b) == want
+    many = A.shared_groups_of_many(np.array(a), np.array(b), np.array([0, len(a)]), np.array([0, len(b)]))
+    assert list(zip(*(x.tolist() for x in many), strict=True)) == want
+
+
+@pytest.mark.parametrize("few", [1, 64])
+def test_many_lists_at_once(few, monkeypatch):
+    monkeypatch.setattr(A, "FEW", few)
+    rng = random.Random(few)
+    lists, want, base = [], [], 0
+    flat, starts = ([], []), ([0], [0])
+    for _ in range(500):
+        end = rng.choice([1, 2, 5, 30])
+        lists = [sorted({x for x in range(1, end) if rng.random() < rng.choice([.1, .5, 1])} | {end}) for _ in range(2)]
+        want += [(i + starts[0][-1], j + starts[0][-1], k + starts[1][-1], m + starts[1][-1]) for i, j, k, m in A.shared_groups(*lists)]
+        for side in (0, 1):
+            flat[side].extend(base + x for x in lists[side])
+            starts[side].append(len(flat[side]))
+        base += end
+    found = A.shared_groups_of_many(*map(np.array, flat), *map(np.array, starts))
+    assert list(zip(*(x.tolist() for x in found), strict=True)) == want
 
 
 def test_no_end_is_looked_at_twice():

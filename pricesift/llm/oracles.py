@@ -104,10 +104,33 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
  NOT base_failed AND rid NOT IN (SELECT rid FROM bad) AS kept FROM lv
 """
 
+#: Token counts need the tokenizers; phrases and their scores are SQL.
+PHRASES = r"""
+WITH p AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w
+           FROM (SELECT coalesce(lang, 'und') AS lang,
+                 unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+                 FROM documents)),
+g AS (SELECT lang, k, array_to_string(list_slice(w, s, s + k - 1), ' ') AS phrase
+      FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM p, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+c AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS ws, k, unnest(range(1, k)) AS cut FROM f WHERE k >= 2),
+s AS (SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, n.n, cut,
+             CAST((CAST(1000 AS HUGEINT) * c.a * n.n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+      FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(list_slice(ws, 1, cut), ' ')
+      JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(list_slice(ws, cut + 1, c.k), ' ') JOIN n ON n.lang = c.lang),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+o AS (SELECT DISTINCT f.lang, f.phrase FROM f JOIN f b ON b.lang = f.lang AND b.k > f.k AND b.f >= f.f
+      WHERE contains(' ' || b.phrase || ' ', ' ' || f.phrase || ' '))
+SELECT lang, row_number() OVER w AS rank, phrase, a, l, r, n, score FROM m ANTI JOIN o USING (lang, phrase)
+WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) QUALIFY rank <= 2000
+"""
+
 ORACLES: dict[str, str] = {
     "op1_benchmark_decontamination": CONTAMINATION,
     "op3_quality_rules": QUALITY,
     "op5_substring_dedup": REPEATS,
     "op6_warc_normaliser": WARC,
     "op9_chat_formatting": CHAT,
+    "op13_phrase_collocations": PHRASES,
 }

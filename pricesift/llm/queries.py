@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chat, decontaminate, licenses, packing, quality_fm, quality_rules, secret_scan, simhash, substrings, token_store, warc
+from . import alignment, chat, collocations, decontaminate, licenses, packing, quality_fm, quality_rules, secret_scan, simhash, substrings, token_store, warc
 from ..session import write_shared
 from .common import table
 
@@ -124,3 +124,8 @@ def op12_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"), support=100, top=2000)

@@ -84,7 +84,7 @@ _INSIGHTS = "SELECT query_id, insight_type, title, content, round(confidence, 6)
 
 
 def _enhanced(spark, sf):
-    return write_shared(enhance(spark, sf), "enhanced")
+    return enhance(spark, sf)
 
 
 def _shown(df):

@@ -11,7 +11,7 @@ from ..operators.rank import limit_bound
 from ..operators.retrieval import candidate_offers, union_offers
 from ..operators.search import ranked_results
 from ..operators.shops import search_urls, shops_for_queries
-from ..session import write_shared
+from ..session import once, write_shared
 from ..sources import tables as T
 from ..sources.registry import SHOP_ORDER, source_registry
 from . import sql_exprs as S
@@ -26,19 +26,15 @@ SELECT query_id, l_orderkey, l_linenumber, product_id, seller_id, source, seller
  CAST(CAST(trunc(norm_price) AS BIGINT) AS DOUBLE) AS price_num, similarity, score, rank FROM ranked"""
 T.VIEW_DEPS["results"] = ["ranked"]
 
-_RANKED: dict[tuple[str, str], DataFrame] = {}
-
-
 def ranked(spark, sf) -> DataFrame:
     """The search results of every query, written once per session and input to the shared folder.
 
     Summaries, exports, insights and reports all read this one table.
     """
-    at = (spark.sparkContext.applicationId, sf)
-    if at not in _RANKED:
+    def build():
         bound = limit_bound(T.queries(spark, sf))
-        _RANKED[at] = write_shared(ranked_results(T.offers_for_queries(spark, sf), T.ARRIVAL, bound).drop("dup_group"), "ranked")
-    return _RANKED[at]
+        return write_shared(ranked_results(T.offers_for_queries(spark, sf), T.ARRIVAL, bound).drop("dup_group"), "ranked")
+    return once(spark, "ranked", sf, build)
 
 
 def results(spark, sf) -> DataFrame:

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import features as FT
 from ..functions.text import slug
-from ..operators.encoder import DIM, document_weights, term_counts, vectors
+from ..operators.encoder import DIM, document_weights, term_counts
 from ..operators.history import learn_prices
 from ..operators.knn import knn_topk, l2_norm, normalize
-from ..session import write_shared
+from ..operators.sparse_index import build_index, search
+from ..session import once, write_shared
 from ..settings import DEFAULT
 from ..sources import tables as T
 from . import sql_exprs as S
@@ -85,14 +86,19 @@ FROM ({_hits_sql('SELECT query_id AS id, query AS text FROM queries')}) h JOIN k
 T.VIEW_DEPS["query_hits"] = ["queries", "kb_texts", "kb_weights", "kb_vectors"]
 
 
+def text_index(spark, sf):
+    """The inverted index of the knowledge texts, written once per session and input."""
+    def build():
+        docs = T.kb_texts(spark, sf)
+        counts = write_shared(term_counts(docs, "doc_id", "text"), "kb-terms")
+        return build_index(counts, document_weights(counts, docs.count()))
+    return once(spark, "text-index", sf, build)
+
+
 def text_hits(spark, sf, texts: DataFrame, k: int = 1) -> DataFrame:
     """J8 on encoded texts: up to ``k`` knowledge texts (score >= 0.3) per (id, text) row, best first."""
     docs = T.kb_texts(spark, sf)
-    counts = write_shared(term_counts(docs, "doc_id", "text"), "kb-terms")
-    weights = document_weights(counts, docs.count())
-    q = vectors(term_counts(texts, "id", "text"), weights, "id").withColumnRenamed("vec", "qvec")
-    hits = knn_topk(q, vectors(counts, weights, "doc_id").withColumnRenamed("vec", "embedding"), k,
-                    query_id="id", min_score=DEFAULT.min_score, digits=9)
+    hits = search(text_index(spark, sf), term_counts(texts, "id", "text"), k, DEFAULT.min_score)
     meta = docs.select("doc_id", F.col("type").alias("hit_type"), F.col("product_id").alias("hit_product"), F.col("name").alias("hit_name"))
     return hits.join(meta, "doc_id").select("id", F.col("doc_id").alias("hit_doc_id"), F.col("score").alias("confidence"),
                                             "rank", "hit_type", "hit_product", "hit_name")
@@ -107,8 +113,11 @@ def knowledge_search(spark, sf):
 
 # --- enhancer ------------------------------------------------------------------------
 def _best_hits(spark, sf):
-    q = T.queries(spark, sf).select(F.col("query_id").alias("id"), F.col("query").alias("text"))
-    return text_hits(spark, sf, q).withColumnRenamed("id", "query_id").drop("rank")
+    """The best hit of every query, one written table per session and input for all that read it."""
+    def build():
+        q = T.queries(spark, sf).select(F.col("query_id").alias("id"), F.col("query").alias("text"))
+        return write_shared(text_hits(spark, sf, q).withColumnRenamed("id", "query_id").drop("rank"), "query-hits")
+    return once(spark, "query-hits", sf, build)
 
 
 def _slug_points(spark, sf, slugs: DataFrame) -> DataFrame:
@@ -122,11 +131,16 @@ T.VIEW_DEPS["slug_points"] = ["price_points"]
 
 
 def enhance(spark, sf) -> DataFrame:
-    """F13 + J9 + J10 + F14 + P14 for every query at once; knowledge and prices of the hits only."""
+    """F13 + J9 + J10 + F14 + P14 for every query at once, written once per session and input."""
+    return once(spark, "enhanced", sf, lambda: write_shared(_enhance(spark, sf), "enhanced"))
+
+
+def _enhance(spark, sf) -> DataFrame:
+    """Knowledge and learned prices are read for the hits only."""
     s = DEFAULT
     f = FT.query_features("query")
     q = T.queries(spark, sf).select("query_id", "query", "country", f.alias("f"))
-    hits = write_shared(_best_hits(spark, sf), "query-hits")
+    hits = _best_hits(spark, sf)
     kb = (T.knowledge(spark, sf).withColumnRenamed("product_id", "hit_product")
           .join(hits.select("hit_product").distinct(), "hit_product", "left_semi"))
     slugs = hits.select(slug("hit_name").alias("product_id")).distinct()
@@ -247,7 +261,7 @@ def bands(spark, sf, enhanced: DataFrame) -> DataFrame:
 
 @query("alternative_bands", "SELECT * FROM bands", ("bands",))
 def alternative_bands(spark, sf):
-    return bands(spark, sf, write_shared(enhance(spark, sf), "enhanced"))
+    return bands(spark, sf, enhance(spark, sf))
 
 
 @query("query_context", f"""

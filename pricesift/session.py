@@ -8,9 +8,12 @@ local runs), and every lineage cut in the library goes through
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,5 +62,32 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_WRITTEN: dict[tuple[str, str, str], Any] = {}
+
+
+def input_state(spark: SparkSession, folder: str) -> str:
+    """A digest of the names, sizes and times of the files under ``folder``: another state, another digest."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files, seen = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), hashlib.md5()
+    for line in sorted(_lines(files)):
+        seen.update(line.encode())
+    return f"{folder}:{seen.hexdigest()}"
+
+
+def _lines(files) -> Iterator[str]:
+    while files.hasNext():
+        f = files.next()
+        yield f"{f.getPath()} {f.getLen()} {f.getModificationTime()}\n"
+
+
+def once(spark: SparkSession, name: str, folder: str, build: Callable[[], Any]) -> Any:
+    """What ``build`` wrote for this application and this state of the input files; built anew if either changed."""
+    key = (spark.sparkContext.applicationId, name, folder)
+    state = input_state(spark, folder)
+    if _WRITTEN.get(key, (None,))[0] != state:
+        _WRITTEN[key] = (state, build())
+    return _WRITTEN[key][1]
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     return ensure_checkpoint_dir(spark)

@@ -19,14 +19,14 @@ for _name, (_sql, _deps) in sql_exprs.SEARCH_VIEWS.items():
     VIEW_SQL[_name], VIEW_DEPS[_name] = _sql, _deps
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
-_REGISTRY: dict[str, tuple[QueryFn, str | None]] = {}
+_REGISTRY: dict[str, tuple[QueryFn, str | None, tuple[str, ...]]] = {}
 
 
 def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
     def deco(fn: QueryFn) -> QueryFn:
         if name in _REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        _REGISTRY[name] = (fn, with_views(sql, *views) if (sql and views) else sql)
+        _REGISTRY[name] = (fn, sql, views)
         return fn
     return deco
 
@@ -44,4 +44,4 @@ def spark_queries() -> dict[str, QueryFn]:
 
 def oracle_queries() -> dict[str, str]:
     _load_all()
-    return {k: v[1] for k, v in _REGISTRY.items() if v[1]}
+    return {k: with_views(sql, *views) if views else sql for k, (_, sql, views) in _REGISTRY.items() if sql}

@@ -214,7 +214,7 @@ def kb_doc_text(spark, sf):
     """product and price-insight document texts for every product."""
     from ..operators.history import history_arrays, last_points, learn_prices
     kb = T.knowledge(spark, sf).withColumn("features", F.array(F.lower("category"))) \
-        .withColumn("reviews_summary", F.lit(None).cast("string")).withColumn("price_avg", F.round("price_avg", 2))
+        .withColumn("reviews_summary", F.lit(None).cast("string")).withColumn("price_avg", I.cents("price_avg"))
     pts = T.price_points(spark, sf)
     ins = learn_prices(pts).join(history_arrays(last_points(pts)), "product_id")
     return I.product_doc_text(kb).unionByName(I.insight_doc_text(ins))

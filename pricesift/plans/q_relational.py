@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as AG
 from ..operators.history import last_points, learn_prices, trend_of
 from ..operators.rank import limit_bound
-from ..operators.retrieval import candidate_offers, union_offers
+from ..operators.retrieval import TokenIndex, by_shop, candidate_offers, search_offers, token_index, union_offers
 from ..operators.search import ranked_results
 from ..operators.shops import search_urls, shops_for_queries
 from ..session import once, write_shared
@@ -26,14 +26,30 @@ SELECT query_id, l_orderkey, l_linenumber, product_id, seller_id, source, seller
  CAST(CAST(trunc(norm_price) AS BIGINT) AS DOUBLE) AS price_num, similarity, score, rank FROM ranked"""
 T.VIEW_DEPS["results"] = ["ranked"]
 
+def shop_front(spark, sf) -> tuple[DataFrame, TokenIndex]:
+    """Offers in partitions by shop and country, and the token index of their names."""
+    def build():
+        offers = by_shop(T.shop_offers(spark, sf))
+        return offers, token_index(offers.select("product_name").distinct())
+    return once(spark, "shop-front", sf, build)
+
+
+def found_offers(spark, sf) -> DataFrame:
+    """What the shops chosen by country and lists answer to the rewritten query text."""
+    from .q_vectors import enhance  # it reads the trend SQL of this module
+    texts = enhance(spark, sf).select("query_id", F.col("enhanced_query").alias("search_text"))
+    offers, index = shop_front(spark, sf)
+    return search_offers(offers, index, T.queries(spark, sf).join(texts, "query_id")).drop("shop", "shop_country")
+
+
 def ranked(spark, sf) -> DataFrame:
-    """The search results of every query, written once per session and input to the shared folder.
+    """The search results of every query, written once per state of the input to the shared folder.
 
     Summaries, exports, insights and reports all read this one table.
     """
     def build():
         bound = limit_bound(T.queries(spark, sf))
-        return write_shared(ranked_results(T.offers_for_queries(spark, sf), T.ARRIVAL, bound).drop("dup_group"), "ranked")
+        return write_shared(ranked_results(found_offers(spark, sf), T.ARRIVAL, bound).drop("dup_group"), "ranked")
     return once(spark, "ranked", sf, build)
 
 
@@ -271,7 +287,7 @@ SELECT h.query_id, o.l_orderkey, o.l_linenumber, o.product_id, o.seller_id, h.sh
 FROM hits h JOIN need n ON h.query_id = n.query_id AND h.shared >= n.need
 JOIN offers o ON o.product_name = h.product_name""", ("offers", "queries"))
 def candidate_offers_q(spark, sf):
-    c = candidate_offers(T.offers(spark, sf), T.queries(spark, sf))
+    c = candidate_offers(T.offers(spark, sf), T.queries(spark, sf), index=shop_front(spark, sf)[1])
     return c.select("query_id", "l_orderkey", "l_linenumber", "product_id", "seller_id", "shared")
 
 

@@ -6,6 +6,8 @@ independent, plain-SQL statement of the same rules.
 
 from __future__ import annotations
 
+import re
+
 from ..sources.registry import FX_TO_USD, RELIABILITY, SYMBOLS
 
 
@@ -104,7 +106,8 @@ def rank_score(sim: str, source: str, availability: str, rating: str, reviews: s
     return f"greatest(0.0, least(1.0, {score}))"
 
 
-NORMALIZED_SQL = f"""
+def normalized(offers: str) -> str:
+    return f"""
 SELECT *,
  CASE WHEN src_currency = target_currency THEN amount
       WHEN {rate('src_currency')} IS NOT NULL AND {rate('target_currency')} IS NOT NULL
@@ -114,9 +117,12 @@ SELECT *,
       THEN target_currency ELSE src_currency END AS norm_currency
 FROM (SELECT *, {clean_price_us('price')} AS amount,
         {pick_currency('price', 'currency', 'target_currency')} AS src_currency
-      FROM offers_q) WHERE amount > 0
+      FROM {offers}) WHERE amount > 0
 """
 
+
+NORMALIZED_SQL = normalized("offers_q")
+
 ARRIVAL_SQL = "scraped_at, l_orderkey, l_linenumber, product_id, seller_id"
 
 
@@ -241,7 +247,38 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score
        AS score FROM best))
 WHERE max_results <= 0 OR rank <= max_results"""
 
-SEARCH_VIEWS = {"sim_offers": (SIMILAR_OFFERS_SQL, ["norm"]), "name_pairs": (NAME_PAIRS_SQL, ["norm"]),
+_GROUP_VIEWS = {"sim_offers": (SIMILAR_OFFERS_SQL, ["norm"]), "name_pairs": (NAME_PAIRS_SQL, ["norm"]),
                 "runs": (RUNS_SQL, ["norm"]), "roots": (ROOTS_SQL, ["runs", "name_pairs"]),
-                "grouped": (GROUPED_SQL, ["sim_offers", "runs", "roots"]), "best": (BEST_SQL, ["grouped"]),
-                "ranked": (RANKED_SQL, ["best"])}
+                "grouped": (GROUPED_SQL, ["sim_offers", "runs", "roots"]), "best": (BEST_SQL, ["grouped"])}
+
+#: What a shop front finds for the rewritten query: the shops of the country that the lists leave over, names by token share.
+_TOKENS = "SELECT DISTINCT {id}, token FROM (SELECT {id}, unnest(string_split({clean}, ' ')) AS token FROM {source}) WHERE token <> ''"
+FRONT_VIEWS = {
+    "selected_shops": ("""
+SELECT q.query_id, r.source AS shop, r.country AS shop_country FROM queries q JOIN registry r ON upper(q.country) = r.country
+WHERE (len(include_sources) = 0 OR list_contains(list_transform(include_sources, lambda x: lower(x)), lower(r.source)))
+ AND NOT list_contains(list_transform(exclude_sources, lambda x: lower(x)), lower(r.source))""", ["queries", "registry"]),
+    "name_tokens": (_TOKENS.format(id="product_name", clean=clean_text("product_name"), source="(SELECT DISTINCT product_name FROM offers)"), ["offers"]),
+    "search_tokens": (_TOKENS.format(id="query_id", clean=clean_text("enhanced_query"), source="enhanced")
+                      + " AND token NOT IN ('india', 'official', 'variant')", ["enhanced"]),
+    "name_hits": ("""
+SELECT t.query_id, n.product_name FROM search_tokens t JOIN name_tokens n ON t.token = n.token
+JOIN (SELECT query_id, ceil(count(*) * 0.75) AS need FROM search_tokens GROUP BY query_id) d ON t.query_id = d.query_id
+GROUP BY t.query_id, n.product_name, d.need HAVING count(*) >= d.need""", ["search_tokens", "name_tokens"]),
+    "offers_s": ("""
+SELECT o.* EXCLUDE (shop, shop_country), q.query_id, q.query, q.country, q.max_results, q.target_currency
+FROM name_hits h JOIN selected_shops s ON h.query_id = s.query_id JOIN queries q ON q.query_id = h.query_id
+JOIN shop_offers o ON o.product_name = h.product_name AND o.shop = s.shop AND o.shop_country = s.shop_country""",
+                 ["name_hits", "selected_shops", "queries", "shop_offers"]),
+    "s_norm": (normalized("offers_s"), ["offers_s"]),
+}
+
+
+def _of_search(sql: str) -> str:
+    """A view of the grouping chain, over the offers that a search found."""
+    return re.sub(rf"\b({'|'.join(['norm', *_GROUP_VIEWS])})\b(?!_)", r"s_\1", sql)
+
+
+SEARCH_VIEWS = {**_GROUP_VIEWS, **FRONT_VIEWS,
+                **{f"s_{k}": (_of_search(v), [f"s_{d}" for d in deps]) for k, (v, deps) in _GROUP_VIEWS.items()},
+                "ranked": (_of_search(RANKED_SQL), ["s_best"])}

@@ -119,7 +119,7 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(f % 5 == 3, F.concat_ws(" ", c["brand"], F.lit("phone 256 gigabyte")))
             .otherwise(F.concat_ws(" ", c["model"], c["color"])))
     q = first.select(c["p_partkey"].alias("query_id"), f.alias("family"), text.alias("query"))
-    m4 = F.col("query_id") % 4
+    m4 = F.col("family") % 4
     m3 = F.col("query_id") % 3
     empty = F.array().cast("array<string>")
     return q.select(
@@ -127,13 +127,21 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(m4 == 0, "US").when(m4 == 1, "IN").when(m4 == 2, "UK").otherwise("DE").alias("country"),
         F.when(m3 == 0, 50).when(m3 == 1, 10).otherwise(0).alias("max_results"),
         F.lit("USD").alias("target_currency"),
-        F.when(F.col("query_id") % 5 == 0, F.array(F.lit("amazon"), F.lit("EBAY"))).otherwise(empty)
+        F.when(F.col("family") % 3 == 1, F.array(F.lit("amazon"), F.lit("EBAY"))).otherwise(empty)
          .alias("include_sources"),
-        F.when(F.col("query_id") % 7 == 0, F.array(F.lit("Walmart"))).otherwise(empty)
+        F.when(F.col("family") % 7 == 2, F.array(F.lit("Walmart"))).otherwise(empty)
          .alias("exclude_sources"),
     )
 
 
+def shop_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offers with the shop that shows them and its country: India has shops of its own."""
+    india = F.col("currency") == "INR"
+    shop = F.when(india & (F.col("seller_id") % 2 == 0), "Flipkart").when(india, "Amazon India").otherwise(F.col("source"))
+    country = (F.when(F.col("currency") == "USD", "US").when(india, "IN").when(F.col("currency") == "EUR", "DE").otherwise("UK"))
+    return offers(spark, sf_dir).select("*", shop.alias("shop"), country.alias("shop_country"))
+
+
 def offers_for_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offers keyed by the query they answer (one model family, see J2 for token match)."""
     q = queries(spark, sf_dir).select("query_id", "query", "country", "max_results", "target_currency", "family")
@@ -315,11 +323,11 @@ FROM lineitem l JOIN catalogue p ON l.l_partkey=p.p_partkey JOIN supplier s ON l
 
 QUERIES_SQL = """
 SELECT query_id, query, family,
- CASE query_id % 4 WHEN 0 THEN 'US' WHEN 1 THEN 'IN' WHEN 2 THEN 'UK' ELSE 'DE' END AS country,
+ CASE family % 4 WHEN 0 THEN 'US' WHEN 1 THEN 'IN' WHEN 2 THEN 'UK' ELSE 'DE' END AS country,
  CASE query_id % 3 WHEN 0 THEN 50 WHEN 1 THEN 10 ELSE 0 END AS max_results,
  'USD' AS target_currency,
- CASE WHEN query_id % 5 = 0 THEN ['amazon', 'EBAY'] ELSE CAST([] AS VARCHAR[]) END AS include_sources,
- CASE WHEN query_id % 7 = 0 THEN ['Walmart'] ELSE CAST([] AS VARCHAR[]) END AS exclude_sources
+ CASE WHEN family % 3 = 1 THEN ['amazon', 'EBAY'] ELSE CAST([] AS VARCHAR[]) END AS include_sources,
+ CASE WHEN family % 7 = 2 THEN ['Walmart'] ELSE CAST([] AS VARCHAR[]) END AS exclude_sources
 FROM (SELECT p_partkey AS query_id, family, CASE family % 5 WHEN 0 THEN 'deals' WHEN 1 THEN model
   WHEN 2 THEN brand || ' ' || model || ' ' || storage WHEN 3 THEN brand || ' phone 256 gigabyte'
   ELSE model || ' ' || color END AS query
@@ -332,6 +340,11 @@ SELECT p_partkey * 2 AS doc_id, p_partkey AS product_id, name, 'product_knowledg
 UNION ALL
 SELECT p_partkey * 2 + 1, p_partkey, name, 'price_insight', 'Price analysis for: ' || short_name FROM catalogue"""
 
+SHOP_OFFERS_SQL = """
+SELECT *, CASE WHEN currency = 'INR' AND seller_id % 2 = 0 THEN 'Flipkart' WHEN currency = 'INR' THEN 'Amazon India' ELSE source END AS shop,
+ CASE currency WHEN 'USD' THEN 'US' WHEN 'INR' THEN 'IN' WHEN 'EUR' THEN 'DE' ELSE 'UK' END AS shop_country FROM offers
+"""
+
 OFFERS_Q_SQL = """
 SELECT o.*, q.query_id, q.query, q.country, q.max_results, q.target_currency
 FROM offers o JOIN queries q ON o.query_key = q.family
@@ -388,6 +401,7 @@ VIEW_SQL = {
     "offers": OFFERS_SQL,
     "queries": QUERIES_SQL,
     "offers_q": OFFERS_Q_SQL,
+    "shop_offers": SHOP_OFFERS_SQL,
     "price_points": PRICE_POINTS_SQL,
     "kb_docs": KB_DOCS_SQL,
     "knowledge": KNOWLEDGE_SQL,
@@ -397,7 +411,7 @@ VIEW_SQL = {
 }
 # Dependencies between the SQL views (a view must come after what it reads).
 VIEW_DEPS = {"shop_cards": ["offers_q"], "offers": ["catalogue"], "queries": ["catalogue"], "kb_texts": ["catalogue"], "price_points": ["catalogue"],
-             "offers_q": ["offers", "queries"], "knowledge": ["catalogue", "price_points"]}
+             "offers_q": ["offers", "queries"], "shop_offers": ["offers"], "knowledge": ["catalogue", "price_points"]}
 
 
 def with_views(sql: str, *names: str) -> str:

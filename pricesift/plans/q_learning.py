@@ -9,6 +9,7 @@ from ..operators.history import history_arrays, last_points, learn_prices
 from ..sources import knowledge_io as K
 from ..sources import tables as T
 from ..streaming.learning import run_learning
+from ..streaming.snapshots import SnapshotStore
 from .catalog import query
 from .q_relational import last30_sql
 
@@ -38,6 +39,19 @@ def price_learning_stream(spark, sf):
     return run_learning(spark, T.events_stream(spark, sf))
 
 
+@query("price_learning_two_runs", _EV_TREND, ("event_points",))
+def price_learning_two_runs(spark, sf):
+    """M1 + M2: the events in two halves, learned in two runs; the second starts from the first one's published history."""
+    events = T.table(spark, sf, "events")
+    base = K.version_dir(spark, "learning")
+    for half in (0, 1):
+        folder = f"{base}-{half}"
+        events.where(F.pmod("event_id", F.lit(2)) == half).write.parquet(f"{folder}/events.parquet")
+        out = run_learning(spark, T.points_from_events(spark.readStream.schema(events.schema).parquet(f"{folder}/events.parquet")),
+                           SnapshotStore(spark, base))
+    return out
+
+
 @query("kb_docs_current", """
 SELECT product_id, observed_at AS created_at, 'Price insight for ' || product_name || ': current price ' ||
  CAST(price AS VARCHAR) AS content FROM (SELECT *, row_number() OVER (PARTITION BY product_id

@@ -11,6 +11,7 @@ from ..operators.encoder import DIM, document_weights, term_counts
 from ..operators.history import learn_prices
 from ..operators.knn import knn_topk, l2_norm, normalize
 from ..operators.sparse_index import build_index, search
+from ..operators.vector_index import build, index_topk
 from ..session import once, write_shared
 from ..settings import DEFAULT
 from ..sources import tables as T
@@ -43,6 +44,33 @@ def knn_topk_q(spark, sf):
     return r.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+def _every_20th(spark, sf) -> DataFrame:
+    return _docs(spark, sf).where(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("qvec"))
+
+
+def vector_index(spark, sf):
+    """The index of all embeddings, written once per state of the input."""
+    return once(spark, "vector-index", sf, lambda: build(_docs(spark, sf)))
+
+
+@query("knn_index", None)
+def knn_index(spark, sf):
+    """J8 through the inverted file: approximate, all rows indexed, every twentieth id as a query (recall is tested)."""
+    r = index_topk(vector_index(spark, sf), _every_20th(spark, sf), 5, exclude_self=True, min_score=DEFAULT.min_score)
+    return r.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("knn_index_exact", f"""
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (
+ SELECT a.vec_id AS query_id, b.vec_id AS doc_id, {_cos_sql('a.embedding', 'b.embedding')} AS score,
+  row_number() OVER (PARTITION BY a.vec_id ORDER BY {_cos_sql('a.embedding', 'b.embedding')} DESC, b.vec_id) AS rank
+ FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) WHERE rank <= 5 AND score >= 0.3""")
+def knn_index_exact(spark, sf):
+    """J8 through the inverted file with the bound on the cells left: nothing is missed."""
+    r = index_topk(vector_index(spark, sf), _every_20th(spark, sf), 5, exact=True, exclude_self=True, min_score=DEFAULT.min_score)
+    return r.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("normalize_vectors", """
 SELECT vec_id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm,
  round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x /

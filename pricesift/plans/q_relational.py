@@ -12,6 +12,7 @@ from ..operators.retrieval import TokenIndex, by_shop, candidate_offers, search_
 from ..operators.search import ranked_results
 from ..operators.shops import search_urls, shops_for_queries
 from ..session import once, write_shared
+from ..sources import shop_feed
 from ..sources import tables as T
 from ..sources.registry import SHOP_ORDER, source_registry
 from . import sql_exprs as S
@@ -305,6 +306,26 @@ def _docs(spark, sf):
                                                   F.md5("text").alias("text_md5"))
 
 
+def _feed(spark, sf) -> str:
+    """A shop feed of all offers, written once per state of the input: Parquet files by shop and country."""
+    def build():
+        offers = T.shop_offers(spark, sf).select(*[c.split()[0] for c in shop_feed.SCHEMA.split(", ")])
+        return by_shop(offers).inputFiles()[0].split("/shop=")[0]
+    return once(spark, "shop-feed", sf, build)
+
+
+@query("shop_feed_offers", """
+SELECT shop, shop_country, availability, count(*) AS n, sum(reviews_count) AS n_reviews, min(product_name) AS first_name
+FROM shop_offers WHERE shop IN ('Amazon', 'Flipkart', 'Walmart', 'Other') AND shop_country IN ('US', 'IN')
+ AND (shop, shop_country) IN (SELECT (source, country) FROM registry) GROUP BY ALL""", ("shop_offers", "registry"))
+def shop_feed_offers(spark, sf):
+    """Registered shops read as a table by the data source, filters on shop and country pushed into it."""
+    feed = shop_feed.read_feed(spark, _feed(spark, sf))
+    asked = feed.where(F.col("shop").isin("Amazon", "Flipkart", "Walmart", "Other") & F.col("shop_country").isin("US", "IN"))
+    return asked.groupBy("shop", "shop_country", "availability").agg(
+        F.count("*").alias("n"), F.sum("reviews_count").alias("n_reviews"), F.min("product_name").alias("first_name"))
+
+
 _DOCS_SQL = "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents"
 
 

@@ -274,6 +274,32 @@ class ByteEncoder(ChunkEncoder):
         return self.gathered(c, ids, pa.array(numbers))
 
 
+class WordEncoder(ChunkEncoder):
+    """Lower-case BPE that drops white space and marks the ends of words."""
+
+    units = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{LETTERS}]+|[0-9]|[^\s0-9{LETTERS}]+")
+
+    def __init__(self, path: str, plain_specials: bool):
+        super().__init__(path, plain_specials)
+        self.ends = self.flagged(lambda t: t.endswith("</w>"))
+
+    def folded(self, text: str) -> str:
+        return text.lower()
+
+    def folded_words(self, words: pa.Array) -> pa.Array:
+        return pc.utf8_lower(words)
+
+    def lettered(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, told apart by the tokens that end one."""
+        ids = self.model_ids(spelled("\n".join(words)).replace(LETTER_OF[10], "\n"))
+        return ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts (no nulls), and each text's number of them."""
+        c = _numbered(pc.ascii_split_whitespace(texts))
+        return self.gathered(c, self.of_chunk(c.distinct)[0], c.numbers)
+
+
 _ENCODERS: dict[tuple, ChunkEncoder] = {}  # one per Python worker, kept from task to task
 
 

@@ -15,10 +15,9 @@ buffer, so nothing is shuffled and memory does not depend on the input:
 5. Windows of one tier are dealt to step groups of ``step_tokens`` tokens each:
    every step has one shape and equal work.
 
-Tokens come from white-space separated chunks: the tokenizer's splitting never
-crosses ASCII white space, so the ids of a text are those of its chunks in order,
-and a bounded per-worker cache of chunks saves most of the work (the equality with
-whole-text encoding is tested). Long texts are tokenised slab by slab.
+Tokens come from white-space separated chunks (see ``chunk_ids``): the tokenizer's
+splitting never crosses ASCII white space, so the ids of a text are those of its chunks
+in order (the equality with whole-text encoding is tested).
 
 Defined cases: a null or empty text is a document of the end id alone; repeated rows
 are packed as separate documents; an empty table gives no rows; other columns are
@@ -27,9 +26,6 @@ ignored. ``sequence_id`` is the task's number times 2**32 plus a counter.
 
 from __future__ import annotations
 
-import os
-import re
-import string
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -40,9 +36,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .chunk_ids import WordEncoder, blocks, encoder
+
 TIERS = (256, 512, 1024, 2048)
-_SLAB, _CACHE_ENTRIES, _BUFFER_TOKENS = 1 << 20, 1_000_000, 1 << 19
-_SPACE = re.compile(r"[\x20\x09-\x0D]")
+_BUFFER_TOKENS = 1 << 19
 
 
 def default_tokenizer() -> str:
@@ -50,97 +47,6 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class ChunkEncoder:
-    """Token ids of texts, as little-endian unsigned 32-bit bytes, with a bounded chunk cache.
-
-    A new chunk made of letters and trailing punctuation is two words to the
-    tokenizer, whose ids are cached on their own; many unseen words are encoded in
-    one call and told apart by the tokens that end a word. Any other chunk is
-    encoded as it is.
-    """
-
-    def __init__(self, path: str, entries: int = _CACHE_ENTRIES):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already uses every core
-        from tokenizers import Tokenizer
-        self.path, self.tokenizer, self.cache, self.entries = path, Tokenizer.from_file(path), {}, entries
-        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes()
-                for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters alone, from one call for many of them."""
-        out = []
-        for at in range(0, len(words), 5000):
-            part = words[at:at + 5000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = (np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1).tolist()
-            if len(cuts) != len(part):
-                out += self._encode(part)
-            else:
-                out += [ids[a:b].tobytes() for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
-        return out
-
-    def _learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        split, words, others = {}, {}, []
-        for c in chunks:
-            text = c.decode("utf-8", "surrogatepass")
-            stem = c.lower().decode("utf-8", "surrogatepass").rstrip(string.punctuation)
-            if "<|" in text or not stem.isalpha() or not stem.lower().isalpha():
-                others.append(c)
-                continue
-            split[c] = (stem, text[len(stem):])
-            words[stem] = self.cache.get(stem.encode())
-        unseen = [w for w, ids in words.items() if ids is None]
-        words.update(zip(unseen, self._encode_words(unseen), strict=True))
-        tails = list({t for _, t in split.values()})
-        tail_ids = dict(zip(tails, self._encode(tails), strict=True))
-        learnt = dict(zip(others, self._encode([c.decode("utf-8", "surrogatepass") for c in others]), strict=True))
-        learnt.update((c, words[w] + tail_ids[t]) for c, (w, t) in split.items())
-        for w in unseen:
-            learnt.setdefault(w.encode(), words[w])
-        return learnt
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of several texts; a very long one is encoded slab by slab."""
-        if sum(map(len, texts)) <= 2 * _SLAB:
-            return self._encode_split([t.encode("utf-8", "surrogatepass").split() for t in texts])
-        return [np.concatenate([np.empty(0, "<u4"), *(self._encode_split([x.encode("utf-8", "surrogatepass").split()])[0]
-                                                      for x in slabs(t))]) for t in texts]
-
-    def _encode_split(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        known = self.cache
-        new = set().union(*texts).difference(known)
-        if new:
-            learnt = self._learn(list(new))
-            if len(known) + len(learnt) > self.entries:
-                known = self.cache = {c: known[c] for c in set().union(*texts).difference(new)}
-            known.update(learnt)
-        return [np.frombuffer(b"".join(map(known.__getitem__, chunks)), "<u4") for chunks in texts]
-
-
-def slabs(text: str) -> Iterator[str]:
-    """A text in parts of about a megabyte, cut at white space."""
-    at = 0
-    while at < len(text):
-        m = _SPACE.search(text, at + _SLAB) if len(text) - at > _SLAB else None
-        end = m.start() if m else len(text)
-        yield text[at:end]
-        at = end
-
-
-_ENCODERS: dict[str, ChunkEncoder] = {}  # one per Python worker, kept from task to task
-
-
-def encoder(path: str) -> ChunkEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
-
-
 class Packer:
     """Packs the pieces of one task; ``emit`` gets (piece, sequence, offset, tier, step)."""
 
@@ -200,19 +106,6 @@ class Packer:
             self._window(tier, pieces)
 
 
-def _grouped(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
-    """Runs of neighbouring texts (null: empty) of about a megabyte, with the place of the first."""
-    held, size, first = [], 0, 0
-    for i, text in enumerate(column):
-        held.append(text.as_py() or "")
-        size += len(held[-1])
-        if size >= _SLAB:
-            yield first, held
-            held, size, first = [], 0, i + 1
-    if held:
-        yield first, held
-
-
 def pack(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 1, tiers: tuple[int, ...] = TIERS,
          step_tokens: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text",
          with_ids: bool = False) -> DataFrame:
@@ -227,7 +120,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 1, ti
                            *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, out = encoder(path), []
+        encode, out = encoder(WordEncoder, path), []
         held = 0  # tokens in out
         kind = None
 
@@ -254,9 +147,12 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 1, ti
         packer = Packer(tiers, step_tokens, TaskContext.get().partitionId() << 32, emit)
         for batch in batches:
             kind = batch.schema.field(0).type
-            for at, texts in _grouped(batch.column(1)):
-                for i, ids in enumerate(encode(texts)):
-                    packer.add(batch.column(0)[at + i].as_py(), np.append(ids, np.uint32(end_id)).astype("<u4"))
+            for at, texts in blocks(batch.column(1)):
+                ids, sizes = encode.texts(texts)
+                ids = np.insert(ids, np.cumsum(sizes), end_id)
+                ends = np.cumsum(sizes + 1).tolist()
+                for doc, begin, end in zip(batch.column(0).slice(at, len(texts)).to_pylist(), [0, *ends], ends, strict=False):
+                    packer.add(doc, ids[begin:end])
                     if len(out) >= 10_000 or held >= 1 << 21:
                         yield flush()
         packer.pack(last=True)

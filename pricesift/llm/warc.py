@@ -81,16 +81,29 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def inflated(stream) -> Iterator[bytes]:
-    """The content of a gzip file of any number of members, in parts."""
-    gz = zlib.decompressobj(GZIP)
+    """The content of a gzip file of any number of members, in parts of ``CHUNK`` at most, however well it is compressed.
+
+    A file that ends inside a member raises; zeros after a member are padding.
+    """
+    gz = None
     while part := stream.read(CHUNK):
         while part:
-            yield gz.decompress(part)
-            part = gz.unused_data
-            if gz.eof:
+            if gz is None:
                 part = part.lstrip(b"\0")
+                if not part:
+                    break
                 gz = zlib.decompressobj(GZIP)
-    yield gz.flush()
+            yield gz.decompress(part, CHUNK)
+            while gz.unconsumed_tail:
+                yield gz.decompress(gz.unconsumed_tail, CHUNK)
+            part = gz.unused_data
+            if gz.eof:
+                gz = None
+    if gz is not None:
+        while rest := gz.decompress(gz.unconsumed_tail, CHUNK):
+            yield rest
+        if not gz.eof:
+            raise ValueError("an archive ends inside a gzip member")
 
 
 def split_records(parts: Iterator[bytes]) -> Iterator[bytes]:
@@ -121,10 +134,16 @@ def _manifest(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def with_targets(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html, refers_to): which stored page a page's payload repeats, if any."""
-    keyed = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("sha", F.sha2("html", 256))
-    stored = (keyed.where(F.octet_length("html") >= MIN_REVISIT_BYTES).groupBy("sha")
-              .agg(F.max("page_id").alias("stored"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    """(page_id, url, html, refers_to): which stored page a page's payload repeats, if any.
+
+    The digests are counted from a written table of their own, so the join's sides are two
+    plain tables: a payload that a third of all pages share is split by Spark.
+    """
+    html = F.coalesce("html", F.lit(""))
+    keyed = pages.select("page_id", "url", html.alias("html"), F.sha2(html, 256).alias("sha"))
+    digests = write_shared(keyed.where(F.octet_length("html") >= MIN_REVISIT_BYTES).select("sha", "page_id"), "payload-digests")
+    stored = (digests.groupBy("sha").agg(F.max("page_id").alias("stored"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    stored = write_shared(stored, "stored-payloads")
     return (keyed.join(stored, "sha", "left")
             .select("page_id", "url", "html",
                     F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("stored")), F.col("stored")).alias("refers_to")))

@@ -80,3 +80,37 @@ def test_concatenated_members_and_broken_archives():
     assert list(warc.split_records(warc.inflated(Stream(gz(raws[0] + raws[1]) + gz(raws[2] + raws[3]))))) == raws
     with pytest.raises(ValueError):
         list(warc.split_records(iter([raws[0][:-10]])))
+
+
+def test_a_cut_archive_raises():
+    import io
+    raws = [warc.page_record(i, f"http://a/{i}", f"<p>{i}</p>" * 50, None, "2024-01-01T00:00:00Z") for i in range(8)]
+    gz, cuts, data = zlib.compressobj(6, zlib.DEFLATED, 31), [], b""
+    for raw in raws:
+        data += gz.compress(raw) + gz.flush(zlib.Z_FULL_FLUSH)
+        cuts.append(len(data))
+    data += gz.flush()
+    read = lambda x: list(warc.split_records(warc.inflated(io.BytesIO(x))))
+    assert read(data) == raws and read(data + bytes(700)) == raws and read(data + data) == raws * 2
+    for end in (cuts[2], cuts[7], len(data) - 1, len(data) - 8, cuts[3] + 5):
+        with pytest.raises((ValueError, zlib.error)):
+            read(data[:end])
+
+
+def test_inflation_holds_a_bounded_part():
+    import io
+    import tracemalloc
+    raw = warc.page_record(1, "u", "x" * 4_000_000, None, "2024-01-01T00:00:00Z")
+    data = zlib.compress(raw * 60, 9, 31)
+    assert len(raw) * 60 > 500 * len(data)
+    tracemalloc.start()
+    assert sum(1 for _ in warc.split_records(warc.inflated(io.BytesIO(data)))) == 60
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+
+
+def test_one_hot_payload(spark):
+    hot = spark.range(3000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("p"), F.col("id").cast("string"))).alias("html"))
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.round_trip(hot).collect()}
+    assert all(got[i] == (("response", None) if i % 3 == 0 or i == 2999 else ("revisit", 2999)) for i in range(3000))

@@ -11,8 +11,8 @@ from ..operators.rank import limit_bound
 from ..operators.retrieval import TokenIndex, by_shop, candidate_offers, search_offers, token_index, union_offers
 from ..operators.search import ranked_results
 from ..operators.shops import search_urls, shops_for_queries
-from ..session import once, write_shared
-from ..sources import shop_feed
+from ..session import new_path, once, write_shared
+from ..sources import exchange, shop_feed
 from ..sources import tables as T
 from ..sources.registry import SHOP_ORDER, source_registry
 from . import sql_exprs as S
@@ -206,6 +206,18 @@ def export_top3(spark, sf):
         "rank", F.col("product_name").alias("productName"), "price", "source")))).alias("top3"))
 
 
+@query("export_markets", """
+SELECT q.country, r.query_id, q.query, r.rank, r.product_name, r.price, r.source
+FROM results r JOIN queries q ON r.query_id = q.query_id WHERE r.rank <= 3""", ("results", "queries"))
+def export_markets_q(spark, sf):
+    """The first results of every query as nested JSON files per market, read back."""
+    q = T.queries(spark, sf).select("query_id", "query", "country")
+    path = new_path(spark, "markets")
+    exchange.export_markets(results(spark, sf).join(q, "query_id"), path)
+    r = exchange.read_markets(spark, path).select("country", "query_id", "query", F.inline("results"))
+    return r.withColumnRenamed("productName", "product_name")
+
+
 # --- price history -------------------------------------------------------------
 @query("product_price_range", """
 SELECT product_id, min(price) AS price_min, max(price) AS price_max, round(avg(price), 6) AS price_avg
@@ -326,6 +338,31 @@ def shop_feed_offers(spark, sf):
         F.count("*").alias("n"), F.sum("reviews_count").alias("n_reviews"), F.min("product_name").alias("first_name"))
 
 
+_SENT = """CASE WHEN l_orderkey % 101 = 7 THEN 'unreadable'
+ WHEN l_orderkey % 103 = 9 AND l_orderkey % 107 = 11 THEN 'without product_id, product_name, price' WHEN l_orderkey % 103 = 9 THEN 'without price'
+ WHEN l_orderkey % 107 = 11 THEN 'without product_id, product_name' ELSE 'good' END"""
+
+
+@query("offers_rejected", f"""
+SELECT source, {_SENT} AS outcome, count(*) AS n, sum(CASE WHEN {_SENT} = 'good' THEN product_id END) AS product_ids
+FROM offers GROUP BY ALL""", ("offers",))
+def offers_rejected(spark, sf):
+    """Shop outputs as JSON lines, some cut short or incomplete, read back; good and rejected rows add up to the lines sent."""
+    sent = T.offers(spark, sf).select("source", "l_orderkey", F.struct(
+        "l_orderkey", "l_linenumber", "seller_id", "source", "currency",
+        *[F.when(F.col("l_orderkey") % 107 != 11, F.col(c)).alias(c) for c in ("product_id", "product_name")],
+        F.when(F.col("l_orderkey") % 103 != 9, F.col("price")).alias("price")).alias("o"))
+    line = F.to_json("o")
+    line = F.when(F.col("l_orderkey") % 101 == 7, F.expr("left(line, length(line) - 5)")).otherwise(F.col("line"))
+    path = new_path(spark, "shop-lines")
+    sent.select(F.to_json("o").alias("line"), "l_orderkey").select(line.alias("value")).write.text(path)
+    good, rejects = exchange.read_shop_lines(spark, path)
+    shop = F.regexp_extract("line", '"source":"([^"]*)"', 1)
+    parts = [good.select("source", F.lit("good").alias("outcome"), "product_id"),
+             rejects.select(shop.alias("source"), F.col("reason").alias("outcome"), F.lit(None).cast("long").alias("product_id"))]
+    return union_offers(parts).groupBy("source", "outcome").agg(F.count("*").alias("n"), F.sum("product_id").alias("product_ids"))
+
+
 _DOCS_SQL = "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents"
 
 

@@ -57,11 +57,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def write_shared(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` once into a new folder under the shared checkpoint folder and
     return the table read back: lineage is cut and a lost executor loses nothing."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A folder under the shared checkpoint folder that nothing has been written to."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 _WRITTEN: dict[tuple[str, str, str], Any] = {}
 
 

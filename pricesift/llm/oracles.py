@@ -86,18 +86,34 @@ m AS (SELECT d.rid, d.doc_id, d.lang, len(w) AS n_words, CAST(length(regexp_repl
        len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) AS n_echoes
       FROM d LEFT JOIN ln USING (rid) LEFT JOIN rw USING (rid)),
 lv AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, [{_LEVELS}] AS levels FROM m),
-lab AS (SELECT lv.lang, CAST(q.quality = 1 AS INT) AS good, unnest(lv.levels) AS x
-        FROM lv JOIN (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) q ON lv.doc_id = q.doc_id),
-hist AS (SELECT lang, x.rule AS rule, x.level AS level, sum(good) AS good, sum(1 - good) AS bad FROM lab GROUP BY ALL),
-strata AS (SELECT lang FROM hist GROUP BY lang HAVING sum(good) > 0),
-cnt AS (SELECT s.lang, r.rule, c.cutoff, coalesce(sum(h.good) FILTER (h.level >= c.cutoff), 0) AS k, sum(h.good) AS n,
-         coalesce(sum(h.bad) FILTER (h.level >= c.cutoff), 0) AS bad_k, sum(h.bad) AS bad_n
-        FROM strata s, (SELECT unnest({list(_RATIOS)}) AS rule) r, (SELECT unnest(range(1, 41)) AS cutoff) c
-        JOIN hist h ON h.lang IS NOT DISTINCT FROM s.lang AND h.rule = r.rule GROUP BY s.lang, r.rule, c.cutoff),
-tail AS (SELECT *, CASE WHEN k >= n * (0.05 / 6) THEN 1.0 ELSE list_sum(list_transform(range(0, CAST(k AS BIGINT) + 1), lambda i:
-          exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.05 / 6) + (n - i) * ln(1 - 0.05 / 6)))) END AS p FROM cnt),
-best AS (SELECT lang, rule, arg_max(cutoff, struct_pack(g := bad_k / greatest(bad_n, 1) - k / n, c := cutoff)) AS cutoff
-         FROM tail WHERE p <= 0.05 / (6 * 40 * (SELECT count(*) FROM strata)) AND bad_k > 0 GROUP BY lang, rule),
+lab AS (SELECT lv.lang, CAST(q.quality = 1 AS INT) AS good, lv.levels
+        FROM lv JOIN (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) q ON lv.doc_id = q.doc_id
+        WHERE q.quality = 1 OR NOT lv.base_failed),
+n AS (SELECT lang, sum(good) AS n, sum(1 - good) AS bad_n FROM lab GROUP BY lang),
+hist AS (SELECT lang, x.rule AS rule, x.level AS level, sum(good) AS good, sum(1 - good) AS bad
+         FROM (SELECT lang, good, unnest(levels) AS x FROM lab) GROUP BY ALL),
+masks AS (SELECT lang, list(struct_pack(m := m, c := c)) AS rest
+          FROM (SELECT lang, list_transform(levels, lambda x: x.level > 0) AS m, count(*) AS c FROM lab WHERE good = 0 GROUP BY ALL) GROUP BY lang),
+pick AS (SELECT lang, arg_max(rules, len(rules)) AS rules FROM (
+  WITH RECURSIVE r AS (
+   SELECT lang, rest, CAST([] AS BIGINT[]) AS rules FROM masks
+   UNION ALL SELECT lang, list_filter(rest, lambda x: NOT x.m[best]), list_append(rules, CAST(best AS BIGINT)) FROM (
+    SELECT *, list_position(reach, list_max(reach)) AS best, list_max(reach) AS most FROM (
+     SELECT *, list_transform(range(1, {len(_RATIOS) + 1}), lambda i: coalesce(list_sum(list_transform(rest, lambda x: CASE WHEN x.m[i] THEN x.c ELSE 0 END)), 0)) AS reach
+     FROM r)) WHERE most > 0)
+  SELECT * FROM r) GROUP BY lang),
+d2 AS (SELECT 0.05 / greatest(1, count(*) FILTER (n > 0)) AS delta FROM n),
+use AS (SELECT pick.lang, n.n, n.bad_n, pick.rules, delta,
+         list_max(list_filter(range(1, len(rules) + 1), lambda m: pow(1 - 0.05 / m, n.n) <= delta / m)) AS m
+        FROM pick JOIN n ON n.lang IS NOT DISTINCT FROM pick.lang, d2),
+cnt AS (SELECT u.lang, u.n, u.bad_n, u.m, u.delta, {list(_RATIOS)}[u.i] AS rule, c.cutoff,
+         coalesce(sum(h.good) FILTER (h.level >= c.cutoff), 0) AS k, coalesce(sum(h.bad) FILTER (h.level >= c.cutoff), 0) AS bad_k
+        FROM (SELECT *, unnest(rules[1:m]) AS i FROM use WHERE m IS NOT NULL) u, (SELECT unnest(range(1, 41)) AS cutoff) c
+        JOIN hist h ON h.lang IS NOT DISTINCT FROM u.lang AND h.rule = {list(_RATIOS)}[u.i] GROUP BY ALL),
+tail AS (SELECT *, CASE WHEN k >= n * (0.05 / m) THEN 1.0 ELSE list_sum(list_transform(range(0, CAST(k AS BIGINT) + 1), lambda i:
+          exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.05 / m) + (n - i) * ln(1 - 0.05 / m)))) END AS p FROM cnt),
+best AS (SELECT lang, rule, arg_max(cutoff, struct_pack(g := bad_k / greatest(bad_n, 1) - k / greatest(n, 1), c := cutoff)) AS cutoff
+         FROM tail WHERE p <= delta / m AND bad_k / greatest(bad_n, 1) - k / greatest(n, 1) > 0 GROUP BY lang, rule),
 bad AS (SELECT DISTINCT y.rid FROM (SELECT rid, lang, unnest(levels) AS x FROM lv) y
         JOIN best b ON b.lang IS NOT DISTINCT FROM y.lang AND b.rule = y.x.rule AND y.x.level >= b.cutoff)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

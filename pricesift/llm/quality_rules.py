@@ -2,24 +2,23 @@
 
 Each rule is a ratio of two counts of a text, turned into an integer level of
 ``1/LEVELS``; a cutoff ``c`` rejects a text whose level is ``c`` or more. For each
-stratum, rule and cutoff the hypothesis "this rejects more than ``risk / rules``
-of the good documents" is tested on the labelled holdout: with ``k`` of ``n`` good
-documents rejected, the exact binomial tail P(Bin(n, risk / rules) <= k) is its
-p-value. All hypotheses of all strata, rules and cutoffs share the error rate
-``delta`` (Bonferroni), so with probability 1 - delta every selected cutoff keeps
-its bound and no stratum loses more than ``risk`` of its good documents, whatever
-is then chosen among them: the cutoff with the largest gap between bad and good
-documents rejected, the loosest of equals. The cutoff grid is fixed beforehand and
-nothing else is fitted, so every labelled row is holdout. A stratum without
-enough good labels gets no cutoff and loses nothing to these rules.
-
-``select_narrowed`` (used by ``keep_good``) needs fewer labels for the same promise. Which
-rules share the risk is settled by the bad documents that pass the base rules alone:
-the rule that reaches most of them, then the one that reaches most of the rest, and so
-on, but no more rules than the number of good labels can clear. Nothing about the
-good documents but their number is used for that, so the tests stay valid. The cutoffs of
-a rule are nested and tested from the strictest down until one fails, so they need no
-correction among themselves. ``select_cutoffs`` is what the SQL of op3 states.
+stratum the rules and cutoffs are chosen so that, with probability 1 - ``delta`` over all
+strata together, no stratum loses more than ``risk`` of its good documents to them:
+
+1. Which rules share the risk is settled by the labelled bad documents that pass the base
+   rules: the rule that reaches most of them, then the one that reaches most of the rest,
+   and so on, but no more rules than the number of good labels can clear. Nothing about
+   the good documents but their number is used, so the tests below stay valid.
+2. With m rules each hypothesis is "this cutoff rejects more than ``risk / m`` of the good
+   documents"; with ``k`` of ``n`` good documents rejected, the exact binomial tail
+   P(Bin(n, risk / m) <= k) is its p-value, tested at ``delta / (strata * m)``
+   (Bonferroni). The cutoffs of a rule are nested and tested from the strictest down until
+   one fails (fixed sequence), so they need no correction among themselves.
+3. Of a rule's proven cutoffs the one with the largest gap between bad and good documents
+   rejected is taken, the loosest of equals, if there is a gap.
+
+The cutoff grid is fixed beforehand and nothing else is fitted, so every labelled row is
+holdout. A stratum without enough good labels gets no cutoff and loses nothing.
 
 Base rules: fewer than 10 words, or over a fifth of the words in 5-word windows
 that the text holds more than once.
@@ -128,37 +127,6 @@ def binomial_tail(n: int, k: int, p: float) -> float:
     return min(1.0, math.exp(log) * total)
 
 
-def select_cutoffs(labelled: DataFrame, risk: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """(stratum, cutoffs map<rule, level>) from (stratum, good, levels) rows of labelled documents."""
-    share = risk / len(RULES)
-    rows = labelled.select("stratum", "good", F.explode("levels").alias("rule", "level"))
-    hist = rows.groupBy("stratum", "rule", "level").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
-    hist = write_shared(hist, "rule-levels")
-    strata = hist.groupBy("stratum").agg(F.sum("good").alias("g")).where("g > 0").select("stratum")
-    tests = max(1, len(RULES) * LEVELS * strata.count())
-    up = Window.partitionBy("stratum", "rule").orderBy(F.col("cutoff").desc())
-    every = Window.partitionBy("stratum", "rule")
-    grid = (strata
-            .select("stratum", F.explode(F.array(*map(F.lit, RULES))).alias("rule"))
-            .select("*", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("cutoff")))
-    counted = (grid.join(hist.select(F.col("stratum").alias("s"), F.col("rule").alias("r"), "level", "good", "bad"),
-                         F.col("stratum").eqNullSafe(F.col("s")) & (F.col("rule") == F.col("r")) & (F.col("cutoff") == F.col("level")), "left")
-               .na.fill(0, ["good", "bad"])
-               .select("stratum", "rule", "cutoff",
-                       F.sum("good").over(up).alias("k"), F.sum("bad").over(up).alias("bad_k"),
-                       F.sum("good").over(every).alias("n"), F.sum("bad").over(every).alias("bad_n"))
-               .where("cutoff > 0"))
-
-    @F.pandas_udf("double")
-    def p_value(n: pd.Series, k: pd.Series) -> pd.Series:
-        return pd.Series([binomial_tail(int(a), int(b), share) for a, b in zip(n, k, strict=True)], dtype="float64")
-
-    gap = F.col("bad_k") / F.greatest("bad_n", F.lit(1)) - F.col("k") / F.col("n")
-    allowed = counted.where(p_value("n", "k") <= F.lit(delta / tests)).where(F.col("bad_k") > 0)
-    best = allowed.groupBy("stratum", "rule").agg(F.max(F.struct(gap.alias("gap"), "cutoff")).alias("b"))
-    return best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "b.cutoff"))).alias("cutoffs"))
-
-
 def cover(masks: dict[int, int]) -> list[str]:
     """Rules by the bad documents that they reach and no earlier one does; ``masks`` counts documents by reached rules."""
     rules, out, left = list(RULES), [], dict(masks)
@@ -191,8 +159,9 @@ def narrowed(masks: dict[int, int], hist: dict[str, dict[int, tuple[int, int]]],
     return out
 
 
-def select_narrowed(labelled: DataFrame, risk: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """As ``select_cutoffs``, with the risk shared by the rules that the bad documents call for."""
+def select_cutoffs(labelled: DataFrame, risk: float = 0.05, delta: float = 0.05) -> DataFrame:
+    """(stratum, cutoffs map<rule, level>) from (stratum, good, levels) rows of labelled documents;
+    the risk is shared by the rules that the bad documents call for."""
     reached = sum((F.when(F.element_at("levels", r) > 0, 1 << i).otherwise(0) for i, r in enumerate(RULES)), F.lit(0))
     masks = (labelled.where("good = 0").groupBy("stratum", F.lit("").alias("rule"), reached.alias("level"))
              .agg(F.lit(0).cast("long").alias("good"), F.count(F.lit(1)).alias("bad")))
@@ -217,16 +186,15 @@ def select_narrowed(labelled: DataFrame, risk: float = 0.05, delta: float = 0.05
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05, id_col: str = "doc_id",
-          stratum_col: str = "lang", narrow: bool = False) -> DataFrame:
+          stratum_col: str = "lang") -> DataFrame:
     """``docs`` with a ``_ps_counts`` column -> the same rows with ``_ps_base_failed`` and ``_ps_kept``."""
     marks = (labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("_ps_id"))
              .agg(F.min("quality").alias("quality")))
     labelled = (docs.select(F.col(id_col).alias("_ps_id"), F.col(stratum_col).cast("string").alias("stratum"),
                             levels("_ps_counts").alias("levels"), base_failed("_ps_counts").alias("failed"))
-                .join(marks, "_ps_id").select("stratum", (F.col("quality") == 1).cast("long").alias("good"), "levels", "failed"))
-    if narrow:
-        labelled = labelled.where("good = 1 OR NOT failed")  # bad documents that the cutoffs are needed for
-    cut = write_shared((select_narrowed if narrow else select_cutoffs)(labelled, risk, delta), "cutoffs")
+                .join(marks, "_ps_id").select("stratum", (F.col("quality") == 1).cast("long").alias("good"), "levels", "failed")
+                .where("good = 1 OR NOT failed"))  # bad documents that the base rules leave to the cutoffs
+    cut = write_shared(select_cutoffs(labelled, risk, delta), "cutoffs")
     cut = cut.select(F.col("stratum").alias("_ps_stratum"), F.col("cutoffs").alias("_ps_cutoffs"))
     joined = docs.join(cut, F.col(stratum_col).cast("string").eqNullSafe(F.col("_ps_stratum")), "left")
     level = levels("_ps_counts")
@@ -244,4 +212,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", **opti
     so neither the second pass nor a join moves the texts through a shuffle again.
     """
     measured = write_shared(docs.withColumn("_ps_counts", counts_column(text_col)), "measured")
-    return judge(measured, labels, narrow=True, **options).where("_ps_kept").select(*docs.columns)
+    return judge(measured, labels, **options).where("_ps_kept").select(*docs.columns)

@@ -5,7 +5,8 @@ The method adds values that stand in a credential context (``pwd: x``, ``Bearer
 ``scheme://user:x@host`` and the like) when they would be expensive to guess: a
 dynamic programme finds the cheapest segmentation of the value into known words,
 dates, repeats, keyboard walks and brute-force spans, in bits, and the value is a
-secret from ``min_bits`` on. So ``password is hunter`` stays, a random value goes. A
+secret from ``min_bits`` on. Words are ranked by a public vocabulary of some 30,000 whole
+words, so prose after a key word ("the token: description of ...") is cheap. So ``password is hunter`` stays, a random value goes. A
 value that lies wholly in a base span is held already; one that sticks out is judged.
 
 Values are handled in one left-to-right pass whatever their length: a word, date or
@@ -20,10 +21,12 @@ replaces each run of overlapping spans and updates ``n_chars`` where there is on
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections.abc import Iterator
 from datetime import date
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -59,7 +62,7 @@ chicken pepper ginger tigger soccer hockey killer silver golden diamond purple y
 that your from with have""".split()
 KEYBOARD = ["1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./"]
 LEET = str.maketrans("4@8301!5$7+", "aabeoiisstt")
-REPEAT_UNIT, LONGEST_WORD = 8, 20
+REPEAT_UNIT = 8
 JOIN_BITS = 1.0
 DATE = re.compile(r"(\d{1,2})([-/._ ]?)(\d{1,2})\2(\d{4}|\d{2})|(\d{4})([-/._ ]?)(\d{1,2})\6(\d{1,2})")
 YEAR = re.compile(r"(?:19|20)\d\d")
@@ -78,7 +81,22 @@ def _neighbours() -> set[str]:
 
 
 ADJACENT = _neighbours()
-RANKS = {w: i + 1 for i, w in enumerate(COMMON)}
+
+
+def default_vocabulary() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@cache
+def word_ranks(vocabulary: str | None = None) -> tuple[dict[str, int], int]:
+    """Ranks of words and the longest length: the fixed ones, then the whole words of a public
+    vocabulary (some 30,000), whose ids follow the frequency of their making."""
+    with open(vocabulary or default_vocabulary(), encoding="utf-8") as f:
+        ids = json.load(f)["model"]["vocab"]
+    whole = (t.removesuffix("</w>") for t in sorted(ids, key=ids.get) if t.endswith("</w>"))
+    words = dict.fromkeys([*COMMON, *(w for w in whole if len(w) >= 3 and w.isascii() and w.isalpha())])
+    return {w: i + 1 for i, w in enumerate(words)}, max(map(len, words))
 
 
 def _char_bits(value: str) -> float:
@@ -95,12 +113,13 @@ def _segments(value: str, brute: float) -> list[list[tuple[int, float]]]:
     plain = low.translate(LEET)
     out: list[list[tuple[int, float]]] = [[] for _ in value]
     n, walk = len(value), 0
+    ranks, longest = word_ranks()
     for i in range(n):
-        for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
+        for j in range(i + 3, min(n, i + longest) + 1):
             for text, extra in ((low[i:j], 0.0), (plain[i:j], 1.0)):
-                if text in RANKS:
+                if text in ranks:
                     cased = 0.0 if value[i:j] == low[i:j] else 1.0
-                    out[i].append((j, math.log2(RANKS[text]) + extra + cased))
+                    out[i].append((j, math.log2(ranks[text]) + extra + cased))
                     break
         if value[i].isdigit():
             if (m := DATE.match(value, i)) and _is_date(m):

@@ -1,3 +1,4 @@
+import random
 import re
 from itertools import combinations
 
@@ -86,3 +87,32 @@ def test_redact_odd_rows(spark):
     for i, t in enumerate(TEXTS):
         assert not plain_base(rows[i].text or "") and (plain_base(t) or rows[i].text == t)
     assert S.redact(empty_docs(spark)).count() == 0
+
+
+PROSE = """something information description unfortunately knowledge environment everything documentation configuration available
+necessary different government university development management international especially understanding conversation
+administration responsibility communication organization immediately recommendation experience performance community
+important questions tomorrow yesterday generally remember beautiful interesting difficult following""".split()
+KEYS = ["password", "Passphrase", "passcode", "pwd", "secret", "The secret is", "token", "credentials", "api key", "access_token", "private-key", "client_secret"]
+
+
+def test_prose_after_key_words_stays_and_passwords_go():
+    rng = random.Random(12)
+    letters = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789!#%&+"
+    wrong = missed = n = 0
+    for key in KEYS:
+        for word in PROSE:
+            text = f"Note. {key}{' ' if key.endswith('is') else rng.choice([': ', ' is ', ' = '])}{word}{rng.choice(['.', ', and so on', ' of the field'])}"
+            wrong += any(k == "guess" for _, _, k in S.scan(text))
+            secret = "!" + "".join(rng.choice(letters) for _ in range(rng.randrange(10, 20)))  # outside the base pattern
+            said = f"Note. {key}{' ' if key.endswith('is') else ': '}{secret} and more"
+            found = [said[a:b] for a, b, k in S.scan(said) if k == "guess"]
+            missed += "api key" != key and found != [secret.rstrip(S.TRAILING)]
+            n += 1
+    assert n == 12 * len(PROSE) and wrong == 0 and missed == 0
+
+
+def test_word_ranks_follow_the_vocabulary():
+    ranks, longest = S.word_ranks()
+    assert 20_000 < len(ranks) < 50_000 and sorted(ranks.values()) == list(range(1, len(ranks) + 1)) and longest == max(map(len, ranks))
+    assert ranks["password"] == 1 and ranks["government"] < ranks["internationalization"] if "internationalization" in ranks else ranks["government"]

@@ -44,7 +44,7 @@ from pyspark.sql import types as T
 from ..session import write_shared
 from .chunk_ids import IDS, LETTER_OF, TEXT, ByteEncoder, Memo, blocks, content, cut_ids, encoder, sizes_of, split_at_blanks
 
-TEXT_BYTES, ENTRIES_IN_BLOCK, DOCUMENTS_IN_BLOCK, KNOWN_CHUNKS = 8 << 20, 6_000_000, 1 << 18, 700_000
+TEXT_BYTES, ENTRIES_IN_BLOCK, DOCUMENTS_IN_BLOCK, KNOWN_CHUNKS = 4 << 20, 4_000_000, 1 << 18, 400_000
 FEW, LARGE_GROUP = 64, 64
 FIGURES = ("n_a", "n_b", "n_groups", "n_links")
 

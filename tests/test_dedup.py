@@ -1,4 +1,5 @@
 """Near-duplicate grouping: greedy replay vs a plain-Python run of the reference's loop."""
+# The names, prices and scores below are fixed values: recorded results that must be reproduced.
 import datetime as dt
 import json
 import random

@@ -1,4 +1,5 @@
 """Goldens for the similarity kernel (recorded values and FIXTURES.md)."""
+# The names, prices and scores below are fixed values: recorded results that must be reproduced.
 from pricesift.functions import fuzz
 
 Q = "iPhone 16 Pro, 128GB"

@@ -72,7 +72,7 @@ def test_stages_keep_columns_and_take_empty_tables(spark, tmp_path):
 def test_registration():
     import __spark_entry__ as e
     names = {*e.queries()}
-    assert {f"op{n}_" for n in range(1, 11)} <= {x.split("_")[0] + "_" for x in names} and "pipeline" in names
+    assert {f"op{n}_" for n in range(1, 14)} <= {x.split("_")[0] + "_" for x in names} and "pipeline" in names
     assert len(corpus_pipeline.STAGES) == 5
     code = ("import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; "
             "assert e.queries() and not [q for q in e.queries() if q.startswith('op1') or q == 'pipeline']")

@@ -1,10 +1,11 @@
 """Phrases whose words occur together more often than apart, mined after Toivonen.
 
-1. A sample of the documents (``sample_share``, by a hash of the row) is mined: words, then
-   phrases of two to four of its frequent words, at a support lowered by ``lowering`` so
+1. Words, the first level of every negative border, are counted exactly. Then a sample of the
+   documents (one in ``sample_share``, by a hash of the row) is mined level by level, from
+   two of the frequent words to phrases of four, at a support lowered by ``lowering`` so
    that few phrases of full support are missed. The phrases found are the proposal.
-2. One pass over all documents counts exactly every word, and every phrase of two to five
-   words whose first words and whose last words (one fewer each) are proposed: these are
+2. One pass over all documents counts exactly every phrase of two to five words whose first
+   words and whose last words (one fewer each) are frequent words or proposed: these are
    the proposed phrases and their negative border. A border phrase that never occurs
    counts zero and needs no row.
 3. Phrases that reach the support without being proposed are border failures: longer
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 from ..session import write_shared
 
 LONGEST, UNKNOWN_LANG = 5, "und"
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 32 << 20
 MIN_BITS, MAX_BITS, BITS_PER_PHRASE = 1 << 16, 1 << 27, 16
 #: Piece separators become line feeds, tabs blanks.
 _MARKS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
@@ -124,14 +125,13 @@ class Gate:
     """Which phrases a pass counts, by the positions of a block's words.
 
     A phrase counts if its first and its last words (one fewer) are in ``proposed`` and were
-    counted themselves; without a table every phrase does. ``parts_pass``: from two words on
-    every phrase of proposed words counts. ``before``: the table of an earlier pass; what
-    that pass counted is left out, and parts it did not count may be frequent and pass.
+    counted themselves; without a table every phrase does. ``before``: the table of an
+    earlier pass; what that pass counted is left out, and parts that it did not count may be
+    frequent and pass.
     """
 
-    def __init__(self, proposed: np.ndarray | None, sizes: tuple[int, ...] = (1, 2, 3, 4, 5), parts_pass: bool = False,
-                 before: np.ndarray | None = None):
-        self.proposed, self.sizes, self.parts_pass, self.before = proposed, sizes, parts_pass, before
+    def __init__(self, proposed: np.ndarray | None, sizes: tuple[int, ...] = (1, 2, 3, 4, 5), before: np.ndarray | None = None):
+        self.proposed, self.sizes, self.before = proposed, sizes, before
 
     def phrases(self, at: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
         """(starts, size) of the phrases that count. ``at``: numbers of words, negative between pieces."""
@@ -159,40 +159,51 @@ class Gate:
                 yield starts[~old], size
             longer = _longer(whole[starts], hashes[at[starts + size - 1]])
             whole[starts] = longer
-            known = proposed.has(longer) if proposed and not self.parts_pass else np.ones(len(starts), bool)
+            known = proposed.has(longer) if proposed else np.ones(len(starts), bool)
             may = by_start(known | ~old if before else known)
             was = by_start(old & before.has(longer)) if before else None
 
 
 def distinct_runs(at: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct runs of ``size`` numbers at ``starts``, one a row, and how often each occurs."""
-    code, first = at[starts].astype(np.int64), None
-    for k in range(1, size):  # numbers of distinct runs, one longer each time
+    code = at[starts].astype(np.int64)
+    for k in range(1, size - 1):  # numbers of distinct runs, one longer each time
         _, code = np.unique(code << 32 | at[starts + k], return_inverse=True)
+    if size > 1:
+        code = code << 32 | at[starts + size - 1]
+    if size <= 2:  # the code itself holds the numbers
+        code, n = np.unique(code, return_counts=True)
+        return np.stack([code >> 32, code & 0xFFFFFFFF] if size == 2 else [code], axis=1).astype(np.int32), n
     _, first, n = np.unique(code, return_index=True, return_counts=True)
     return np.stack([at[starts[first] + k] for k in range(size)], axis=1), n
 
 
-def count_block(lang: str, texts: list[bytes], gate: Gate) -> Iterator[tuple[pa.Array, int, np.ndarray]]:
-    """(phrases, number of words, counts) of texts of one language, of the phrases that ``gate`` lets through;
-    where words count, an empty phrase of no words has the number of all words."""
+def numbered_words(texts: list[bytes]) -> tuple[np.ndarray, pa.Array]:
+    """The words of texts as numbers (-1 between pieces and texts), and the distinct words."""
     data = b"\n".join(texts).lower().translate(_MARKS).replace(b"\n", b" \n ")
     said = pa.LargeStringArray.from_buffers(1, pa.py_buffer(np.array([0, len(data)], np.int64)), pa.py_buffer(data))
     coded = pc.split_pattern(said, " ").flatten().dictionary_encode()
     words = coded.dictionary
-    number = np.arange(len(words))
+    number = np.arange(len(words), dtype=np.int32)
     number[np.asarray(pc.equal(words, "\n"))] = -1
     number[np.asarray(pc.equal(words, ""))] = -2
     at = number[np.asarray(coded.indices)]
-    at = at[at != -2]
+    return at[at != -2], words
+
+
+def count_block(lang: str, texts: list[bytes], gate: Gate) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """(phrases, counts) of texts of one language, of the phrases that ``gate`` lets through;
+    where words count, an empty phrase has the number of all words."""
+    at, words = numbered_words(texts)
     hashes = np.array(_word_hashes(lang, words.cast(pa.large_binary()).to_pylist()), np.uint64)
     for starts, size in gate.phrases(at, hashes):
         if size == 1:
-            yield pa.array([""], pa.large_string()), 0, np.array([len(starts)])
+            yield pa.array([""], pa.large_string()), np.array([len(starts)])
         if len(starts):
             rows, n = distinct_runs(at, starts, size)
-            parts = [words.take(pa.array(rows[:, k])) for k in range(size)]
-            yield (pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())) if size > 1 else parts[0]), size, n
+            for k in range(0, len(n), 200_000):
+                parts = [words.take(pa.array(part)) for part in rows[k:k + 200_000].T]
+                yield (pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())) if size > 1 else parts[0]), n[k:k + 200_000]
 
 
 def _slabs(text: str, size: int) -> Iterator[bytes]:
@@ -204,8 +215,9 @@ def _slabs(text: str, size: int) -> Iterator[bytes]:
     yield text[at:].encode("utf-8", "surrogatepass")
 
 
-def counted(docs: DataFrame, gate: Gate, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """(lang, phrase, n_words, f) of the phrases that ``gate`` lets through, over all of ``docs``."""
+def counted(docs: DataFrame, gate: Gate, at_least: int, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """(lang, phrase, n_words, f) of the phrases that ``gate`` lets through and that occur ``at_least`` times in
+    ``docs``; where words count also an empty phrase per language with the number of all words."""
     shared = docs.sparkSession.sparkContext.broadcast(gate)  # bit tables of at most MAX_BITS each
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,12 +225,9 @@ def counted(docs: DataFrame, gate: Gate, lang_col: str = "lang", text_col: str =
 
         def block() -> Iterator[pa.RecordBatch]:
             for lang, texts in held.items():
-                for phrases, n_words, n in count_block(lang, texts, shared.value):
-                    for k in range(0, len(n), 200_000):
-                        part = phrases.slice(k, 200_000).cast(pa.string())
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.repeat(lang, len(part)), part, pa.array(np.full(len(part), n_words, np.int32)), pa.array(n[k:k + 200_000])],
-                            names=["lang", "phrase", "n_words", "f"])
+                for phrases, n in count_block(lang, texts, shared.value):
+                    key = pc.binary_join_element_wise(phrases, pa.scalar(lang, pa.large_string()), pa.scalar("\n", pa.large_string()))
+                    yield pa.RecordBatch.from_arrays([key.cast(pa.string()), pa.array(n)], names=["key", "f"])
             held.clear()
 
         for batch in batches:
@@ -231,8 +240,14 @@ def counted(docs: DataFrame, gate: Gate, lang_col: str = "lang", text_col: str =
                         size = 0
         yield from block()
 
-    said = docs.select(F.coalesce(F.col(lang_col), F.lit(UNKNOWN_LANG)).alias("lang"), F.col(text_col).alias("text")).mapInArrow(rows, PHRASES)
-    return said.groupBy("lang", "phrase", "n_words").agg(F.sum("f").alias("f"))
+    said = docs.select(F.coalesce(F.col(lang_col), F.lit(UNKNOWN_LANG)).alias("lang"), F.col(text_col).alias("text"))
+    # Blocks are counted already, so a map-side sum would hold them in memory again for little; it follows the shuffle.
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sums = said.mapInArrow(rows, "key string, f long").repartition(n, "key").groupBy("key").agg(F.sum("f").alias("f"))
+    phrase = F.substring_index("key", "\n", 1)  # neither pieces nor words hold a line feed
+    kept = sums.where((F.col("f") >= at_least) | F.col("key").startswith("\n"))
+    return kept.select(F.expr("substring(key, instr(key, '\n') + 1)").alias("lang"), phrase.alias("phrase"),
+                       F.when(phrase == "", 0).otherwise(F.size(F.split(phrase, " "))).alias("n_words"), "f")
 
 
 def failures(frequent: DataFrame, proposed: np.ndarray) -> DataFrame:
@@ -249,19 +264,21 @@ def failures(frequent: DataFrame, proposed: np.ndarray) -> DataFrame:
 
 def frequent_phrases(docs: DataFrame, support: int = 100, sample_share: int = 8, lowering: float = 0.4,
                      lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame, int]:
-    """(lang, phrase, n_words, f) with f >= support, complete and exact; (lang, n) of all words; the number of full passes."""
+    """(lang, phrase, n_words, f) with f >= support, complete and exact; (lang, n) of all words; the number of full passes over phrases."""
     row = F.xxhash64(F.col(lang_col), F.col(text_col), F.monotonically_increasing_id())
     sample, low = docs.where(F.pmod(row, F.lit(sample_share)) == 0), max(2, round(support / sample_share * lowering))
-    words = write_shared(counted(sample, Gate(None, sizes=(1,)), lang_col, text_col).where((F.col("n_words") == 1) & (F.col("f") >= low)), "sample-words")
-    longer = counted(sample, Gate(bit_table(words), sizes=(2, 3, 4), parts_pass=True), lang_col, text_col).where(F.col("f") >= low)
-    proposed = bit_table(write_shared(words.unionByName(longer), "proposed"))
-    counts = write_shared(counted(docs, Gate(proposed), lang_col, text_col).where((F.col("f") >= support) | (F.col("n_words") == 0)), "phrases")
-    totals = counts.where("n_words = 0").select("lang", F.col("f").alias("n"))
-    frequent = counts.where("n_words > 0")
-    if failures(frequent, proposed).isEmpty():
+    words = write_shared(counted(docs, Gate(None, (1,)), support, lang_col, text_col), "words")
+    totals, words = words.where("n_words = 0").select("lang", F.col("f").alias("n")), words.where("n_words = 1")
+    known = words
+    for size in range(2, LONGEST):
+        found = counted(sample, Gate(bit_table(known), (size,)), low, lang_col, text_col)
+        known = known.unionByName(write_shared(found, f"sample-{size}"))
+    proposed, sizes = bit_table(known), tuple(range(2, LONGEST + 1))
+    phrases = write_shared(counted(docs, Gate(proposed, sizes), support, lang_col, text_col), "phrases")
+    frequent = words.unionByName(phrases)
+    if failures(phrases, proposed).isEmpty():
         return frequent, totals, 1
-    known = bit_table(frequent)
-    missed = counted(docs, Gate(known, sizes=(2, 3, 4, 5), before=proposed), lang_col, text_col).where(F.col("f") >= support)
+    missed = counted(docs, Gate(bit_table(frequent), sizes, before=proposed), support, lang_col, text_col)
     return frequent.unionByName(write_shared(missed, "expansion")), totals, 2
 
 

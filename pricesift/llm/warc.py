@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, write_shared
 
-CRLF, GZIP, CHUNK = b"\r\n", 31, 1 << 20
+CRLF, GZIP, CHUNK, INPUT = b"\r\n", 31, 1 << 20, 1 << 16
 MIN_REVISIT_BYTES = 0
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -86,7 +86,7 @@ def inflated(stream) -> Iterator[bytes]:
     A file that ends inside a member raises; zeros after a member are padding.
     """
     gz = None
-    while part := stream.read(CHUNK):
+    while part := stream.read(INPUT):  # what is left of it is copied for every part inflated
         while part:
             if gz is None:
                 part = part.lstrip(b"\0")

@@ -106,6 +106,18 @@ def test_sparse_search_equals_plain(spark, k, floor, dim):
     assert floor < 0.3 or read[0] < read[1]  # not every place of a query is read
 
 
+def test_equal_vectors_are_one_row_and_pairs_are_never_shuffled(spark):
+    rows = [(d, p, 1) for d in range(100, 400) for p in (d % 2, 2)] + [(5, 3, 1)]
+    counts = spark.createDataFrame(rows, "doc_id long, place int, n long")
+    idf = spark.createDataFrame([(p, 1.0) for p in range(4)], "place int, idf double")
+    index = build_index(counts, idf)
+    assert sorted(r.doc_id for r in index.documents.collect()) == [5, 100, 101]
+    asked = spark.createDataFrame([(i, p, 1) for i in range(200) for p in (1, 2)], "id long, place int, n long")
+    got = search(index, asked, 3, 0.3)
+    assert {(r.id, r.doc_id, r["rank"]) for r in got.collect()} == {(i, d, n + 1) for i in range(200) for n, d in enumerate((101, 103, 105))}
+    assert search(index, asked.where("id < 0"), 3, 0.3).count() == 0
+
+
 def test_written_once_until_the_input_changes(spark, tmp_path):
     (tmp_path / "a").write_text("1")
     made = []

@@ -69,3 +69,14 @@ def test_register_shop_extends_registry(spark):
         R.register_shop("Mock Shop", [("US", "mock.example", "USD")], "https://{domain}/find?q={q}")
     rows = R.source_registry(spark).filter("source = 'Mock Shop'").collect()
     assert [(r.country, r.domain, r.price_rule) for r in rows] == [("US", "mock.example", "us")]
+
+
+def test_topn_writes_only_the_columns_it_shows(spark, sf, monkeypatch):
+    from pricesift.operators import rank
+    from pricesift.plans.q_pricing import topn_offers
+    written = []
+    keep = rank.write_shared
+    monkeypatch.setattr(rank, "write_shared", lambda df, name, *a: written.append((name, df.columns)) or keep(df, name, *a))
+    topn_offers(spark, sf)
+    columns = dict(written)["to-rank"]
+    assert "score" in columns and not {"link", "seller", "product_name", "shipping_cost", "price"} & set(columns)

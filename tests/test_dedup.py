@@ -129,3 +129,15 @@ def test_group_similar_equals_a_plain_first_fit_loop(spark):
                 want[rows[j][1]] = rank
     got = {r["rank"]: json.loads(r.leader_key)["rank"] for r in group_similar(items, "query_id", "product_name", ["rank"]).collect()}
     assert got == want and len(set(want.values())) not in (1, len(rows))
+
+
+def test_vocabulary_pairs_meet_where_they_are_compared(spark):
+    from pricesift.operators.match import BLOCK_NAMES, vocabulary_pairs
+    sizes = {1: 1, 2: 5, 3: 2 * BLOCK_NAMES + 7}
+    v = spark.createDataFrame([(q, f"name {i:04d}", i) for q, n in sizes.items() for i in range(n)], "query_id long, name string, n long")
+    pairs = vocabulary_pairs(v, "query_id", "name", ["n"])
+    assert pairs.where("n_a >= n_b").count() == 0 and pairs.distinct().count() == pairs.count()
+    got = {r.query_id: r["count"] for r in pairs.groupBy("query_id").count().collect()}
+    assert got == {q: n * (n - 1) // 2 for q, n in sizes.items() if n > 1}
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobin" not in plan and "REPARTITION_BY_NUM" in plan  # dealt before the join, not after it

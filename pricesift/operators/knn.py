@@ -4,8 +4,9 @@ Plan: documents are hashed into D blocks and queries into Q blocks (D and Q
 come from two ``count()`` scalars and the block sizes in ``Settings``). Each
 document row is tagged with every query block and each query row with every
 document block, so cell (d, q) meets exactly one document block and one query
-block in ``cogroup(...).applyInPandas``. A cell does one numpy matrix product
-and emits, per query, its k best documents (equal scores by id). A final ``row_number() <= k`` per query (a literal bound, so Spark
+block in ``cogroup(...).applyInPandas``. A cell does numpy matrix products of a
+few queries at a time, selects by the k-th score (no full sort) and emits, per query,
+its k best documents (equal scores by id). A final ``row_number() <= k`` per query (a literal bound, so Spark
 adds a partial WindowGroupLimit before the shuffle) picks the global top k.
 
 Memory per task is bounded by the block sizes, no pair table is ever
@@ -32,6 +33,9 @@ _CELL_SCHEMA = T.StructType([
 ])
 
 
+_STEP = 128  # queries of a cell that are compared at once
+
+
 def l2_norm(vec) -> Column:
     v = F.col(vec) if isinstance(vec, str) else vec
     return F.sqrt(F.aggregate(v.cast("array<double>"), F.lit(0.0), lambda acc, x: acc + x * x))
@@ -60,22 +64,27 @@ def _cell_topk(k: int, exclude_self: bool, digits: int | None = None):
         qn = np.linalg.norm(qm, axis=1, keepdims=True)
         dm = np.divide(dm, dn, out=np.zeros_like(dm), where=dn > 0)
         qm = np.divide(qm, qn, out=np.zeros_like(qm), where=qn > 0)
-        sims = qm @ dm.T                                   # (queries, docs) of this cell
-        if digits is not None:
-            sims = np.round(sims, digits)
-        did = docs["id"].to_numpy(dtype=np.int64)
+        by_id = np.argsort(docs["id"].to_numpy(dtype=np.int64), kind="stable")
+        dm, did = dm[by_id], docs["id"].to_numpy(dtype=np.int64)[by_id]
         qid = qs["id"].to_numpy(dtype=np.int64)
-        if exclude_self:
-            sims[qid[:, None] == did[None, :]] = -np.inf
-        # The k best of each query; equal scores go by id, so a cell never emits more than k.
-        by_id = np.argsort(did, kind="stable")
-        sims, did = sims[:, by_id], did[by_id]
-        cols = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(qid)), cols.shape[1])
-        cols = cols.ravel()
-        real = np.isfinite(sims[rows, cols])
-        rows, cols = rows[real], cols[real]
-        return pd.DataFrame({"query_id": qid[rows], "doc_id": did[cols], "score": sims[rows, cols]})
+        rows, cols, scores = [], [], []
+        for at in range(0, len(qid), _STEP):
+            sims = qm[at:at + _STEP] @ dm.T                # (queries, docs) of this step
+            if digits is not None:
+                sims = np.round(sims, digits)
+            if exclude_self:
+                sims[qid[at:at + _STEP, None] == did[None, :]] = -np.inf
+            # The k best of each query: all at or above the k-th score, equal scores by id, cut to k.
+            floor = np.partition(sims, -k, axis=1)[:, -k, None] if sims.shape[1] > k else -np.inf
+            r, c = np.nonzero((sims >= floor) & np.isfinite(sims))
+            order = np.lexsort((c, -sims[r, c], r))
+            r, c = r[order], c[order]
+            best = np.arange(len(r)) - np.searchsorted(r, r) < k
+            rows.append(r[best] + at)
+            cols.append(c[best])
+            scores.append(sims[r[best], c[best]])
+        rows, cols, scores = np.concatenate(rows), np.concatenate(cols), np.concatenate(scores)
+        return pd.DataFrame({"query_id": qid[rows], "doc_id": did[cols], "score": scores})
     return fn
 
 

@@ -32,3 +32,22 @@ def test_knn_matches_brute_force_with_small_blocks(spark, sf):
     for r in sorted(got, key=lambda r: (r.query_id, r["rank"])):
         res.setdefault(r.query_id, []).append((r.doc_id, round(r.score, 6)))
     assert res == exp
+
+
+def test_a_cell_holds_few_scores_at_once_and_cuts_ties_by_id():
+    import tracemalloc
+
+    import pandas as pd
+
+    from pricesift.operators.knn import _cell_topk
+    rng = np.random.default_rng(5)
+    vecs = rng.normal(size=(4000, 8)).astype("f4")
+    vecs[:1500] = vecs[0]                                  # a large group of copies
+    docs = pd.DataFrame({"id": np.arange(4000)[::-1], "vec": list(vecs)})
+    queries = docs.iloc[1000:3000]
+    tracemalloc.start()
+    got = _cell_topk(3, True)(docs, queries)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64e6 and len(got) == 3 * len(queries)    # the whole cell's scores alone take 64 MB
+    assert (got.query_id != got.doc_id).all()

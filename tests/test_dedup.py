@@ -141,3 +141,56 @@ def test_vocabulary_pairs_meet_where_they_are_compared(spark):
     assert got == {q: n * (n - 1) // 2 for q, n in sizes.items() if n > 1}
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "RoundRobin" not in plan and "REPARTITION_BY_NUM" in plan  # dealt before the join, not after it
+
+
+def test_segments_are_linked_in_cells_of_any_size(spark):
+    from pricesift.operators import match
+    rng = random.Random(5)
+    words = ["red", "blue", "widget", "widgets", "small", "smal", "bolt", "bolts", "rot", "größe"]
+    rows = [(rng.randrange(4), " ".join(rng.sample(words, rng.randrange(2, 5))), round(10 * 1.06 ** rng.randrange(9 if i % 4 else 60), 2))
+            for i in range(400)]
+    segs = match.chain_segments(frame(spark, rows))
+    want = all_pairs_components(rows)
+    seg_of = {(r.query_id, r.product_name, r.norm_price): r.seg for r in segs.collect()}
+    # One cell per set, or many blocks per set and its queries dealt apart: the same components.
+    for names, n_rows in ((1000, 10 ** 6), (20, 60)):
+        root = {r.node: r.root for r in match.segment_labels(segs, names=names, rows=n_rows).collect()}
+        got = {}
+        for i, row in enumerate(rows):
+            seg = seg_of[row]
+            got.setdefault(root.get(seg, seg), []).append(i)
+        assert sorted(got.values()) == want, (names, n_rows)
+
+
+def test_touching_lists_every_close_pair_in_batches(monkeypatch):
+    import numpy as np
+
+    from pricesift.operators import match
+    from pricesift.settings import DEFAULT
+    monkeypatch.setattr(match, "PAIRS_AT_ONCE", 50)
+    rng = np.random.default_rng(1)
+    lo = np.sort(np.round(10 * 1.1 ** rng.uniform(0, 20, 200), 2))
+    hi = np.round(lo * rng.choice([1.0, 1.05, 1.6], 200), 2)
+    got = [pair for i, j in match._touching(lo, hi, DEFAULT) for pair in zip(i.tolist(), j.tolist(), strict=True)]
+    want = [(i, j) for i in range(200) for j in range(i + 1, 200) if lo[j] <= hi[i] or 1 - (lo[j] - hi[i]) / lo[j] > 0.9]
+    assert sorted(got) == want and len(set(got)) == len(got)
+
+
+def test_names_are_compared_once_for_all_queries_of_a_cell(monkeypatch):
+    import pyarrow as pa
+
+    from pricesift.operators import match
+    from pricesift.settings import DEFAULT
+    texts = [f"plain thing {i}" for i in range(30)]
+    names = pa.table({"product_name": texts, "clean": texts, "key": [" ".join(sorted(t.split())) for t in texts],
+                      "tokens": [sorted(t.split()) for t in texts], "empty": [False] * 30, "block": pa.array([0] * 30, pa.int64())})
+    names = names.append_column("blocks", pa.array([1] * 30, pa.int64()))
+    segs = pa.table({"query_id": [q for q in range(20) for _ in texts], "product_name": texts * 20, "lo": [float(10 + i) for i in range(30)] * 20,
+                     "hi": [float(10 + i) for i in range(30)] * 20, "seg": [f"{q}|{t}" for q in range(20) for t in texts],
+                     "blocks": pa.array([1] * 600, pa.int64())})
+    compared = []
+    real = fuzz.Names.similar
+    monkeypatch.setattr(fuzz.Names, "similar", lambda self, a, b, floor: compared.append(len(a)) or real(self, a, b, floor))
+    out = match._link_cell(DEFAULT)(segs, names)
+    assert sum(compared) <= 30 * 29 // 2  # before: these pairs for each of the 20 queries
+    assert out.num_rows == 20 * 29 and set(out["whole"].to_pylist()) == {True}

@@ -55,3 +55,24 @@ def test_json_map_roundtrip_keeps_every_record(spark, tmp_path):
     K.save_json_maps(recs, path)
     back = K.load_json_map(spark, path, T.StructType([T.StructField("v", T.LongType())]))
     assert sorted((r.id, r.v) for r in back.collect()) == sorted((str(i), 2 * i) for i in range(500))
+
+
+def test_pages_are_parsed_once_and_up_to_their_last_card(monkeypatch):
+    import pandas as pd
+
+    from pricesift.sources import pages as PG
+    card = ('<div class="s-result-item" data-asin="B{0}"><a class="a-link-normal" href="/dp/B{0}"><span class="a-size-medium">Phone {0}</span></a>'
+            '<span class="a-offscreen">${0}.00</span></div>')
+    url = "https://www.amazon.com/s?k=x"
+    marked = '<div data-component-type="s-search-&#114;esult" DATA-ASIN="B7"><a class="a-link-normal" href="/dp/B7">P</a></div>'
+    pages = ["<html><body>" + "".join(card.format(i) for i in range(10, 40)) + "</body></html>", "<html>" + marked + card.format(8) + "</html>",
+             "<html><body>s-result-item</body></html>", "<html>" + card.format(5)[:-6]]
+    tags = []
+    real = PG._Cards.handle_starttag
+    monkeypatch.setattr(PG._Cards, "handle_starttag", lambda self, tag, attrs: tags.append(tag) or real(self, tag, attrs))
+    frame = pd.DataFrame({"page_id": range(len(pages)), "url": url, "html": pages})
+    out = next(PG._extract(PG.shops())(iter([frame])))
+    assert tags.count("body") == 1  # before: once per kind of container
+    assert tags.count("a") == 20 + 2 + 1  # before: all 30 of the first page, and twice
+    got = out.groupby("page_id")["card_id"].apply(list).to_dict()
+    assert got == {0: [f"B{i}" for i in range(10, 30)], 1: ["B7"], 3: ["B5"]}

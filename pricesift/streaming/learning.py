@@ -59,10 +59,11 @@ class PriceHistory(StatefulProcessor):
         held = list(self.points.get())
         touched = False
         for frame in rows:  # each frame is cut to its newest points before the next is read
-            frame = frame[frame["product_name"].notna() & (frame["product_name"] != "") & frame["price"].notna()]
-            if len(frame):
-                newest = frame[_COLS].sort_values(["ts", "seq", "seq2"], kind="stable").tail(self.keep)
-                held = sorted([*map(tuple, held), *(tuple(_plain(v) for v in r) for r in newest.itertuples(index=False))], key=lambda p: p[:3])[-self.keep:]
+            # Plain values: a frame holds few points of one product, so pandas would cost more than the points.
+            known = [tuple(_plain(v) for v in p) for p in zip(*(frame[c].tolist() for c in _COLS), strict=True)]
+            known = [p for p in known if p[5] and p[3] is not None]
+            if known:
+                held = sorted([*map(tuple, held), *known], key=lambda p: p[:3])[-self.keep:]
                 touched = True
         if touched:
             self.points.put(held)

@@ -148,3 +148,29 @@ def test_a_stale_product_is_reported_once_and_keeps_its_history():
     assert h.timers == [600]
     row, = p.handleExpiredTimer((1,), now, None)
     assert row["stale"][0] and len(h.state.held) == 2
+
+
+def test_points_are_merged_without_pandas_work_per_product(monkeypatch):
+    import pandas as pd
+
+    from pricesift.streaming.learning import PriceHistory
+
+    class Points:
+        held = [(1, 0, 0, 5.0, "a", "p"), (4, 0, 0, 6.0, "a", "p")]
+
+        def get(self):
+            return iter(self.held)
+
+        def put(self, points):
+            self.held = points
+
+    history = PriceHistory(3, None)
+    history.points = Points()
+    frames = [pd.DataFrame({"ts": [3, 9, 2, 4, 8], "seq": [0, 0, 0, 1, 0], "seq2": 0, "price": [1.0, None, 2.0, 3.0, 4.0],
+                            "source": ["b", "b", None, "b", "b"], "product_name": ["p", "p", "p", "q", ""]})] * 2
+    monkeypatch.setattr(pd.DataFrame, "sort_values", None)  # before: a sort and three filters by pandas per product and batch
+    out = list(history.handleInputRows((7,), iter(frames[:1]), None))
+    assert history.points.held == [(3, 0, 0, 1.0, "b", "p"), (4, 0, 0, 6.0, "a", "p"), (4, 1, 0, 3.0, "b", "q")]
+    assert out[0]["price"][0] == [1.0, 6.0, 3.0] and out[0]["product_id"][0] == 7
+    frames[1] = frames[1].assign(product_name=None)
+    assert list(history.handleInputRows((7,), iter(frames[1:]), None)) == []

@@ -4,10 +4,13 @@
    documents (one in ``sample_share``, by a hash of the row) is mined level by level, from
    two of the frequent words to phrases of four, at a support lowered by ``lowering`` so
    that few phrases of full support are missed. The phrases found are the proposal.
-2. One pass over all documents counts exactly every phrase of two to five words whose first
-   words and whose last words (one fewer each) are frequent words or proposed: these are
-   the proposed phrases and their negative border. A border phrase that never occurs
-   counts zero and needs no row.
+2. Every phrase of two to five words whose first words and whose last words (one fewer each)
+   are frequent words or proposed must be counted over all documents: these are the proposed
+   phrases and their negative border. A border phrase that never occurs counts zero and needs
+   no row. Nearly all of the border is rare, so it is counted after Park, Chen and Yu: a pass
+   adds up occurrences by 40 bits of a phrase's hash, a number of eight bytes per phrase and
+   block, and the next counts by the words themselves what may reach the support by these sums.
+   Phrases of equal bits add up together, so a sum is never too small.
 3. Phrases that reach the support without being proposed are border failures: longer
    phrases above them may have been left out. An expansion pass counts what the first
    left out and whose parts are each known to be frequent or were left out as well. That
@@ -53,6 +56,11 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 PHRASES = "lang string, phrase string, n_words int, f long"
 
 
+#: A packed number holds the upper 40 bits of a phrase's hash, and in the lower 24 how often it occurs in a block.
+_COUNT_BITS = 24
+_COUNT_MASK = (1 << _COUNT_BITS) - 1
+
+
 class BitTable:
     """A set of 64-bit hashes: never a wrong no, seldom a wrong yes."""
 
@@ -92,9 +100,21 @@ def _phrase_hashes(langs: list[str], phrases: list[str]) -> np.ndarray:
     return out
 
 
+def _summed_by(hashes: np.ndarray) -> np.ndarray:
+    """The part of a hash by which occurrences are added up."""
+    return hashes >> np.uint64(_COUNT_BITS)
+
+
+def _spread(sums: np.ndarray) -> np.ndarray:
+    """64 bits for the 40 that sums go by, as a bit table takes them."""
+    return _longer(sums, np.uint64(0))
+
+
 def bit_table(phrases: DataFrame) -> np.ndarray:
-    """The bits of (lang, phrase) rows, set in tasks and put together part by part; at most ``MAX_BITS`` reach the driver."""
+    """The bits of (lang, phrase) rows, or of (hash) rows as ``may_reach`` gives them, set in tasks and put together part by part;
+    at most ``MAX_BITS`` reach the driver."""
     n = phrases.count()
+    hashed = phrases.columns == ["hash"]
     bits = MIN_BITS
     while bits < min(MAX_BITS, n * BITS_PER_PHRASE):
         bits *= 2
@@ -102,7 +122,9 @@ def bit_table(phrases: DataFrame) -> np.ndarray:
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.unique(np.concatenate(BitTable.places(_phrase_hashes(batch.column(0).to_pylist(), batch.column(1).to_pylist()), bits)))
+            hashes = (_spread(batch.column(0).to_numpy().view(np.uint64)) if hashed
+                      else _phrase_hashes(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            at = np.unique(np.concatenate(BitTable.places(hashes, bits)))
             word = (at >> np.uint64(6)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "bits"])
 
@@ -112,7 +134,7 @@ def bit_table(phrases: DataFrame) -> np.ndarray:
         out[at % part_words] = rows["bits"].combine_chunks().to_numpy()
         return pa.table({"part": pa.array([int(at[0]) // part_words], pa.int64()), "bits": pa.array([out.tobytes()], pa.binary())})
 
-    words = (phrases.select("lang", "phrase").mapInArrow(places, "word long, bits long")
+    words = (phrases.select(*(["hash"] if hashed else ["lang", "phrase"])).mapInArrow(places, "word long, bits long")
              .groupBy("word").agg(F.bit_or("bits").alias("bits")).withColumn("part", F.expr(f"word div {part_words}")))
     table = np.zeros(bits // 64, np.uint64)
     for row in words.groupBy("part").applyInArrow(part, "part long, bits binary").collect():
@@ -127,17 +149,20 @@ class Gate:
     A phrase counts if its first and its last words (one fewer) are in ``proposed`` and were
     counted themselves; without a table every phrase does. ``before``: the table of an
     earlier pass; what that pass counted is left out, and parts that it did not count may be
-    frequent and pass.
+    frequent and pass. ``reach``: the table of ``may_reach``; a phrase of two words or more counts
+    only if it is in there too.
     """
 
-    def __init__(self, proposed: np.ndarray | None, sizes: tuple[int, ...] = (1, 2, 3, 4, 5), before: np.ndarray | None = None):
-        self.proposed, self.sizes, self.before = proposed, sizes, before
+    def __init__(self, proposed: np.ndarray | None, sizes: tuple[int, ...] = (1, 2, 3, 4, 5), before: np.ndarray | None = None,
+                 reach: np.ndarray | None = None):
+        self.proposed, self.sizes, self.before, self.reach = proposed, sizes, before, reach
 
-    def phrases(self, at: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
-        """(starts, size) of the phrases that count. ``at``: numbers of words, negative between pieces."""
+    def phrases(self, at: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+        """(starts, size, hashes) of the phrases that count. ``at``: numbers of words, negative between pieces."""
         starts = np.flatnonzero(at >= 0)
         if 1 in self.sizes:
-            yield starts, 1
+            yield starts, 1, hashes[at[starts]]
+        reach = BitTable(self.reach) if self.reach is not None else None
         proposed = BitTable(self.proposed) if self.proposed is not None else None
         before = BitTable(self.before) if self.before is not None else None
 
@@ -155,9 +180,10 @@ class Gate:
             starts = np.flatnonzero(may[:-1] & may[1:])
             starts = starts[starts + size <= len(at)]
             old = was[starts] & was[starts + 1] if before else np.zeros(len(starts), bool)
-            if size in self.sizes:
-                yield starts[~old], size
             longer = _longer(whole[starts], hashes[at[starts + size - 1]])
+            if size in self.sizes:
+                new = ~old & reach.has(_spread(_summed_by(longer))) if reach else ~old
+                yield starts[new], size, longer[new]
             whole[starts] = longer
             known = proposed.has(longer) if proposed else np.ones(len(starts), bool)
             may = by_start(known | ~old if before else known)
@@ -191,12 +217,25 @@ def numbered_words(texts: list[bytes]) -> tuple[np.ndarray, pa.Array]:
     return at[at != -2], words
 
 
+def hashed_words(lang: str, texts: list[bytes]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """``numbered_words`` and the hashes of the distinct words."""
+    at, words = numbered_words(texts)
+    return at, words, np.array(_word_hashes(lang, words.cast(pa.large_binary()).to_pylist()), np.uint64)
+
+
+def sum_block(lang: str, texts: list[bytes], gate: Gate) -> Iterator[np.ndarray]:
+    """Packed numbers of the phrases that ``gate`` lets through; a count above the lower bits is held at their most."""
+    at, _, hashes = hashed_words(lang, texts)
+    for _, _, found in gate.phrases(at, hashes):
+        sums, n = np.unique(_summed_by(found), return_counts=True)
+        yield sums << np.uint64(_COUNT_BITS) | np.minimum(n, _COUNT_MASK).astype(np.uint64)
+
+
 def count_block(lang: str, texts: list[bytes], gate: Gate) -> Iterator[tuple[pa.Array, np.ndarray]]:
     """(phrases, counts) of texts of one language, of the phrases that ``gate`` lets through;
     where words count, an empty phrase has the number of all words."""
-    at, words = numbered_words(texts)
-    hashes = np.array(_word_hashes(lang, words.cast(pa.large_binary()).to_pylist()), np.uint64)
-    for starts, size in gate.phrases(at, hashes):
+    at, words, hashes = hashed_words(lang, texts)
+    for starts, size, _ in gate.phrases(at, hashes):
         if size == 1:
             yield pa.array([""], pa.large_string()), np.array([len(starts)])
         if len(starts):
@@ -215,35 +254,58 @@ def _slabs(text: str, size: int) -> Iterator[bytes]:
     yield text[at:].encode("utf-8", "surrogatepass")
 
 
-def counted(docs: DataFrame, gate: Gate, at_least: int, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """(lang, phrase, n_words, f) of the phrases that ``gate`` lets through and that occur ``at_least`` times in
-    ``docs``; where words count also an empty phrase per language with the number of all words."""
-    shared = docs.sparkSession.sparkContext.broadcast(gate)  # bit tables of at most MAX_BITS each
-
+def _by_block(docs: DataFrame, lang_col: str, text_col: str, block, schema: str) -> DataFrame:
+    """The batches that ``block`` (lang, texts) gives for blocks of the documents of one language."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = defaultdict(list), 0
-
-        def block() -> Iterator[pa.RecordBatch]:
-            for lang, texts in held.items():
-                for phrases, n in count_block(lang, texts, shared.value):
-                    key = pc.binary_join_element_wise(phrases, pa.scalar(lang, pa.large_string()), pa.scalar("\n", pa.large_string()))
-                    yield pa.RecordBatch.from_arrays([key.cast(pa.string()), pa.array(n)], names=["key", "f"])
-            held.clear()
-
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for part in _slabs(text.as_py() or "", BLOCK_BYTES):
                     held[lang].append(part)
                     size += len(part)
                     if size >= BLOCK_BYTES:
-                        yield from block()
+                        for held_lang, texts in held.items():
+                            yield from block(held_lang, texts)
+                        held.clear()
                         size = 0
-        yield from block()
+        for lang, texts in held.items():
+            yield from block(lang, texts)
 
     said = docs.select(F.coalesce(F.col(lang_col), F.lit(UNKNOWN_LANG)).alias("lang"), F.col(text_col).alias("text"))
+    return said.mapInArrow(rows, schema)
+
+
+def may_reach(docs: DataFrame, gate: Gate, at_least: int, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """(hash): the bits that sums go by of all phrases that ``gate`` lets through and that occur ``at_least`` times in
+    ``docs``, and of some that occur less."""
+    shared = docs.sparkSession.sparkContext.broadcast(gate)  # bit tables of at most MAX_BITS each
+
+    def block(lang: str, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        for packed in sum_block(lang, texts, shared.value):
+            yield pa.RecordBatch.from_arrays([pa.array(packed.view(np.int64))], names=["packed"])
+
+    # The packed number alone is moved; it is taken apart behind the shuffle.
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = F.shiftrightunsigned("packed", _COUNT_BITS)
+    packed = _by_block(docs, lang_col, text_col, block, "packed long").repartition(n, bits)
+    sums = packed.select(bits.alias("hash"), F.col("packed").bitwiseAND(F.lit(_COUNT_MASK)).alias("n")).groupBy("hash").agg(F.sum("n").alias("n"))
+    return sums.where(F.col("n") >= min(at_least, _COUNT_MASK)).select("hash")
+
+
+def counted(docs: DataFrame, gate: Gate, at_least: int, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """(lang, phrase, n_words, f) of the phrases that ``gate`` lets through and that occur ``at_least`` times in
+    ``docs``; where words count also an empty phrase per language with the number of all words."""
+    shared = docs.sparkSession.sparkContext.broadcast(gate)  # bit tables of at most MAX_BITS each
+
+    def block(lang: str, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        for phrases, n in count_block(lang, texts, shared.value):
+            key = pc.binary_join_element_wise(phrases, pa.scalar(lang, pa.large_string()), pa.scalar("\n", pa.large_string()))
+            yield pa.RecordBatch.from_arrays([key.cast(pa.string()), pa.array(n)], names=["key", "f"])
+
     # Blocks are counted already, so a map-side sum would hold them in memory again for little; it follows the shuffle.
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sums = said.mapInArrow(rows, "key string, f long").repartition(n, "key").groupBy("key").agg(F.sum("f").alias("f"))
+    keyed = _by_block(docs, lang_col, text_col, block, "key string, f long")
+    sums = keyed.repartition(n, "key").groupBy("key").agg(F.sum("f").alias("f"))
     phrase = F.substring_index("key", "\n", 1)  # neither pieces nor words hold a line feed
     kept = sums.where((F.col("f") >= at_least) | F.col("key").startswith("\n"))
     return kept.select(F.expr("substring(key, instr(key, '\n') + 1)").alias("lang"), phrase.alias("phrase"),
@@ -274,7 +336,8 @@ def frequent_phrases(docs: DataFrame, support: int = 100, sample_share: int = 8,
         found = counted(sample, Gate(bit_table(known), (size,)), low, lang_col, text_col)
         known = known.unionByName(write_shared(found, f"sample-{size}"))
     proposed, sizes = bit_table(known), tuple(range(2, LONGEST + 1))
-    phrases = write_shared(counted(docs, Gate(proposed, sizes), support, lang_col, text_col), "phrases")
+    reach = bit_table(write_shared(may_reach(docs, Gate(proposed, sizes), support, lang_col, text_col), "sums"))
+    phrases = write_shared(counted(docs, Gate(proposed, sizes, reach=reach), support, lang_col, text_col), "phrases")
     frequent = words.unionByName(phrases)
     if failures(phrases, proposed).isEmpty():
         return frequent, totals, 1

@@ -96,3 +96,26 @@ def test_odd_rows(spark):
     assert mine(docs, support=2) == plain_mine([(r.lang, r.text) for r in docs.collect()], 2)
     assert mine(empty_docs(spark)) == []
     assert mine(spark.createDataFrame([(None, None), ("en", ""), ("en", " .. ")], "lang string, text string"), support=1) == []
+
+
+def test_border_is_summed_by_hash_before_it_is_counted(spark):
+    rng = random.Random(4)
+    rows = [("en", sentence(rng, 400, 60) + ". " + "two words " * 5) for _ in range(40)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(4)
+    words = C.bit_table(C.counted(docs, C.Gate(None, (1,)), 30).where("n_words = 1"))
+    border = {(r.lang, r.phrase): r.f for r in C.counted(docs, C.Gate(words, (2, 3)), 1).collect()}
+    often = {k: f for k, f in border.items() if f >= 30}
+    sums = C.may_reach(docs, C.Gate(words, (2, 3)), 30)
+    assert [f.dataType.simpleString() for f in sums.schema] == ["bigint"]
+    reach = C.bit_table(sums)
+    left = {(r.lang, r.phrase): r.f for r in C.counted(docs, C.Gate(words, (2, 3), reach=reach), 1).collect()}
+    assert often.items() <= left.items() and len(left) <= len(often) + 5 < len(border) / 20
+    assert mine(docs, support=30) == plain_mine(rows, 30)
+
+
+def test_block_sums_hold_bits_and_counts():
+    table = C.np.full(1, ~C.np.uint64(0))
+    packed = C.np.concatenate(list(C.sum_block("en", [b"a b a b a"], C.Gate(table, (2,)))))
+    assert sorted((packed & C.np.uint64(C._COUNT_MASK)).tolist()) == [2, 2]
+    hashes = C._phrase_hashes(["en", "en"], ["a b", "b a"])
+    assert sorted((packed >> C.np.uint64(C._COUNT_BITS)).tolist()) == sorted(C._summed_by(hashes).tolist())

@@ -36,3 +36,47 @@ def test_half_even_formatting(spark):
     p = I.price_insight(r, spark.createDataFrame([], "query_id long, exp_min double, exp_max double")).collect()[0]
     assert "Average price: $2\n" in p.content     # 2.5 rounds half to even
     assert "High price variance ($3)" in p.content
+
+
+def test_knowledge_of_asked_products_equals_the_rows_of_all(spark, sf):
+    from pricesift.sources import tables as T
+    asked = T.queries(spark, sf).selectExpr("query_id as product_id").where("product_id % 3 = 0")
+    want = T.knowledge(spark, sf).join(asked, "product_id", "left_semi")
+    found = T.knowledge(spark, sf, asked)
+    assert found.count() == want.count() == asked.count()
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_alternatives_are_three_of_the_nearest_without_the_part_itself(spark):
+    from pricesift.sources import tables as T
+    prices = [5.0] * 6 + [5.5, 6.0, 6.0, 9.0, 9.0, 40.0, 41.0]
+    rows = [(k, "A" if k < 12 else "B", p, f"n{k}") for k, p in enumerate(prices)]
+    parts = spark.createDataFrame(rows, "p_partkey long, p_type string, p_retailprice double, name string")
+    got = {r["_pk"]: r["alternatives"] for r in T.alternatives_of_parts(parts, parts.where("p_partkey % 2 = 0")).collect()}
+    assert got == {k: [n for _, _, n in sorted((abs(p - q), j, m) for j, u, q, m in rows if u == t and j != k)[:3]]
+                   for k, t, p, _ in rows if k % 2 == 0}
+
+
+def test_bands_are_found_once_for_all_that_read_them(spark, sf):
+    import glob
+
+    from pricesift.plans.catalog import spark_queries
+    from pricesift.session import _WRITTEN, ensure_checkpoint_dir
+    written = lambda: set(glob.glob(ensure_checkpoint_dir(spark).removeprefix("file:") + "/alternatives-*"))
+    _WRITTEN.pop((spark.sparkContext.applicationId, "bands", sf), None)
+    before = written()
+    for name in ("alternative_bands", "insight_recommendation", "alternative_bands"):
+        spark_queries()[name](spark, sf).count()
+    assert len(written() - before) == 1
+
+
+def test_no_side_of_the_size_of_part_is_broadcast(spark, sf):
+    from pyspark.sql import functions as F
+
+    from pricesift.plans import q_vectors as V
+    from pricesift.sources import tables as T
+    texts = T.queries(spark, sf).select(F.col("query_id").alias("id"), F.col("query").alias("text"))
+    plan = V.text_hits(spark, sf, texts)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [doc_id" in plan
+    plan = V._enhance(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin [") - plan.count("SortMergeJoin [p_type") >= 3

@@ -79,11 +79,12 @@ def test_rows_do_not_grow_with_the_requests(spark):
     assert R.search_offers(front, index, requests(spark, 600)).count() > 5 * many.offers.count()
 
 
-def test_best_of_queries_equals_grouped_offers(spark):
-    o = shop_offers(spark, 200, 6).withColumn("query_id", F.col("product_id") % 3).withColumn("query", F.lit("galaxy ultra")).withColumn("target_currency", F.lit("USD"))
-    want = search.best_members(search.grouped_offers(o, ARR), ["query_id", "dup_group"], ARR)
+@pytest.mark.parametrize(("mode", "limits"), [("components", {}), ("greedy", {}), ("greedy", {"names": 15})])
+def test_best_of_queries_equals_grouped_offers(spark, mode, limits):
+    o = shop_offers(spark, 300, 6).withColumn("query_id", F.col("product_id") % 3).withColumn("query", F.lit("galaxy ultra")).withColumn("target_currency", F.lit("USD"))
+    want = search.best_members(search.grouped_offers(o, ARR, mode), ["query_id", "dup_group"], ARR)
     queries = spark.createDataFrame([(i, "galaxy ultra") for i in range(5)], "query_id long, query string")  # two find nothing
-    got = search.best_of_queries(o, queries, ARR).withColumn("group_id", F.substring(F.md5("product_name"), 1, 8))
+    got = search.best_of_queries(o, queries, ARR, mode, **limits).withColumn("group_id", F.substring(F.md5("product_name"), 1, 8))
     assert key(got) == key(want) and got.where("group_size > 1").count()
 
 

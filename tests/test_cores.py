@@ -22,7 +22,7 @@ def shop_offers(spark, n, seed):
     for i in range(n):
         model, color = rng.randrange(100, 112), rng.choice(["Blue", "Black", "Größe"])
         name = rng.choice([f"Galaxy S{model} Ultra {color} - (Unlocked)", f"Samsung Galaxy S{model} Ultra {color} phone 50MP", f"Nokia G{model} {color}", "日本"])
-        rows.append((dt.datetime(2025, 1, 1 + i % 5), i, i % 3, i % 17, i % 11, name, f"{10 * 1.05 ** rng.randrange(20):.2f}", "USD", "In Stock", 4.0, i % 50,
+        rows.append((dt.datetime(2025, 1, 1 + i % 5) if i % 6 else None, i, i % 3, i % 17, i % 11, name, f"{10 * 1.05 ** rng.randrange(20):.2f}", "USD", "In Stock", 4.0, i % 50,
                      "1.00", f"s{i % 11}", f"/dp/{i}", "Amazon", rng.choice(SHOPS), rng.choice(["US", "IN"])))
     return spark.createDataFrame(rows, "scraped_at timestamp, l_orderkey long, l_linenumber int, product_id long, seller_id long, product_name string, "
                                        "price string, currency string, availability string, rating double, reviews_count long, shipping_cost string, seller string, "
@@ -46,7 +46,7 @@ def by_rows(front, index, asked):
 
 def key(df):
     cols = ["query_id", "product_name", "norm_price", *ARR, "similarity", "group_size", "group_id"]
-    return sorted(tuple(r[c] for c in cols) for r in df.select(*cols).collect())
+    return sorted((tuple(r[c] for c in cols) for r in df.select(*cols).collect()), key=repr)
 
 
 @pytest.mark.parametrize("limits", [None, (15, 10 ** 6, 10 ** 6), (10 ** 6, 10 ** 6, 40), (15, 50, 40)])
@@ -88,6 +88,35 @@ def test_best_of_queries_equals_grouped_offers(spark, mode, limits):
     assert key(got) == key(want) and got.where("group_size > 1").count()
 
 
+@pytest.mark.parametrize("name", ["dedup_components", "dedup_greedy"])
+def test_no_table_of_offers_is_written_to_group_them(spark, sf, monkeypatch, name):
+    from pricesift.operators import match
+    from pricesift.plans.catalog import spark_queries
+    from pricesift.session import write_shared
+    from pricesift.sources import tables
+    offers = tables.offers_for_queries(spark, sf)
+    names = offers.select("query_id", "product_name").distinct().count()
+    written = []
+
+    def record(df, *args):
+        out = write_shared(df, *args)
+        written.append(out.count())
+        return out
+
+    for module in (cores, match, search):
+        monkeypatch.setattr(module, "write_shared", record)
+    out = spark_queries()[name](spark, sf)
+    assert out.count() > 0 and written and max(written) <= names < offers.count() / 5
+
+
+def test_offers_of_queries_equal_the_join(spark, sf):
+    from pricesift.sources import tables
+    q = tables.queries(spark, sf).select("query_id", "query", "country", "max_results", "target_currency", "family")
+    want = tables.offers(spark, sf).join(q, F.col("query_key") == F.col("family")).drop("family")
+    got = tables.offers_for_queries(spark, sf)
+    assert got.columns == want.columns and got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+
+
 def test_bounds_and_windows_of_names_equal_the_plain_ratios():
     rng = random.Random(2)
     words = ["red", "blue", "größe", "widget", "widgets", "s21", "ultra", "(x)", "日本", "a" * 30]
